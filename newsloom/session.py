@@ -25,7 +25,7 @@ def spark_session(app: str = "newsloom", cores: str = "*", shuffle_partitions: i
     spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
              .config("spark.driver.memory", memory)
-             .config("spark.ui.enabled", "false")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
