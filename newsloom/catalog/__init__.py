@@ -1,4 +1,4 @@
 """All named queries; importing this package registers them."""
 
-from . import documents, text, urls  # noqa: F401
+from . import documents, search, text, urls, vectors  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

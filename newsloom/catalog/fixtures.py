@@ -29,3 +29,46 @@ def site_config(t: Tables) -> DataFrame:
 # A screening model for the test pages.
 SCREENING = {"intercept": -3.0, "leanPct": 2.5, "length": 0.02, "nDash": 0.4, "nTokens": 0.3,
              "spam-farm.example.org": 2.0, "en": -0.5}
+
+
+def article_sentences(t: Tables) -> DataFrame:
+    """``(doc_id, n_chars, title, sentences)``: the first line is the title."""
+    from ..functions import text
+
+    return t.documents.select(
+        "doc_id", "n_chars", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        text.split_sentences(text.clean_text(F.col("text"))).alias("sentences"))
+
+
+def weights(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def word_model(t: Tables):
+    """The most frequent words, one for each weight vector there is."""
+    from ..functions import text
+    from ..operators.ranking import top_ranked
+    from ..sources.model import load_model
+
+    tokens = text.tokenise_text(text.clean_text(F.col("text")))
+    counts = (t.documents.select(F.explode(text.words_of(tokens)).alias("word"))
+              .filter(F.col("word").rlike("[A-Za-z]")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    size = t.embeddings.count()
+    vocab = top_ranked(counts, [F.col("n").desc(), F.col("word")], size, "idx").select("word", "idx")
+    return load_model(vocab, weights(t))
+
+
+def pivots(t: Tables) -> DataFrame:
+    """One pivot per label: its first vector."""
+    first = t.embeddings.groupBy(F.col("label").cast("long").alias("partition")).agg(
+        F.min_by("embedding", "vec_id").alias("vec"), F.count(F.lit(1)).alias("nDocs"))
+    return first.select("partition", F.col("vec").cast("array<double>").alias("vec"), "nDocs")
+
+
+def corpus(t: Tables, model) -> DataFrame:
+    """Understood articles with mean vector and partition."""
+    from ..operators.embed import score_docs
+    from ..operators.nearest import nearest_pivot
+
+    scored = score_docs(article_sentences(t), model, "mean", key="doc_id")
+    return nearest_pivot(scored.filter(F.col("vec").isNotNull()), pivots(t)).drop("similarity")

@@ -19,7 +19,7 @@ def publish_by_key(df: DataFrame, path: str, batch_id: int = 0) -> None:
 
 def read_queue(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """All messages ever published; ``schema`` is that of a message."""
-    full = StructType(schema.fields).add("batch_id", "long").add("routing_key", "string")
+    full = StructType(list(schema.fields)).add("batch_id", "long").add("routing_key", "string")
     return spark.read.schema(full).parquet(path)
 
 
