@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import prepare, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +26,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in ("documents", "pages") else table
 
 
 def query(name: str, sql: str | None = None):

@@ -48,14 +48,15 @@ def word_model(t: Tables):
     """The most frequent words, one for each weight vector there is."""
     from ..functions import text
     from ..operators.ranking import top_ranked
-    from ..sources.model import load_model
+    from ..sources.model import WordModel, load_model
 
     tokens = text.tokenise_text(text.clean_text(F.col("text")))
     counts = (t.documents.select(F.explode(text.words_of(tokens)).alias("word"))
               .filter(F.col("word").rlike("[A-Za-z]")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     size = t.embeddings.count()
     vocab = top_ranked(counts, [F.col("n").desc(), F.col("word")], size, "idx").select("word", "idx")
-    return load_model(vocab, weights(t))
+    # stands for the stored model: derived once, read by every step
+    return WordModel(load_model(vocab, weights(t)).table.checkpoint())
 
 
 def pivots(t: Tables) -> DataFrame:

@@ -161,13 +161,15 @@ def _rank_by_blocks(queries: DataFrame, pivots: DataFrame, key: str, budget: int
 
 
 def blocked_dot(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str,
-                carry: Sequence[str] = (), best_of: str | None = None, cell: int = CELL) -> DataFrame:
+                carry: Sequence[str] = (), best_of: str | None = None, top: int | None = None,
+                cell: int = CELL) -> DataFrame:
     """Dot products of the rows of two tables that share ``on``.
 
     Both sides are cut into cells of about ``cell`` rows per key, so a key of
     any size is worked by many tasks; each does one matrix product.  ``carry``
     names right columns to keep.  With ``best_of`` only the best right row per
-    left row and cell is returned, ties to the lowest ``best_of``.
+    left row and cell is returned, ties to the lowest ``best_of``; with ``top``
+    the best ``top`` of each cell, from which the caller takes the best of all.
     """
     on = list(on)
 
@@ -198,6 +200,11 @@ def blocked_dot(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: s
         s = np.vstack(x["vec"].to_list()) @ np.vstack(y["vec"].to_list()).T
         if best_of:
             i, j = np.arange(len(x)), s.argmax(axis=1)
+        elif top is not None and top < s.shape[1]:
+            j = np.argpartition(-s, top - 1, axis=1)[:, :top]
+            # keep everything equal to the last one taken, so that no tie is cut here
+            last = np.take_along_axis(s, j, axis=1).min(axis=1, keepdims=True)
+            i, j = np.nonzero(s >= last)
         else:
             i, j = (g.ravel() for g in np.indices(s.shape))
         out = {c: x[c].to_numpy()[i] for c in on}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.nearest import blocked_dot, rank_partitions
+from ..session import ensure_checkpoint_dir
 
 # Partitions are first fetched for this many times the documents asked for.
 MARGIN = 2
@@ -21,22 +22,25 @@ def similar_docs(queries: DataFrame, docs: DataFrame, pivots: DataFrame, n: int,
     Document counts per partition bound what has to be scored: a first pass
     takes partitions holding ``MARGIN * n`` candidates, and only queries that
     repeated similarities leave short get their other partitions in a second.
+    The scored pairs go to the checkpoint folder once, as both the counts and
+    the result read them.  ``docs`` is read several times: pass a stored table.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.filter(F.col("vec").isNotNull()).select(doc, "partition", "vec")
     sizes = docs.groupBy("partition").agg(F.count(F.lit(1)).alias("nDocs"))
     sized = (pivots.select("partition", "vec").join(sizes, "partition", "left")
              .withColumn("nDocs", F.coalesce("nDocs", F.lit(0))))
-    queries = queries.select(key, "vec")
+    queries = queries.select(key, "vec").filter(F.col("vec").isNotNull())
 
     first = rank_partitions(queries, sized, key, budget=MARGIN * n, keep_vec=True)
-    kept = _kept(_scored(first, docs, key, doc), key)
-    # a short query has more partitions to visit, unless the first pass had them all
-    found = kept.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    short = queries.join(found.filter(F.col("__n") >= n), key, "left_anti")
-    every = rank_partitions(short, sized, key, keep_vec=True)
-    rest = _kept(_scored(every, docs, key, doc), key)
-    enough = kept.join(found.filter(F.col("__n") >= n).select(key), key, "left_semi")
-    return _visited(enough.unionByName(rest), key, n)
+    kept = _kept(_scored(first, docs, key, doc), key).checkpoint()
+    done = kept.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= n).select(key)
+    short = queries.join(done, key, "left_anti")
+    if short.head(1):
+        every = rank_partitions(short, sized, key, keep_vec=True)
+        rest = _kept(_scored(every, docs, key, doc), key)
+        kept = kept.join(done, key, "left_semi").unionByName(rest)
+    return _visited(kept, key, n)
 
 
 def _scored(visits: DataFrame, docs: DataFrame, key: str, doc: str) -> DataFrame:
