@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,12 +41,16 @@ def fingerprint(v: Column) -> Column:
                               lambda acc, x: acc + x))
 
 
-def vector_sums(v: Column, dim: int) -> list[Column]:
-    """One partially-combinable sum per coordinate."""
-    return [F.sum(F.get(v, i)).alias(f"__s{i}") for i in range(dim)]
+def sum_vectors(df: DataFrame, by: list[str], vec: str = "vec", weight: str | None = None) -> DataFrame:
+    """``(*by, size, vec)``: number and sum of the vectors of each group.
 
+    ``weight`` names a column that says how many vectors a row already sums.
 
-def gather(dim: int, by: Column | None = None) -> Column:
-    """The array of the sums of ``vector_sums``, each divided by ``by``."""
-    parts = [F.col(f"__s{i}") if by is None else F.col(f"__s{i}") / by for i in range(dim)]
-    return F.array(*parts)
+    Coordinates are summed as rows, combined per task before they move, and put
+    together again: one row per group and coordinate crosses the network.
+    """
+    n = F.lit(1).cast("long") if weight is None else F.col(weight)
+    parts = (df.select(*by, n.alias("__n"), F.posexplode(vec).alias("__d", "__x")).groupBy(*by, "__d")
+             .agg(F.sum("__x").alias("__x"), F.sum("__n").alias("__n")))
+    ordered = F.sort_array(F.collect_list(F.struct("__d", "__x")))
+    return parts.groupBy(*by).agg(F.max("__n").alias("size"), F.transform(ordered, lambda s: s["__x"]).alias("vec"))

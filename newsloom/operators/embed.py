@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from ..functions.text import words_of
-from ..functions.vectors import gather, norm, vector_sums
+from ..functions.vectors import sum_vectors, unit
 from ..sources.model import WordModel, string_array
 
 # Word vectors gathered at a time: bounds the memory of a task, not the text.
@@ -156,16 +156,15 @@ def score_docs(df: DataFrame, model: WordModel, mode: str = "core", sentences: s
 
 def _sentence_vectors_by_join(df: DataFrame, model: WordModel, sentences: str) -> DataFrame:
     """Words join the model under a salt, so that a frequent word spreads over tasks."""
-    n, dim = model.shape
+    dim = model.shape[1]
     rest = [c for c in df.columns if c != sentences]
     sent = df.select(*rest, F.posexplode(sentences).alias("pos", "__sentence"))
     words = (sent.select(*rest, "pos", F.explode(words_of(F.col("__sentence"))).alias("word"))
              .withColumn("__salt", F.pmod(F.xxhash64(*rest, "pos"), F.lit(SALTS))))
     spread = model.table.select("word", "vec", F.explode(
         F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
-    sums = (words.join(spread, ["word", "__salt"]).groupBy(*rest, "pos").agg(*vector_sums(F.col("vec"), dim)))
-    known = sums.select(*rest, "pos", gather(dim).alias("__sum"))
-    known = known.select(*rest, "pos", F.transform("__sum", lambda x: x / norm(F.col("__sum"))).alias("vec"))
+    sums = sum_vectors(words.join(spread, ["word", "__salt"]), [*rest, "pos"])
+    known = sums.select(*rest, "pos", unit(F.col("vec")).alias("vec"))
     zero = F.array_repeat(F.lit(0.0), dim)
     return (sent.select(*rest, "pos").join(known, [*rest, "pos"], "left")
             .withColumn("vec", F.coalesce("vec", zero)))

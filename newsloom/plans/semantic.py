@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.vectors import add, dot, gather, scale, unit, vector_sums
+from ..functions.vectors import add, dot, scale, sum_vectors, unit
 from ..operators.nearest import blocked_dot
 from ..session import ensure_checkpoint_dir
 from ..sources.model import WordModel
@@ -45,11 +45,9 @@ def find_opposite(words: DataFrame, model: WordModel, shifts: DataFrame, n_candi
                         _everything(shifts.withColumnRenamed("shift", "vec"), "pair", "vec"),
                         ["__all"], "word", "pair")
     moves = _top(moves, ["word"], [F.abs("similarity").desc(), F.col("pair")], n_shifts)
-    dim = model.shape[1]
     moved = (moves.join(shifts, "pair").join(known.select("word", "vec"), "word")
              .select("word", scale(add(F.col("vec"), F.col("shift")), -F.col("similarity")).alias("vec")))
-    target = moved.groupBy("word").agg(*vector_sums(F.col("vec"), dim)).select("word", gather(dim).alias("__sum"))
-    target = target.select("word", unit(F.col("__sum")).alias("__target"))
+    target = sum_vectors(moved, ["word"]).select("word", unit(F.col("vec")).alias("__target"))
     scored = (near.select("word", "candidate", "cand_idx").join(target, "word")
               .join(vocab.select("candidate", "vec"), "candidate")
               .withColumn("score", dot(F.col("vec"), F.col("__target"))))
@@ -66,7 +64,6 @@ def context_words(phrases: DataFrame, contexts: DataFrame, model: WordModel, shi
     idx, is_common)`` for the words close to either side, ``place`` null for
     those not chosen, and ``(key, side, vec)``.
     """
-    dim = model.shape[1]
     vocab = model.table.select("word", "idx", "vec")
     opposite = find_opposite(phrases, model, shifts)
     pos = phrases.select(key, F.lit("pos").alias("side"), "word")
@@ -75,11 +72,10 @@ def context_words(phrases: DataFrame, contexts: DataFrame, model: WordModel, shi
     ensure_checkpoint_dir(phrases.sparkSession)
     seeds = pos.unionByName(neg).checkpoint().join(vocab, "word")
 
-    centre = seeds.groupBy(key, "side").agg(*vector_sums(F.col("vec"), dim)).select(
-        key, "side", gather(dim).alias("__sum"))
+    centre = sum_vectors(seeds, [key, "side"])
     aimed = (centre.join(contexts.select(key, F.col("vec").alias("__ctx")), key)
              .select(F.struct(key, "side").alias("who"),
-                     add(unit(F.col("__sum")), scale(F.col("__ctx"), F.lit(0.5))).alias("vec")))
+                     add(unit(F.col("vec")), scale(F.col("__ctx"), F.lit(0.5))).alias("vec")))
     near = blocked_dot(_everything(aimed, "who", "vec"), _everything(vocab, "word", "idx", "vec"), ["__all"],
                        "who", "word", carry=["idx"], top=N_SIMILAR)
     near = near.select(f"who.{key}", "who.side", "word", "idx", "similarity")
@@ -94,9 +90,8 @@ def context_words(phrases: DataFrame, contexts: DataFrame, model: WordModel, shi
     words = marked.withColumn("place", F.when(chosen, place)).withColumn(
         "place", F.when(F.col("place") <= N_CONTEXT, F.col("place")))
     words = words.select(key, "side", "place", "near_rank", "word", "idx", "is_common")
-    axis = (words.filter(F.col("place").isNotNull()).join(vocab.select("idx", "vec"), "idx")
-            .groupBy(key, "side").agg(*vector_sums(F.col("vec"), dim))
-            .select(key, "side", gather(dim).alias("__sum")).select(key, "side", unit(F.col("__sum")).alias("vec")))
+    chosen_words = words.filter(F.col("place").isNotNull()).join(vocab.select("idx", "vec"), "idx")
+    axis = sum_vectors(chosen_words, [key, "side"]).select(key, "side", unit(F.col("vec")).alias("vec"))
     return words, axis
 
 
