@@ -95,7 +95,7 @@ def sample_content(pieces: Column) -> Column:
 
 
 def min_window_distance(a: Column, b: Column) -> Column:
-    """Slide the shorter string over the longer; ``struct(distance, offset)``.
+    """Slide the shorter string over the longer; a struct with ``distance`` and ``offset``.
 
     Distance is edits per character.  Ties go to the later offset.  The scan
     ends once the best is under 0.5 and the current window exceeds it by more
@@ -107,14 +107,20 @@ def min_window_distance(a: Column, b: Column) -> Column:
     start = F.struct(F.lit(1.0).alias("distance"), F.lit(None).cast("int").alias("offset"),
                      F.lit(False).alias("done"))
 
-    def step(acc: Column, k: Column) -> Column:
-        d = F.levenshtein(shorter, F.substr(longer, k + 1, n)) / n
+    def judge(acc: Column, k: Column, edits: Column) -> Column:
+        d = edits / n
         hit = d <= acc["distance"]
-        return F.when(acc["done"], acc).otherwise(F.struct(
+        return F.struct(
             F.when(hit, d).otherwise(acc["distance"]).alias("distance"),
             F.when(hit, k).otherwise(acc["offset"]).alias("offset"),
-            (~hit & (acc["distance"] < 0.5) & (d - acc["distance"] > 0.1)).alias("done")))
+            (~hit & (acc["distance"] < 0.5) & (d - acc["distance"] > 0.1)).alias("done"))
+
+    def step(acc: Column, k: Column) -> Column:
+        edits = F.levenshtein(shorter, F.substr(longer, k + 1, n))
+        # a one-element transform names the distance, so that it is computed once
+        once = F.get(F.transform(F.array(edits), lambda e: judge(acc, k, e)), 0)
+        return F.when(acc["done"], acc).otherwise(once)
 
     scan = F.aggregate(F.sequence(F.lit(0), F.length(longer) - n), start, step)
-    return F.when(n > 0, F.struct(scan["distance"].alias("distance"),
-                                  scan["offset"].alias("offset")))
+    # the fold's own struct: taking its fields apart here would run the scan once for each
+    return F.when(n > 0, scan)
