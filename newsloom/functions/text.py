@@ -101,26 +101,28 @@ def min_window_distance(a: Column, b: Column) -> Column:
     ends once the best is under 0.5 and the current window exceeds it by more
     than 0.1, so only the prefix scanned so far decides.
     """
-    shorter = F.when(F.length(a) < F.length(b), a).otherwise(b)
-    longer = F.when(F.length(a) < F.length(b), b).otherwise(a)
-    n = F.length(shorter)
     start = F.struct(F.lit(1.0).alias("distance"), F.lit(None).cast("int").alias("offset"),
                      F.lit(False).alias("done"))
 
-    def judge(acc: Column, k: Column, edits: Column) -> Column:
-        d = edits / n
+    def once(value: Column, then) -> Column:
+        # a one-element transform names a value, so that it is not computed again at each use
+        return F.get(F.transform(F.array(value), then), 0)
+
+    def judge(acc: Column, k: Column, d: Column) -> Column:
         hit = d <= acc["distance"]
         return F.struct(
             F.when(hit, d).otherwise(acc["distance"]).alias("distance"),
             F.when(hit, k).otherwise(acc["offset"]).alias("offset"),
             (~hit & (acc["distance"] < 0.5) & (d - acc["distance"] > 0.1)).alias("done"))
 
-    def step(acc: Column, k: Column) -> Column:
-        edits = F.levenshtein(shorter, F.substr(longer, k + 1, n))
-        # a one-element transform names the distance, so that it is computed once
-        once = F.get(F.transform(F.array(edits), lambda e: judge(acc, k, e)), 0)
-        return F.when(acc["done"], acc).otherwise(once)
+    def scan(p: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            d = F.levenshtein(p["shorter"], F.substr(p["longer"], k + 1, p["n"])) / p["n"]
+            return F.when(acc["done"], acc).otherwise(once(d, lambda x: judge(acc, k, x)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.length(p["longer"]) - p["n"]), start, step)
 
-    scan = F.aggregate(F.sequence(F.lit(0), F.length(longer) - n), start, step)
-    # the fold's own struct: taking its fields apart here would run the scan once for each
-    return F.when(n > 0, scan)
+    swap = F.length(b) < F.length(a)
+    pair = F.struct(F.when(swap, b).otherwise(a).alias("shorter"), F.when(swap, a).otherwise(b).alias("longer"),
+                    F.least(F.length(a), F.length(b)).alias("n"))
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), once(pair, scan))

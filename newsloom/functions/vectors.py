@@ -27,7 +27,8 @@ def subtract(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector over its norm; null for a zero vector."""
-    return F.when(norm(v) > 0, F.transform(v, lambda x: x / norm(v)))
+    # a one-element transform names the norm, so that it is not computed per coordinate
+    return F.when(norm(v) > 0, F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / n)), 0))
 
 
 def round6(x: Column) -> Column:
