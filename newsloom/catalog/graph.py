@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from ..operators import fulltext as ft, geo, graph, mutate
 from ..session import scratch_path
-
 from .base import Tables, query
 from .pages import LINKS_SQL, page_links_table, unescaped
 
