@@ -48,7 +48,7 @@ def feed_versions(t: Tables):
 @query("feed_versions_stream", f"WITH {VERSIONS_SQL}")
 def feed_versions_stream(t: Tables):
     entries = stream_of(t, "events").select("event_id", "user_id", "event_type", "value", good_entry().alias("good"))
-    passed = feeds.version_stream(entries, ["user_id", "event_type"], "event_id", "value", "good")
+    passed = feeds.version_stream(entries, ["user_id", "event_type"], "event_id", "value", "good", forget_ms=None)
     return run_to_table(passed, t.spark, "versions").drop("good")
 
 

@@ -29,13 +29,14 @@ def new_versions(entries: DataFrame, keys: list[str], seq: str, ref: str, good:
 class VersionGate(StatefulProcessor):
     """Keeps the reference time last passed for one link."""
 
-    def __init__(self, seq: str, ref: str, good: str, forget_ms: int = FORGET_MS):
+    def __init__(self, seq: str, ref: str, good: str, forget_ms: int | None):
         self.seq, self.ref, self.good, self.forget_ms = seq, ref, good, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ref double", ttlDurationMs=self.forget_ms)
+        self.last = (handle.getValueState("last", "ref double") if self.forget_ms is None
+                     else handle.getValueState("last", "ref double", ttlDurationMs=self.forget_ms))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         batch = batch[batch[self.good]].sort_values(self.seq, kind="stable")
         if batch.empty:
@@ -55,8 +56,14 @@ class VersionGate(StatefulProcessor):
         pass
 
 
-def version_stream(entries: DataFrame, keys: list[str], seq: str, ref: str, good: str) -> DataFrame:
-    """The same over a stream.  ``good`` is a boolean column; state expires by TTL."""
+def version_stream(entries: DataFrame, keys: list[str], seq: str, ref: str, good: str,
+                   forget_ms: int | None = FORGET_MS) -> DataFrame:
+    """The same over a stream.  ``good`` is a boolean column; state expires by TTL.
+
+    State with a TTL runs on processing time and so never reports the end of
+    its input: a run to the end (``availableNow``) needs ``forget_ms=None``.
+    """
     schema = StructType(list(entries.schema.fields))
     return entries.groupBy(*keys).transformWithStateInPandas(
-        VersionGate(seq, ref, good), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+        VersionGate(seq, ref, good, forget_ms), outputStructType=schema, outputMode="Append",
+        timeMode="None" if forget_ms is None else "ProcessingTime")

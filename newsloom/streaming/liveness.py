@@ -50,7 +50,7 @@ class Liveness(StatefulProcessor):
         self.handle = handle
         self.beat = handle.getValueState("beat", "ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
         beats = batch.loc[batch["outcome"] == "beat", "ts"]
         if len(beats):
@@ -65,8 +65,8 @@ class Liveness(StatefulProcessor):
         status = {"beat": "alive", "timeout": TIMED_OUT}.get(last["outcome"], "dead")
         yield pd.DataFrame({"emitter": [key[0]], "at": [last["ts"]], "status": [status]})
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        at = pd.Timestamp(expired_timer_info.get_expiry_time_in_ms(), unit="ms")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
         yield pd.DataFrame({"emitter": [key[0]], "at": [at], "status": ["slow"]})
 
     def close(self) -> None:
