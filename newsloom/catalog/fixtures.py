@@ -51,7 +51,8 @@ def word_model(t: Tables):
     from ..sources.model import WordModel, load_model
 
     tokens = text.tokenise_text(text.clean_text(F.col("text")))
-    counts = (t.documents.select(F.explode(text.words_of(tokens)).alias("word"))
+    # an outer explode: for an inner one the optimizer tests the array first and so tokenises again
+    counts = (t.documents.select(F.explode_outer(text.words_of(tokens)).alias("word"))
               .filter(F.col("word").rlike("[A-Za-z]")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     size = t.embeddings.count()
     vocab = top_ranked(counts, [F.col("n").desc(), F.col("word")], size, "idx").select("word", "idx")

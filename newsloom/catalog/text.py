@@ -27,7 +27,7 @@ def tokenise_text(t: Tables):
 SELECT doc_id, i::INT AS pos, sentences[i + 1] AS sentence FROM s, unnest(generate_series(0, len(sentences) - 1)) AS u(i)""")
 def split_sentences(t: Tables):
     s = t.documents.select("doc_id", text.split_sentences(text.clean_text(F.col("text"))).alias("s"))
-    return s.select("doc_id", F.posexplode("s").alias("pos", "sentence"))
+    return s.select("doc_id", F.posexplode_outer("s").alias("pos", "sentence"))
 
 
 @query("content_length", f"""WITH {SENTENCES_SQL}

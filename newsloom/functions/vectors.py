@@ -51,7 +51,9 @@ def sum_vectors(df: DataFrame, by: list[str], vec: str = "vec", weight: str | No
     together again: one row per group and coordinate crosses the network.
     """
     n = F.lit(1).cast("long") if weight is None else F.col(weight)
-    parts = (df.select(*by, n.alias("__n"), F.posexplode(vec).alias("__d", "__x")).groupBy(*by, "__d")
+    # outer: the optimizer would compute the vector again to test it before an inner explode
+    rows = df.select(*by, n.alias("__n"), F.posexplode_outer(vec).alias("__d", "__x"))
+    parts = (rows.filter(F.col("__d").isNotNull()).groupBy(*by, "__d")
              .agg(F.sum("__x").alias("__x"), F.sum("__n").alias("__n")))
     ordered = F.sort_array(F.collect_list(F.struct("__d", "__x")))
     return parts.groupBy(*by).agg(F.max("__n").alias("size"), F.transform(ordered, lambda s: s["__x"]).alias("vec"))

@@ -204,5 +204,5 @@ def known_words(df: DataFrame, model: WordModel, key: str, text: str, first_sent
     from ..functions.text import split_sentences
 
     source = F.get(split_sentences(F.col(text)), 0) if first_sentence else F.col(text)
-    words = df.select(key, F.posexplode(words_of(source)).alias("pos", "word"))
+    words = df.select(key, F.posexplode_outer(words_of(source)).alias("pos", "word"))
     return words.join(model.table.select("word", "idx"), "word").select(key, "pos", "word", "idx")

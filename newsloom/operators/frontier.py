@@ -82,7 +82,7 @@ def links_to_frontier(docs: DataFrame, seq: str, main: DataFrame, newbies: DataF
     a link that every page carries costs one row per task.
     """
     exploded = docs.select(F.col(seq).alias("__seq"), F.col("URL").alias("refURL"),
-                           F.posexplode("links").alias("__pos", "URL"))
+                           F.posexplode_outer("links").alias("__pos", "URL"))
     usable = exploded.filter(usable_link(F.col("URL"))).withColumn("URL", escape_value(F.col("URL")))
     first = (usable.groupBy("URL").agg(F.min(F.struct("__seq", "__pos", "refURL")).alias("__first"))
              .select("URL", F.col("__first.refURL").alias("refURL")))

@@ -45,7 +45,7 @@ def postings(df: DataFrame, attr: str, key: str, min_length: int = 1) -> DataFra
 
     A frequent word stays many rows; no group ever holds all of its documents.
     """
-    words = df.select(F.explode(search_words(F.col(attr))).alias("word"), key)
+    words = df.select(F.explode_outer(search_words(F.col(attr))).alias("word"), key)
     return words.filter(F.length("word") >= min_length)
 
 
