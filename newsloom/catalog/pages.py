@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
 from ..functions.fields import error_code, valid_doc
-from ..operators import aggregate as agg, frontier, pages as ops
+from ..operators import aggregate as agg, frontier, pages as ops, scan
 from . import sql
 from .base import Tables, query
 from .fixtures import known_pages, site_config
@@ -230,3 +230,10 @@ def publish_report(t: Tables):
     new = frontier.links_to_frontier(docs, "seq", main, newbies, errors, site_config(t), "row_no")
     seen = docs.agg(F.lit("all links").alias("routing_key"), F.sum(F.size("links")).alias("n"))
     return agg.count_by(new, "routing_key").unionByName(seen)
+
+
+@query("random_links")
+def random_links(t: Tables):
+    """Links of 25 drawn pages; the number of links stands for the partition."""
+    docs = page_links_table(t).withColumn("partition", F.size("links"))
+    return scan.random_links(docs, 25, seed=5)
