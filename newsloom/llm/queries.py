@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, toxicity
+from . import ngram_join, quality, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -25,6 +25,11 @@ def judged(scored: DataFrame, threshold: float) -> DataFrame:
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@query
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_classes(table(spark, folder, "documents"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
