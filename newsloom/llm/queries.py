@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ngram_join, quality, toxicity
+from . import decontamination, ngram_join, quality, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -25,6 +25,12 @@ def judged(scored: DataFrame, threshold: float) -> DataFrame:
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@query(sql=decontamination.ORACLE)
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_hash")
+
+
 @query
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_classes(table(spark, folder, "documents"))
