@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, ngram_join, quality, toxicity
+from . import decontamination, ngram_join, pii, quality, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -36,6 +36,11 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_classes(table(spark, folder, "documents"))
 
 
+@query
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find_private(table(spark, folder, "documents")))
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
