@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, ngram_join, pii, quality, toxicity
+from . import decontamination, ngram_join, pii, quality, segmentation, toxicity
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -53,3 +54,10 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.train_quality(docs, table(spark, folder, "labels"))
     return judged(quality.score_quality(docs.select("doc_id", "text", "n_chars"), model), quality.THRESHOLD)
+
+
+@query
+def op8_segmentation(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = segmentation.sample_segmentations(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return drawn.select("doc_id", "sample", (F.length("ids") / 4).cast("long").alias("n_pieces"),
+                        F.crc32("ids").alias("ids_crc32"), "log_prob", "log_inclusion", "restored")
