@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, ngram_join, pii, quality, segmentation, toxicity
+from . import decontamination, ngram_join, pii, quality, segmentation, token_store, toxicity
+from ..session import scratch_path
 from .common import fold, table
 
 QUERIES: dict = {}
@@ -32,6 +33,15 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+@query
+def op2_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    tokenizer, store = public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-store")
+    token_store.write_store(docs, store, tokenizer)
+    width = len(token_store.Encoder(tokenizer, token_store.END).end)
+    return token_store.read_back(spark, token_store.keys_of(docs), store, width)
+
+
 @query
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_classes(table(spark, folder, "documents"))
