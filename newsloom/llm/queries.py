@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, ngram_join, pii, quality, segmentation, token_store, toxicity
+from . import decontamination, multi_index, ngram_join, pii, quality, segmentation, token_store, toxicity
 from ..session import scratch_path
 from .common import fold, table
 
@@ -47,6 +47,11 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_classes(table(spark, folder, "documents"))
 
 
+@query
+def op4_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find_private(table(spark, folder, "documents")))
