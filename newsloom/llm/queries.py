@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, multi_index, ngram_join, pii, quality, segmentation, token_store, toxicity
+from . import decontamination, licenses, multi_index, ngram_join, pii, quality, segmentation, token_store, toxicity, transcripts
 from ..session import scratch_path
 from .common import fold, table
 
@@ -76,3 +76,32 @@ def op8_segmentation(spark: SparkSession, folder: str) -> DataFrame:
     drawn = segmentation.sample_segmentations(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return drawn.select("doc_id", "sample", (F.length("ids") / 4).cast("long").alias("n_pieces"),
                         F.crc32("ids").alias("ids_crc32"), "log_prob", "log_inclusion", "restored")
+
+
+@query
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, folder, "documents"))
+
+
+# How a transcript shows its speakers, by conversation: system, user, assistant; the last style shows none.
+STYLES = [("System: ", "User: ", "Assistant: "), ("Instructions: ", "Human: ", "AI: "), ("### System\n", "### User\n", "### Assistant\n"),
+          ("[system]: ", "[user]: ", "[bot]: "), ("\n", "\n", "\n")]
+
+
+def raw_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation as a transcript in one of the styles; roles are known outside the held-out fold."""
+    turns = table(spark, folder, "conversations")
+    style = F.crc32(F.concat(F.lit("style "), F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).cast("binary")) % len(STYLES)
+    shown = F.lit("")
+    for k, marks in enumerate(STYLES):
+        for role, mark in zip(transcripts.ROLES, marks):
+            shown = F.when((style == k) & (F.col("role") == role), mark).otherwise(shown)
+    return turns.select("conv_id", "turn", F.concat(shown, F.coalesce("text", F.lit(""))).alias("text"),
+                        F.when(fold(F.col("conv_id")) != 0, F.col("role")).alias("role"))
+
+
+@query
+def op10_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    lines = transcripts.lines_of(raw_transcripts(spark, folder))
+    turns = transcripts.canonical(transcripts.recover(lines, transcripts.train(lines)))
+    return turns.select("conv_id", "turn", "line", "role", "n_lines", "continued", "rendered")
