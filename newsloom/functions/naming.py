@@ -7,13 +7,19 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def capital_parts(name: str) -> list[str]:
+    """A name cut before every run of capitals but a leading one."""
+    cuts = [i for i in range(1, len(name)) if "A" <= name[i] <= "Z" and not "A" <= name[i - 1] <= "Z"]
+    return [name[i:j] for i, j in zip([0, *cuts], [*cuts, len(name)])]
+
+
 def camel(name: str) -> str:
-    first, *rest = name.split("_")
-    return first + "".join(word.title() for word in rest)
+    head, *rest = name.split("_")
+    return head + "".join(map(str.title, rest))
 
 
 def snake(name: str) -> str:
-    return re.sub(r"(?<!^)[A-Z]+", lambda run: "_" + run.group(), name).lower()
+    return "_".join(capital_parts(name)).lower()
 
 
 def rename_camel(df: DataFrame) -> DataFrame:

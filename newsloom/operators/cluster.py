@@ -9,13 +9,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructType
 
 from ..functions.vectors import dot, scale, subtract, sum_vectors
 from ..session import ensure_checkpoint_dir
 from ..sources.model import string_array
 from .embed import matrix_of
-from .nearest import blocked_dot
+from .nearest import PRODUCT_BYTES, SLAB_BYTES, slabs
 
 LLOYD_STEPS = 3
 # A split that leaves one side with less than this share is moved to the median.
@@ -136,20 +137,45 @@ def centres_of(df: DataFrame, cluster: str) -> DataFrame:
     return sum_vectors(df, [cluster]).select(cluster, "size", scale(F.col("vec"), 1 / F.col("size")).alias("vec"))
 
 
-def medoids(rows: DataFrame, centres: DataFrame, key: str, cluster: str) -> DataFrame:
+def medoids(rows: DataFrame, centres: DataFrame, key: str, cluster: str, limit: int = SLAB_BYTES) -> DataFrame:
     """``(cluster, key, distance2)``: the row nearest to each centre, ties to the lowest key.
 
-    The squared distance is put as a product: |c|^2 - 2 (c, -1/2) . (r, |r|^2).
+    Centres pass by the rows in slabs; a task keeps its best row per centre, so
+    at most one row per centre and task is moved.
     """
-    ones = F.lit(0).alias("__all")
-    left = centres.select(ones, cluster, F.concat("vec", F.array(F.lit(-0.5))).alias("vec"))
-    right = rows.select(ones, key, F.concat("vec", F.array(dot(F.col("vec"), F.col("vec")))).alias("vec"))
-    right = right.withColumn("__order", F.col(key))
-    near = blocked_dot(left, right, ["__all"], cluster, key, best_of="__order")
-    best = near.groupBy(cluster).agg(F.max(F.struct("similarity", -F.col("__order"))).alias("b"),
-                                     F.max_by(key, F.struct("similarity", -F.col("__order"))).alias(key))
-    return (best.join(centres.select(cluster, dot(F.col("vec"), F.col("vec")).alias("__c2")), cluster)
-            .select(cluster, key, (F.col("__c2") - 2 * F.col("b.similarity")).alias("distance2")))
+    schema = StructType([centres.schema[cluster], rows.schema[key]]).add("distance2", DoubleType())
+
+    def nearest(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, columns = shared.value
+            norms, names = (m * m).sum(axis=1), columns[cluster]
+            best, who = np.full(len(m), np.inf), np.full(len(m), None, dtype=object)
+            for batch in batches:
+                v, keys = matrix_of(batch.column("vec"), m.shape[1]), np.array(batch.column(key).to_pylist(), dtype=object)
+                order = np.argsort(keys, kind="stable")
+                v, keys = v[order], keys[order]
+                step = max(1, PRODUCT_BYTES // (8 * len(m)))
+                for at in range(0, len(v), step):
+                    part = v[at:at + step]
+                    d = norms[None] - 2 * part @ m.T + (part * part).sum(axis=1)[:, None]
+                    j = d.argmin(axis=0)
+                    low, name = d[j, np.arange(len(m))], keys[at + j]
+                    for c in np.flatnonzero(low <= best):
+                        if low[c] < best[c] or name[c] < who[c]:
+                            best[c], who[c] = low[c], name[c]
+            got = np.flatnonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays(
+                [pa.Array.from_pandas(names[got], type=to_arrow_type(schema[0].dataType)),
+                 pa.array(who[got].tolist(), type=to_arrow_type(schema[1].dataType)), pa.array(best[got])], names=schema.names)
+        return run
+
+    vectors = rows.select(key, "vec").filter(F.col("vec").isNotNull())
+    parts = [vectors.mapInArrow(nearest(shared), schema) for shared in slabs(centres, cluster, cluster, limit=limit)]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], schema)
+    least = F.min(F.struct("distance2", key))
+    return (reduce(DataFrame.unionByName, parts).groupBy(cluster).agg(least.alias("b"))
+            .select(cluster, F.col(f"b.{key}").alias(key), F.col("b.distance2").alias("distance2")))
 
 
 def cluster_medoids(clustered: DataFrame, key: str, cluster: str) -> DataFrame:

@@ -64,7 +64,7 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "outbound", m
              max_depth: int | None = None, unique_vertices: str = "path", unique_edges: str = "path",
              edge_filter: Column | None = None, vertices: DataFrame | None = None,
              vertex_filter: Column | None = None, prune: Column | None = None,
-             max_iterations: int = 10_000) -> DataFrame:
+             max_iterations: int | None = None) -> DataFrame:
     """Walk from many start vertices at once: ``(start, vertex, depth, path, edge_path)``.
 
     ``unique_*`` is ``none``, ``path`` or ``global`` (once per start).  Without
@@ -73,7 +73,8 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "outbound", m
     from; the last two may use the columns of ``vertices(_id, ...)``.
 
     The frontier moves one level per round.  It is salted against the edges, so
-    a vertex with a large share of all edges is no single task's work.
+    a vertex with a large share of all edges is no single task's work.  A walk
+    that is not over after ``max_iterations`` rounds, if given, is an error.
     """
     if max_depth is None and "none" == unique_vertices == unique_edges:
         raise ValueError("an unbounded walk needs unique vertices or edges")
@@ -88,8 +89,10 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "outbound", m
     while True:
         levels.append(level)
         depth += 1
-        if (max_depth is not None and depth > max_depth) or depth > max_iterations:
+        if max_depth is not None and depth > max_depth:
             break
+        if max_iterations is not None and depth > max_iterations:
+            raise RuntimeError(f"the walk goes on after {max_iterations} rounds")
         live = level
         if prune is not None:
             live = _annotated(level, vertices).filter(~F.coalesce(prune, F.lit(False))).select(*level.columns)

@@ -10,24 +10,31 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranking import global_rank
 from .scan import matches
 
 # Rows per bucket of a running total: a bucket is ordered by one task.
 RUN_WIDTH = 1 << 20
-# A top-k up to this size is taken directly; a larger one by running count.
-TOP_K_BOUND = 100_000
 
 
-def insert_docs(table: DataFrame, docs: DataFrame, key: str,
-                is_edge: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Add the documents whose key is free; the rest come back with a reason."""
+def insert_docs(table: DataFrame, docs: DataFrame, key: str, is_edge: bool = False,
+                order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Add the documents whose key is free; the rest come back with a reason.
+
+    Of several new documents with one key the first by ``order`` is added (any
+    one if there is none), the others are conflicts.
+    """
     taken = table.select(key, F.lit(True).alias("__taken"))
     reason = F.when(F.col("__taken"), F.lit("conflict"))
     if is_edge:
         reason = F.when(F.col("_from").isNull() | F.col("_to").isNull(), "edge without ends").otherwise(reason)
     judged = docs.join(taken, key, "left").withColumn("reason", reason).drop("__taken")
-    added = judged.filter(F.col("reason").isNull()).drop("reason")
-    return table.unionByName(added), judged.filter(F.col("reason").isNotNull())
+    free = judged.filter(F.col("reason").isNull())
+    turn = F.struct(*([F.col(order)] if order else []), F.xxhash64(*docs.columns), F.monotonically_increasing_id())
+    placed = free.withColumn("__turn", F.row_number().over(Window.partitionBy(key).orderBy(turn)))
+    added = placed.filter(F.col("__turn") == 1).drop("reason", "__turn")
+    late = placed.filter(F.col("__turn") > 1).withColumn("reason", F.lit("conflict")).drop("__turn")
+    return table.unionByName(added), judged.filter(F.col("reason").isNotNull()).unionByName(late)
 
 
 def _conflicts(table: DataFrame, changes: DataFrame, key: str, rev: str | None) -> Column:
@@ -163,10 +170,19 @@ def remove_by_keys(table: DataFrame, key: str, keys: DataFrame) -> tuple[DataFra
     return table.join(wanted, key, "left_anti"), report
 
 
-def upsert_docs(table: DataFrame, docs: DataFrame, on: str = "URL") -> DataFrame:
-    """Insert, or merge-patch the document that has the same ``on`` value."""
-    renamed = docs.select(*[F.col(c).alias(f"__new_{c}") for c in docs.columns])
-    joined = table.join(renamed, F.col(on) == F.col(f"__new_{on}"), "full_outer")
+def upsert_docs(table: DataFrame, docs: DataFrame, on: str = "URL", order: str | None = None) -> DataFrame:
+    """Insert, or merge-patch the document that has the same ``on`` value.
+
+    Several patches of one document count as one: of every column the last
+    value named, by ``order`` (any of them if there is none).
+    """
+    named = [c for c in docs.columns if c != on]
+    turn = F.struct(*([F.col(order)] if order else []), F.xxhash64(*docs.columns))
+    folded = docs.groupBy(on).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), turn)).alias(c) for c in named])
+    if not named:
+        folded = docs.select(on).distinct()
+    renamed = folded.select(*[F.col(c).alias(f"__new_{c}") for c in docs.columns])
+    same = F.col(on) == F.col(f"__new_{on}")
     columns = table.columns + [c for c in docs.columns if c not in table.columns]
 
     def merged(c: str) -> Column:
@@ -176,7 +192,12 @@ def upsert_docs(table: DataFrame, docs: DataFrame, on: str = "URL") -> DataFrame
             return F.col(f"__new_{c}").alias(c)
         return F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c)
 
-    return joined.select(*[merged(c) for c in columns])
+    # the batch is the small side of both joins; the stored table is not moved if it fits a broadcast
+    patched = table.join(renamed, same, "left").select(*[merged(c) for c in columns])
+    met = table.select(on).join(folded.select(on), on, "left_semi").distinct()
+    fresh = folded.join(met, on, "left_anti")
+    added = fresh.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in columns])
+    return patched.unionByName(added)
 
 
 def delete_everywhere(docs: DataFrame, main: DataFrame, newbies: DataFrame,
@@ -237,11 +258,15 @@ def apply_batch(table: DataFrame, ops: DataFrame, key: str) -> tuple[DataFrame,
 
 
 def cap_newest(table: DataFrame, seq: str, size: int) -> DataFrame:
-    """Keep the newest ``size`` documents."""
-    if size > TOP_K_BOUND:
-        return cap_bytes(table, seq, F.lit(1), size)
-    newest = table.select(seq).orderBy(F.col(seq).desc()).limit(size)
-    return table.filter(F.col(seq) >= newest.agg(F.min(seq)).scalar())
+    """Keep the newest ``size`` documents, and those that tie with the last of them.
+
+    ``seq`` is anything with an order.  Ranks are positions in range
+    partitions, so one way serves every size.
+    """
+    if size <= 0:
+        return table.limit(0)
+    last = global_rank(table.select(seq).filter(F.col(seq).isNotNull()), [F.col(seq).desc()]).filter(F.col("rank") < size)
+    return table.filter(F.col(seq) >= last.agg(F.min(seq)).scalar())
 
 
 def running_total(table: DataFrame, seq: str, value: Column, width: int = RUN_WIDTH) -> DataFrame:

@@ -3,161 +3,161 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
 from .embed import matrix_of
 
-# A pivot table up to this many bytes goes to every executor.
-PIVOT_BYTES = 256 << 20
+# Vectors that go to every executor at a time; a larger table goes in several slabs.
+SLAB_BYTES = 64 << 20
+# Bytes of one matrix product inside a task.
+PRODUCT_BYTES = 64 << 20
 # Rows a task holds of either side in a blocked product.
-CELL = 4096
-# Coarse pivots used to rule out blocks when there are too many pivots to broadcast.
-COARSE = 512
-SLACK = 1e-9
+CELL = 1024
 
 
-def _pivot_size(pivots: DataFrame) -> tuple[int, int]:
-    row = pivots.agg(F.count(F.lit(1)), F.max(F.size("vec"))).head()
-    return row[0], row[1] or 0
+def slabs(right: DataFrame, ident: str, order: str, columns: Sequence[str] = (), limit: int = SLAB_BYTES):
+    """The rows of ``right`` in parts of about ``limit`` bytes of vectors, as broadcasts of ``(matrix, {column: values})``.
+
+    A part is sorted by ``order``.  The driver holds one part at a time.
+    """
+    n, dim = right.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).head()
+    parts = max(1, -(-n * dim * 8 // limit))
+    chosen = list(dict.fromkeys([ident, order, *columns]))
+    for i in range(parts if n else 0):
+        part = right if parts == 1 else right.filter(F.pmod(F.xxhash64(ident), F.lit(parts).cast("long")) == i)
+        rows = part.select("vec", *chosen).orderBy(order).toPandas()
+        if len(rows):
+            matrix = np.vstack(rows["vec"].to_list()).astype(np.float64)
+            yield right.sparkSession.sparkContext.broadcast((matrix, {c: rows[c].to_numpy() for c in chosen}))
 
 
-def _local_pivots(pivots: DataFrame, order: str, extra: Sequence[str] = ()):
-    rows = pivots.select("partition", "vec", *extra).orderBy(order).toPandas()
-    return (rows["partition"].to_numpy(np.int64), np.vstack(rows["vec"].to_list()).astype(np.float64),
-            *[rows[c].to_numpy() for c in extra])
+def _products(v: np.ndarray, m: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Products of the rows of ``v`` with ``m``, a bounded number of rows at a time, with the first row's place."""
+    step = max(1, PRODUCT_BYTES // (8 * max(1, len(m))))
+    for at in range(0, len(v), step):
+        yield at, v[at:at + step] @ m.T
 
 
-def nearest_pivot(df: DataFrame, pivots: DataFrame, order: str = "partition", limit: int = PIVOT_BYTES) -> DataFrame:
+def nearest_pivot(df: DataFrame, pivots: DataFrame, order: str = "partition", limit: int = SLAB_BYTES) -> DataFrame:
     """Add ``partition`` and ``similarity`` of the pivot with the largest dot product.
 
     ``pivots(partition, vec)``; ties go to the lowest ``order``.  Rows need a
-    non-null ``vec``.
+    non-null ``vec``.  No row is moved: pivots pass by in slabs of ``limit``
+    bytes, and a row carries the best one so far.
     """
-    n, dim = _pivot_size(pivots)
-    if n == 0:
+    carried = StructType(list(df.schema.fields)).add("partition", LongType()).add("similarity", DoubleType()).add("__order", LongType())
+    out = None
+    for shared in slabs(pivots, "partition", order, limit=limit):
+        out = (df if out is None else out).mapInArrow(_best_so_far(shared, order, len(df.columns)), carried)
+    if out is None:
         raise ValueError("no pivots")
-    if n * dim * 8 > limit:
-        return _nearest_by_blocks(df, pivots, order)
-    shared = df.sparkSession.sparkContext.broadcast(_local_pivots(pivots, order))
-    schema = StructType(list(df.schema.fields)).add("partition", LongType()).add("similarity", DoubleType())
+    return out.drop("__order")
+
 
+def _best_so_far(shared, order: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m = shared.value
+        m, columns = shared.value
+        ids, places = columns["partition"].astype(np.int64), columns[order].astype(np.int64)
         for batch in batches:
-            v = matrix_of(batch.column("vec"), dim)
+            v = matrix_of(batch.column("vec"), m.shape[1])
             best, sims = np.zeros(len(v), dtype=np.int64), np.zeros(len(v))
-            for at in range(0, len(v), CELL):
-                s = v[at:at + CELL] @ m.T
-                best[at:at + CELL] = s.argmax(axis=1)
-                sims[at:at + CELL] = s[np.arange(len(s)), best[at:at + CELL]]
+            for at, s in _products(v, m):
+                best[at:at + len(s)] = s.argmax(axis=1)
+                sims[at:at + len(s)] = s.max(axis=1)
+            found, placed = ids[best], places[best]
+            if batch.num_columns > width:  # later slabs
+                old, was, where = (batch.column(width + k).to_numpy() for k in range(3))
+                keep = (was > sims) | ((was == sims) & (where < placed))
+                found, sims, placed = np.where(keep, old, found), np.where(keep, was, sims), np.where(keep, where, placed)
             yield pa.RecordBatch.from_arrays(
-                batch.columns + [pa.array(ids[best]), pa.array(sims)],
-                names=batch.schema.names + ["partition", "similarity"])
+                batch.columns[:width] + [pa.array(found), pa.array(sims), pa.array(placed)],
+                names=batch.schema.names[:width] + ["partition", "similarity", "__order"])
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
-def _nearest_by_blocks(df: DataFrame, pivots: DataFrame, order: str) -> DataFrame:
-    """Exact nearest pivot when the pivots do not fit a task.
+def best_products(left: DataFrame, right: DataFrame, left_id: str, right_id: str, order: str, carry: Sequence[str] = (),
+                  top: int | None = None, absolute: bool = False, limit: int = SLAB_BYTES) -> DataFrame:
+    """``(left_id, right_id, *carry, similarity)``: per left row the ``top`` right rows of every slab, ties at the end kept.
 
-    Pivots gather in blocks around a few coarse pivots.  For unit vectors the
-    angle to a pivot is at least the angle to its coarse pivot less the block's
-    radius, so only blocks that can still hold the best one are joined.
+    The caller takes the best of all; a left row meets at most ``top`` rows and
+    their ties for each slab of ``right``.  ``absolute`` ranks by size.
     """
-    dim = _pivot_size(pivots)[1]
-    coarse = pivots.orderBy(F.xxhash64("partition"), "partition").limit(COARSE)
-    numbered = (pivots.withColumnRenamed("partition", "__pid").withColumn("__order", F.col(
-        "__pid" if order == "partition" else order)))
-    placed = nearest_pivot(numbered, coarse).withColumnRenamed("partition", "__block")
-    placed = placed.withColumn("__angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("similarity")))))
-    radius = placed.groupBy("__block").agg(F.max("__angle").alias("radius"))
-    blocks = coarse.join(radius, coarse["partition"] == radius["__block"]).select("partition", "vec", "radius")
-    shared = df.sparkSession.sparkContext.broadcast(_local_pivots(blocks, "partition", ["radius"]))
-    keyed = df.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
-    probe_schema = StructType().add("__row", LongType()).add("vec", keyed.schema["vec"].dataType).add("__block", LongType())
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m, radii = shared.value
-        for batch in batches:
-            s = matrix_of(batch.column("vec"), dim) @ m.T
-            lowest = np.arccos(np.clip(s, -1, 1)) - radii
-            need = np.cos(np.clip(lowest, 0, np.pi)) >= s.max(axis=1, keepdims=True) - SLACK
-            row, block = np.nonzero(need)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__row").take(take), batch.column("vec").take(take), pa.array(ids[block])],
-                names=["__row", "vec", "__block"])
-
-    probes = keyed.select("__row", "vec").mapInArrow(probe, probe_schema)
-    found = blocked_dot(probes, placed.select("__block", "__pid", "__order", "vec"), ["__block"], "__row", "__pid",
-                        best_of="__order")
-    best = found.groupBy("__row").agg(F.max(F.struct(
-        "similarity", (-F.col("__order")).alias("o"), F.col("__pid").alias("p"))).alias("b"))
-    return (keyed.join(best, "__row").withColumn("partition", F.col("b.p"))
-            .withColumn("similarity", F.col("b.similarity")).drop("__row", "b"))
+    left = left.select(left_id, "vec").filter(F.col("vec").isNotNull())
+    keep = list(dict.fromkeys([right_id, *carry]))
+    schema = StructType([left.schema[left_id]] + [right.schema[c] for c in keep]).add("similarity", DoubleType())
+    kinds = {c: to_arrow_type(right.schema[c].dataType) for c in keep}
+
+    def best(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, columns = shared.value
+            for batch in batches:
+                for at, s in _products(matrix_of(batch.column("vec"), m.shape[1]), m):
+                    rank = np.abs(s) if absolute else s
+                    if top is None or top >= s.shape[1]:
+                        i, j = (g.ravel() for g in np.indices(s.shape))
+                    else:
+                        last = -np.partition(-rank, top - 1, axis=1)[:, top - 1:top]
+                        i, j = np.nonzero(rank >= last)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(left_id).take(pa.array(at + i)),
+                         *[pa.Array.from_pandas(columns[c][j], type=kinds[c]) for c in keep], pa.array(s[i, j])],
+                        names=schema.names)
+        return run
+
+    parts = [left.mapInArrow(best(shared), schema) for shared in slabs(right, right_id, order, carry, limit)]
+    return reduce(DataFrame.unionByName, parts) if parts else left.sparkSession.createDataFrame([], schema)
 
 
 def rank_partitions(queries: DataFrame, pivots: DataFrame, key: str, budget: int | None = None,
-                    keep_vec: bool = False, limit: int = PIVOT_BYTES) -> DataFrame:
+                    keep_vec: bool = False, limit: int = SLAB_BYTES) -> DataFrame:
     """Partitions of every query by descending similarity: ``(key, partition, similarity, rank)``.
 
     Equal similarities go to the higher partition id.  With ``budget`` the list
-    ends once the partitions before hold that many documents (``nDocs``).
+    ends once the partitions before hold that many documents (``nDocs``): of
+    every slab only the partitions within the budget leave the task.
     """
-    n, dim = _pivot_size(pivots)
-    if n * dim * 8 > limit:
-        return _rank_by_blocks(queries, pivots, key, budget, keep_vec)
     counted = pivots if "nDocs" in pivots.columns else pivots.withColumn("nDocs", F.lit(0).cast("long"))
-    shared = queries.sparkSession.sparkContext.broadcast(_local_pivots(counted, "partition", ["nDocs"]))
     queries = queries.select(key, "vec").filter(F.col("vec").isNotNull())
     schema = StructType([queries.schema[key]]).add("partition", LongType()).add("similarity", DoubleType()).add(
-        "rank", IntegerType())
+        "rank", IntegerType()).add("nDocs", LongType())
     if keep_vec:
         schema = schema.add("vec", queries.schema["vec"].dataType)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m, sizes = shared.value
-        for batch in batches:
-            s = matrix_of(batch.column("vec"), dim) @ m.T
-            # descending similarity, then descending id: reverse of the ascending order of both
-            order = np.array([np.lexsort((ids, row))[::-1] for row in s]).reshape(len(s), n)
-            keep = np.ones((len(s), n), dtype=bool)
-            if budget is not None:
-                seen = np.cumsum(sizes[order], axis=1) - sizes[order]
-                keep = seen < budget
-            row, rank = np.nonzero(keep)
-            at = order[row, rank]
-            take = pa.array(row)
-            columns = [batch.column(key).take(take), pa.array(ids[at]), pa.array(s[row, at]),
-                       pa.array(rank + 1, type=pa.int32())]
-            if keep_vec:
-                columns.append(batch.column("vec").take(take))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return queries.mapInArrow(run, schema)
-
-
-def _rank_by_blocks(queries: DataFrame, pivots: DataFrame, key: str, budget: int | None, keep_vec: bool) -> DataFrame:
-    from pyspark.sql import Window
-
-    left = queries.filter(F.col("vec").isNotNull()).select(F.lit(0).alias("__all"), key, "vec")
-    pairs = blocked_dot(left, pivots.select(F.lit(0).alias("__all"), "partition", "vec"), ["__all"], key, "partition")
-    order = Window.partitionBy(key).orderBy(F.col("similarity").desc(), F.col("partition").desc())
-    ranked = pairs.select(key, "partition", "similarity", F.row_number().over(order).alias("rank"))
-    if budget is not None:
-        before = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-        seen = F.coalesce(F.sum("nDocs").over(before), F.lit(0))
-        ranked = (ranked.join(pivots.select("partition", "nDocs"), "partition")
-                  .withColumn("__seen", seen).filter(F.col("__seen") < budget).drop("__seen", "nDocs"))
-    if keep_vec:
-        ranked = ranked.join(queries.select(key, "vec"), key)
-    columns = [key, "partition", "similarity", "rank"] + (["vec"] if keep_vec else [])
-    return ranked.select(*columns)
+    def ranked(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, columns = shared.value
+            ids, sizes = columns["partition"].astype(np.int64), columns["nDocs"].astype(np.int64)
+            for batch in batches:
+                for at, s in _products(matrix_of(batch.column("vec"), m.shape[1]), m):
+                    # ids ascend, so the reverse of a stable ascending order puts the higher id first
+                    order = np.argsort(s, axis=1, kind="stable")[:, ::-1]
+                    keep = np.ones(s.shape, dtype=bool)
+                    if budget is not None:
+                        keep = np.cumsum(sizes[order], axis=1) - sizes[order] < budget
+                    row, rank = np.nonzero(keep)
+                    place = order[row, rank]
+                    take = pa.array(at + row)
+                    own = [batch.column(key).take(take), pa.array(ids[place]), pa.array(s[row, place]),
+                           pa.array(rank + 1, type=pa.int32()), pa.array(sizes[place])]
+                    yield pa.RecordBatch.from_arrays(own + ([batch.column("vec").take(take)] if keep_vec else []), names=schema.names)
+        return run
+
+    parts = [queries.mapInArrow(ranked(shared), schema) for shared in slabs(counted, "partition", "partition", ["nDocs"], limit)]
+    out = reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], schema)
+    if len(parts) > 1:
+        order = Window.partitionBy(key).orderBy(F.col("similarity").desc(), F.col("partition").desc())
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn("rank", F.row_number().over(order)).withColumn("__seen", F.coalesce(F.sum("nDocs").over(before), F.lit(0)))
+        out = (out if budget is None else out.filter(F.col("__seen") < budget)).drop("__seen")
+    return out.drop("nDocs")
 
 
 def blocked_dot(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str,

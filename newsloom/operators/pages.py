@@ -39,6 +39,9 @@ class _Page(HTMLParser):
         self.out = {"title": None, "metas": [], "amp": None, "canonical": None, "hrefs": [], "paras": [], "dated": []}
         self.stack: list[str] = []
         self.starts: list[int] = []  # where each open element's text begins
+        self.numbers: list[int] = []  # its place among all elements, in document order
+        self.opened = 0
+        self.dated: list[tuple[int, str]] = []
         self.pieces: list[str] = []
 
     def handle_starttag(self, tag, attrs):
@@ -58,6 +61,8 @@ class _Page(HTMLParser):
         if tag not in VOID:
             self.stack.append(tag)
             self.starts.append(len(self.pieces))
+            self.numbers.append(self.opened)
+            self.opened += 1
 
     def handle_endtag(self, tag):
         if tag in self.stack:
@@ -70,12 +75,13 @@ class _Page(HTMLParser):
     def finish(self) -> dict:
         self.close()
         self._close(0)
+        self.out["dated"] = [text for _, text in sorted(self.dated, key=lambda x: x[0])]
         return self.out
 
     def _close(self, depth: int):
         """Close the elements from ``depth`` on, innermost first."""
         while len(self.stack) > depth:
-            tag, start = self.stack[-1], self.starts.pop()
+            tag, start, number = self.stack[-1], self.starts.pop(), self.numbers.pop()
             if tag == "p":
                 # paragraphs are listed in the order they open
                 self.out["paras"].append({"path": self._path(), "text": "".join(self.pieces[start:])})
@@ -83,7 +89,7 @@ class _Page(HTMLParser):
                 self.out["title"] = "".join(self.pieces[start:])
             own = self.pieces[start:]
             if any(HAS_YEAR.search(piece) for piece in own):
-                self.out["dated"].append("".join(own))
+                self.dated.append((number, "".join(own)))
             self.stack.pop()
 
     def _path(self) -> str:
@@ -103,8 +109,11 @@ def parse_html(df: DataFrame, html: str = "html", out: str = "page") -> DataFram
         if source is None:
             return None
         page = _Page()
-        page.feed(source)
-        return page.finish()
+        try:
+            page.feed(source)
+            return page.finish()
+        except Exception:  # noqa: BLE001 - a page the parser gives up on is one failed row, not a failed job
+            return _Page().finish()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

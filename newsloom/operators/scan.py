@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # Key lists up to this length go into the filter (and so into the scan).
 INLINE_KEYS = 1000
 
+# Log levels by name.
 LOG_LEVELS = {"fatal": 0, "error": 1, "warning": 2, "info": 3, "debug": 4}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import add, dot, scale, sum_vectors, unit
-from ..operators.nearest import blocked_dot
+from ..operators.nearest import best_products
 from ..session import ensure_checkpoint_dir
 from ..sources.model import WordModel
 
@@ -16,11 +16,6 @@ N_SIMILAR = 100
 N_CONTEXT = 10
 
 
-def _everything(df: DataFrame, *columns: str) -> DataFrame:
-    """All rows under one key; ``blocked_dot`` cuts it into cells."""
-    return df.select(F.lit(0).alias("__all"), *columns)
-
-
 def _top(pairs: DataFrame, key: list[str], order: list[Column], n: int, name: str = "place") -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return pairs.withColumn(name, place).filter(F.col(name) <= n)
@@ -35,18 +30,15 @@ def find_opposite(words: DataFrame, model: WordModel, shifts: DataFrame, n_candi
     """
     known = words.select("word").distinct().join(model.table, "word").select("word", "idx", "vec")
     vocab = model.table.select(F.col("word").alias("candidate"), F.col("idx").alias("cand_idx"), "vec")
-    near = blocked_dot(_everything(known, "word", "vec"), _everything(vocab, "candidate", "cand_idx", "vec"),
-                       ["__all"], "word", "candidate", carry=["cand_idx"], top=n_candidates)
+    near = best_products(known, vocab, "word", "candidate", "cand_idx", carry=["cand_idx"], top=n_candidates)
     near = _top(near, ["word"], [F.col("similarity").desc(), F.col("cand_idx")], n_candidates)
     w, c = F.lower("word"), F.lower("candidate")
     near = near.filter(~F.startswith(w, c) & ~F.startswith(c, w))
 
-    moves = blocked_dot(_everything(known, "word", "vec"),
-                        _everything(shifts.withColumnRenamed("shift", "vec"), "pair", "vec"),
-                        ["__all"], "word", "pair")
+    moves = best_products(known, shifts.withColumnRenamed("shift", "vec"), "word", "pair", "pair", top=n_shifts, absolute=True)
     moves = _top(moves, ["word"], [F.abs("similarity").desc(), F.col("pair")], n_shifts)
     moved = (moves.join(shifts, "pair").join(known.select("word", "vec"), "word")
-             .select("word", scale(add(F.col("vec"), F.col("shift")), -F.col("similarity")).alias("vec")))
+             .select("word", scale(add(F.col("vec"), F.col("shift")), -dot(F.col("vec"), F.col("shift"))).alias("vec")))
     target = sum_vectors(moved, ["word"]).select("word", unit(F.col("vec")).alias("__target"))
     scored = (near.select("word", "candidate", "cand_idx").join(target, "word")
               .join(vocab.select("candidate", "vec"), "candidate")
@@ -56,7 +48,7 @@ def find_opposite(words: DataFrame, model: WordModel, shifts: DataFrame, n_candi
 
 
 def context_words(phrases: DataFrame, contexts: DataFrame, model: WordModel, shifts: DataFrame,
-                  key: str) -> tuple[DataFrame, DataFrame]:
+                  key: str, n_similar: int = N_SIMILAR, n_context: int = N_CONTEXT) -> tuple[DataFrame, DataFrame]:
     """The words for and against each phrase, given its query's vector.
 
     ``phrases(key, pos, word, idx)`` are known words of the phrase and
@@ -76,11 +68,10 @@ def context_words(phrases: DataFrame, contexts: DataFrame, model: WordModel, shi
     aimed = (centre.join(contexts.select(key, F.col("vec").alias("__ctx")), key)
              .select(F.struct(key, "side").alias("who"),
                      add(unit(F.col("vec")), scale(F.col("__ctx"), F.lit(0.5))).alias("vec")))
-    near = blocked_dot(_everything(aimed, "who", "vec"), _everything(vocab, "word", "idx", "vec"), ["__all"],
-                       "who", "word", carry=["idx"], top=N_SIMILAR)
+    near = best_products(aimed, vocab, "who", "word", "idx", carry=["idx"], top=n_similar)
     near = near.select(f"who.{key}", "who.side", "word", "idx", "similarity")
     order = [F.col("similarity").desc(), F.col("idx")]
-    near = _top(near, [key, "side"], order, N_SIMILAR, "near_rank").checkpoint()
+    near = _top(near, [key, "side"], order, n_similar, "near_rank").checkpoint()
 
     both = near.groupBy(key, "idx").agg((F.count(F.lit(1)) == 2).alias("is_common"))
     marked = (near.join(both, [key, "idx"])
@@ -88,7 +79,7 @@ def context_words(phrases: DataFrame, contexts: DataFrame, model: WordModel, shi
     chosen = ~F.col("is_common") | F.coalesce("__seed", F.lit(False))
     place = F.row_number().over(Window.partitionBy(key, "side", chosen).orderBy(*order))
     words = marked.withColumn("place", F.when(chosen, place)).withColumn(
-        "place", F.when(F.col("place") <= N_CONTEXT, F.col("place")))
+        "place", F.when(F.col("place") <= n_context, F.col("place")))
     words = words.select(key, "side", "place", "near_rank", "word", "idx", "is_common")
     chosen_words = words.filter(F.col("place").isNotNull()).join(vocab.select("idx", "vec"), "idx")
     axis = sum_vectors(chosen_words, [key, "side"]).select(key, "side", unit(F.col("vec")).alias("vec"))

@@ -37,15 +37,17 @@ def explode_feeds(config: DataFrame) -> DataFrame:
 def collection_settings(config: DataFrame, collection: str) -> tuple[list[str], str]:
     """Required fields and sentence source of one collection, checked.
 
-    The rows fetched are bounded by the number of distinct field lists.
+    Of unknown fields one is fetched to be named, so no more rows come to the
+    driver than there are extractors.
     """
     mine = config.filter(F.col("collection") == collection)
     if ambiguous_collections(mine).head(1):
         raise ValueError(f"several values of useForSentences for collection {collection!r}")
-    fields = sorted(r["field"] for r in required_fields(mine).limit(MAX_SITES).collect())
-    unknown = set(fields) - EXTRACTABLE
+    wanted = required_fields(mine)
+    unknown = wanted.filter(~F.col("field").isin(*EXTRACTABLE)).orderBy("field").head()
     if unknown:
-        raise NotImplementedError(f"no extractor for {sorted(unknown)}")
+        raise NotImplementedError(f"no extractor for {unknown['field']!r}")
+    fields = sorted(r["field"] for r in wanted.collect())
     source = mine.select("useForSentences").head()
     if source is None:
         raise ValueError(f"no site in collection {collection!r}")

@@ -45,26 +45,52 @@ def test_broadcast_and_join_agree(spark):
         assert all(np.allclose(a[k], b[k], atol=1e-9) for k in a if a[k] is not None)
 
 
-def test_nearest_pivot_paths(spark):
-    rows, piv = unit(200), unit(40)
+def test_nearest_pivot_in_slabs(spark):
+    """Vectors of any length, ties among them: one slab or many, the answer is the same."""
+    rows, piv = unit(200) * np.linspace(0.1, 9, 200)[:, None], unit(40) * np.linspace(3, 0.2, 40)[:, None]
+    piv[17] = piv[5]
     want = (rows @ piv.T).argmax(axis=1)
     df = table(spark, rows)
     pivots = table(spark, piv, "partition")
-    for limit in (1 << 20, 0):
-        nearest_pivot = nearest.nearest_pivot(df, pivots, limit=1 << 20) if limit else \
-            nearest._nearest_by_blocks(df, pivots, "partition")
-        got = {r.id: r.partition for r in nearest_pivot.collect()}
-        assert got == dict(enumerate(want))
+    for limit in (1 << 20, piv.nbytes // 4):
+        found = nearest.nearest_pivot(df, pivots, limit=limit)
+        assert {r.id: r.partition for r in found.collect()} == dict(enumerate(want))
+        assert found.columns == [*df.columns, "partition", "similarity"]
 
 
-def test_rank_paths(spark):
-    queries, piv = table(spark, unit(10)), table(spark, unit(12), "partition").withColumn("nDocs", F.lit(5).cast("long"))
+def test_rank_in_slabs(spark):
+    piv = unit(12)
+    queries, pivots = table(spark, unit(10)), table(spark, piv, "partition").withColumn("nDocs", F.lit(5).cast("long"))
     for budget in (None, 20):
-        a = nearest.rank_partitions(queries, piv, "id", budget).select("id", "partition", "rank")
-        b = nearest.rank_partitions(queries, piv, "id", budget, limit=0).select("id", "partition", "rank")
+        a = nearest.rank_partitions(queries, pivots, "id", budget).select("id", "partition", "rank")
+        b = nearest.rank_partitions(queries, pivots, "id", budget, limit=piv.nbytes // 3).select("id", "partition", "rank")
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_best_products_and_medoids_in_slabs_without_cross_joins(spark):
+    from newsloom.operators import cluster
+
+    x, y = unit(30), unit(50)
+    left, right = table(spark, x, "i"), table(spark, y, "j")
+    products = x @ y.T
+    for limit in (1 << 20, y.nbytes // 4):
+        found = nearest.best_products(left, right, "i", "j", "j", top=3, limit=limit)
+        assert "Cartesian" not in plan_of(found) and "NestedLoop" not in plan_of(found)
+        best = {}
+        for r in found.collect():
+            assert abs(r.similarity - products[r.i, r.j]) < 1e-12
+            best.setdefault(r.i, []).append((-r.similarity, r.j))
+        assert all([j for _, j in sorted(best[i])[:3]] == list(np.argsort(-products[i], kind="stable")[:3]) for i in range(30))
+        near = cluster.medoids(right, left, "j", "i", limit=limit)
+        assert "Cartesian" not in plan_of(near) and "NestedLoop" not in plan_of(near)
+        d = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+        assert {r.i: r.j for r in near.collect()} == dict(enumerate(d.argmin(axis=1)))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_blocked_dot_over_many_cells(spark):
     a, b = unit(30), unit(25)
     left, right = (table(spark, m, n).withColumn("k", F.lit(1)) for m, n in ((a, "i"), (b, "j")))
