@@ -334,7 +334,8 @@ def table_stats(t: Tables):
 
 
 @query("table_checksum", """
-SELECT count(*) AS n, CAST(sum(('0x' || substr(md5(concat_ws('|', n_nationkey, n_name, n_regionkey)), 1, 8))::BIGINT)
+SELECT count(*) AS n, CAST(sum(('0x' || substr(md5(
+  length(n_nationkey::VARCHAR) || ':' || n_nationkey || length(n_name) || ':' || n_name || length(n_regionkey::VARCHAR) || ':' || n_regionkey), 1, 8))::BIGINT)
   % 4294967296 AS BIGINT) AS checksum FROM nation""")
 def table_checksum(t: Tables):
     return agg.table_checksum(t.nation, ["n_nationkey", "n_name", "n_regionkey"])

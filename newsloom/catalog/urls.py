@@ -233,7 +233,9 @@ def site_event_counts(t: Tables):
     stamped = ev.stamp_events(data, site, ["event_type", "k"], F.col("ts"),
                               F.when(F.col("event_type") == "error", "test"))
     path = scratch_path(t.spark, "events")
-    ev.append_events(stamped, path)
+    errors = F.col("_flag").eqNullSafe("test")
+    for batch, rows in (("a", stamped.filter(errors)), ("b", stamped.filter(~errors)), ("a", stamped.filter(errors))):
+        ev.append_events(rows, path, batch)
     back = t.spark.read.parquet(path)
     return back.groupBy("site").agg(F.count_if(F.col("_flag") == "test").alias("flagged"),
                                     F.count(F.lit(1)).alias("n"), F.sum(F.col("data")["k"].cast("long")).alias("k_sum"))

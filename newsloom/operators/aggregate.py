@@ -58,13 +58,21 @@ def table_stats(df: DataFrame, text_columns: Sequence[str]) -> DataFrame:
                   size.alias("text_bytes"))
 
 
-def table_checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-independent checksum of the given columns (null reads as ``~``).
-
-    Decimal sums cannot overflow, however many rows there are.
+def table_checksum(df: DataFrame, columns: Sequence[str], rev: str | None = None, with_rev: bool = False,
+                   with_data: bool = True) -> DataFrame:
+    """Order-independent checksum of the given columns, the first of which is the key.
+
+    A value is written with its length before it and a null as ``n``, so no two
+    rows read alike.  Without ``with_data`` only the key counts, and with
+    ``with_rev`` the column ``rev`` does too.  Decimal sums cannot overflow,
+    however many rows there are.
     """
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]
-    word = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("decimal(12,0)")
+    if with_rev and rev is None:
+        raise ValueError("name the revision column")
+    chosen = [*columns[:None if with_data else 1], *([rev] if with_rev else [])]
+    text = [F.col(c).cast("string") for c in dict.fromkeys(chosen)]
+    parts = [F.when(t.isNull(), "n").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for t in text]
+    word = F.conv(F.substring(F.md5(F.concat(*parts)), 1, 8), 16, 10).cast("decimal(12,0)")
     total = F.sum(word)
     return df.agg(F.count(F.lit(1)).alias("n"),
                   F.coalesce(total % F.lit(MODULUS).cast("decimal(12,0)"), F.lit(0))

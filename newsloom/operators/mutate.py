@@ -272,21 +272,20 @@ def cap_newest(table: DataFrame, seq: str, size: int) -> DataFrame:
 def running_total(table: DataFrame, seq: str, value: Column, width: int = RUN_WIDTH) -> DataFrame:
     """``__total``: the sum of ``value`` from the newest row to this one.
 
-    ``seq`` is a unique integer, so a bucket of ``width`` consecutive values
-    holds at most that many rows whatever the data; the totals of the newer
-    buckets are added to the running sum inside each.
+    Rows are ranked over range partitions and cut into buckets of ``width``
+    ranks, whatever the values of ``seq``; the totals of the newer buckets, one
+    row each, are added to the running sum inside a bucket.
     """
-    rows = (table.withColumn("__value", value)
-            .withColumn("__bucket", F.floor(F.col(seq) / F.lit(width))))
+    rows = global_rank(table.withColumn("__value", value), [F.col(seq).desc()], "__rank")
+    rows = rows.withColumn("__bucket", F.floor(F.col("__rank") / F.lit(width)))
     totals = rows.groupBy("__bucket").agg(F.sum("__value").alias("__sum"))
-    newer = Window.orderBy(F.col("__bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    newer = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__bucket", F.coalesce(F.sum("__sum").over(newer), F.lit(0)).alias("__offset"))
-    inside = (Window.partitionBy("__bucket").orderBy(F.col(seq).desc())
-              .rowsBetween(Window.unboundedPreceding, 0))
+    inside = Window.partitionBy("__bucket").orderBy("__rank").rowsBetween(Window.unboundedPreceding, 0)
     return (rows.withColumn("__run", F.sum("__value").over(inside))
             .join(offsets, "__bucket")
             .withColumn("__total", F.col("__run") + F.col("__offset"))
-            .drop("__bucket", "__run", "__offset", "__value"))
+            .drop("__bucket", "__run", "__offset", "__value", "__rank"))
 
 
 def cap_bytes(table: DataFrame, seq: str, size_of: Column, byte_size: int,

@@ -15,5 +15,6 @@ def stamp_events(df: DataFrame, site: Column, attributes: list[str], created: Co
                      (F.lit(None).cast("string") if flag is None else flag).alias("_flag"))
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").partitionBy("site").parquet(path)
+def append_events(events: DataFrame, path: str, batch: str) -> None:
+    """Add a batch of events; one that is written again replaces itself."""
+    events.write.mode("overwrite").partitionBy("site").parquet(f"{path}/batch={batch}")

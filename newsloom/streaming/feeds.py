@@ -22,7 +22,7 @@ def new_versions(entries: DataFrame, keys: list[str], seq: str, ref: str, good:
     maximum over good entries in order of arrival.
     """
     fit = entries.filter(good)
-    seen = previous_max(fit, keys, F.floor(F.col(seq) / F.lit(width)), [F.col(seq)], F.col(ref))
+    seen = previous_max(fit, keys, [F.col(seq)], F.col(ref), width=width)
     return seen.filter(F.col("before").isNull() | (F.col(ref) > F.col("before"))).drop("before")
 
 

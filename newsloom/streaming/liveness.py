@@ -31,10 +31,9 @@ def liveness(probes: DataFrame, emitters: DataFrame, key: str, now: Column, max_
     return emitters.select(key).distinct().join(state, key, "left").select(key, status.alias("status"))
 
 
-def slow_gaps(beats: DataFrame, key: str, ts: str, seq: str, max_lag: float, width: int = 86400) -> DataFrame:
+def slow_gaps(beats: DataFrame, key: str, ts: str, seq: str, max_lag: float) -> DataFrame:
     """Intervals between consecutive beats that are longer than ``max_lag`` seconds."""
-    bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(width))
-    seen = previous_max(beats, [key], bucket, [F.col(ts), F.col(seq)], F.col(ts))
+    seen = previous_max(beats, [key], [F.col(ts), F.col(seq)], F.col(ts))
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
     return (seen.withColumn("gap_us", gap).filter(F.col("gap_us") > int(max_lag * 1_000_000))
             .select(key, F.col("before").alias("since"), F.col(ts).alias("until"), "gap_us"))

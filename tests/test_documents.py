@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from newsloom.functions.naming import camel, snake
 from newsloom.functions.registry import FunctionRegistry
 from newsloom.operators import fulltext, geo, mutate, scan
+from newsloom.operators.aggregate import table_checksum
 from newsloom.operators.ranking import global_rank
+from newsloom.operators.running import previous_max
 from newsloom.sources.documents import import_lines
 
 
@@ -78,6 +80,39 @@ def test_capping(spark):
     assert mutate.cap_bytes(t, "seq", F.lit(10), 40, width=7).agg(F.min("seq")).head()[0] == 97
 
 
+def test_capping_any_order(spark):
+    names = spark.createDataFrame([(f"k{i:03d}",) for i in range(50)] + [("k049",)], "seq string")
+    for size in (1, 200_000):  # ties with the last one stay, whatever the size
+        assert mutate.cap_newest(names, "seq", size).count() == (2 if size == 1 else 51)
+    # microseconds far apart, and a key with nearly all rows
+    sparse = spark.range(0, 60).select((F.col("id") * 1_000_003_777).alias("seq"), F.lit("a").alias("k"))
+    got = mutate.running_total(sparse, "seq", F.lit(1), width=7)
+    assert got.filter(F.col("__total") != 60 - F.expr("seq div 1000003777")).count() == 0
+    seen = previous_max(sparse, ["k"], [F.col("seq")], F.col("seq"), width=7)
+    assert seen.filter(F.col("before").isNull()).count() == 1
+    assert seen.filter(F.col("seq") - F.col("before") != 1_000_003_777).count() == 0
+
+
+def test_repeated_keys_in_a_batch(spark):
+    table = spark.createDataFrame([("a", 1, 1)], "k string, v int, w int")
+    docs = spark.createDataFrame([(1, "b", 1, 1), (2, "b", 2, 2), (3, "a", 3, 3)], "n int, k string, v int, w int")
+    added, refused = mutate.insert_docs(table.withColumn("n", F.lit(0)), docs, "k", order="n")
+    assert sorted((r.k, r.v) for r in added.collect()) == [("a", 1), ("b", 1)]
+    assert sorted((r.k, r.v, r.reason) for r in refused.collect()) == [("a", 3, "conflict"), ("b", 2, "conflict")]
+    patches = spark.createDataFrame([(1, "a", 5, None), (2, "a", None, 6), (3, "c", 7, None), (4, "c", 8, 9)], "n int, k string, v int, w int")
+    merged = mutate.upsert_docs(table.withColumn("n", F.lit(0)), patches, "k", order="n")
+    assert sorted((r.k, r.v, r.w) for r in merged.collect()) == [("a", 5, 6), ("c", 8, 9)]
+
+
+def test_checksum_tells_rows_apart(spark):
+    def checksum(rows, **flags):
+        return table_checksum(spark.createDataFrame(rows, "a string, b string, rev string"), ["a", "b"], "rev", **flags).head().checksum
+
+    assert checksum([("a|b", "c", "1")]) != checksum([("a", "b|c", "1")]) and checksum([(None, "x", "1")]) != checksum([("~", "x", "1")])
+    assert checksum([("a", "b", "1")]) == checksum([("a", "b", "2")]) != checksum([("a", "b", "2")], with_rev=True)
+    assert checksum([("a", "b", "1")], with_data=False) == checksum([("a", "z", "1")], with_data=False)
+
+
 def test_global_rank(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("x"))
     ranked = global_rank(df, [F.col("x").desc()])

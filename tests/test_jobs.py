@@ -1,5 +1,6 @@
 """Graph, pages and streams on small fixtures."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import graph, pages
@@ -27,6 +28,22 @@ def test_cycles_end(spark):
     assert [r.vertex for r in post] == ["v/3", "v/2", "v/1"]
 
 
+def test_long_walks_end_by_themselves_or_raise(spark):
+    edges = spark.createDataFrame([(f"e{i}", f"v/{i}", f"v/{i + 1}") for i in range(6)], "_key string, _from string, _to string")
+    start = spark.createDataFrame([("v/0",)], "_id string")
+    assert graph.traverse(start, edges).count() == 7
+    with pytest.raises(RuntimeError):
+        graph.traverse(start, edges, max_iterations=3)
+
+
+def test_a_page_the_parser_gives_up_on(spark):
+    sources = [("a", "<p>one 2020</p><![foo[bar]]>"), ("b", "<title>t</title><div>in 2001 <p>of 2002</p></div>"), ("c", None)]
+    got = {r.k: r.page for r in pages.parse_html(spark.createDataFrame(sources, "k string, html string")).collect()}
+    assert got["a"] is not None and got["a"].title is None and got["c"] is None
+    # dated texts stand in the order of the document, the outer one first
+    assert got["b"].title == "t" and [x.strip() for x in got["b"].dated] == ["in 2001 of 2002", "of 2002"]
+
+
 def test_page(spark):
     html = ("<html><head><title>A &amp; B</title><meta name='k' content='v1'><meta content='v2' name='k'>"
             "<link rel='canonical' href='http://c/'></head><body><nav><p>skip</p></nav><div><span><p>One <b>two<br><p>three"
