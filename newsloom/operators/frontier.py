@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fields import is_valid
 from ..functions.urls import escape_value, safe_value, skinny_url, url_features, usable_link
+from ..session import ensure_checkpoint_dir
 from ..sources.config import MAX_SITES
 
 ERROR_COLUMNS = ["URL", "skinnyURL", "errorCode", "parserLog", "dupliURL", "otherErrorMessage", "usedForBody"]
@@ -24,21 +25,42 @@ def _keys(tables: Sequence[DataFrame], what: str) -> DataFrame:
     return reduce(DataFrame.union, [t.select(what) for t in tables])
 
 
+# A batch of up to this many values goes to every task, so that stored keys are not moved to meet it.
+BATCH_ROWS = 1_000_000
+
+
+def _settled(batch: DataFrame) -> DataFrame:
+    """A batch is read several times and may come from parsed pages: computed once."""
+    ensure_checkpoint_dir(batch.sparkSession)
+    return batch.checkpoint()
+
+
+def _met(values: DataFrame, what: str, stored: DataFrame) -> DataFrame:
+    """The values of a settled batch that are stored: at most as many rows as the batch has.
+
+    The batch meets the stored keys where they are; only what it meets is moved.
+    """
+    batch = F.broadcast(values) if values.count() <= BATCH_ROWS else values
+    return stored.join(batch.select(what), what, "left_semi").distinct()
+
+
 def exist(values: DataFrame, what: str, tables: Sequence[DataFrame]) -> DataFrame:
     """Distinct values found in any of the tables."""
-    return _values(values, what).join(_keys(tables, what), what, "left_semi")
+    return _met(_settled(_values(values, what)), what, _keys(tables, what))
 
 
 def missing(values: DataFrame, what: str, tables: Sequence[DataFrame]) -> DataFrame:
     """Distinct values found in none of the tables."""
-    return _values(values, what).join(_keys(tables, what), what, "left_anti")
+    fresh = _settled(_values(values, what))
+    return fresh.join(_met(fresh, what, _keys(tables, what)), what, "left_anti")
 
 
 def missing_from_all(urls: DataFrame, main: DataFrame, newbies: DataFrame, errors: DataFrame) -> DataFrame:
     """``(URL, skinnyURL)`` of pages neither stored nor known to be faulty."""
-    fresh = _values(urls, "URL").withColumn("skinnyURL", skinny_url(F.col("URL")))
-    return (fresh.join(_keys([main, newbies], "URL"), "URL", "left_anti")
-            .join(errors.select("skinnyURL"), "skinnyURL", "left_anti"))
+    fresh = _settled(_values(urls, "URL").withColumn("skinnyURL", skinny_url(F.col("URL"))))
+    stored = _met(fresh.select("URL"), "URL", _keys([main, newbies], "URL"))
+    faulty = _met(fresh.select("skinnyURL").distinct(), "skinnyURL", errors.select("skinnyURL"))
+    return fresh.join(stored, "URL", "left_anti").join(faulty, "skinnyURL", "left_anti")
 
 
 def route_by_regex(df: DataFrame, url: str, config: DataFrame, order: str,
