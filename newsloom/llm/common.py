@@ -27,31 +27,35 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
 
 
+def _starred(links: DataFrame) -> bool:
+    """True if every node is the larger end of one link and no smaller end, or a smaller end only."""
+    ends = links.select("u").unionByName(links.select(F.col("v").alias("u")).distinct())
+    return not ends.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").head(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node in ``edges(a, b)``: the smallest id it reaches.
 
     Large star and small star in turn: each round moves all links of a node to
     its smallest neighbour, so a chain of any length ends after a number of
-    rounds logarithmic in its length.  Links stay in tables; the driver sees
-    one count and one checksum per round.  Self links name a node of its own.
+    rounds logarithmic in its length.  Links stay in tables; the driver learns
+    once a round whether it was the last.  Self links name a node of its own.
     """
     links = (edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
              .filter(F.col("u").isNotNull() & F.col("v").isNotNull()).distinct())
     nodes = settle(links, "links")
-    current, seen = nodes.filter("u <> v"), None
-    while True:
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if state == seen or state[0] == 0:
-            break
-        seen = state
+    current = nodes.filter("u <> v")
+    while not _starred(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # every larger neighbour is moved to the smallest one
-        large = (both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = settle(large, "large-stars")
+        # of the smaller neighbours all but the smallest are moved to it
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        current = settle(small, "stars")
+        current = settle(small, "small-stars")
     # settled: every larger node has one link, to the smallest of its component
     linked = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = nodes.select(F.col("v").alias("node")).unionByName(nodes.filter("u = v").select(F.col("u").alias("node")))

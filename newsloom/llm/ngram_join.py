@@ -9,7 +9,7 @@ The join is exact up to 64-bit hashes of shingles and sets.
    size counts all shingles in buckets, and a crowded bucket marks its own.
    A set is posted under the shingles of that prefix.
 3. A posting list is cut into tiles of adjoining bands of set sizes.  First
-   every member meets the two outer sets of its tiles, which is linear in the
+   every member meets the smallest set of its tiles, which is linear in the
    list and joins groups of near copies into classes.
 4. Where a list still holds several classes, blocks of bounded size of its
    tiles are compared through bitmaps of hashed shingles: bits of one set
@@ -26,54 +26,74 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, settle
 
-WIDTH = 4
+WIDTH = 5
 # similarity as a ratio of whole numbers: PART * |union| <= WHOLE * |intersection|
-PART, WHOLE = 85, 100
+PART, WHOLE = 80, 100
 # Buckets of the sketch that finds shared shingles, and the pieces it is summed in.
 BUCKET_BITS = 20
 CHUNKS = 64
+# Parts of the list of a crowded shingle.
+SALTS = 64
 # About so many rows make a side of a block of a tile.
 BLOCK = 512
+# Pairs of a list up to this size are named before their bitmaps are fetched; rows of a longer one carry theirs.
+SHORT = 64
+CARRIED = 128
 # Size of the filter that says whose sets are needed for the last check.
 FILTER_BITS = 23
-WORDS_KEPT = 1 << 19
+# Words hashed at a time.
+SLICE = 1 << 18
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S = np.uint64(31)
 
 
-class _WordIds(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _S)) * _M2
     return x ^ (x >> _S)
 
 
-def shingles(text: str | None, ids: dict, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; fewer words than ``width`` are one shingle, none give none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    x = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
-    k = min(width, len(x))
+def shingle_sets(texts: Iterator[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct hashes of its shingles.
+
+    Fewer words than ``width`` are one shingle, none give none.  Words of
+    several texts are hashed in one go, about SLICE at a time.
+    """
+    words, sizes = [], []
+    for text in texts:
+        own = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        words += own
+        sizes.append(len(own))
+        if len(words) >= SLICE:
+            yield from _hashed(words, sizes, width)
+            words, sizes = [], []
+    yield from _hashed(words, sizes, width)
+
+
+def _rolled(x: np.ndarray, k: int) -> np.ndarray:
     h = np.full(len(x) - k + 1, k, np.uint64)
     for i in range(k):
         h = _mix(h * _M1 + x[i:len(x) - k + 1 + i])
-    return np.unique(h)
+    return h
+
+
+def _hashed(words: list[bytes], sizes: list[int], width: int) -> Iterator[np.ndarray]:
+    x = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    every = _rolled(x, width) if len(x) >= width else None
+    at = 0
+    for n in sizes:
+        h = every[at:at + n - width + 1] if n >= width else _rolled(x[at:at + n], n) if n else x[:0]
+        at += n
+        h = np.sort(h)
+        yield h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) > 1 else h
 
 
 def node_of(sets: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
-    value = xxhash.xxh3_64_intdigest(sets.tobytes())
+    """Signed 64-bit name of a set, its lowest bit 0."""
+    value = xxhash.xxh3_64_intdigest(sets.tobytes()) & ~1
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -88,37 +108,33 @@ def _bitmap(h: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        yield batch.column(0), batch.column(1)
-
-
 def _first_pass(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per document, and at the end one row per chunk of the task's sketch."""
-        ids, sketch = _WordIds(), np.zeros(1 << BUCKET_BITS, np.int32)
-        for keys, texts in _texts(batches):
-            n, node, bitmap = [], [], []
-            for text in texts:
-                h = shingles(text.as_py(), ids, width)
+        sketch = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            keys = batch.column(0)
+            n, node, bitmap, heads = [], [], [], []
+            for h in shingle_sets((t.as_py() for t in batch.column(1)), width):
                 n.append(len(h))
                 node.append(node_of(h) if len(h) else None)
                 bitmap.append(_bitmap(h) if len(h) else None)
-                np.add.at(sketch, (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+                heads.append((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+            sketch += np.bincount(np.concatenate(heads or [[]]).astype(np.int64), minlength=len(sketch))
             yield pa.RecordBatch.from_arrays(
-                [keys.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bitmap, pa.binary()),
+                [keys, batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bitmap, pa.binary()),
                  pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int32())], names=FIRST.split(", "))
         task = TaskContext.get().partitionId()
         if sketch.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()),
-                 pa.array([x.astype(np.int64).tobytes() for x in np.split(sketch, CHUNKS)], pa.binary()),
+                [*[pa.nulls(CHUNKS, pa.int64())] * 4,
+                 pa.array([x.tobytes() for x in np.split(sketch, CHUNKS)], pa.binary()),
                  pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32())], names=FIRST.split(", "))
     return run
 
 
-FIRST = "doc_id, n, node, bits, chunk, task"
-FIRST_SCHEMA = "doc_id long, n long, node long, bits binary, chunk int, task int"
+FIRST = "doc_id, text_hash, n, node, bits, chunk, task"
+FIRST_SCHEMA = "doc_id long, text_hash long, n long, node long, bits binary, chunk int, task int"
 
 
 def _crowded(first: DataFrame) -> bytes:
@@ -145,21 +161,21 @@ def _crowded(first: DataFrame) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def _postings(docs: DataFrame, crowded: bytes, width: int, part: int, whole: int) -> DataFrame:
-    """``(key, node, n, inner)``: the shingles of every set's prefix.
+def _lists(docs: DataFrame, crowded: bytes, width: int, part: int, whole: int) -> DataFrame:
+    """``(key, node, inner)``: the shingles of every set's prefix, those that can link two sets.
 
     ``inner`` marks those a set needs towards sets of its size or more; towards
-    smaller ones it needs all of them.
+    smaller ones it needs all of them.  Lists of crowded shingles are dealt out
+    by set as well and pass as they are; a list of any other is at most as long
+    as a bucket of the sketch, and passes if it holds two sets, one with ``inner``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(crowded)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        ids = _WordIds()
-        for _, texts in _texts(batches):
-            keys, nodes, sizes, inner = [], [], [], []
-            for text in texts:
-                h = shingles(text.as_py(), ids, width)
+        for batch in batches:
+            keys, entries, salts = [], [], []
+            for h in shingle_sets((t.as_py() for t in batch.column(1)), width):
                 n = len(h)
                 if n == 0:
                     continue
@@ -167,41 +183,74 @@ def _postings(docs: DataFrame, crowded: bytes, width: int, part: int, whole: int
                 own = n - -(-2 * part * n // (part + whole)) + 1
                 late = hot[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 order = np.concatenate([h[~late][:outer], h[late][:outer]])[:outer]
+                node = node_of(h)
                 keys.append(order.view(np.int64))
-                nodes.append(np.full(len(order), node_of(h)))
-                sizes.append(np.full(len(order), n))
-                inner.append(np.arange(len(order)) < own)
+                # the lowest bit of a node's name is free: 0 for inner
+                entries.append((np.arange(len(order)) >= own) | np.int64(node))
+                salts.append(np.where(hot[(order >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], (node >> 1) % SALTS + 1, 0))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)),
-                     pa.array(np.concatenate(inner))], names=["key", "node", "n", "inner"])
+                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(entries)),
+                     pa.array(np.concatenate(salts).astype(np.int16))], names=["key", "entry", "salt"])
+
+    def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            key, entry, salt = (batch.column(i).to_numpy() for i in range(3))
+            if rest is not None:
+                key, entry, salt = (np.concatenate(x) for x in zip(rest, (key, entry, salt)))
+            # the last list may go on; what is held of it is one crowded list at most a batch long, or a short one
+            cut = len(key) if len(key) and salt[-1] else int(np.searchsorted(-(key != key[-1]).astype(np.int8), 0)) if len(key) else 0
+            rest = (key[cut:], entry[cut:], salt[cut:])
+            yield from _passed(key[:cut], entry[:cut], salt[:cut])
+        if rest is not None:
+            yield from _passed(*rest)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, node long, n long, inner boolean")
+    rows = docs.select("doc_id", "text").mapInArrow(post, "key long, entry long, salt short")
+    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "entry")
+    return dealt.mapInArrow(useful, "key long, node long, inner boolean")
 
 
-def _exact(docs: DataFrame, pairs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link, by the intersection of their sorted arrays."""
-    sc = docs.sparkSession.sparkContext
-    # a filter of fixed size for the nodes asked for; strays it lets pass find no pair
-    slot = F.pmod("node", F.lit(1 << FILTER_BITS)) + 1
-    asked = (pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy(F.bitmap_bucket_number(slot).alias("piece"))
-             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect())
+def _passed(key: np.ndarray, entry: np.ndarray, salt: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of useful lists, each set once per list."""
+    if len(key) == 0:
+        return
+    node, outer = entry & ~np.int64(1), (entry & 1).astype(bool)
+    new_list = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+    new = new_list | np.concatenate(([True], node[1:] != node[:-1]))
+    starts = np.flatnonzero(new_list)
+    several = np.add.reduceat(new.astype(np.int64), starts) > 1
+    inner = np.add.reduceat((~outer).astype(np.int64), starts) > 0
+    keep = new & (np.repeat(several & inner, np.diff(np.append(starts, len(key)))) | (salt > 0))
+    yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(~outer[keep])],
+                                     names=["key", "node", "inner"])
+
+
+def _exact(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that link, by the intersection of their sorted arrays.
+
+    Arrays are made anew for one text of each set in a pair; a filter of fixed
+    size over document ids says which to make, strays it lets pass find no pair.
+    """
+    slot = lambda c: F.pmod(F.coalesce(c, F.lit(0)), F.lit(1 << FILTER_BITS)) + 1
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = rows.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(slot(F.col("doc_id")).alias("slot"))
+    asked = asked.groupBy(F.bitmap_bucket_number("slot").alias("piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
     mask = np.zeros(1 << FILTER_BITS, bool)
     for piece, bits in asked:
         got = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
         mask[(piece - 1) * len(got):piece * len(got)] = got
-    wanted = sc.broadcast(np.packbits(mask).tobytes())
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(mask).tobytes())
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask, ids = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool), _WordIds()
-        for _, texts in _texts(batches):
-            nodes, out = [], []
-            for text in texts:
-                h = shingles(text.as_py(), ids, width)
-                if len(h) and ask[(node := node_of(h)) & ((1 << FILTER_BITS) - 1)]:
-                    nodes.append(node)
-                    out.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "h"])
+        ask = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
+        for batch in batches:
+            take = ask[batch.column(0).fill_null(0).to_numpy() & ((1 << FILTER_BITS) - 1)]
+            texts = batch.column(1).filter(pa.array(take))
+            sets = [h for h in shingle_sets((t.as_py() for t in texts), width) if len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()),
+                                              pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "h"])
 
     sets = (docs.select("doc_id", "text").mapInArrow(arrays, "node long, h binary")
             .groupBy("node").agg(F.first("h").alias("h")))
@@ -220,6 +269,18 @@ def _exact(docs: DataFrame, pairs: DataFrame, width: int, part: int, whole: int)
     return both.filter(linked("ha", "hb")).select("a", "b")
 
 
+def _open_pairs(lists: DataFrame, classes: DataFrame, nodes: DataFrame, part: int, whole: int) -> DataFrame:
+    """Pairs of different classes that share a list and that bitmaps cannot rule out."""
+    placed = lists.join(classes.select("node", F.col("component").alias("class")), "node", "left").withColumn(
+        "class", F.coalesce("class", "node"))
+    still = placed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("size"))
+    rest = placed.join(still.filter("x <> y").select("key", "size"), "key")
+    few, many = rest.filter(F.col("size") <= SHORT), rest.filter(F.col("size") > SHORT)
+    rest = few.withColumn("bits", F.lit(None).cast("binary")).unionByName(
+        many.join(nodes.select("node", _folded_to(F.col("bits")).alias("bits")), "node"))
+    return _bounded(_tile_pairs(rest.drop("size"), part, whole), nodes, part, whole)
+
+
 def _tile_pairs(lists: DataFrame, part: int, whole: int) -> DataFrame:
     """Pairs ``(a, b)`` of different classes in a list that bitmaps cannot rule out.
 
@@ -278,13 +339,19 @@ def _blocks(rows: pd.DataFrame, part: int, whole: int) -> Iterator[pa.RecordBatc
         if mid == lo or mid == hi or hi - lo < 2:
             continue
         right = np.arange(mid, hi)
-        width = min(map(len, bits[lo:hi]))
-        maps = np.stack([_folded(x, width) for x in bits[lo:hi]])
+        carried = bits[lo] is not None
+        if carried:
+            width = min(map(len, bits[lo:hi]))
+            maps = np.stack([_folded(x, width) for x in bits[lo:hi]])
         for i in range(lo, mid):
             j = right[(cls[right] != cls[i]) & (n[right] >= n[i]) & (whole * n[i] >= part * n[right])
                       & ((n[right] > n[i]) | (node[right] > node[i]))]
             if len(j) == 0:
                 continue
+            if not carried:
+                a.extend([node[i]] * len(j))
+                b.extend(node[j])
+                continue
             mine, theirs = maps[i - lo], maps[j - lo]
             only_mine = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
             only_theirs = np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
@@ -296,6 +363,15 @@ def _blocks(rows: pd.DataFrame, part: int, whole: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _folded_to(bits: Column) -> Column:
+    """Bitmaps of at most CARRIED bytes: what a row of a long list carries does not grow with its set."""
+    @F.pandas_udf("binary")
+    def fold(x: pd.Series) -> pd.Series:
+        return pd.Series([_folded(b, min(len(b), CARRIED)).tobytes() for b in x], dtype=object)
+
+    return fold(bits)
+
+
 def _folded(bits: bytes, width: int) -> np.ndarray:
     """A bitmap of ``width`` bytes: the pieces of a longer one laid over each other."""
     x = np.frombuffer(bits, np.uint8)
@@ -309,43 +385,60 @@ def ngram_classes(docs: DataFrame, width: int = WIDTH, part: int = PART, whole:
     named by the smallest id in it.  Null, empty and blank texts have no
     shingles and are classes of their own.  A null id keeps its row; it names
     no class unless all of a class have none.  Rows that repeat an id are
-    rows of their own.
+    rows of their own.  Other columns are ignored.
+    """
+    named = _named(docs, width, part, whole)
+    least = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "class", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = WIDTH, part: int = PART, whole: int = WHOLE) -> DataFrame:
+    """``docs`` with one row of each class, the one of the smallest id, with all its columns.
+
+    Rows without shingles all stay, but for repeats of one id and text, of
+    which one stays.  A null id comes after all others.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = _named(docs, width, part, whole)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = named.filter("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("first"))
+    gone = (named.join(first, "class").filter(order != F.col("first"))
+            .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    again = (named.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+             .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")))
+    kept = docs.withColumn("__text", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    kept = kept.join(gone, same, "left_anti")
+    once = kept.join(again, same, "left_anti")
+    repeated = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__text"])
+    return once.unionByName(repeated).drop("__text")
+
+
+def _named(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
+    """``(doc_id, text_hash, n, class)`` of every row, ``class`` the smallest node of its class or null."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     first = settle(docs.mapInArrow(_first_pass(width), FIRST_SCHEMA), "shingle-sets")
     rows = first.filter("chunk IS NULL")
-    postings = settle(_postings(docs, _crowded(first), width, part, whole), "postings")
-    # lists with two different sets, one of which may be the smaller of a pair
-    useful = (postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("inner").alias("inner"))
-              .filter("low <> high AND inner").select("key"))
-    lists = settle(postings.join(useful, "key", "left_semi"), "lists")
+    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    lists = _lists(docs, _crowded(first), width, part, whole)
+    lists = settle(lists.join(nodes.select("node", "n"), "node"), "lists")
 
     band = F.floor(F.log("n") / F.lit(np.log(whole / part) * 1.0000001))
     banded = lists.withColumn("band", band)
-    outer = banded.groupBy("key", "band").agg(
-        F.min(F.when(F.col("inner"), F.struct("n", "node"))).alias("low"), F.max(F.struct("n", "node")).alias("high"))
-    heads = outer.select("key", "band", F.explode(F.array("low", "high")).alias("head")).unionByName(
-        outer.select("key", (F.col("band") + 1).alias("band"), F.col("low").alias("head"))).filter("head IS NOT NULL")
+    low = banded.filter("inner").groupBy("key", "band").agg(F.min(F.struct("n", "node")).alias("head"))
+    heads = low.unionByName(low.withColumn("band", F.col("band") + 1))
     near = banded.join(heads, ["key", "band"]).filter(
         (F.col("node") != F.col("head.node")) & (whole * F.least("n", "head.n") >= part * F.greatest("n", "head.n")))
     pairs = near.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    links = settle(_exact(docs, settle(_bounded(pairs, nodes, part, whole), "star-pairs"), width, part, whole), "star-links")
+    links = settle(_exact(docs, rows, settle(_bounded(pairs, nodes, part, whole), "star-pairs"), width, part, whole), "star-links")
 
-    classes = components(links)
-    placed = lists.join(classes.select("node", F.col("component").alias("class")), "node", "left").withColumn(
-        "class", F.coalesce("class", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
-    rest = placed.join(open_keys, "key", "left_semi").join(nodes.select("node", "bits"), "node")
-    more = settle(_exact(docs, settle(_tile_pairs(rest, part, whole), "tile-pairs"), width, part, whole), "tile-links")
+    more = settle(_exact(docs, rows, settle(_open_pairs(lists, components(links), nodes, part, whole), "tile-pairs"),
+                         width, part, whole), "tile-links")
     classes = components(links.unionByName(more))
 
     named = rows.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn(
         "class", F.coalesce("class", "node"))
-    named = settle(named.select("doc_id", "n", "class"), "classes")
-    least = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return settle(named.select("doc_id", "text_hash", "n", "class"), "classes")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, part: int, whole: int) -> DataFrame:

@@ -44,7 +44,7 @@ def op2_token_store(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.ngram_classes(table(spark, folder, "documents"))
+    return ngram_join.ngram_classes(table(spark, folder, "documents"), width=4, part=85, whole=100)
 
 
 @query
