@@ -70,11 +70,12 @@ corpus AS MATERIALIZED (SELECT doc_id, any_value(v.vec) AS vec, arg_max(partitio
   FROM dv v, pivots p GROUP BY doc_id)"""
 
 
-@query("known_words", f"""WITH {MODEL_SQL}, w AS (SELECT doc_id, unnest({sql.words('sentences[1]')}) AS word FROM s)
+@query("known_words", f"""WITH {MODEL_SQL}, w AS (SELECT doc_id, unnest({sql.words('sentence')}) AS word FROM (SELECT doc_id, unnest(sentences) AS sentence FROM s))
 SELECT doc_id, count(*) AS n_known, CAST(sum(idx) AS BIGINT) AS idx_sum FROM w JOIN vocab USING (word) GROUP BY 1""")
 def known_words(t: Tables):
-    docs = t.documents.select("doc_id", text.clean_text(F.col("text")).alias("text"))
-    known = embed.known_words(docs, word_model(t), "doc_id", "text", first_sentence=True)
+    """Known words of every sentence of the whole text."""
+    sentences = article_sentences(t).select("doc_id", F.explode("sentences").alias("text"))
+    known = embed.known_words(sentences, word_model(t), "doc_id", "text")
     return known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known"), F.sum("idx").alias("idx_sum"))
 
 

@@ -216,8 +216,13 @@ def apply_batch(table: DataFrame, ops: DataFrame, key: str) -> tuple[DataFrame,
     order that is unique per key.  Whether an operation applies
     depends only on the last create or delete before it, or else on the stored
     table, so one window per key settles all of them at once.  ``table`` is
-    ``(<key>, body map<string,string>)``.
+    ``(<key>, body map<string,string>)``; rows whose key the batch does not
+    name pass as they are.
     """
+    empty = F.create_map().cast("map<string,string>")
+    keys = ops.select(key).distinct()
+    untouched = table.join(keys, key, "left_anti").withColumn("body", F.coalesce("body", empty)).select(key, "body")
+    table = table.join(keys, key, "left_semi")
     per_key = Window.partitionBy(key).orderBy("seq")
     before = per_key.rowsBetween(Window.unboundedPreceding, -1)
     stored = table.select(key, F.lit(True).alias("__stored"))
@@ -253,8 +258,8 @@ def apply_batch(table: DataFrame, ops: DataFrame, key: str) -> tuple[DataFrame,
     # keys alive at the end, also those whose body has become empty
     alive = (table.select(key).unionByName(valid.select(key)).distinct().join(fate, key, "left")
              .filter(~F.coalesce("__dead", F.lit(False))).select(key))
-    empty = F.create_map().cast("map<string,string>")
-    return (alive.join(bodies, key, "left").withColumn("body", F.coalesce("body", empty)), rejected)
+    changed = alive.join(bodies, key, "left").withColumn("body", F.coalesce("body", empty))
+    return changed.select(key, "body").unionByName(untouched), rejected
 
 
 def cap_newest(table: DataFrame, seq: str, size: int) -> DataFrame:

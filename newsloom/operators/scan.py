@@ -92,7 +92,12 @@ def last_n(df: DataFrame, seq: str, n: int) -> DataFrame:
 
 def any_doc(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """One document drawn by a seeded hash, the same on every rerun."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(1)
+    return df.orderBy(drawn(key, seed), key).limit(1)
+
+
+def drawn(key: str, seed: int) -> Column:
+    """A hash any engine can compute, to draw rows by."""
+    return F.md5(F.concat(F.lit(f"{seed} "), F.col(key).cast("string")))
 
 
 def project(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -104,11 +109,9 @@ def project(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def random_links(df: DataFrame, n: int, key: str = "URL", seed: int = 0) -> DataFrame:
-    """Links of ``n`` random articles among the first ``n * n`` that have any."""
-    pool = (df.filter((F.col("partition") > 0) & F.col("links").isNotNull())
-            .orderBy(key).limit(n * n))
-    return (pool.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
-            .select("links", F.col(key).alias("ref")))
+    """Links of ``n`` random articles, drawn from all that have any."""
+    pool = df.filter((F.col("partition") > 0) & F.col("links").isNotNull())
+    return pool.orderBy(drawn(key, seed), key).limit(n).select("links", F.col(key).alias("ref"))
 
 
 def run_query(spark: SparkSession, text: str, bind: Mapping[str, object] | None = None) -> DataFrame:
