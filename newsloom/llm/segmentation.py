@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,7 +30,7 @@ SHARPNESS = 2.0
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 # Lattice positions kept before a worker starts anew.
-KEPT = 1_000_000
+KEPT = 3_000_000
 # Characters of text compiled at a time.
 SLICE = 1 << 20
 
@@ -58,9 +59,9 @@ def _prefix_tables(pieces: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]
 class Lattices:
     """Word lattices of one worker in flat arrays.
 
-    Arcs are ordered by the position they leave; ``cum`` holds the position's
-    number plus the cumulative probability, so that a draw for many positions
-    is one binary search.
+    Arcs are ordered by the position they leave, longest piece first, with the
+    cumulative probability in ``cum``; ``first`` is where a position's arcs
+    begin, ``rest`` the log probability of the other arcs of its position.
     """
 
     def __init__(self, path: str, sharpness: float = SHARPNESS):
@@ -84,21 +85,16 @@ class Lattices:
     def clear(self) -> None:
         self.start: dict[str, int] = {}
         self.nodes = self.arcs = 0
-        self.arrays = {"cum": np.zeros(1 << 16), "logp": np.zeros(1 << 16),
-                       "piece": np.zeros(1 << 16, np.int64), "to": np.zeros(1 << 16, np.int64)}
-        self._show()
-
-    def _show(self) -> None:
-        self.cum, self.logp, self.piece, self.to = (self.arrays[k][:self.arcs] for k in ("cum", "logp", "piece", "to"))
-
-    def _append(self, **parts: np.ndarray) -> None:
-        end = self.arcs + len(parts["cum"])
-        for k, x in parts.items():
-            if end > len(self.arrays[k]):
-                self.arrays[k] = np.concatenate((self.arrays[k], np.zeros(max(end, len(self.arrays[k])), x.dtype)))
-            self.arrays[k][self.arcs:end] = x
-        self.arcs = end
-        self._show()
+        self.cum, self.logp, self.rest = (np.zeros(1 << 16, np.float32) for _ in range(3))
+        self.piece, self.to, self.first = (np.zeros(1 << 16, np.int32) for _ in range(3))
+
+    def _append(self, name: str, at: int, x: np.ndarray) -> None:
+        """Write ``x`` into an array from ``at`` on; the array doubles when it is full."""
+        held = getattr(self, name)
+        if at + len(x) > len(held):
+            held = np.concatenate((held, np.zeros(max(at + len(x), len(held)), held.dtype)))
+            setattr(self, name, held)
+        held[at:at + len(x)] = x
 
     def words(self, text: str) -> list[str]:
         shown = self.sp.normalize(text) if text else ""
@@ -135,7 +131,8 @@ class Lattices:
         source.append(rest)
         target.append(np.where(left[rest] > 1, rest + 1, -1))
         piece.append(np.array([self._spell(int(c)) for c in kinds], np.int64)[back])
-        return np.concatenate(source), np.concatenate(target), np.concatenate(piece)
+        # longest pieces first
+        return np.concatenate(source[::-1]), np.concatenate(target[::-1]), np.concatenate(piece[::-1])
 
     def add(self, words: Iterable[str]) -> None:
         """Compile the words not known yet."""
@@ -168,27 +165,40 @@ class Lattices:
             beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(arc_at[lo:hi + 1]))), cuts))
         logp = w + beta[target] - beta[source]
         p = np.exp(logp)
-        run = np.cumsum(p)
-        before = np.concatenate(([0.0], run))[arc_at[:-1]]
-        cum = source + np.minimum(1.0, run - before[source])
-        cum[arc_at[1:] - 1] = np.arange(base) + 1.0
+        # what the other arcs of the position have together, exact also where one has nearly all
+        small = np.add.reduceat(np.where(p > 0.5, 0.0, p), arc_at[:-1])
+        with np.errstate(divide="ignore"):
+            rest = np.log(np.where(p > 0.5, small[source], 1.0 - p))
+        cum, sizes_of = p.copy(), np.diff(arc_at)
+        for k in range(1, int(sizes_of.max())):
+            at = arc_at[:-1][sizes_of > k] + k
+            cum[at] += cum[at - 1]
+        cum[arc_at[1:] - 1] = 2.0  # a draw never goes past the last one
         at = self.nodes
-        self._append(cum=cum + at, logp=np.minimum(logp, 0.0), piece=piece, to=np.where(target >= 0, target + at, -1))
+        self._append("first", at, arc_at + self.arcs)
+        for name, x in (("cum", cum), ("logp", np.minimum(logp, 0.0)), ("rest", rest), ("piece", piece), ("to", np.where(target >= 0, target + at, -1))):
+            self._append(name, self.arcs, x)
+        self.arcs += len(cum)
         self.start.update(zip(fresh, (number[np.cumsum(sizes) - sizes] + at).tolist()))
         self.nodes += base
 
-    def draw(self, starts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    def draw(self, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random path from every start to its word's end: arcs in order, and how many each start has."""
         active, at, steps = np.arange(len(starts)), starts, []
         counts = np.zeros(len(starts), np.int64)
         while len(active):
-            arc = np.searchsorted(self.cum, at + rng.random(len(at)), side="right")
+            arc, u = self.first[at], _uniform(seeds, len(steps) + 1)
+            late = np.flatnonzero(u >= self.cum[arc])
+            while len(late):
+                arc[late] += 1
+                late = late[u[late] >= self.cum[arc[late]]]
             steps.append((active, arc))
             counts[active] += 1
             at = self.to[arc]
             go = at >= 0
-            active, at = active[go], at[go]
-        out = np.empty(int(counts.sum()), np.int64)
+            if not go.all():
+                active, at, seeds = active[go], at[go], seeds[go]
+        out = np.empty(int(counts.sum()), np.int32)
         first = np.cumsum(counts) - counts
         for k, (who, arc) in enumerate(steps):
             out[first[who] + k] = arc
@@ -206,65 +216,134 @@ class Lattices:
         out[np.repeat(piece < 0, sizes)] = [i for x in own for i in x]
         return out.astype(np.uint32)
 
-    def top(self, words: list[str], k: int, rng: np.random.Generator) -> tuple[list[tuple[np.ndarray, float, float]], float]:
-        """At most ``k`` different segmentations ``(arcs, log probability, perturbed)``, best first, and the next bound."""
-        starts = np.array([self.start[w] for w in words], np.int64)
-        bound = float(-np.log(rng.exponential()))
-        arcs, counts = self.draw(starts, rng)
-        paths = [_Path(self, arcs, np.repeat(np.arange(len(words)), counts), 0, bound, rng)]
-        found = [(arcs, paths[0].total, bound)]
-        while True:
-            best = max(paths, key=lambda p: p.best)
-            if len(found) == k or best.best == -np.inf:
-                return found, best.best
-            bound, d = best.best, best.where
-            arc = best.split(d, bound, rng)
-            word, after = int(best.word[d]), int(self.to[arc])
-            rest = starts[word + 1:] if after < 0 else np.concatenate(([after], starts[word + 1:]))
-            tail, counts = self.draw(rest, rng)
-            words_of = np.repeat(np.arange(word + (after < 0), word + (after < 0) + len(rest)), counts)
-            path = _Path(self, np.concatenate((best.arcs[:d], [arc], tail)),
-                         np.concatenate((best.word[:d], [word], words_of)), d + 1, bound, rng)
-            paths.append(path)
-            found.append((path.arcs, path.total, bound))
-
-
-class _Path:
-    """One leaf of the tree, with the bounds of the siblings left behind at each of its own decisions."""
-
-    def __init__(self, of: Lattices, arcs: np.ndarray, word: np.ndarray, own: int, bound: float, rng: np.random.Generator):
-        self.of, self.arcs, self.word = of, arcs, word
-        logp = of.logp[arcs]
-        after = np.cumsum(logp)
-        self.before = after - logp
-        self.total = float(after[-1]) if len(after) else 0.0
-        self.taken: dict[int, list[int]] = {}
+    def top(self, texts: list[list[str]], seeds: np.ndarray, k: int) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+        """Per text at most ``k`` different segmentations ``(arcs, log probability, perturbed)``, best first, and the next bound.
+
+        Texts are drawn together; the random numbers of each come from its own seed.
+        """
+        starts = [np.fromiter(map(self.start.__getitem__, words), np.int32, len(words)) for words in texts]
+        trees = [_Tree(self, s, int(seed)) for s, seed in zip(starts, seeds)]
+        wanted = [(t, None, 0, -1, t.starts, 0) for t in trees]
+        for _ in range(k):
+            self._grow(wanted)
+            wanted = [w for w in (t.next() for t in trees) if w] if len(trees) else []
+        # what was taken beyond k only told the next bound
+        return [(t.found[:k], t.bound) for t in trees]
+
+    def _grow(self, wanted: list[tuple]) -> None:
+        """Draw the rest of every path asked for, and bound the siblings along it."""
+        if not wanted:
+            return
+        sizes = np.array([len(w[4]) for w in wanted])
+        salt = np.array([w[0].salt() for w in wanted], np.uint64)
+        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = _mix64(np.repeat(salt, sizes) + place.astype(np.uint64) * _GOLD)
+        arcs, counts = self.draw(np.concatenate([w[4] for w in wanted]), own)
+        ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(sizes)))]
+        logp = self.logp[arcs].astype(np.float64)
+        lengths = np.diff(ends)
+        # summed text by text, so that what a text shares its slice with does not show in the last digits
+        before = -logp
+        for w, lo, hi in zip(wanted, ends[:-1], ends[1:]):
+            before[lo:hi] += np.cumsum(logp[lo:hi]) + w[0].log_before(w)
+        loc = before + self.rest[arcs]
         with np.errstate(divide="ignore"):
-            loc = self.before + np.log(-np.expm1(logp))
-        loc[:own] = -np.inf
-        self.group = _truncated(loc, bound, rng.exponential(size=len(loc)))
-        self._look()
-
-    def _look(self) -> None:
-        self.where = int(self.group.argmax()) if len(self.group) else 0
-        self.best = float(self.group[self.where]) if len(self.group) else -np.inf
-
-    def split(self, d: int, bound: float, rng: np.random.Generator) -> int:
-        """Take one of the siblings at decision ``d``; the others stay behind under ``bound``."""
-        of, mine = self.of, int(self.arcs[d])
-        node = np.ceil(of.cum[mine]) - 1
-        lo, hi = np.searchsorted(of.cum, [node, node + 1], side="right")
-        p = np.exp(of.logp[lo:hi])
-        gone = self.taken.setdefault(d, [mine])
+            e = -np.log(1.0 - _uniform(np.repeat(_mix64(salt + np.uint64(1)), lengths) + np.arange(len(logp), dtype=np.uint64) * _GOLD
+                                       - np.repeat(ends[:-1].astype(np.uint64) * _GOLD, lengths), 1).astype(np.float64))
+        group = _truncated(loc, np.repeat(np.array([w[0].bound for w in wanted]), lengths), e)
+        words = np.repeat(place, counts)
+        for w, lo, hi in zip(wanted, ends[:-1], ends[1:]):
+            w[0].take(w, arcs[lo:hi], words[lo:hi], logp[lo:hi], before[lo:hi], group[lo:hi])
+
+
+_GOLD, _ALL = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
+
+
+def _mix64(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(seeds: np.ndarray, step: int) -> np.ndarray:
+    """Numbers in [0, 1), a function of seed and step only."""
+    return (_mix64(seeds + np.uint64(step * 0x9E3779B97F4A7C15 & _ALL)) >> np.uint64(11)) * 2.0 ** -53
+
+
+class _Tree:
+    """The search tree of one text: its leaves so far, and the siblings left behind at their decisions."""
+
+    def __init__(self, of: Lattices, starts: np.ndarray, seed: int):
+        self.of, self.starts, self.seed, self.drawn = of, starts, seed, 0
+        self.bound = float(-np.log(-np.log(max(self._one(), 1e-300))))
+        self.paths: list[dict] = []
+        self.found: list[tuple[np.ndarray, float, float]] = []
+
+    def salt(self) -> int:
+        """The next number of this text's own sequence."""
+        self.drawn += 1
+        x = self.seed + self.drawn * 0x632BE59BD9B4E019 & _ALL
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
+        return x ^ x >> 31
+
+    def _one(self) -> float:
+        return (self.salt() >> 11) * 2.0 ** -53
+
+    def log_before(self, wanted: tuple) -> float:
+        _, path, d, arc, _, _ = wanted
+        return 0.0 if path is None else float(path["before"][d] + self.of.logp[arc])
+
+    def take(self, wanted: tuple, arcs, words, logp, before, group) -> None:
+        """A new leaf: the prefix of the path it leaves, the arc taken instead, and what was drawn."""
+        _, path, d, arc, _, word = wanted
+        if path is None:
+            own = {"arcs": arcs, "word": words, "before": before, "group": group}
+        else:
+            at = path["before"][d]
+            own = {"arcs": np.concatenate((path["arcs"][:d], np.array([arc], np.int32), arcs)),
+                   "word": np.concatenate((path["word"][:d], [path["word"][d]], words + word)),
+                   "before": np.concatenate((path["before"][:d], [at], before)),
+                   "group": np.concatenate((np.full(d + 1, -np.inf), group))}
+        own["taken"] = {}
+        last = len(own["arcs"])
+        total = float(own["before"][-1] + self.of.logp[own["arcs"][-1]]) if last else 0.0
+        self._look(own)
+        self.paths.append(own)
+        self.found.append((own["arcs"], total, self.bound))
+
+    @staticmethod
+    def _look(path: dict) -> None:
+        path["where"] = int(path["group"].argmax()) if len(path["group"]) else 0
+        path["best"] = float(path["group"][path["where"]]) if len(path["group"]) else -np.inf
+
+    def next(self) -> tuple | None:
+        """Leave the best path for the siblings with the largest bound; None if no segmentation is left."""
+        if not self.paths or self.bound == -np.inf:
+            return None
+        path = max(self.paths, key=lambda p: p["best"])
+        self.bound = path["best"]
+        if self.bound == -np.inf:
+            return None
+        of, d = self.of, path["where"]
+        mine = int(path["arcs"][d])
+        node = int(np.searchsorted(of.first[:of.nodes], np.int32(mine), side="right")) - 1
+        lo, hi = int(of.first[node]), int(of.first[node + 1])
+        p = np.exp(of.logp[lo:hi].astype(np.float64))
+        gone = path["taken"].setdefault(d, [mine])
         p[np.array(gone) - lo] = 0
-        pick = int(lo + rng.choice(hi - lo, p=p / p.sum()))
-        p[pick - lo] = 0
+        run = np.cumsum(p)
+        pick = lo + int(min(np.searchsorted(run, self._one() * run[-1], side="right"), np.flatnonzero(p)[-1]))
         gone.append(pick)
+        p[pick - lo] = 0
         left = p.sum()
-        loc = np.array([self.before[d] + np.log(left) if left > 0 else -np.inf])
-        self.group[d] = _truncated(loc, bound, rng.exponential(size=1))[0]
-        self._look()
-        return pick
+        loc = np.array([path["before"][d] + np.log(left) if left > 0 else -np.inf])
+        path["group"][d] = _truncated(loc, self.bound, -np.log(max(self._one(), 1e-300)))[0]
+        self._look(path)
+        word, after = int(path["word"][d]), int(of.to[pick])
+        rest = self.starts[word + 1:] if after < 0 else np.concatenate((np.array([after], np.int32), self.starts[word + 1:]))
+        return self, path, d, pick, rest, word + (after < 0)
 
 
 def _truncated(loc: np.ndarray, bound: float, e: np.ndarray) -> np.ndarray:
@@ -330,29 +409,25 @@ def _sampled(of: Lattices, keys: pa.Array, texts: list[str], samples: int, seed:
         of.clear()
     cut = [of.words(t) for t in texts]
     of.add(w for words in cut for w in words)
-    row, rank, ids, logp, perturbed, inclusion, restored = [], [], [], [], [], [], []
-    for i, (text, words) in enumerate(zip(texts, cut)):
-        rng = np.random.Generator(np.random.PCG64(zlib.crc32(f"{seed}:{keys[i].as_py()}".encode())))
-        found, kappa = of.top(words, samples, rng)
+    seeds = np.array([zlib.crc32(f"{seed}:{k}".encode()) | zlib.crc32(f"{k}:{seed}".encode()) << 32 for k in keys.to_pylist()], np.uint64)
+    row, rank, ids, logp, perturbed, inclusion = [], [], [], [], [], []
+    for i, (found, kappa) in enumerate(of.top(cut, seeds, samples)):
         for r, (arcs, lp, g) in enumerate(found):
-            got = of.ids(arcs)
             row.append(i)
             rank.append(r)
-            ids.append(got.astype("<u4").tobytes())
+            ids.append(of.ids(arcs))
             logp.append(lp)
             perturbed.append(g)
             inclusion.append(_log_inclusion(lp, kappa))
-            restored.append(of.sp.decode(got.tolist()) == text)
+    restored = [back == texts[i] for i, back in zip(row, of.sp.decode([x.tolist() for x in ids]) if ids else [])]
     return pa.RecordBatch.from_arrays(
-        [keys.take(pa.array(row, pa.int64())), pa.array(rank, pa.int32()), pa.array(ids, pa.binary()), pa.array(logp, pa.float64()),
-         pa.array(perturbed, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(restored, pa.bool_())],
+        [keys.take(pa.array(row, pa.int64())), pa.array(rank, pa.int32()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+         pa.array(logp, pa.float64()), pa.array(perturbed, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(restored, pa.bool_())],
         names=["key", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "restored"])
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text of little-endian unsigned 32-bit piece ids; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sp = _lattices(path, SHARPNESS).sp
