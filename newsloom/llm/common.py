@@ -22,6 +22,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Keys of two numbers up to this many rows (under 64 MB as a hash table) are sent to every task.
+FEW_KEYS = 500_000
+
+
+def few(keys: DataFrame, name: str, limit: int = FEW_KEYS) -> DataFrame:
+    """A settled table of keys, to be broadcast if it has at most ``limit`` rows, so that texts stay where they are."""
+    keys = settle(keys, name)
+    return F.broadcast(keys) if keys.count() <= limit else keys
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 5; fold 0 is held out.  A null id counts as fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))

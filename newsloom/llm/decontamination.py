@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import few
+
 # Positions a seed keeps.  The first mask alone meets every window of SPAN words with two substitutions.
 MASKS = ((0, 1, 4, 6, 7), (0, 1, 3, 6, 7))
 REACH = 8
@@ -76,6 +78,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
     found = overlaps(docs, benchmark).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    found = few(found, "contaminated")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     return docs.join(found, same, "left_anti")
 

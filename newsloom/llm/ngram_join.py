@@ -28,7 +28,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, settle
+from .common import components, few, settle
 
 WIDTH = 5
 # similarity as a ratio of whole numbers: PART * |union| <= WHOLE * |intersection|
@@ -406,6 +406,7 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, part: int = PART, whol
             .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     again = (named.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
              .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")))
+    gone, again = few(gone, "gone"), few(again, "repeats")
     kept = docs.withColumn("__text", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
     kept = kept.join(gone, same, "left_anti")
