@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,7 +22,8 @@ from .nearest import PRODUCT_BYTES, SLAB_BYTES, slabs
 LLOYD_STEPS = 3
 # A split that leaves one side with less than this share is moved to the median.
 LEAST_SHARE = 0.1
-MAX_LEVELS = 60
+# Levels beyond those that splits at the least share need: medians are approximate.
+SPARE_LEVELS = 10
 # Clusters split in one pass: their centres, two each, stay within these bytes.
 CENTRE_BYTES = 64 << 20
 
@@ -41,14 +43,18 @@ def size_bounded_clusters(df: DataFrame, key: str, max_size: int, dim: int, grou
     active = df.select(key, "vec", start.alias("cluster")).checkpoint()
     done: list[DataFrame] = []
     per_pass = max(1, CENTRE_BYTES // (16 * dim))
-    for level in range(MAX_LEVELS + 1):
+    level, levels = 0, None
+    while True:
         sizes = active.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n"))
+        if levels is None:  # a level leaves at most this share of a cluster together
+            largest = sizes.agg(F.coalesce(F.max("__n"), F.lit(0))).head()[0]
+            levels = SPARE_LEVELS + math.ceil(math.log(max(1.0, largest / max_size)) / -math.log(1 - LEAST_SHARE))
         over = sizes.filter(F.col("__n") > max_size).select("cluster")
         done.append(active.join(over, "cluster", "left_anti"))
         todo = over.orderBy("cluster").limit(per_pass).collect()
         if not todo:
             break
-        if level == MAX_LEVELS:
+        if level == levels:
             raise RuntimeError("clusters did not shrink")
         halves = []
         while todo:
@@ -57,6 +63,7 @@ def size_bounded_clusters(df: DataFrame, key: str, max_size: int, dim: int, grou
             todo = over.filter(F.col("cluster") > labels[-1]).orderBy("cluster").limit(per_pass).collect() \
                 if len(labels) == per_pass else []
         active = reduce(DataFrame.unionByName, halves).checkpoint()
+        level += 1
     return reduce(DataFrame.unionByName, done).select(key, "vec", "cluster")
 
 
