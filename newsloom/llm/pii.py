@@ -132,8 +132,9 @@ def disclosures(found: DataFrame, docs: DataFrame, broadcast_rows: int = BROADCA
     if wanted.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
     total = docs.count()
-    held = (docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).join(wanted, "term")
-            .groupBy("term").agg(F.count(F.lit(1)).alias("documents")))
+    # counted first: a frequent word is one row per task before it meets anything
+    held = (docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
+            .groupBy("term").agg(F.count(F.lit(1)).alias("documents")).join(wanted, "term"))
     out = pairs.join(entities, "entity").join(held, "term")
     bits = F.log2(F.col("together") / F.col("contexts") / (F.col("documents") / F.lit(float(max(total, 1)))))
     share = F.least(F.lit(1.0), F.col("together") / F.col("documents"))
