@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
@@ -11,12 +13,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def _release(spark: SparkSession) -> None:
+    """Let go of the shuffles behind tables settled earlier.
+
+    Spark deletes shuffle files once the driver has collected the plans they
+    belong to; on a driver that is seldom short of memory this may be long
+    after the last use, while disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared scratch folder and read again.
 
     Cuts the lineage with files every executor can read; a lost executor costs
     only the tasks it ran.
     """
+    _release(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
