@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ SHARPNESS = 2.0
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 # Lattice positions kept before a worker starts anew.
-KEPT = 3_000_000
+KEPT = 2_000_000
 # Characters of text compiled at a time.
 SLICE = 1 << 20
 
@@ -56,6 +56,17 @@ def _prefix_tables(pieces: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
+class _Starts(dict):
+    """Where words start.  A new one gets a number below zero: its place among those to compile."""
+
+    fresh: list[str]
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = -len(self.fresh)
+        return -len(self.fresh)
+
+
 class Lattices:
     """Word lattices of one worker in flat arrays.
 
@@ -83,16 +94,16 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.start: dict[str, int] = {}
+        self.start = _Starts()
         self.nodes = self.arcs = 0
         self.cum, self.logp, self.rest = (np.zeros(1 << 16, np.float32) for _ in range(3))
         self.piece, self.to, self.first = (np.zeros(1 << 16, np.int32) for _ in range(3))
 
     def _append(self, name: str, at: int, x: np.ndarray) -> None:
-        """Write ``x`` into an array from ``at`` on; the array doubles when it is full."""
+        """Write ``x`` into an array from ``at`` on; a full array grows by a quarter."""
         held = getattr(self, name)
         if at + len(x) > len(held):
-            held = np.concatenate((held, np.zeros(max(at + len(x), len(held)), held.dtype)))
+            held = np.concatenate((held, np.zeros(max(at + len(x) - len(held), len(held) // 4), held.dtype)))
             setattr(self, name, held)
         held[at:at + len(x)] = x
 
@@ -134,11 +145,19 @@ class Lattices:
         # longest pieces first
         return np.concatenate(source[::-1]), np.concatenate(target[::-1]), np.concatenate(piece[::-1])
 
-    def add(self, words: Iterable[str]) -> None:
-        """Compile the words not known yet."""
-        fresh = [w for w in dict.fromkeys(words) if w not in self.start]
-        if not fresh:
-            return
+    def starts(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Per text the lattice positions its words start at; words met for the first time are compiled."""
+        self.start.fresh = []
+        out = [np.fromiter(map(self.start.__getitem__, words), np.int32, len(words)) for words in texts]
+        if self.start.fresh:
+            placed = self._compile(self.start.fresh)
+            for x in out:
+                new = np.flatnonzero(x < 0)
+                x[new] = placed[-x[new] - 1]
+        return out
+
+    def _compile(self, fresh: list[str]) -> np.ndarray:
+        """Add the lattices of new words; returns where each starts."""
         codes = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         sizes = np.array([len(w) for w in fresh])
         base = len(codes)
@@ -179,8 +198,10 @@ class Lattices:
         for name, x in (("cum", cum), ("logp", np.minimum(logp, 0.0)), ("rest", rest), ("piece", piece), ("to", np.where(target >= 0, target + at, -1))):
             self._append(name, self.arcs, x)
         self.arcs += len(cum)
-        self.start.update(zip(fresh, (number[np.cumsum(sizes) - sizes] + at).tolist()))
         self.nodes += base
+        placed = number[np.cumsum(sizes) - sizes] + at
+        self.start.update(zip(fresh, placed.tolist()))
+        return placed
 
     def draw(self, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random path from every start to its word's end: arcs in order, and how many each start has."""
@@ -221,8 +242,7 @@ class Lattices:
 
         Texts are drawn together; the random numbers of each come from its own seed.
         """
-        starts = [np.fromiter(map(self.start.__getitem__, words), np.int32, len(words)) for words in texts]
-        trees = [_Tree(self, s, int(seed)) for s, seed in zip(starts, seeds)]
+        trees = [_Tree(self, s, int(seed)) for s, seed in zip(self.starts(texts), seeds)]
         wanted = [(t, None, 0, -1, t.starts, 0) for t in trees]
         for _ in range(k):
             self._grow(wanted)
@@ -383,10 +403,13 @@ def sample_segmentations(docs: DataFrame, path: str, key: str = "doc_id", text:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _lattices(path, sharpness)
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            for lo, hi in _slices(texts):
-                yield _sampled(of, batch.column(0).slice(lo, hi - lo), texts[lo:hi], samples, seed)
+        try:
+            for batch in batches:
+                texts = [t.as_py() or "" for t in batch.column(1)]
+                for lo, hi in _slices(texts):
+                    yield _sampled(of, batch.column(0).slice(lo, hi - lo), texts[lo:hi], samples, seed)
+        finally:
+            of.clear()  # the worker may serve other operators next
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(
@@ -408,7 +431,6 @@ def _sampled(of: Lattices, keys: pa.Array, texts: list[str], samples: int, seed:
     if of.nodes > KEPT:
         of.clear()
     cut = [of.words(t) for t in texts]
-    of.add(w for words in cut for w in words)
     seeds = np.array([zlib.crc32(f"{seed}:{k}".encode()) | zlib.crc32(f"{k}:{seed}".encode()) << 32 for k in keys.to_pylist()], np.uint64)
     row, rank, ids, logp, perturbed, inclusion = [], [], [], [], [], []
     for i, (found, kappa) in enumerate(of.top(cut, seeds, samples)):

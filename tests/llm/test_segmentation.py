@@ -28,7 +28,6 @@ def spellings(of, word):
 def test_drawn_without_replacement():
     of = s.Lattices(PATH)
     words = of.words("the cat")
-    of.add(words)
     a, b = (spellings(of, w) for w in words)
     weight = {x + y: np.exp(p + q) for x, p in a.items() for y, q in b.items()}
     share = {k: v / sum(weight.values()) for k, v in weight.items()}
