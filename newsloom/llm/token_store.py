@@ -37,7 +37,7 @@ GAMMA, LEVELS = 2.0, 40
 WORDS_KEPT = 800_000
 SLICE = 4 << 20
 READ = 8 << 20
-_INNER_SPACE = re.compile(r" \s| $")
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?= \S)")
 
 
@@ -45,11 +45,17 @@ def width_of(vocabulary: int, end: int) -> int:
     return 2 if max(vocabulary, end + 1) <= 1 << 16 else 4
 
 
+def _plain_spaces(text: str) -> bool:
+    """Only single spaces, each before a word, and single line ends."""
+    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text.endswith(" ") or _OTHER_SPACE.search(text))
+
+
 class Encoder:
     """Whole texts to ids, through the ids of the stretches between spaces.
 
-    The tokenizer never joins characters over a space that a word follows, so a
-    text is cut there, and a stretch met before is not encoded again.
+    The tokenizer never joins characters over a space that a word follows, nor
+    over a single line end, so a text is cut there, and a stretch met before is
+    not encoded again.
     """
 
     def __init__(self, path: str, end: int):
@@ -63,22 +69,33 @@ class Encoder:
         self.end = np.array([end], self.kind).tobytes()
         self.after: dict[str, bytes] = {}   # stretches that follow a space, without it
         self.plain: dict[str, bytes] = {}   # others, as they are
+        self.line = self._bytes("\n")
+
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self.of.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut, after, plain = [], set(), set()
         for text in texts:
-            if _INNER_SPACE.search(text):
+            if _plain_spaces(text):
+                lines = [line.split(" ") for line in text.split("\n")]
+                for words in lines:
+                    plain.add(words[0])
+                    after.update(words[1:])
+                cut.append(lines)
+            else:
                 parts = _CUT.split(text)
                 plain.update(parts)
-                cut.append((parts, ()))
-            else:
-                first, *rest = text.split(" ")
-                plain.add(first)
-                after.update(rest)
-                cut.append(((first,), rest))
+                cut.append(parts)
         self._keep(self.after, after, " ")
         self._keep(self.plain, plain, "")
-        return [b"".join(map(self.plain.__getitem__, a)) + b"".join(map(self.after.__getitem__, b)) + self.end for a, b in cut]
+        return [self._joined(parts) + self.end for parts in cut]
+
+    def _joined(self, parts: list) -> bytes:
+        plain, after = self.plain, self.after.__getitem__
+        if parts and isinstance(parts[0], str):
+            return b"".join(map(plain.__getitem__, parts))
+        return self.line.join([plain[words[0]] + b"".join(map(after, words[1:])) for words in parts])
 
     def _keep(self, held: dict[str, bytes], wanted: set[str], before: str) -> None:
         """Learn what is not held; a full cache keeps only what is wanted now."""
@@ -86,8 +103,8 @@ class Encoder:
         if len(held) + len(fresh) > WORDS_KEPT:
             held.clear()
             fresh = list(wanted)
-        got = self.of.encode_batch_fast([before + w for w in fresh], add_special_tokens=False)
-        held.update(zip(fresh, (np.array(e.ids, self.kind).tobytes() for e in got)))
+        got = self.of.encode_batch_fast([before + w for w in fresh] if before else fresh, add_special_tokens=False)
+        held.update((w, np.fromiter(ids, self.kind, len(ids)).tobytes()) for w, ids in zip(fresh, (e.ids for e in got)))
 
 
 _encoders: dict[tuple, Encoder] = {}
