@@ -26,6 +26,8 @@ SAMPLE_ROWS = 8000
 # A term counts if it is in so many sampled rows and its log odds differ from zero by so many deviations.
 LEAST_ROWS = 5
 LEAST_Z = 3.0
+# A pair of terms counts if, weights of single terms granted, chance gives as clear a pair anywhere in the sample this seldom.
+PAIR_CHANCE = 0.05
 # Terms a worker keeps the bucket of.
 CACHE = 1 << 20
 
@@ -96,20 +98,75 @@ def screened(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.flatnonzero((pos + neg >= LEAST_ROWS) & (z >= LEAST_Z))
 
 
+def _own(rows: list[np.ndarray], kept: np.ndarray) -> list[np.ndarray]:
+    """Places in ``kept`` of the buckets of every row, ascending."""
+    place = np.full(BUCKETS, -1, np.int64)
+    place[kept] = np.arange(len(kept))
+    return [np.sort(p[p >= 0]) for p in (place[r] for r in rows)]
+
+
+def paired(rows: list[np.ndarray], labels: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs whose rows have other labels than ``expected``, the probabilities by single terms.
+
+    All pairs of terms in enough rows are tried.  For n rows with mean
+    expectation p and k positive labels, chance gives such a k with probability
+    exp(-n KL(k/n, p)) at most; that, times the number of pairs, is the bound.
+    """
+    if not rows:
+        return np.zeros(0, np.int64)
+    terms = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=BUCKETS) >= LEAST_ROWS)
+    own, m = _own(rows, terms), len(terms)
+    least = np.log(max(1.0, m * (m - 1.0)) / PAIR_CHANCE)
+    sizes = np.array([len(o) for o in own])
+    flat = np.concatenate(own) if m else np.zeros(0, np.int64)
+    # a term's places in ``flat``, and the end of the row each is in
+    places, ends = np.argsort(flat, kind="stable"), np.repeat(np.cumsum(sizes), sizes)
+    of = np.repeat(np.arange(len(own)), sizes)
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=m))))
+    clear = np.zeros(m, bool)
+    for i in range(m):
+        n, k, e = np.zeros(m), np.zeros(m), np.zeros(m)
+        for at in range(bounds[i], bounds[i + 1], 256):
+            here = places[at:min(at + 256, bounds[i + 1])]
+            others = np.concatenate([flat[a + 1:b] for a, b in zip(here, ends[here])])
+            which = np.repeat(of[here], ends[here] - here - 1)
+            n += np.bincount(others, minlength=m)
+            k += np.bincount(others, labels[which], m)
+            e += np.bincount(others, expected[which], m)
+        js = np.flatnonzero(n >= LEAST_ROWS)
+        n, k, e = n[js], k[js], e[js]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stat = np.where(k > 0, k * np.log(k / e), 0) + np.where(n > k, (n - k) * np.log((n - k) / (n - e)), 0)
+        js = js[stat >= least]
+        clear[js] = True
+        clear[i] |= len(js) > 0
+    return terms[clear]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 30, rate: float = 0.1,
         decay: float = 1e-4, batch: int = 128, seed: int = 7) -> Model:
     """Logistic loss by AdaGrad over shuffled batches.  No labels, or one class only: the constant rate."""
     base = (labels.sum() + .5) / (len(labels) + 1.0)
     w0 = float(np.log(base / (1 - base)))
+    options = rate, decay, batch, seed
     kept = screened(rows, labels)
+    # single terms alone, to see which pairs say more
+    own, alone = _own(rows, kept), _descend(rows, labels, kept, w0, 0, epochs, *options)
+    sizes = np.array([len(o) for o in own], np.int64)
+    flat = np.concatenate(own) if sizes.sum() else np.zeros(0, np.int64)
+    expected = np.clip(sigmoid(logits(alone.w0, alone.w, alone.v, flat, sizes)), .01, .99)
+    kept = np.union1d(kept, paired(rows, labels, expected))
+    return _descend(rows, labels, kept, w0, factors, epochs, *options)
+
+
+def _descend(rows: list[np.ndarray], labels: np.ndarray, kept: np.ndarray, w0: float, factors: int, epochs: int,
+             rate: float, decay: float, batch: int, seed: int) -> Model:
     rng = np.random.default_rng(seed)
     n = len(kept)
     w, v = np.zeros(n), rng.normal(0, 0.01, (n, factors))
     if n == 0:
         return Model(kept, w0, w, v)
-    place = np.full(BUCKETS, -1, np.int64)
-    place[kept] = np.arange(n)
-    own = [p[p >= 0] for p in (place[r] for r in rows)]
+    own = _own(rows, kept)
     gw, gv, g0 = np.full(n, 1e-8), np.full((n, factors), 1e-8), 1e-8
     for _ in range(epochs):
         order = rng.permutation(len(own))

@@ -36,6 +36,27 @@ def test_pairs_that_no_linear_weight_catches():
     assert (got == labels).mean() > 0.95
 
 
+def test_terms_that_say_something_only_in_a_pair():
+    """The same with the production constants, in prose where neither of two words leans to a label by itself."""
+    rng = np.random.default_rng(5)
+    group, insult = fm.bucket("group"), fm.bucket("insult")
+    rows, labels = [], []
+    for i in range(1200):
+        a, b = i % 2, i // 2 % 2
+        own = {fm.bucket(f"w{x}") for x in rng.choice(400, 30, replace=False)} | ({group} if a else set()) | ({insult} if b else set())
+        rows.append(np.array(sorted(own), np.int64))
+        labels.append(float(a == b))
+    labels = np.array(labels)
+    assert not {group, insult} & set(fm.screened(rows[:900], labels[:900]).tolist())
+    model = fm.fit(rows[:900], labels[:900])
+    assert {group, insult} <= set(model.buckets.tolist())
+    own = fm._own(rows[900:], model.buckets)
+    got = fm.logits(model.w0, model.w, model.v, np.concatenate(own), np.array([len(o) for o in own])) > 0
+    assert (got == labels[900:]).mean() > 0.95
+    # labels by chance: no pair is taken for one
+    assert len(fm.paired(rows, rng.integers(0, 2, 1200).astype(float), np.full(1200, .5))) == 0
+
+
 def corpus(spark):
     rows = [(i, prose(40, i) + (" you utter blockhead" if i % 4 == 0 else "")) for i in range(400)]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
