@@ -130,7 +130,8 @@ def scan(text: str, templates: list[Template], coverage: float = COVERAGE, densi
     """``(name, start, end, n_words, coverage)`` of all places where a template is found, by place.
 
     Around each key word a window of four times the template is aligned; after
-    a find the search goes on behind it.
+    a find the search goes on in the words before it, as a later copy may be
+    found first, and behind it.
     """
     spans = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text.lower())]
     if len(text.lower()) != len(text):  # lower case of another length: places of the text as it is
@@ -138,16 +139,19 @@ def scan(text: str, templates: list[Template], coverage: float = COVERAGE, densi
     words = [s[0] for s in spans]
     found = []
     for t in templates:
-        m, done = len(t.words), 0
-        for h in (k for k, w in enumerate(words) if w in t.keys):
-            if h < done:
-                continue
-            lo = max(done, h - m)
-            pairs = _tight(align(t.words, words[lo:h + 3 * m]), density)
-            if len(pairs) >= coverage * m - 1e-9:
-                first, last = lo + pairs[0][1], lo + pairs[-1][1]
-                found.append((t.name, spans[first][1], spans[last][2], len(pairs), len(pairs) / m))
-                done = last + 1
+        m, keys = len(t.words), [k for k, w in enumerate(words) if w in t.keys]
+        # open stretches, and the first word of each whose window was not aligned as it is now
+        todo = [(0, len(words), 0)] if keys else []
+        while todo:
+            start, end, new = todo.pop()
+            for h in keys[bisect_left(keys, new):bisect_left(keys, end)]:
+                lo = max(start, h - m)
+                pairs = _tight(align(t.words, words[lo:min(end, h + 3 * m)]), density)
+                if len(pairs) >= coverage * m - 1e-9:
+                    first, last = lo + pairs[0][1], lo + pairs[-1][1]
+                    found.append((t.name, spans[first][1], spans[last][2], len(pairs), len(pairs) / m))
+                    todo += [(start, first, max(start, first - 3 * m + 1)), (last + 1, end, last + 1)]
+                    break
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 

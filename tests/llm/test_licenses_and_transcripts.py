@@ -41,6 +41,19 @@ def test_places_of_licenses(spark):
     assert [x[2] for x in got[:2]] == at and texts[6][got[5][2]:got[5][3]] == "Licensed under CC BY-NC 4.0"
 
 
+def test_an_altered_copy_before_a_better_one():
+    made = [licenses.Template("MIT", licenses.TEMPLATES["MIT-notice"], licenses.COVERAGE)]
+    worn, good = "Released under the BSD ish MIT License.", "Released under the MIT License."
+    for lines in ([worn, good], [worn, worn, good], [good, worn, good], [prose(40, 1), worn, prose(3, 2), good, worn, prose(40, 3), good]):
+        text, want, at = " ".join(lines), [], 0
+        for line in lines:
+            if line in (worn, good):
+                want.append((at, at + len(line) - 1))
+            at += len(line) + 1
+        assert [x[1:3] for x in licenses.scan(text, made)] == want
+        assert all(x[3:] == (5, 1.0) for x in licenses.scan(text, made))
+
+
 def test_awkward_rows(spark):
     docs, _ = awkward(spark)
     assert licenses.find_licenses(docs).count() == 0 and licenses.find_licenses(no_rows(spark)).count() == 0
