@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settle
+from .common import few, settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # Characters on either side of an entity that make its context.
@@ -24,7 +24,7 @@ CONTEXT = 80
 LEAST_CONTEXTS = 3
 # if it is so many times (in bits) likelier there than in any document,
 LEAST_BITS = 5.0
-# and if at least this share of the documents that hold the term are documents near the entity.
+# and if at least this share of the different texts that hold the term hold the entity too.
 LEAST_SHARE = 0.5
 # From this share on the term is removed, below it is generalised.
 REMOVE_SHARE = 0.9
@@ -115,8 +115,16 @@ def disclosures(found: DataFrame, docs: DataFrame, broadcast_rows: int = BROADCA
 
     ``found(text, base)`` holds the texts with base spans.  Copies of a context
     count once, so a term near an entity in one passage that is repeated in
-    many documents discloses nothing.
+    many documents discloses nothing.  Copies of a text count once on both
+    sides of the share: a row weighs one over the copies of its text.
     """
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    copied = few(docs.groupBy(hashed.alias("__copy")).agg(F.count(F.lit(1)).alias("__copies")).filter("__copies > 1"), "copied-texts")
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        return (rows.join(copied, hashed == F.col("__copy"), "left")
+                .withColumn("weight", F.lit(1.0) / F.coalesce("__copies", F.lit(1))).drop("__copy", "__copies"))
+
     each = found.select("text", F.explode("base").alias("s"))
     from_ = F.greatest(F.col("s.start") - CONTEXT, F.lit(0))
     left = F.expr("regexp_replace(substring(text, from + 1, s.start - from), if(from > 0, '^[\\\\p{L}\\\\p{N}]+', '^$'), '')")
@@ -128,16 +136,23 @@ def disclosures(found: DataFrame, docs: DataFrame, broadcast_rows: int = BROADCA
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= LEAST_CONTEXTS)
     pairs = settle(pairs, "near-terms")
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("contexts"))
-    wanted = pairs.select("term").distinct()
+    wanted, candidates = pairs.select("term").distinct(), pairs.groupBy("entity").agg(F.collect_list("term").alias("near"))
     if wanted.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
-    total = docs.count()
+    if pairs.count() <= broadcast_rows:
+        candidates = F.broadcast(candidates)
+    total = docs.count() - (copied.agg(F.sum(F.col("__copies") - 1)).first()[0] or 0)
     # counted first: a frequent word is one row per task before it meets anything
-    held = (docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
-            .groupBy("term").agg(F.count(F.lit(1)).alias("documents")).join(wanted, "term"))
-    out = pairs.join(entities, "entity").join(held, "term")
-    bits = F.log2(F.col("together") / F.col("contexts") / (F.col("documents") / F.lit(float(max(total, 1)))))
-    share = F.least(F.lit(1.0), F.col("together") / F.col("documents"))
+    held = (weighed(docs.select("text")).select("weight", F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
+            .groupBy("term").agg(F.round(F.sum("weight")).alias("texts")).join(wanted, "term"))
+    # the whole text counts, not only what is near
+    of = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["value"])))
+    both = (weighed(found.select("text", "base")).select("weight", _terms(F.col("text")).alias("terms"), F.explode(of).alias("entity"))
+            .join(candidates, "entity").select("entity", "weight", F.explode(F.array_intersect("near", "terms")).alias("term"))
+            .groupBy("entity", "term").agg(F.round(F.sum("weight")).alias("shared")))
+    out = pairs.join(entities, "entity").join(held, "term").join(both, ["entity", "term"])
+    bits = F.log2(F.col("together") / F.col("contexts") / (F.col("texts") / F.lit(float(max(total, 1)))))
+    share = F.least(F.lit(1.0), F.col("shared") / F.col("texts"))
     return (out.select("entity", "term", bits.alias("bits"), share.alias("share"))
             .filter((F.col("bits") >= LEAST_BITS) & (F.col("share") >= LEAST_SHARE)))
 

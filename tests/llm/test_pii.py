@@ -57,6 +57,22 @@ def test_terms_that_give_an_entity_away(spark):
     assert "unusualword [EMAIL]" in clean[900]
 
 
+def test_copies_and_distance_do_not_lower_the_share(spark):
+    # six passages, each three times; a name far from the address in most texts that hold both; one passage in many texts
+    rows = [f"{prose(20, i)} zanzibar jo.doe@mail.org {prose(20, 50 + i)}" for i in range(6)] * 3
+    rows += [f"{prose(20, 100 + i)} quillfeather {prose(20 if i > 2 else 2, 150 + i)} al.ly@mail.org {prose(20, 200 + i)}" for i in range(12)]
+    rows += [f"{prose(20, 300 + i)} {prose(20, 77) if i > 2 else ''} marigold bo.bby@mail.org {prose(20, 78)}" for i in range(40)]
+    # half of what holds the word is without the address; copies of either half change nothing
+    rows += [f"{prose(20, 400 + i)} sometimes cy.an@mail.org {prose(20, 450 + i)}" for i in range(4)] * 5
+    rows += [f"{prose(20, 500 + i)} sometimes {prose(20, 550 + i)}" for i in range(4)] + [prose(40, 600 + i) for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for broadcast_rows in (0, pii.BROADCAST_TERMS):
+        terms = {r.term: r.share for r in pii.disclosures(
+            pii.find_private(docs).filter("size(base) > 0").select("text", "base"), docs, broadcast_rows).collect()}
+        assert terms == {"zanzibar": 1.0, "quillfeather": 1.0, "marigold": 1.0, "sometimes": 0.5}
+    assert not any(w in r.text for r in pii.sanitise(docs).collect() for w in ("zanzibar", "quillfeather", "marigold"))
+
+
 def test_awkward_rows(spark):
     docs, rows = awkward(spark)
     got = pii.digest(pii.find_private(docs)).collect()
