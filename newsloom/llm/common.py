@@ -85,3 +85,17 @@ def components(edges: DataFrame) -> DataFrame:
     roots = nodes.select(F.col("v").alias("node")).unionByName(nodes.filter("u = v").select(F.col("u").alias("node")))
     return (roots.distinct().join(linked.select("node"), "node", "left_anti")
             .select("node", F.col("node").alias("component")).unionByName(linked))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of the UTF-8 bytes of a text; DuckDB has no such function."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    half = f"xor(c >> 4, {table}[(c & 15) + 1])"
+    # a byte is two steps of four bits
+    step = f"list_reduce([xor(c, y), 0, 0], lambda c, z: {half})"
+    byte = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: CAST('0x' || p AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, y: {step}), 4294967295::BIGINT)"
