@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, licenses, multi_index, ngram_join, pii, quality, segmentation, token_store, toxicity, transcripts
+from . import (decontamination, fill_in_middle, importance, licenses, multi_index, ngram_join, pii, quality, segmentation, sharding,
+               token_store, toxicity, transcripts)
 from ..session import scratch_path
 from .common import fold, table
 
@@ -105,3 +106,23 @@ def op10_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     lines = transcripts.lines_of(raw_transcripts(spark, folder))
     turns = transcripts.canonical(transcripts.recover(lines, transcripts.train(lines)))
     return turns.select("conv_id", "turn", "line", "role", "n_lines", "continued", "rendered")
+
+
+@query(sql=importance.ORACLE)
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    ranked = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(sql=fill_in_middle.ORACLE)
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    done = fill_in_middle.restore(fill_in_middle.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text")))
+    digest = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
+
+
+@query(sql=sharding.ORACLE)
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = sharding.shard_documents(table(spark, folder, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
