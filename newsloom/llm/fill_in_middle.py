@@ -9,8 +9,8 @@ alone.  All of it works on the bytes of one text at a time.
 
 from __future__ import annotations
 
-import pandas as pd
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Before the prefix, the suffix and the middle.
@@ -88,7 +88,7 @@ def rebuild(output: bytes, form: str, marks: tuple[bytes, bytes, bytes]) -> byte
 def _draws(doc_id: Column, seed: int) -> list[Column]:
     """Four unsigned 32-bit numbers from the row's key."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"), 256)
-    return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k + 1}") for k in range(4)]
+    return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
 
 
 def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, suffix_first: int = SUFFIX_FIRST,
@@ -103,24 +103,26 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, suffix_f
     """
     raw = checked(marks)
 
-    @F.pandas_udf("n long, form string, prefix_chars long, middle_chars long, output binary")
-    def arranged(cols: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for text, h1, h2, h3, h4 in cols.itertuples(index=False):
+    @F.arrow_udf("struct<n: long, form: string, prefix_chars: long, middle_chars: long, output: binary>")
+    def arranged(texts: pa.Array, h1: pa.Array, h2: pa.Array, h3: pa.Array, h4: pa.Array) -> pa.Array:
+        ns, forms, befores, middles, outputs = [], [], [], [], []
+        for text, *h in zip(texts, *(h.to_pylist() for h in (h1, h2, h3, h4))):
+            text = text.as_py()
             ends = line_ends(text)
-            n = len(ends)
-            if not text or h3 % 100 >= rate or any(m in text for m in raw):
-                rows.append((n, "plain", None, None, text))
-                continue
-            cuts = [0, *(int(ends[k - 1]) if k else 0 for k in sorted((h1 % (n + 1), h2 % (n + 1))))]
-            form = "spm" if h4 % 100 < suffix_first else "psm"
-            rows.append((n, form, characters(text, 0, cuts[1]), characters(text, cuts[1], cuts[2]),
-                         arrange(text, cuts[1], cuts[2], form, raw)))
-        out = pd.DataFrame(rows, columns=["n", "form", "prefix_chars", "middle_chars", "output"])
-        return out.astype({"prefix_chars": "Int64", "middle_chars": "Int64"})
-
-    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    done = docs.withColumn("__arranged", arranged(F.struct(text, *_draws(F.col("doc_id"), seed))))
+            n, form, before, between, output = len(ends), "plain", None, None, text
+            if text and h[2] % 100 < rate and not any(m in text for m in raw):
+                first, second = (int(ends[k - 1]) if k else 0 for k in sorted((h[0] % (n + 1), h[1] % (n + 1))))
+                form = "spm" if h[3] % 100 < suffix_first else "psm"
+                before, between = characters(text, 0, first), characters(text, first, second)
+                output = arrange(text, first, second, form, raw)
+            for column, value in zip((ns, forms, befores, middles, outputs), (n, form, before, between, output)):
+                column.append(value)
+        kinds = pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip((ns, forms, befores, middles, outputs), kinds)],
+                                          ["n", "form", "prefix_chars", "middle_chars", "output"])
+
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    done = docs.withColumn("__arranged", arranged(text, *_draws(F.col("doc_id"), seed)))
     return done.withColumns({c: F.col(f"__arranged.{c}") for c in ("n", "form", "prefix_chars", "middle_chars")}
                             | {"output": F.col("__arranged.output").cast("string")}).drop("__arranged")
 
@@ -129,9 +131,9 @@ def restore(docs: DataFrame, name: str = "restored", marks: tuple[str, str, str]
     """``docs(output, form)`` with the texts before ``fill_in_middle`` in column ``name``; null outputs stay null."""
     raw = checked(marks)
 
-    @F.pandas_udf("binary")
-    def rebuilt(output: pd.Series, form: pd.Series) -> pd.Series:
-        return pd.Series([None if o is None else rebuild(o, f, raw) for o, f in zip(output, form)], dtype=object)
+    @F.arrow_udf("binary")
+    def rebuilt(outputs: pa.Array, forms: pa.Array) -> pa.Array:
+        return pa.array((rebuild(o.as_py(), f.as_py(), raw) if o.is_valid else None for o, f in zip(outputs, forms)), pa.binary())
 
     return docs.withColumn(name, rebuilt(F.col("output").cast("binary"), F.col("form")).cast("string"))
 
