@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as agg
 from ..session import scratch_path
-from ..sources.queues import read_queue
 from ..streaming import crawl, feeds, liveness, newbies
+from ..functions.urls import escape_value
+from ..operators.ranking import global_rank
+from ..sources.queues import publish_by_key, read_queue
 from . import sql
 from .base import Tables, query
 from .fixtures import SCREENING, known_pages, pivots, site_config, word_model
-from .pages import JUDGED_SQL, REQUIRED, now
+from .pages import JUDGED_SQL, LINKS_SQL, REQUIRED, now, page_links_table, unescaped
 from .upkeep import CLEAN_SQL, PROJECTION, articles, empty_corpus
 from .urls import FEATURES_SQL, Z_SQL
 
@@ -106,19 +108,89 @@ def frontier_admit(t: Tables):
 SELECT 'newbies' AS sink, count(*) AS n FROM jd WHERE code = 'allGood'
 UNION ALL SELECT 'errors', count(*) FROM jd WHERE code <> 'allGood'""")
 def crawl_counts(t: Tables):
-    """Rows per sink, after the batch was replayed once more."""
+    """Rows per sink, after the job was started once more."""
     pages = stream_of(t, "pages").withColumnRenamed("url", "URL").withColumn(
         "html", F.when(~F.contains("URL", F.lit("/es/")), F.col("html")))
     none = known_pages(t)[0].limit(0)
     paths = crawl.CrawlPaths(*[scratch_path(t.spark, n) for n in ("newbies", "errors", "links")])
-    config = site_config(t)
+    config, log = site_config(t), scratch_path(t.spark, "crawl-log")
     for _ in range(2):
-        crawl.crawl_stream(pages, paths, config, "row_no", REQUIRED, now(), none, none, none).awaitTermination()
+        crawl.crawl_stream(pages, paths, config, "row_no", REQUIRED, now(), none, none, none, log, "page_id").awaitTermination()
     read = t.spark.read.parquet
     return (read(paths.newbies).agg(F.lit("newbies").alias("sink"), F.count(F.lit(1)).alias("n"))
             .unionByName(read(paths.errors).agg(F.lit("errors").alias("sink"), F.count(F.lit(1)).alias("n"))))
 
 
+# every page comes in one of three batches, and all of them again in the last one; links of pages with a fragment are stored
+CRAWL_SQL = f"""{JUDGED_SQL}, {LINKS_SQL}, ls AS (SELECT page_id, url, page_id % 3 AS batch, {unescaped('link')} AS link FROM lk WHERE link IS NOT NULL),
+kn AS (SELECT replace(link, chr(39), '%27') AS link FROM ls WHERE contains(url, '#')),
+fl AS (SELECT replace(link, chr(39), '%27') AS link, min(batch) AS batch, arg_min(url, (batch, page_id)) AS ref FROM ls
+  WHERE NOT contains(url, '/es/') AND length(link) <= 250 AND NOT regexp_matches(link, '[{{}}]') GROUP BY 1),
+er AS (SELECT page_id % 3 AS batch, url, {sql.skinny('url')} AS sk FROM jd WHERE code <> 'allGood'),
+fe AS MATERIALIZED (SELECT sk, min(batch) AS batch FROM er GROUP BY sk),
+sl AS (SELECT fl.*, {sql.skinny('link')} AS sk FROM fl WHERE link NOT IN (SELECT link FROM kn))"""
+
+
+@query("crawl_known", f"""WITH {CRAWL_SQL}
+SELECT sl.batch, 'link' AS kind, link AS "URL", ref AS "refURL" FROM sl LEFT JOIN fe ON fe.sk = sl.sk AND fe.batch <= sl.batch WHERE fe.sk IS NULL
+UNION ALL SELECT page_id % 3, 'article', url, NULL FROM jd WHERE code = 'allGood'
+UNION ALL SELECT er.batch, 'error', url, NULL FROM er JOIN fe ON fe.sk = er.sk AND fe.batch = er.batch""")
+def crawl_known(t: Tables):
+    """Links, articles and errors of three micro-batches with repeated pages; the job is started twice."""
+    fetched = F.when(~F.contains("URL", F.lit("/es/")), F.col("html"))
+    rows = t.pages.select("page_id", F.col("url").alias("URL"), "html").withColumn("html", fetched)
+    folder, log = scratch_path(t.spark, "fetched"), scratch_path(t.spark, "crawl-log")
+    part = F.col("page_id") % 3
+    for k, some in enumerate((rows.filter(part == 0), rows.filter(part == 1), rows)):
+        some.repartition(1).write.mode("append").parquet(folder)
+    pages = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    known = page_links_table(t).filter(F.contains("URL", F.lit("#"))).select(F.explode("links").alias("URL"))
+    known = known.select(escape_value(F.col("URL")).alias("URL"))
+    none = known.limit(0)
+    paths = crawl.CrawlPaths(*[scratch_path(t.spark, n) for n in ("newbies", "errors", "links")])
+    for _ in range(2):
+        crawl.crawl_stream(pages, paths, site_config(t), "row_no", REQUIRED, now(), none, known, none.withColumn("skinnyURL", F.lit("")),
+                           log, "page_id").awaitTermination()
+    blank = F.lit(None).cast("string").alias("refURL")
+    sinks = [t.spark.read.parquet(path).select(F.col("batch_id").alias("batch"), F.lit(kind).alias("kind"), "URL", blank)
+             for kind, path in (("article", paths.newbies), ("error", paths.errors))]
+    links = read_queue(t.spark, paths.links, none.withColumn("refURL", F.lit("")).schema)
+    links = links.select(F.col("batch_id").alias("batch"), F.lit("link").alias("kind"), "URL", "refURL")
+    return sinks[0].unionByName(sinks[1]).unionByName(links)
+
+
+def _round_sql(k: int, behind: str) -> str:
+    return f"""a{k} AS MATERIALIZED (SELECT {k} AS batch, url FROM ok, dim WHERE part = {k}
+  AND p <= greatest(0.5, 1 / (1 + ln(1 + ({2 - k} * b + ({behind})) / b::DOUBLE))))"""
+
+
+@query("frontier_rounds", f"""WITH {sql.KNOWN}, {FEATURES_SQL}, dim AS (SELECT count(*) AS n, (count(*) + 2) // 3 AS b FROM pages),
+sc AS (SELECT page_id, url, skinny, 1 / (1 + exp(-({Z_SQL}))) AS p, (row_number() OVER (ORDER BY page_id) - 1) // (SELECT b FROM dim) AS part FROM f),
+ok AS MATERIALIZED (SELECT * FROM sc WHERE url NOT IN (SELECT "URL" FROM main UNION ALL SELECT "URL" FROM newbies)
+  AND skinny NOT IN (SELECT "skinnyURL" FROM errors)),
+{_round_sql(0, '0')}, {_round_sql(1, 'SELECT count(*) FROM a0')}, {_round_sql(2, '(SELECT count(*) FROM a0) + (SELECT count(*) FROM a1)')}
+SELECT batch, url AS "URL", 'news-links' AS routing_key FROM (FROM a0 UNION ALL FROM a1 UNION ALL FROM a2)""")
+def frontier_rounds(t: Tables):
+    """Three rounds over all pages as links, while the crawl has a lot to do: what passes stands in line again."""
+    _, main, newbies_, errors = known_pages(t)
+    path, n = scratch_path(t.spark, "frontier"), t.pages.count()
+    block = (n + 2) // 3
+    line = global_rank(t.pages.select("page_id", F.col("url").alias("URL")), [F.col("page_id")], "__at")
+    for k in range(3):
+        # some links of the last part come twice, which fills it
+        last = 3 * block - n if k == 2 else 0
+        times = F.when(F.col("__at").between(2 * block, 2 * block + last - 1), 2).otherwise(1)
+        here = line.filter(F.col("__at").between(k * block, k * block + block - 1)).withColumn("__times", F.explode(F.sequence(F.lit(1), times)))
+        publish_by_key(here.drop("__at", "__times").withColumn("routing_key", F.lit("news-links")), path, k, "crawl")
+    busy = t.events.select(F.lit(0).cast("long").alias("page_id"), F.lit("x").alias("URL"), F.lit("news").alias("routing_key"))
+    publish_by_key(busy, path, 3, "crawl")
+    schema = line.drop("__at").schema
+    for _ in range(3):
+        crawl.frontier_run(t.spark, path, "news", schema, block, SCREENING, lambda: (main, newbies_, errors))
+    sent = read_queue(t.spark, path, schema).filter("publisher = 'frontier'")
+    return sent.select(F.col("batch_id").cast("int").alias("batch"), "URL", "routing_key")
+
+
 @query("newbies_batch", f"""WITH {CLEAN_SQL} SELECT count(*) FILTER (code = 'allGood') AS placed, count(*) FILTER (code = 'allGood') AS counted,
 true AS within_size FROM judged""")
 def newbies_batch(t: Tables):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, urls
 from ..operators import aggregate as agg, frontier, mutate, scan
 from ..session import scratch_path
-from ..sources import config as cfg, events as ev, feeds, queues
+from ..sources import config as cfg, consume, events as ev, feeds, queues
 from . import sql
 from .base import Tables, query
 from .fixtures import SCREENING, known_pages, site_config
@@ -223,6 +223,25 @@ def queue_backlog(t: Tables):
     return queues.backlog(t.events.withColumn("routing_key", key))
 
 
+# messages a consumer of clicks takes in a run
+TAKEN = 700
+
+
+@query("queue_pending", f"""
+SELECT event_type AS routing_key, count(*) - CASE WHEN event_type = 'click' THEN least(2 * {TAKEN}, count(*)) ELSE 0 END AS pending
+FROM events GROUP BY 1""")
+def queue_pending(t: Tables):
+    """What is left of the events, published in three batches, after two bounded runs took clicks."""
+    messages = t.events.withColumn("routing_key", F.col("event_type")).drop("event_type")
+    path = scratch_path(t.spark, "queue")
+    for k in range(3):
+        queues.publish_by_key(messages.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k), path, k)
+    schema = messages.drop("routing_key").schema
+    for _ in range(2):
+        consume.consume(t.spark, path, "click", schema, lambda batch, _: batch.write.format("noop").mode("overwrite").save(), TAKEN)
+    return consume.pending(t.spark, path)
+
+
 @query("site_event_counts", """
 SELECT 'site' || user_id % 7 AS site, count(*) FILTER (event_type = 'error') AS flagged, count(*) AS n,
   CAST(sum(json_extract(props, '$.k')::BIGINT) AS BIGINT) AS k_sum FROM events GROUP BY 1""")
