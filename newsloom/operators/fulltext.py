@@ -2,34 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import search_words
 from .scan import page
 
+# Ranges of words an index is cut into; the search reads one row for each.
+RANGES = 64
 
-def matches(words: Column, query: str) -> Column:
+
+class Term(NamedTuple):
+    sign: str
+    prefix: bool
+    word: str
+
+    def hit(self, word: Column) -> Column:
+        return F.startswith(word, F.lit(self.word)) if self.prefix else word == self.word
+
+
+def terms_of(query: str) -> list[Term]:
     """``foo,|bar,-baz,prefix:qu``: terms joined left to right by and, or, and not."""
-    test: Column | None = None
+    out = []
     for part in filter(None, (p.strip() for p in query.lower().split(","))):
         sign, term = (part[0], part[1:]) if part[0] in "|-+" else ("", part)
         kind, _, word = term.rpartition(":")
-        if kind == "prefix":
-            hit = _any_starts_with(words, word)
-        elif kind in ("", "complete"):
-            hit = F.array_contains(words, word)
-        else:
+        if kind not in ("", "complete", "prefix"):
             raise ValueError(f"unknown kind of search {kind!r}")
-        if sign == "-":
-            hit = ~hit
-        test = hit if test is None else (test | hit) if sign == "|" else (test & hit)
-    if test is None:
+        out.append(Term(sign, kind == "prefix", word))
+    if not out:
         raise ValueError("empty query")
+    return out
+
+
+def folded(terms: Sequence[Term], hits: Sequence[Column]) -> Column:
+    """The terms' hits, joined from left to right."""
+    test: Column | None = None
+    for term, hit in zip(terms, hits):
+        if term.sign == "-":
+            hit = ~hit
+        test = hit if test is None else (test | hit) if term.sign == "|" else (test & hit)
     return test
 
 
-def _any_starts_with(words: Column, prefix: str) -> Column:
-    return F.exists(words, lambda w: F.startswith(w, F.lit(prefix)))
+def matches(words: Column, query: str) -> Column:
+    terms = terms_of(query)
+    return folded(terms, [F.exists(words, t.hit) if t.prefix else F.array_contains(words, t.word) for t in terms])
 
 
 def fulltext(df: DataFrame, attr: str, query: str, key: str, skip: int | None = None,
@@ -70,3 +92,54 @@ def search_postings(index: DataFrame, words: list[str], key: str, buckets: int =
         hit = hit | ((F.col("word") == w) & (F.col("bucket") == F.pmod(F.xxhash64(F.lit(w)), F.lit(buckets))))
     return (index.filter(hit).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") == len(set(lowered))).select(key))
+
+
+def write_index(df: DataFrame, attr: str, key: str, path: str, min_length: int = 1, ranges: int = RANGES) -> None:
+    """Store an index for ``search_index``: postings cut into ranges of words of about equal size, and the keys.
+
+    A range is a folder, sorted by word, so one word or a prefix lies in a few
+    folders and in a few stretches of their files.  A word with more postings
+    than a range holds goes on in the next ones.  Words shorter than
+    ``min_length`` are not stored; documents whose ``attr`` is null are in no
+    result.
+    """
+    rows = postings(df, attr, key, min_length).filter(F.col("word").isNotNull())
+    cut = rows.repartitionByRange(ranges, "word", F.xxhash64(key)).sortWithinPartitions("word", key)
+    cut.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{path}/postings")
+    df.filter(F.col(attr).isNotNull()).select(key).write.parquet(f"{path}/keys")
+    bounds = _stored(df.sparkSession, path).groupBy("part").agg(F.min("word").alias("first"), F.max("word").alias("last"))
+    bounds.coalesce(1).write.parquet(f"{path}/bounds")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The postings ``(word, key, part)``, also of an index without any."""
+    key = spark.read.parquet(f"{path}/keys").schema.fields[0]
+    return spark.read.schema(StructType([StructField("word", StringType()), key, StructField("part", IntegerType())])).parquet(f"{path}/postings")
+
+
+def search_index(spark: SparkSession, path: str, query: str, skip: int | None = None, limit: int | None = None) -> DataFrame:
+    """Keys of the documents that match, from a stored index.
+
+    Only ranges that can hold a term are read, and of their files the stretches
+    with the term.  Every posting says which terms it meets, a document's
+    postings are put together, and the query is an expression over them.  The
+    table of all keys is read only if a document without any of the terms
+    matches, as after a leading ``-``.
+    """
+    terms = terms_of(query)
+    stored = _stored(spark, path)
+    key = stored.columns[1]
+    bounds = spark.read.parquet(f"{path}/bounds").collect()
+    near = [r["part"] for r in bounds if any(
+        r["first"] <= t.word <= r["last"] or t.prefix and (r["first"].startswith(t.word) or r["first"] <= t.word <= r["last"])
+        for t in terms)]
+    word = F.col("word")
+    met = stored.filter(F.col("part").isin(near) & reduce(Column.__or__, [t.hit(word) for t in terms]))
+    docs = met.groupBy(key).agg(*[F.bool_or(t.hit(word)).alias(f"t{i}") for i, t in enumerate(terms)])
+    found = docs.filter(folded(terms, [F.col(f"t{i}") for i in range(len(terms))])).select(key)
+    nothing = spark.range(1).select(folded(terms, [F.lit(False)] * len(terms))).head()[0]
+    if nothing:
+        found = found.unionByName(spark.read.parquet(f"{path}/keys").join(docs.select(key), key, "left_anti"))
+    if skip is None and limit is None:
+        return found
+    return page(found.orderBy(key), skip, limit)

@@ -1,5 +1,6 @@
 """Document tables against small literal cases."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions.naming import camel, snake
@@ -134,3 +135,23 @@ def test_functions_and_names(spark):
     assert spark.sql("SELECT t__c2f(100D)").head()[0] == 212.0
     assert registry.delete("t", group=True) == 1 and registry.list() == {}
     assert camel("wait_for_sync") == "waitForSync" and snake("waitForSync") == "wait_for_sync"
+
+
+def test_search_on_the_stored_index(spark, tmp_path):
+    texts = ["Hello World!", "foo", "bar", "baz foo", None, "", "the the FOOD", "bazar", "ünder foo", *["the common word"] * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for ranges in (1, 7):
+        path = str(tmp_path / f"index{ranges}")
+        fulltext.write_index(docs, "text", "k", path, ranges=ranges)
+        for query in ("prefix:ba,-bar,|foo", "-the,|prefix:foo", "the,common,-word,|foo", "-nothing", "complete:foo,|prefix:ü", "prefix:"):
+            want = sorted(r.k for r in fulltext.fulltext(docs, "text", query, "k").collect())
+            assert sorted(r.k for r in fulltext.search_index(spark, path, query).collect()) == want, query
+        assert [r.k for r in fulltext.search_index(spark, path, "the", 2, 3).collect()] == [10, 11, 12]
+    # one range of many is read for a word
+    plan = fulltext.search_index(spark, str(tmp_path / "index7"), "bar")._jdf.queryExecution().executedPlan().toString()
+    parts = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "part" in parts
+    fulltext.write_index(docs.limit(0), "text", "k", str(tmp_path / "empty"))
+    assert fulltext.search_index(spark, str(tmp_path / "empty"), "foo,|-bar").count() == 0
+    with pytest.raises(ValueError):
+        fulltext.terms_of(" , ")
