@@ -34,15 +34,27 @@ def geo_within(t: Tables):
 WORDS_SQL = r"w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)"
 
 
+def word_index(t: Tables) -> str:
+    path = scratch_path(t.spark, "word-index")
+    ft.write_index(t.documents, "text", "doc_id", path)
+    return path
+
+
+@query("fulltext_not", f"""WITH {WORDS_SQL} SELECT doc_id FROM w
+WHERE NOT list_contains(w, 'the') AND NOT list_contains(w, 'que') OR len(list_filter(w, lambda x: starts_with(x, 'therou'))) > 0""")
+def fulltext_not(t: Tables):
+    return ft.search_index(t.spark, word_index(t), "-the,-que,|prefix:therou")
+
+
 @query("fulltext_or", f"""WITH {WORDS_SQL} SELECT doc_id FROM w WHERE list_contains(w, 'the') OR list_contains(w, 'que')""")
 def fulltext_or(t: Tables):
-    return ft.fulltext(t.documents, "text", "the,|que", "doc_id").select("doc_id")
+    return ft.search_index(t.spark, word_index(t), "the,|que")
 
 
 @query("fulltext_prefix", f"""WITH {WORDS_SQL} SELECT doc_id FROM w
 WHERE len(list_filter(w, lambda x: starts_with(x, 'eau'))) > 0 AND NOT list_contains(w, 'the') AND list_contains(w, 'de')""")
 def fulltext_prefix(t: Tables):
-    return ft.fulltext(t.documents, "text", "prefix:eau,-the,de", "doc_id").select("doc_id")
+    return ft.search_index(t.spark, word_index(t), "prefix:eau,-the,de")
 
 
 @query("inverted_index", f"""WITH {WORDS_SQL}
@@ -151,25 +163,56 @@ def traverse_any(t: Tables):
     return walked.select("start", "vertex", "depth")
 
 
-def numbered(walked):
-    """Positions in visiting order, per start; the sort key is what is compared."""
-    from pyspark.sql import Window
-
-    after = F.concat("path", F.array(F.lit("\U0010ffff")))
-    per = Window.partitionBy("start")
-    return walked.select(
-        "start", "vertex", F.row_number().over(per.orderBy("path")).alias("preorder"),
-        F.row_number().over(per.orderBy(after)).alias("postorder"),
-        F.row_number().over(per.orderBy("depth", "path")).alias("breadth"))
-
-
 @query("traverse_order", f"""WITH {WALK_SQL.replace('depth < 3', 'depth < 2')}
 SELECT start, vertex, CAST(row_number() OVER (PARTITION BY start ORDER BY path) AS INT) AS preorder,
   CAST(row_number() OVER (PARTITION BY start ORDER BY list_append(path, chr(1114111))) AS INT) AS postorder,
   CAST(row_number() OVER (PARTITION BY start ORDER BY depth, path) AS INT) AS breadth FROM walk""")
 def traverse_order(t: Tables):
     starts = t.region.select(name("region/", "r_regionkey").alias("_id"))
-    return numbered(graph.traverse(starts, edges(t), max_depth=2))
+    walked = graph.traverse(starts, edges(t), max_depth=2)
+    walked = graph.visited(graph.visited(walked, "preorder"), "postorder", order="postorder")
+    walked = graph.visited(walked, "breadth", strategy="breadthfirst")
+    return walked.select("start", "vertex", *[F.col(c).cast("int") for c in ("preorder", "postorder", "breadth")])
+
+
+# orders of a nation's customers, dearest first; customers by what they own
+SORTED_SQL = f"""RECURSIVE {EDGES_SQL}, vs AS (SELECT 'customer/' || c_custkey AS id, c_acctbal AS value FROM customer
+  UNION ALL SELECT 'orders/' || o_orderkey, o_totalprice FROM orders UNION ALL SELECT 'nation/' || n_nationkey, NULL FROM nation),
+vr AS MATERIALIZED (SELECT id, value, lpad(CAST(row_number() OVER (ORDER BY value DESC NULLS LAST, id) AS VARCHAR), 9, '0') AS place FROM vs),
+walk AS (SELECT id AS start, id AS vertex, 0 AS depth, [place] AS keys FROM vr WHERE id LIKE 'nation/%'
+  UNION ALL SELECT start, _to, depth + 1, list_append(keys, place) FROM walk JOIN e ON _from = vertex JOIN vr ON vr.id = _to WHERE depth < 2)"""
+
+
+@query("traverse_sorted", f"""WITH {SORTED_SQL}
+SELECT start, vertex, row_number() OVER (PARTITION BY start ORDER BY keys) AS preorder,
+  row_number() OVER (PARTITION BY start ORDER BY list_append(keys, 'x') DESC) AS backward FROM walk""")
+def traverse_sorted(t: Tables):
+    """Siblings by value; also the post-order walked backward."""
+    starts = t.nation.select(name("nation/", "n_nationkey").alias("_id"))
+    walked = graph.traverse(starts, edges(t), max_depth=2, vertices=vertices(t), siblings=[F.col("value").desc_nulls_last()])
+    walked = graph.visited(graph.visited(walked, "preorder"), "backward", order="postorder", backward=True)
+    return walked.select("start", "vertex", "preorder", "backward")
+
+
+@query("traverse_folded", f"""WITH {EDGES_SQL}, o AS (SELECT o_custkey AS c, count(*) AS n, sum(o_totalprice) AS total, max(o_totalprice) AS top FROM orders GROUP BY 1),
+c AS (SELECT c_nationkey AS nat, c_custkey AS cust, 1 + coalesce(n, 0) AS n, c_acctbal + coalesce(total, 0) AS total,
+  greatest(c_acctbal, coalesce(top, c_acctbal)) AS top, CASE WHEN n IS NULL THEN 1 ELSE 2 END AS height FROM customer LEFT JOIN o ON c = c_custkey),
+n AS (SELECT n_regionkey AS reg, n_nationkey AS nat, 1 + coalesce(sum(c.n), 0) AS n, sum(total) AS total, max(top) AS top, 1 + coalesce(max(height), 0) AS height
+  FROM nation LEFT JOIN c ON c.nat = n_nationkey GROUP BY 1, 2)
+SELECT vertex, CAST(n AS BIGINT) AS n_below, round(total, 2) AS total, top, CAST(height AS BIGINT) AS height FROM (
+  SELECT 'customer/' || cust AS vertex, n, total, top, height FROM c UNION ALL SELECT 'nation/' || nat, n, total, top, height FROM n
+  UNION ALL SELECT 'region/' || r_regionkey, 1 + coalesce(sum(n.n), 0), sum(total), max(top), 1 + coalesce(max(height), 0) FROM region LEFT JOIN n ON reg = r_regionkey GROUP BY 1)""")
+def traverse_folded(t: Tables):
+    """Visits below every vertex, the sum and the largest of their values, and how deep it goes."""
+    starts = t.region.select(name("region/", "r_regionkey").alias("_id"))
+    value = F.col("value")
+    deeper = lambda own, kids: F.coalesce(own + kids, own, kids)
+    one = F.lit(1).cast("long")
+    found = graph.fold(graph.traverse(starts, edges(t), max_depth=3), vertices(t), {
+        "n_below": graph.Fold(one, F.sum, deeper), "total": graph.Fold(value, F.sum, deeper),
+        "top": graph.Fold(value, F.max, F.greatest), "height": graph.Fold(one, F.max, deeper)})
+    found = found.filter(~F.startswith("vertex", F.lit("orders/")))
+    return found.select("vertex", "n_below", F.round("total", 2).alias("total"), "top", "height")
 
 
 @query("traverse_filtered", f"""WITH {EDGES_SQL} SELECT 'nation/' || c_nationkey AS start, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total

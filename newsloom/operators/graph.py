@@ -5,11 +5,14 @@ Vertices are named ``collection/key``; edges are ``(_key, _from, _to, ...)``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ensure_checkpoint_dir
+from .ranking import global_rank
 
 # Edges of one vertex are spread over this many tasks when a frontier meets them.
 SALTS = 8
@@ -64,7 +67,7 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "outbound", m
              max_depth: int | None = None, unique_vertices: str = "path", unique_edges: str = "path",
              edge_filter: Column | None = None, vertices: DataFrame | None = None,
              vertex_filter: Column | None = None, prune: Column | None = None,
-             max_iterations: int | None = None) -> DataFrame:
+             max_iterations: int | None = None, siblings: Sequence[Column] | None = None) -> DataFrame:
     """Walk from many start vertices at once: ``(start, vertex, depth, path, edge_path)``.
 
     ``unique_*`` is ``none``, ``path`` or ``global`` (once per start).  Without
@@ -85,6 +88,18 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "outbound", m
 
     level = starts.select(F.col("_id").alias("start"), F.col("_id").alias("vertex"), F.lit(0).alias("depth"),
                           F.array("_id").alias("path"), F.array().cast("array<string>").alias("edge_path"))
+    own: list[Column] = []
+    if siblings is not None:
+        places = _places(vertices, siblings)
+        # a vertex that is not in the table stands behind those that are, by name
+        def placed(df: DataFrame, vertex: str) -> DataFrame:
+            unlisted = F.concat(F.lit("~"), _ended(F.col(vertex))).cast("binary")
+            return (df.join(places.withColumnRenamed("_id", vertex), vertex, "left")
+                    .withColumn("__place", F.coalesce("__place", unlisted)))
+
+        steps = placed(steps, "next")
+        level = placed(level, "vertex").select(*level.columns, F.col("__place").alias("order_key"))
+        own = [F.concat("order_key", "__place").alias("order_key")]
     levels, depth = [], 0
     while True:
         levels.append(level)
@@ -104,7 +119,7 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "outbound", m
             moved = moved.filter(~F.array_contains("edge_path", F.col("_key")))
         level = moved.select("start", F.col("next").alias("vertex"), F.lit(depth).alias("depth"),
                              F.concat("path", F.array("next")).alias("path"),
-                             F.concat("edge_path", F.array("_key")).alias("edge_path"))
+                             F.concat("edge_path", F.array("_key")).alias("edge_path"), *own)
         if unique_edges == "global":
             last = F.element_at("edge_path", -1)
             level = _once(level.withColumn("__e", last), "__e",
@@ -137,21 +152,98 @@ def _once(level: DataFrame, what: str, earlier: list[DataFrame]) -> DataFrame:
     return kept.select("start", what, *[F.col(f"__r.{c}").alias(c) for c in columns]).select(*level.columns)
 
 
-def in_order(walked: DataFrame, strategy: str = "depthfirst", order: str = "preorder", backward: bool = False) -> DataFrame:
-    """Visiting order.  A sentinel after the path puts descendants before a vertex in post-order.
+def _places(vertices: DataFrame, siblings: Sequence[Column]) -> DataFrame:
+    """``(_id, __place)``: the rank of every vertex as bytes of one length, so that ranks compare as bytes do."""
+    ranked = global_rank(vertices.dropDuplicates(["_id"]), [*siblings, F.col("_id")], "__rank")
+    return ranked.select("_id", F.lpad(F.hex("__rank"), 16, "0").cast("binary").alias("__place"))
+
+
+def path_key(path: Column, postorder: bool = False) -> Column:
+    """The path as bytes that sort as the path does: a prefix before what goes on from it, or behind it in post-order.
 
-    The result is range-sorted over tasks; siblings go by vertex name.
+    Every name ends in two zero bytes; one inside a name is followed by another
+    byte.  No name holds the byte that closes a post-order key.
     """
-    path = F.col("path")
-    if order == "postorder":
-        path = F.concat(path, F.array(F.lit("\U0010ffff")))
+    return _closed(F.array_join(F.transform(path, _ended), "").cast("binary"), postorder)
+
+
+def _ended(vertex: Column) -> Column:
+    return F.concat(F.replace(vertex, F.lit("\0"), F.lit("\0\1")), F.lit("\0\0"))
+
+
+def _closed(key: Column, postorder: bool) -> Column:
+    return F.concat(key, F.unhex(F.lit("FF"))) if postorder else key
+
+
+def _visit_keys(walked: DataFrame, strategy: str, order: str) -> list[Column]:
+    if order not in ("preorder", "postorder"):
+        raise ValueError(f"unknown order {order!r}")
+    post = order == "postorder"
+    key = _closed(F.col("order_key"), post) if "order_key" in walked.columns else path_key(F.col("path"), post)
     if strategy == "breadthfirst":
-        keys = [F.col("depth"), path]
-    elif strategy == "depthfirst":
-        keys = [path]
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return walked.orderBy(*[k.desc() if backward else k.asc() for k in [F.col("start"), *keys]])
+        return [F.col("depth"), key]
+    if strategy == "depthfirst":
+        return [key]
+    raise ValueError(f"unknown strategy {strategy!r}")
+
+
+def in_order(walked: DataFrame, strategy: str = "depthfirst", order: str = "preorder", backward: bool = False) -> DataFrame:
+    """The walk sorted by start and visiting order, over range partitions; siblings go by name or by ``order_key``."""
+    keys = [F.col("start"), *_visit_keys(walked, strategy, order)]
+    return walked.orderBy(*[k.desc() if backward else k.asc() for k in keys])
+
+
+def visited(walked: DataFrame, name: str = "position", strategy: str = "depthfirst", order: str = "preorder",
+            backward: bool = False) -> DataFrame:
+    """The walk with the place of every visit among those of its start, from 1.
+
+    Visits are ranked over range partitions of start and path, so the walk of
+    one start is the work of many tasks; a place is the rank less that of the
+    start's first visit.  Visits alike in path (over other edges) go by edges.
+    """
+    keys = [*_visit_keys(walked, strategy, order), F.array_join("edge_path", "\0")]
+    ranked = global_rank(walked, [F.col("start"), *[k.desc() if backward else k.asc() for k in keys]], "__rank")
+    first = ranked.groupBy("start").agg(F.min("__rank").alias("__first"))
+    return ranked.join(first, "start").withColumn(name, F.col("__rank") - F.col("__first") + 1).drop("__rank", "__first")
+
+
+class Fold(NamedTuple):
+    """A value folded over a walk: a visit's own, how those of its children are put together, and how both make its own."""
+
+    own: Column
+    children: Callable[[Column], Column]
+    merge: Callable[[Column, Column], Column]
+
+
+def fold(walked: DataFrame, vertices: DataFrame, folds: Mapping[str, Fold]) -> DataFrame:
+    """The walk with a column per fold: what its visitor makes of every visit and all below it.
+
+    Works from the deepest level up: children are aggregated by their parent
+    (an aggregate of Spark, so a parent with a large share of all children is
+    no single task's work), and merged with the parent's own value, which may
+    use the columns of ``vertices(_id, ...)``.  A visit without children merges
+    with null.  A visit whose parent is not in the walk is folded by itself.
+    """
+    ensure_checkpoint_dir(walked.sparkSession)
+    # a visit is known by its start and the edges it came over
+    rows = walked.withColumn("__id", F.array_join("edge_path", "\0")).withColumn(
+        "__parent", F.array_join(F.slice("edge_path", 1, F.greatest(F.size("edge_path") - 1, F.lit(0))), "\0"))
+    rows = (rows.join(vertices.withColumnRenamed("_id", "vertex"), "vertex", "left")
+            .select(*rows.columns, *[f.own.alias(n) for n, f in folds.items()]).checkpoint())
+    least, most = rows.agg(F.min("depth"), F.max("depth")).head()
+    below, done = None, []
+    for depth in range(most, least - 1, -1) if most is not None else ():
+        level = rows.filter(F.col("depth") == depth)
+        kids = [F.col(f"__below_{n}") for n in folds]
+        if below is None:
+            level = level.withColumns({f"__below_{n}": F.lit(None).cast(level.schema[n].dataType) for n in folds})
+        else:
+            up = below.groupBy("start", F.col("__parent").alias("__id")).agg(*[f.children(F.col(n)).alias(f"__below_{n}") for n, f in folds.items()])
+            level = level.join(up, ["start", "__id"], "left")
+        level = level.withColumns({n: f.merge(F.col(n), k) for (n, f), k in zip(folds.items(), kids)}).drop(*[f"__below_{n}" for n in folds])
+        below = level.select(*rows.columns).checkpoint()
+        done.append(below)
+    return (reduce(DataFrame.unionByName, done) if done else rows).drop("__id", "__parent")
 
 
 def link_graph(docs: DataFrame) -> DataFrame:
