@@ -75,6 +75,20 @@ def similar_docs(t: Tables):
     return found.select("item_id", "doc_id", "rank", vectors.round6(F.col("similarity")).alias("similarity"))
 
 
+# a page of each query's own size, and then more of it
+FIRST, MORE = "10 + item_id % 7 * 20", 60
+
+
+@query("similar_docs_more", f"""WITH {SIMILAR_SQL.replace(f'before < {N_DOCS}', f'before < {FIRST} + {MORE}')}
+SELECT item_id, doc_id, r::INT AS rank, {sql.r6('sim')} AS similarity FROM found""")
+def similar_docs_more(t: Tables):
+    model = word_model(t)
+    asked, docs, near = query_vectors(t, model), candidates(t, model), pivots(t)
+    page = search.search(asked, docs, near, F.expr(FIRST), key="item_id")
+    found = search.similar_docs(asked, docs, near, F.expr(f"{FIRST} + {MORE}"), key="item_id", so_far=page)
+    return found.select("item_id", "doc_id", "rank", vectors.round6(F.col("similarity")).alias("similarity"))
+
+
 PAIRS_SQL = """pairs AS MATERIALIZED (SELECT a.idx // 2 AS pair, a.word AS a, b.word AS b,
   list_transform(list_zip(b.vec, a.vec), lambda x: x[1] - x[2]) AS shift
   FROM wv a JOIN wv b ON b.idx = a.idx + 1 WHERE a.idx % 2 = 0)"""

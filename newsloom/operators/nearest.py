@@ -116,48 +116,56 @@ def best_products(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return reduce(DataFrame.unionByName, parts) if parts else left.sparkSession.createDataFrame([], schema)
 
 
-def rank_partitions(queries: DataFrame, pivots: DataFrame, key: str, budget: int | None = None,
-                    keep_vec: bool = False, limit: int = SLAB_BYTES) -> DataFrame:
+def rank_partitions(queries: DataFrame, pivots: DataFrame, key: str, budget: int | str | None = None,
+                    keep_vec: bool = False, limit: int = SLAB_BYTES, after: str | None = None) -> DataFrame:
     """Partitions of every query by descending similarity: ``(key, partition, similarity, rank)``.
 
     Equal similarities go to the higher partition id.  With ``budget`` the list
     ends once the partitions before hold that many documents (``nDocs``): of
-    every slab only the partitions within the budget leave the task.
+    every slab only the partitions within the budget leave the task.  The
+    budget may be a column of ``queries``, so may the rank ``after`` which the
+    list begins.
     """
     counted = pivots if "nDocs" in pivots.columns else pivots.withColumn("nDocs", F.lit(0).cast("long"))
-    queries = queries.select(key, "vec").filter(F.col("vec").isNotNull())
+    most = F.col(budget) if isinstance(budget, str) else F.lit((1 << 62) if budget is None else budget)
+    queries = (queries.filter(F.col("vec").isNotNull()).select(
+        key, "vec", most.cast("long").alias("__most"), (F.col(after) if after else F.lit(0)).cast("int").alias("__after")))
     schema = StructType([queries.schema[key]]).add("partition", LongType()).add("similarity", DoubleType()).add(
-        "rank", IntegerType()).add("nDocs", LongType())
+        "rank", IntegerType()).add("nDocs", LongType()).add("__most", LongType()).add("__after", IntegerType())
     if keep_vec:
         schema = schema.add("vec", queries.schema["vec"].dataType)
 
-    def ranked(shared):
+    def ranked(shared, alone: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, columns = shared.value
             ids, sizes = columns["partition"].astype(np.int64), columns["nDocs"].astype(np.int64)
             for batch in batches:
+                mosts, afters = batch.column("__most").to_numpy(), batch.column("__after").to_numpy()
                 for at, s in _products(matrix_of(batch.column("vec"), m.shape[1]), m):
                     # ids ascend, so the reverse of a stable ascending order puts the higher id first
                     order = np.argsort(s, axis=1, kind="stable")[:, ::-1]
-                    keep = np.ones(s.shape, dtype=bool)
-                    if budget is not None:
-                        keep = np.cumsum(sizes[order], axis=1) - sizes[order] < budget
+                    end = at + len(s)
+                    keep = np.cumsum(sizes[order], axis=1) - sizes[order] < mosts[at:end, None]
+                    if alone:
+                        keep &= np.arange(s.shape[1]) >= afters[at:end, None]
                     row, rank = np.nonzero(keep)
                     place = order[row, rank]
                     take = pa.array(at + row)
                     own = [batch.column(key).take(take), pa.array(ids[place]), pa.array(s[row, place]),
-                           pa.array(rank + 1, type=pa.int32()), pa.array(sizes[place])]
+                           pa.array(rank + 1, type=pa.int32()), pa.array(sizes[place]),
+                           batch.column("__most").take(take), batch.column("__after").take(take)]
                     yield pa.RecordBatch.from_arrays(own + ([batch.column("vec").take(take)] if keep_vec else []), names=schema.names)
         return run
 
-    parts = [queries.mapInArrow(ranked(shared), schema) for shared in slabs(counted, "partition", "partition", ["nDocs"], limit)]
+    shared = list(slabs(counted, "partition", "partition", ["nDocs"], limit))
+    parts = [queries.mapInArrow(ranked(one, len(shared) == 1), schema) for one in shared]
     out = reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], schema)
     if len(parts) > 1:
         order = Window.partitionBy(key).orderBy(F.col("similarity").desc(), F.col("partition").desc())
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn("rank", F.row_number().over(order)).withColumn("__seen", F.coalesce(F.sum("nDocs").over(before), F.lit(0)))
-        out = (out if budget is None else out.filter(F.col("__seen") < budget)).drop("__seen")
-    return out.drop("nDocs")
+        out = out.filter((F.col("__seen") < F.col("__most")) & (F.col("rank") > F.col("__after"))).drop("__seen")
+    return out.drop("nDocs", "__most", "__after")
 
 
 def blocked_dot(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str,

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from newsloom.operators import cluster, duplicates, embed, nearest
-from newsloom.plans.search import similar_docs
+from newsloom.plans.search import search, similar_docs
 from newsloom.sources.model import WordModel
 
 RNG = np.random.default_rng(5)
@@ -119,15 +119,12 @@ def test_clusters_split_equal_vectors(spark):
     assert max(sizes) <= 12 and sum(sizes) == 110 and found.select("id").distinct().count() == 110
 
 
-def test_similar_docs_against_the_loop(spark):
-    docs, piv, queries, n = unit(120), unit(9), unit(6), 30
-    part = (docs @ piv.T).argmax(axis=1)
-    # a query whose first partitions repeat one similarity is sent to the second pass
-    docs[part == part[0]] = docs[0]
+def one_by_one(docs, part, piv, queries, wanted):
+    """(query, document, rank) by visiting partitions in turn."""
     want = set()
-    for q, v in enumerate(queries):
+    for q, (v, n) in enumerate(zip(queries, wanted)):
         seen, count = set(), 0
-        for rank, p in enumerate(sorted(range(9), key=lambda i: (piv[i] @ v, i), reverse=True), 1):
+        for rank, p in enumerate(sorted(range(len(piv)), key=lambda i: (piv[i] @ v, i), reverse=True), 1):
             if count >= n:
                 break
             sims = {d: docs[d] @ v for d in np.flatnonzero(part == p)}
@@ -135,7 +132,43 @@ def test_similar_docs_against_the_loop(spark):
             want |= {(q, int(d), rank) for d in new}
             count += len(new)
             seen |= {round(sims[d], 10) for d in new}
+    return want
+
+
+def test_similar_docs_against_the_loop(spark):
+    docs, piv, queries, n = unit(120), unit(9), unit(6), 30
+    part = (docs @ piv.T).argmax(axis=1)
+    # a query whose first partitions repeat one similarity is sent to another round
+    docs[part == part[0]] = docs[0]
+    want = one_by_one(docs, part, piv, queries, [n] * 6)
     d = spark.createDataFrame([(i, int(p), v.tolist()) for i, (p, v) in enumerate(zip(part, docs))],
                               "doc_id long, partition long, vec array<double>")
     got = similar_docs(table(spark, queries, "query_id"), d, table(spark, piv, "partition"), n)
     assert {(r.query_id, r.doc_id, r["rank"]) for r in got.collect()} == want
+
+
+def test_search_goes_on_from_a_page(spark):
+    docs, piv, queries = unit(150), unit(12), unit(7)
+    part = (docs @ piv.T).argmax(axis=1)
+    docs[part == part[0]] = docs[0]
+    d = spark.createDataFrame([(i, int(p), v.tolist()) for i, (p, v) in enumerate(zip(part, docs))],
+                              "doc_id long, partition long, vec array<double>")
+    q = table(spark, queries, "query_id").withColumn("want", F.col("query_id") * 9)
+    p = table(spark, piv, "partition")
+    page = search(q, d, p, F.col("want"))
+    found = {tuple(r) for r in page.kept.collect()}
+    more = search(q, d, p, F.col("want") + 25, so_far=page)
+    rest = {tuple(r) for r in more.kept.collect()}
+    assert found < rest and len(rest) == more.kept.count()
+    for n, so_far in ((F.col("want"), None), (F.col("want") + 25, page)):
+        got = similar_docs(q, d, p, n, so_far=so_far)
+        single = one_by_one(docs, part, piv, queries, [9 * i + (25 if so_far else 0) for i in range(7)])
+        assert {(r.query_id, r.doc_id, r["rank"]) for r in got.collect()} == single
+    sizes = np.bincount(part, minlength=12)
+    needed = {i: r for i, _, r in sorted(one_by_one(docs, part, piv, queries, [9 * i for i in range(7)]), key=lambda x: x[2])}
+    for r in page.cursor.collect():
+        order = sorted(range(12), key=lambda i: (piv[i] @ queries[r.query_id], i), reverse=True)
+        least = sum(sizes[k] for k in order[:needed.get(r.query_id, 0)])
+        assert r.scored == sum(sizes[k] for k in order[:r.visited]) <= 2 * max(least, 9 * r.query_id) + max(sizes)
+    assert page.cursor.filter("query_id = 0").head().visited == 0
+    assert similar_docs(q.limit(0), d, p, 5).count() == 0 and search(q, d, p, 0).kept.count() == 0
