@@ -172,3 +172,22 @@ def test_search_goes_on_from_a_page(spark):
         assert r.scored == sum(sizes[k] for k in order[:r.visited]) <= 2 * max(least, 9 * r.query_id) + max(sizes)
     assert page.cursor.filter("query_id = 0").head().visited == 0
     assert similar_docs(q.limit(0), d, p, 5).count() == 0 and search(q, d, p, 0).kept.count() == 0
+
+
+def test_duplicates_in_a_hot_cell(spark):
+    rng = np.random.default_rng(11)
+    # some coordinates are zero for all, one is close to 1, and the rest lie within less than a cell of each other
+    m = np.zeros((900, 16))
+    m[:, 3], m[:, 5:9] = 1.0, rng.normal(size=(900, 4)) * 4e-5
+    m[450:500] = m[:50]
+    m[500:520, 5] = m[60:80, 5] + 3e-8
+    m[500:520, 6:9] = m[60:80, 6:9]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    same = np.round(m @ m.T, 12) == 1
+    want = {j: int(np.flatnonzero(same[:j, j])[0]) for j in range(len(m)) if same[:j, j].any()}
+    df = table(spark, m).withColumn("url", F.col("id").cast("string"))
+    assert {r.id: int(r.dupliURL) for r in duplicates.flag_vector_duplicates(df, "id", "url", 16).collect()} == want
+    groups = df.select(F.col("id").alias("own"), "vec")
+    sizes = [r["count"] for r in duplicates._in_cells(groups, 16).groupBy("bucket").count().collect()]
+    # linear work: no cell holds a large part of the rows, though all of them began in a few
+    assert max(sizes) <= 2 * duplicates.MOST and sum(sizes) < 4 * len(m) and 70 <= len(want) < 500
