@@ -89,6 +89,28 @@ def size_bounded_clusters(t: Tables):
                      (F.max("n") <= PARTITION_SIZE).alias("within_size"))
 
 
+# two-means from the row of lowest id and the one furthest from it, until the centres stand; a border at the median if it is uneven
+D2 = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+TWO_MEANS_SQL = f"""RECURSIVE e AS MATERIALIZED (SELECT vec_id AS idx, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+s0 AS (SELECT arg_min(vec, idx) AS c FROM e), s1 AS (SELECT arg_min(vec, (-{D2.format('vec', 'c')}, idx)) AS c FROM e, s0),
+it AS (SELECT 0 AS k, s0.c AS c0, s1.c AS c1, 1.0::DOUBLE AS shift FROM s0, s1
+  UNION ALL SELECT k + 1, n0, n1, greatest({D2.format('n0', 'c0')}, {D2.format('n1', 'c1')}) / {D2.format('n0', 'n1')} FROM
+  (SELECT k, c0, c1, coalesce(list(m ORDER BY d) FILTER (WHERE side = 0), c0) AS n0, coalesce(list(m ORDER BY d) FILTER (WHERE side = 1), c1) AS n1
+   FROM (SELECT k, c0, c1, side, d, avg(vec[d]) AS m FROM (SELECT it.*, vec, ({D2.format('vec', 'c1')} < {D2.format('vec', 'c0')})::INT AS side FROM it, e WHERE shift > 1e-12),
+     generate_series(1, 64) AS g(d) GROUP BY ALL) GROUP BY k, c0, c1)),
+fin AS (SELECT arg_max(c0, k) AS c0, arg_max(c1, k) AS c1 FROM it),
+mg AS MATERIALIZED (SELECT idx, {D2.format('vec', 'c0')} - {D2.format('vec', 'c1')} AS m FROM e, fin),
+sh AS (SELECT avg((m > 0)::INT) AS share, count(*) AS n FROM mg)"""
+
+
+@query("two_means_sides", f"""WITH {TWO_MEANS_SQL}
+SELECT idx, CASE WHEN share BETWEEN 0.1 AND 0.9 THEN m > 0 ELSE row_number() OVER (ORDER BY m, idx) > n // 2 END AS second FROM mg, sh""")
+def two_means_sides(t: Tables):
+    """The side of every vector at the first split."""
+    found = cluster.size_bounded_clusters(weights(t), "idx", 1, DIM, levels=1)
+    return found.select("idx", (F.col("cluster") == ":1").alias("second"))
+
+
 @query("medoids", f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 c AS (SELECT label, list(m ORDER BY d) AS c FROM (SELECT label, d, avg(vec[d]) AS m FROM e, unnest(generate_series(1, 64)) AS u(d) GROUP BY ALL) GROUP BY label),
 x AS (SELECT c.label, vec_id, list_sum(list_transform(list_zip(c, vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM c, e)

@@ -107,6 +107,28 @@ def route_domain(t: Tables):
     return frontier.route_by_regex(t.pages, "url", site_config(t), "row_no").select("page_id", "domain", "collection")
 
 
+# a site for every host, one for every second part of a host's name behind them, and one for the rest of a top-level domain
+MANY_SQL = """hs AS (SELECT DISTINCT split_part(url, '/', 3) AS host FROM pages), sites AS MATERIALIZED (
+SELECT 'https?://' || replace(host, '.', '\\.') || '/[a-d].*' AS rgx, 'host ' || host AS domain, 1000 + length(host) AS o FROM hs
+UNION ALL SELECT DISTINCT '.*' || split_part(host, '.', 2) || '\\.' || split_part(host, '.', -2) || '\\.' || split_part(host, '.', -1) || '/.*',
+  'name ' || split_part(host, '.', 2), 5000 + length(split_part(host, '.', 2)) FROM hs
+UNION ALL SELECT '.*(org|net).*', 'wild', 9000)"""
+
+
+@query("route_many_sites", f"""WITH {MANY_SQL}
+SELECT page_id, arg_min(domain, (o, domain)) AS domain FROM pages LEFT JOIN sites ON regexp_matches(url, '^(?:' || rgx || ')') GROUP BY page_id""")
+def route_many_sites(t: Tables):
+    host = t.pages.select(F.split_part("url", F.lit("/"), F.lit(3)).alias("h")).distinct()
+    second, esc = F.split_part("h", F.lit("."), F.lit(2)), F.lit("\\.")
+    end = F.concat(F.split_part("h", F.lit("."), F.lit(-2)), esc, F.split_part("h", F.lit("."), F.lit(-1)), F.lit("/.*"))
+    sites = (host.select(F.concat(F.lit("https?://"), F.replace("h", F.lit("."), esc), F.lit("/[a-d].*")).alias("domainRegex"),
+                         F.concat(F.lit("host "), "h").alias("domain"), (1000 + F.length("h")).alias("o"))
+             .unionByName(host.select(F.concat(F.lit(".*"), second, esc, end).alias("domainRegex"), F.concat(F.lit("name "), second).alias("domain"),
+                                      (5000 + F.length(second)).alias("o")).distinct())
+             .unionByName(t.spark.range(1).select(F.lit(".*(org|net).*").alias("domainRegex"), F.lit("wild").alias("domain"), F.lit(9000).alias("o"))))
+    return frontier.route_by_regex(t.pages, "url", sites, "o", ["domain"], chain=0).select("page_id", "domain")
+
+
 @query("domain_breakdown", f"SELECT {sql.domain('url')} AS domain, count(*) AS n FROM pages GROUP BY 1")
 def domain_breakdown(t: Tables):
     return agg.count_by(frontier.route_by_regex(t.pages, "url", site_config(t), "row_no"), "domain")

@@ -2,142 +2,170 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from ..functions.vectors import dot, scale, subtract, sum_vectors
 from ..session import ensure_checkpoint_dir
-from ..sources.model import string_array
 from .embed import matrix_of
 from .nearest import PRODUCT_BYTES, SLAB_BYTES, slabs
 
-LLOYD_STEPS = 3
 # A split that leaves one side with less than this share is moved to the median.
 LEAST_SHARE = 0.1
-# Levels beyond those that splits at the least share need: medians are approximate.
-SPARE_LEVELS = 10
-# Clusters split in one pass: their centres, two each, stay within these bytes.
-CENTRE_BYTES = 64 << 20
+# Two-means has converged when no centre moves further than this part of the distance between the two.
+CONVERGED = 1e-6
+# Clusters of up to this many bytes of vectors are split to the end in one task.
+LOCAL_BYTES = 32 << 20
 
 
-def size_bounded_clusters(df: DataFrame, key: str, max_size: int, dim: int, group: str | None = None) -> DataFrame:
+def size_bounded_clusters(df: DataFrame, key: str, max_size: int, dim: int, group: str | None = None,
+                          levels: int | None = None, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """Add ``cluster``: no cluster has more than ``max_size`` rows of ``vec``.
 
-    All oversize clusters are split in the same round, by two-means steps whose
-    sums combine per task.  A round is checkpointed; clusters that are small
-    enough leave the loop.  If the centres of a round exceed a fixed size, its
-    clusters are taken in several passes.  With ``group`` every group is
-    clustered on its own.  Labels are ``<group>:<path>``, the path spelling the
-    sides taken.
+    A cluster that is too large is divided by two-means until it converges.  The
+    centres start at the row of lowest ``key`` and the row furthest from it; a
+    side with less than LEAST_SHARE of the rows, as equal vectors or a few far
+    ones give, moves the border to the median.  So clusters shrink by a share
+    at every level.  With ``group`` every group is clustered on its own.
+    Labels are ``<group>:<path>``, the path spelling the sides taken; with
+    ``levels`` (1 or more) it has at most that many.
+
+    Clusters above ``local_bytes`` are divided by joins and sums, all of one
+    level at a time, and leave the steps as they converge.  A smaller one is
+    divided to the end by one task, which holds nothing but its vectors.
     """
     ensure_checkpoint_dir(df.sparkSession)
     start = F.concat(F.col(group).cast("string"), F.lit(":")) if group else F.lit(":")
     active = df.select(key, "vec", start.alias("cluster")).checkpoint()
-    done: list[DataFrame] = []
-    per_pass = max(1, CENTRE_BYTES // (16 * dim))
-    level, levels = 0, None
+    most = max(max_size, local_bytes // (8 * max(dim, 1)))
+    done, level = [], 0
     while True:
         sizes = active.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n"))
-        if levels is None:  # a level leaves at most this share of a cluster together
-            largest = sizes.agg(F.coalesce(F.max("__n"), F.lit(0))).head()[0]
-            levels = SPARE_LEVELS + math.ceil(math.log(max(1.0, largest / max_size)) / -math.log(1 - LEAST_SHARE))
-        over = sizes.filter(F.col("__n") > max_size).select("cluster")
-        done.append(active.join(over, "cluster", "left_anti"))
-        todo = over.orderBy("cluster").limit(per_pass).collect()
-        if not todo:
+        over = sizes.filter(F.col("__n") > most).select("cluster").checkpoint()
+        done.append(active.join(over, "cluster", "left_anti").select(key, "vec", "cluster"))
+        if level == levels or not over.head(1):
             break
-        if level == levels:
-            raise RuntimeError("clusters did not shrink")
-        halves = []
-        while todo:
-            labels = [r["cluster"] for r in todo]
-            halves.append(_split(active, key, labels, level))
-            todo = over.filter(F.col("cluster") > labels[-1]).orderBy("cluster").limit(per_pass).collect() \
-                if len(labels) == per_pass else []
-        active = reduce(DataFrame.unionByName, halves).checkpoint()
+        active = _split(active.join(over, "cluster").select(key, "vec", "cluster"), key, level).checkpoint()
         level += 1
-    return reduce(DataFrame.unionByName, done).select(key, "vec", "cluster")
-
-
-def _split(active: DataFrame, key: str, labels: list[str], level: int) -> DataFrame:
-    """The rows of the given clusters, each cluster divided in two."""
-    sc = active.sparkSession.sparkContext
-    names = pa.array(labels, type=pa.string())
-    work = active.join(F.broadcast(active.sparkSession.createDataFrame([(x,) for x in labels], "cluster string")), "cluster")
-    draw = F.struct(F.xxhash64(key, F.lit(level)), F.col(key))
-    seeds = work.groupBy("cluster").agg(F.min_by("vec", draw).alias("c0"), F.max_by("vec", draw).alias("c1")).toPandas()
-    seeds = seeds.set_index("cluster").loc[labels]
-    centres = np.stack([np.vstack(seeds["c0"].to_list()), np.vstack(seeds["c1"].to_list())], axis=1)
-    for step in range(LLOYD_STEPS):
-        shared = sc.broadcast((names, centres))
-        sums = sum_vectors(work.select("cluster", "vec").mapInArrow(_side_sums(shared), "at int, n long, vec array<double>"),
-                           ["at"], weight="n").toPandas()
-        counts = np.zeros(2 * len(labels))
-        counts[sums["at"]] = sums["size"]
-        if step < LLOYD_STEPS - 1:
-            means = centres.reshape(len(counts), -1).copy()
-            means[sums["at"]] = np.vstack(sums["vec"].to_list()) / sums["size"].to_numpy()[:, None]
-            centres = means.reshape(centres.shape)
-    share = counts[1::2] / (counts[0::2] + counts[1::2])
-    margins = work.mapInArrow(_with_margin(shared), StructType(list(work.schema.fields)).add("__m", DoubleType()))
-    limits = np.zeros(len(labels))
-    uneven = [x for x, s in zip(labels, share) if not LEAST_SHARE <= s <= 1 - LEAST_SHARE]
-    if uneven:
-        medians = (margins.filter(F.col("cluster").isin(uneven)).groupBy("cluster")
-                   .agg(F.percentile_approx("__m", 0.5, 1000).alias("m")).collect())
-        for r in medians:
-            limits[labels.index(r["cluster"])] = r["m"]
-    table = active.sparkSession.createDataFrame(list(zip(labels, map(float, limits))), "cluster string, __t double")
-    # rows on the limit, equal vectors among them, are divided by a hash
+    # rows as deep as they should be are done, whatever their cluster's size
+    at_depth = [active] if level == levels else []
+    small = reduce(DataFrame.unionByName, done[:-1] if at_depth else done)
+    left = F.length(F.substring_index("cluster", ":", -1))
+
+    def divide(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key, kind="stable")
+        depth = None if levels is None else levels - int(rows["__depth"].iloc[0])
+        paths = _paths(np.vstack(rows["vec"].to_list()).astype(np.float64), max_size, depth)
+        return rows.assign(cluster=rows["cluster"] + paths)[[key, "vec", "cluster"]]
+
+    schema = StructType([df.schema[key], df.schema["vec"]]).add("cluster", StringType())
+    divided = small.withColumn("__depth", left).groupBy("cluster").applyInPandas(divide, schema)
+    return reduce(DataFrame.unionByName, [divided, *at_depth])
+
+
+def _paths(m: np.ndarray, max_size: int, levels: int | None) -> np.ndarray:
+    """The sides every row takes until no cluster is too large; rows come in the order of their keys."""
+    paths = np.full(len(m), "", dtype=object)
+    todo = [np.arange(len(m))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= max_size or levels is not None and len(paths[rows[0]]) == levels:
+            continue
+        second = _two_means(m[rows])
+        paths[rows] += np.where(second, "1", "0").astype(object)
+        todo += [rows[~second], rows[second]]
+    return paths
+
+
+def _two_means(v: np.ndarray) -> np.ndarray:
+    """Which rows are on the second side."""
+    c = np.vstack([v[:1], v[((v - v[0]) ** 2).sum(axis=1).argmax()][None]])
+    while True:
+        margin = _margin(v, c)
+        second, moved = margin > 0, c.copy()
+        for k, side in enumerate((~second, second)):
+            if side.any():
+                moved[k] = v[side].mean(axis=0)
+        shift, apart = ((moved - c) ** 2).sum(axis=1).max(), ((moved[1] - moved[0]) ** 2).sum()
+        c = moved
+        if shift <= CONVERGED ** 2 * apart:
+            break
+    margin = _margin(v, c)
+    second = margin > 0
+    if LEAST_SHARE <= second.mean() <= 1 - LEAST_SHARE:
+        return second
+    second = np.zeros(len(v), dtype=bool)
+    second[np.argsort(margin, kind="stable")[len(v) // 2:]] = True
+    return second
+
+
+def _margin(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """How much closer each row is to the second centre."""
+    return 2 * v @ (c[1] - c[0]) - ((c[1] ** 2).sum() - (c[0] ** 2).sum())
+
+
+def _split(work: DataFrame, key: str, level: int) -> DataFrame:
+    """Every cluster of ``work(key, vec, cluster)`` divided in two."""
+    first = work.groupBy("cluster").agg(F.min_by("vec", key).alias("c0"))
+    far = work.join(first, "cluster").withColumn("__d", _distance2(F.col("vec"), F.col("c0")))
+    centres = (far.groupBy("cluster").agg(F.first("c0").alias("c0"), F.min_by("vec", F.struct(-F.col("__d"), F.col(key))).alias("c1"))
+               .checkpoint())
+    settled, live = [], centres
+    while live.head(1):
+        sides = work.join(live, "cluster").select("cluster", "vec", (_margin_of(F.col("vec")) > 0).cast("int").alias("side"))
+        means = sum_vectors(sides.mapInArrow(_task_sums, "cluster string, side int, n long, vec array<double>"),
+                            ["cluster", "side"], weight="n").select("cluster", "side", scale(F.col("vec"), 1 / F.col("size")).alias("vec"))
+        both = means.groupBy("cluster").agg(*[F.max(F.when(F.col("side") == k, F.col("vec"))).alias(f"m{k}") for k in (0, 1)])
+        moved = live.join(both, "cluster").select("cluster", "c0", "c1", *[F.coalesce(f"m{k}", f"c{k}").alias(f"m{k}") for k in (0, 1)])
+        shift = F.greatest(_distance2(F.col("m0"), F.col("c0")), _distance2(F.col("m1"), F.col("c1")))
+        still = shift <= CONVERGED ** 2 * _distance2(F.col("m0"), F.col("m1"))
+        moved = moved.select("cluster", F.col("m0").alias("c0"), F.col("m1").alias("c1"), still.alias("still")).checkpoint()
+        settled.append(moved.filter("still").drop("still"))
+        live = moved.filter("NOT still").drop("still")
+    rows = work.join(reduce(DataFrame.unionByName, settled), "cluster").select(key, "vec", "cluster", _margin_of(F.col("vec")).alias("__m"))
+    # for an uneven split the border is the median; rows on it, equal vectors among them, are divided by a hash
+    share = F.avg((F.col("__m") > 0).cast("double"))
+    limits = rows.groupBy("cluster").agg(F.when(share.between(LEAST_SHARE, 1 - LEAST_SHARE), 0.0).otherwise(
+        F.percentile_approx("__m", 0.5, 1000)).alias("__t"), share.between(LEAST_SHARE, 1 - LEAST_SHARE).alias("__even"))
     coin = F.pmod(F.xxhash64(key, F.lit(-1 - level)), F.lit(2)) == 1
-    second = (F.col("__m") > F.col("__t")) | ((F.col("__m") == F.col("__t")) & coin)
-    return margins.join(F.broadcast(table), "cluster").select(
+    second = (F.col("__m") > F.col("__t")) | (~F.col("__even") & (F.col("__m") == F.col("__t")) & coin)
+    return rows.join(limits, "cluster").select(
         key, "vec", F.concat("cluster", F.when(second, "1").otherwise("0")).alias("cluster"))
 
 
-def _margins(batch: pa.RecordBatch, names: pa.Array, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors, cluster positions, and how much closer each row is to the second centre."""
-    v = matrix_of(batch.column("vec"), centres.shape[2])
-    at = pc.index_in(string_array(batch.column("cluster")), value_set=names).to_numpy(zero_copy_only=False)
-    toward = centres[:, 1] - centres[:, 0]
-    middle = (centres[:, 1] ** 2).sum(axis=1) - (centres[:, 0] ** 2).sum(axis=1)
-    return v, at, 2 * np.einsum("ij,ij->i", v, toward[at]) - middle[at]
-
-
-def _side_sums(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, centres = shared.value
-        k, _, dim = centres.shape
-        sums, counts = np.zeros((2 * k, dim)), np.zeros(2 * k, dtype=np.int64)
-        for batch in batches:
-            v, at, m = _margins(batch, names, centres)
-            side = 2 * at + (m > 0)
-            np.add.at(sums, side, v)
-            counts += np.bincount(side, minlength=2 * k)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, type=pa.int32()), pa.array(counts[used]), pa.array(list(sums[used]), type=pa.list_(pa.float64()))],
-            names=["at", "n", "vec"])
+def _distance2(a: Column, b: Column) -> Column:
+    apart = subtract(a, b)
+    return dot(apart, apart)
 
-    return run
 
+def _margin_of(vec: Column) -> Column:
+    c0, c1 = F.col("c0"), F.col("c1")
+    return 2 * dot(vec, subtract(c1, c0)) - (dot(c1, c1) - dot(c0, c0))
 
-def _with_margin(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, centres = shared.value
-        for batch in batches:
-            m = _margins(batch, names, centres)[2]
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(m)], names=batch.schema.names + ["__m"])
 
-    return run
+def _task_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the vectors by cluster and side, one row for each in a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column("cluster").dictionary_encode()
+        side = batch.column("side").to_numpy()
+        at = 2 * codes.indices.to_numpy() + side
+        used, place = np.unique(at, return_inverse=True)
+        v = matrix_of(batch.column("vec"), len(batch.column("vec")[0]))
+        sums = np.zeros((len(used), v.shape[1]))
+        np.add.at(sums, place, v)
+        yield pa.RecordBatch.from_arrays(
+            [codes.dictionary.take(pa.array(used // 2)), pa.array((used % 2).astype(np.int32)),
+             pa.array(np.bincount(place).astype(np.int64)), pa.array(list(sums), type=pa.list_(pa.float64()))],
+            names=["cluster", "side", "n", "vec"])
 
 
 def centres_of(df: DataFrame, cluster: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.fields import is_valid
 from ..functions.urls import escape_value, safe_value, skinny_url, url_features, usable_link
 from ..session import ensure_checkpoint_dir
-from ..sources.config import MAX_SITES
 
 ERROR_COLUMNS = ["URL", "skinnyURL", "errorCode", "parserLog", "dupliURL", "otherErrorMessage", "usedForBody"]
 ALLOWED = ["reuters", "bbc"]
@@ -63,27 +65,102 @@ def missing_from_all(urls: DataFrame, main: DataFrame, newbies: DataFrame, error
     return fresh.join(stored, "URL", "left_anti").join(faulty, "skinnyURL", "left_anti")
 
 
+# Up to this many sites are one chain of conditions; more are joined.
+CHAIN = 200
+# Characters of a site's name that are compared before its regex is.
+NAME = 64
+IN_NAME, NOT_IN_NAME = "[A-Za-z0-9._-]", "[^A-Za-z0-9._-]"
+
+
 def route_by_regex(df: DataFrame, url: str, config: DataFrame, order: str,
-                   outputs: Sequence[str] = ("domain", "collection")) -> DataFrame:
+                   outputs: Sequence[str] = ("domain", "collection"), chain: int = CHAIN) -> DataFrame:
     """Add the config columns of the first row whose regex matches at the start.
 
-    The configuration is a small hand-kept file, so its rows become one chain of
-    conditions evaluated in generated code; the URLs are not shuffled.
+    A few sites become one chain of conditions in generated code, and rows stay
+    where they are.  More sites meet the URLs in a join: see ``_joined_route``.
+    A stream cannot be regrouped, so it always takes the chain.
     """
-    rows = config.select("domainRegex", *outputs, order).orderBy(order).limit(MAX_SITES + 1).collect()
-    if len(rows) > MAX_SITES:
-        raise ValueError(f"more than {MAX_SITES} sites configured")
+    config = config.select("domainRegex", *outputs, order).filter(F.col("domainRegex").isNotNull())
+    few = config.orderBy(order).limit(chain + 1).collect() if not df.isStreaming else config.orderBy(order).collect()
+    if len(few) > chain and not df.isStreaming:
+        return _joined_route(df, url, config, order, outputs)
     hit = F.lit(None).cast("int")
-    for i, row in reversed(list(enumerate(rows))):
+    for i, row in reversed(list(enumerate(few))):
         hit = F.when(F.col(url).rlike(f"^(?:{row['domainRegex']})"), F.lit(i)).otherwise(hit)
     df = df.withColumn("__site", hit)
     for name in outputs:
-        known = F.array(*[F.lit(r[name]).cast("string") for r in rows]) if rows else F.lit(None)
-        value = F.get(known, F.col("__site")) if rows else known.cast("string")
+        known = F.array(*[F.lit(r[name]).cast("string") for r in few]) if few else F.lit(None)
+        value = F.get(known, F.col("__site")) if few else known.cast("string")
         df = df.withColumn(name, value)
     return df.drop("__site")
 
 
+def _site_name(regex: str | None) -> str | None:
+    """A name every URL that matches must hold, and after it a character that is part of no name; null if none is sure.
+
+    Only what is certain is read from the regex: plain and escaped characters
+    outside of groups, sets and alternatives, without those that a ``?``, ``*``
+    or ``{`` makes optional.
+    """
+    if regex is None or re.search(r"[|()\[\]]", regex.replace("\\|", "")):
+        return None
+    runs, at = [""], 0
+    while at < len(regex):
+        c, step = regex[at], 1
+        if c == "\\" and at + 1 < len(regex):
+            # an escaped letter or digit is a class or a boundary
+            literal, step = (None if regex[at + 1].isalnum() else regex[at + 1]), 2
+        else:
+            literal = None if c in ".^$*+?{}" else c
+        after = regex[at + step:at + step + 1]
+        if literal is None:
+            runs.append("")
+            if c == "{":
+                step = max(regex.find("}", at) - at, 0) + 1
+        elif after and after in "?*{":
+            runs.append("")
+        else:
+            runs[-1] += literal
+            if after == "+":
+                runs.append("")
+        at += step
+    names = [m.group(1) for run in runs for m in re.finditer(rf"({IN_NAME}+)(?={NOT_IN_NAME})", run)]
+    return max(names, key=len)[-NAME:] if names else None
+
+
+@F.pandas_udf(StringType())
+def site_name(regexes: pd.Series) -> pd.Series:
+    return regexes.map(_site_name)
+
+
+def _joined_route(df: DataFrame, url: str, config: DataFrame, order: str, outputs: Sequence[str]) -> DataFrame:
+    """Any number of sites: by the ends of the names in a URL, and then by the regexes of the sites these may be.
+
+    A regex mostly spells a name, such as the one of its host.  A URL that
+    matches has a word that ends in it, so the ends of its words, at the lengths
+    there are, are joined with the names; only then is a regex tried.  Sites
+    whose regex spells none are few, and are tried on every URL.  The first
+    match by ``order`` is a minimum per URL, which combines before it moves.
+    """
+    sites = config.withColumn("__name", site_name("domainRegex")).withColumn(
+        "__row", F.struct(F.col(order).alias("o"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(outputs)]))
+    named = sites.filter(F.col("__name").isNotNull()).select("__name", "domainRegex", "__row")
+    wild = sites.filter(F.col("__name").isNull()).select("domainRegex", "__row")
+    urls = df.select(F.col(url).alias("__url")).filter(F.col("__url").isNotNull()).distinct()
+    # one row: the lengths of names, at most NAME of them
+    lengths = named.agg(F.collect_set(F.length("__name")).alias("__lengths"))
+    words = F.array_distinct(F.filter(F.split("__url", NOT_IN_NAME + "+"), lambda w: w != ""))
+    ends = F.flatten(F.transform(words, lambda w: F.transform(
+        F.filter("__lengths", lambda n: n <= F.length(w)), lambda n: F.right(w, n))))
+    probes = urls.join(F.broadcast(lengths)).select("__url", F.explode(F.array_distinct(ends)).alias("__name"))
+    fits = F.expr("__url RLIKE concat('^(?:', domainRegex, ')')")
+    hits = probes.join(named, "__name").filter(fits).select("__url", "__row").unionByName(
+        urls.join(F.broadcast(wild), fits).select("__url", "__row"))
+    first = hits.groupBy("__url").agg(F.min("__row").alias("__row"))
+    routed = df.join(first, F.col(url) == F.col("__url"), "left")
+    return routed.withColumns({c: F.col(f"__row.c{i}") for i, c in enumerate(outputs)}).drop("__url", "__row")
+
+
 def new_errors(docs: DataFrame, existing: DataFrame, raised: Column | None = None) -> DataFrame:
     """Error rows to append: faulty documents not yet listed by skinny URL."""
     if "skinnyURL" not in docs.columns:

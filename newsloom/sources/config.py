@@ -9,8 +9,6 @@ CONFIG_SCHEMA = ("domain string, collection string, fields string, useForSentenc
 # The fields an extractor exists for.
 EXTRACTABLE = {"URL", "refURL", "skinnyURL", "domain", "contentLength", "parsedTs", "createdTs",
                "sentences", "rssTags", "metas", "title", "body", "links", "ampLink", "canonicalLink"}
-# A configuration is a hand-kept file; more rows than this are a mistake.
-MAX_SITES = 10_000
 
 
 def read_site_config(spark: SparkSession, path: str) -> DataFrame:

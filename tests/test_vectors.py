@@ -191,3 +191,27 @@ def test_duplicates_in_a_hot_cell(spark):
     sizes = [r["count"] for r in duplicates._in_cells(groups, 16).groupBy("bucket").count().collect()]
     # linear work: no cell holds a large part of the rows, though all of them began in a few
     assert max(sizes) <= 2 * duplicates.MOST and sum(sizes) < 4 * len(m) and 70 <= len(want) < 500
+
+
+def test_clusters_divided_by_joins_and_by_tasks(spark):
+    centres = unit(5) * 3
+    m = np.vstack([centres[i % 5] + unit(1)[0] * 0.3 for i in range(300)])
+    df = table(spark, m).withColumn("g", F.col("id") % 2)
+    got = {}
+    for local in (0, 32 << 20):
+        found = cluster.size_bounded_clusters(df, "id", 40, 8, group="g", local_bytes=local)
+        got[local] = {r.id: r.cluster for r in found.collect()}
+    assert got[0] == got[32 << 20] and len(got[0]) == 300
+    sizes = np.unique(list(got[0].values()), return_counts=True)[1]
+    assert sizes.max() <= 40 and all(c.startswith(f"{i % 2}:") for i, c in got[0].items())
+    # converged: after the first split no row is nearer to the mean of the other side
+    once = {r.id: r.cluster for r in cluster.size_bounded_clusters(df, "id", 1, 8, levels=1).collect()}
+    side = np.array([once[i] == ":1" for i in range(300)])
+    a, b = m[~side].mean(axis=0), m[side].mean(axis=0)
+    assert (side == (((m - b) ** 2).sum(axis=1) < ((m - a) ** 2).sum(axis=1))).all()
+    # equal vectors are divided as well, either way
+    same = table(spark, np.repeat(m[:1], 64, axis=0))
+    for local in (0, 32 << 20):
+        sizes = [r["count"] for r in cluster.size_bounded_clusters(same, "id", 10, 8, local_bytes=local).groupBy("cluster").count().collect()]
+        assert sum(sizes) == 64 and max(sizes) <= 10
+    assert cluster.size_bounded_clusters(same.limit(0), "id", 10, 8).count() == 0
