@@ -54,6 +54,36 @@ def feed_versions_stream(t: Tables):
     return run_to_table(passed, t.spark, "versions").drop("good")
 
 
+POLLS_SQL = """e AS (SELECT event_id, user_id, event_type, value, CAST(ts AS DATE) - (SELECT CAST(min(ts) AS DATE) FROM events) AS poll,
+  json_extract(props, '$.k')::INT >= 20 AS good FROM events),
+p AS (SELECT DISTINCT user_id, event_type, poll FROM e),
+q AS (SELECT *, CASE WHEN poll - lag(poll) OVER (PARTITION BY user_id, event_type ORDER BY poll) <= 1 THEN 0 ELSE 1 END AS opens FROM p),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY user_id, event_type ORDER BY poll) AS run FROM q),
+b AS (SELECT e.*, max(value) OVER (PARTITION BY user_id, event_type, run ORDER BY poll, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM e JOIN r USING (user_id, event_type, poll) WHERE good)
+SELECT event_id, user_id, event_type, value FROM b WHERE before IS NULL OR value > before"""
+
+
+def polled(events, first):
+    """Every day is a poll; a link a day did not bring is forgotten."""
+    return events.select("event_id", "user_id", "event_type", "value", good_entry().alias("good"),
+                         F.datediff(F.to_date("ts"), F.lit(first)).cast("long").alias("poll"))
+
+
+@query("feed_versions_polls", f"WITH {POLLS_SQL}")
+def feed_versions_polls(t: Tables):
+    entries = polled(t.events, t.events.agg(F.to_date(F.min("ts"))).head()[0])
+    found = feeds.new_versions(entries, ["user_id", "event_type"], "event_id", "value", F.col("good"), width=1024, poll="poll")
+    return found.select("event_id", "user_id", "event_type", "value")
+
+
+@query("feed_versions_polls_stream", f"WITH {POLLS_SQL}")
+def feed_versions_polls_stream(t: Tables):
+    entries = polled(stream_of(t, "events"), t.events.agg(F.to_date(F.min("ts"))).head()[0])
+    passed = feeds.version_stream(entries, ["user_id", "event_type"], "event_id", "value", "good", forget_ms=None, poll="poll")
+    return run_to_table(passed, t.spark, "polls").drop("good", "poll")
+
+
 OUTCOME_SQL = "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'timeout' ELSE 'beat' END"
 
 
@@ -63,11 +93,14 @@ def probes(events):
                          F.col("event_id").alias("seq"), outcome.alias("outcome"))
 
 
-@query("liveness", f"""WITH n AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id, arg_max({OUTCOME_SQL}, (ts, event_id)) AS outcome,
+LIVENESS_SQL = f"""WITH n AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id, arg_max({OUTCOME_SQL}, (ts, event_id)) AS outcome,
   max(ts) FILTER ({OUTCOME_SQL} = 'beat') AS beat FROM events GROUP BY 1)
 SELECT c_custkey AS emitter, CASE WHEN outcome IS NULL THEN 'unknown (never tried)' WHEN outcome = 'timeout' THEN 'unknown (timed out)'
   WHEN beat IS NULL OR now - beat > INTERVAL 200000 SECOND THEN 'slow' WHEN outcome = 'error' THEN 'dead' ELSE 'alive' END AS status
-FROM customer CROSS JOIN n LEFT JOIN s ON user_id = c_custkey""")
+FROM customer CROSS JOIN n LEFT JOIN s ON user_id = c_custkey"""
+
+
+@query("liveness", LIVENESS_SQL)
 def liveness_query(t: Tables):
     p = probes(t.events)
     emitters = t.customer.select(F.col("c_custkey").alias("emitter"))
@@ -84,7 +117,19 @@ def slow_gaps(t: Tables):
 
 @query("liveness_stream")
 def liveness_stream(t: Tables):
-    return run_to_table(liveness.liveness_stream(probes(stream_of(t, "events")), "emitter", 100000), t.spark, "liveness")
+    return run_to_table(liveness.liveness_stream(probes(stream_of(t, "events")), "emitter", 100000), t.spark, "liveness").select("emitter", "at", "status")
+
+
+@query("liveness_current", LIVENESS_SQL)
+def liveness_current(t: Tables):
+    """The last status from a stream that gets the probes in three batches, in no order of time."""
+    folder, p = scratch_path(t.spark, "probes"), probes(t.events)
+    for k in range(3):
+        p.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == k).repartition(1).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    changes = run_to_table(liveness.liveness_stream(stream, "emitter", 200000, late="3650 days"), t.spark, "liveness")
+    emitters = t.customer.select(F.col("c_custkey").alias("emitter"))
+    return liveness.current_status(changes, emitters, "emitter", p.agg(F.max("ts")).scalar(), 200000)
 
 
 @query("frontier_admit", f"""WITH {sql.KNOWN}, {FEATURES_SQL}, sc AS (SELECT page_id, url, 1 / (1 + exp(-({Z_SQL}))) AS p FROM f)

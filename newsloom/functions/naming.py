@@ -13,9 +13,15 @@ def capital_parts(name: str) -> list[str]:
     return [name[i:j] for i, j in zip([0, *cuts], [*cuts, len(name)])]
 
 
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def camel(name: str) -> str:
-    head, *rest = name.split("_")
-    return head + "".join(map(str.title, rest))
+    """Behind the first underscore every run of letters starts with its only capital; underscores go."""
+    if "_" not in name:
+        return name
+    kept = name.index("_")
+    return name[:kept] + LETTERS.sub(lambda run: run.group().capitalize(), name[kept:]).replace("_", "")
 
 
 def snake(name: str) -> str:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..operators.running import previous_max
 
@@ -24,11 +23,15 @@ def liveness(probes: DataFrame, emitters: DataFrame, key: str, now: Column, max_
     state = probes.groupBy(key).agg(
         F.max_by("outcome", F.struct("ts", "seq")).alias("outcome"),
         F.max(F.when(F.col("outcome") == "beat", F.col("ts"))).alias("beat"))
-    lag = F.unix_micros(now) - F.unix_micros(F.col("beat").cast("timestamp"))
+    return emitters.select(key).distinct().join(state, key, "left").select(
+        key, _status(F.col("outcome"), F.col("beat"), now, max_lag).alias("status"))
+
+
+def _status(outcome: Column, beat: Column, now: Column, max_lag: float) -> Column:
+    lag = F.unix_micros(now) - F.unix_micros(beat.cast("timestamp"))
     late = F.coalesce(lag > F.lit(int(max_lag * 1_000_000)), F.lit(True))
-    status = (F.when(F.col("outcome").isNull(), NEVER).when(F.col("outcome") == "timeout", TIMED_OUT)
-              .when(late, "slow").when(F.col("outcome") == "error", "dead").otherwise("alive"))
-    return emitters.select(key).distinct().join(state, key, "left").select(key, status.alias("status"))
+    return (F.when(outcome.isNull(), NEVER).when(outcome == "timeout", TIMED_OUT)
+            .when(late, "slow").when(outcome == "error", "dead").otherwise("alive"))
 
 
 def slow_gaps(beats: DataFrame, key: str, ts: str, seq: str, max_lag: float) -> DataFrame:
@@ -40,43 +43,72 @@ def slow_gaps(beats: DataFrame, key: str, ts: str, seq: str, max_lag: float) ->
 
 
 class Liveness(StatefulProcessor):
-    """Reports an emitter's outcomes, and that it is slow once its beat is too old."""
+    """Keeps an emitter's last outcome and last beat, whatever order they come in, and reports what changes.
+
+    An outcome older than the one kept does not count, a beat older than the one
+    kept neither.  A timer reports an emitter whose last beat is too old.
+    """
 
     def __init__(self, max_lag_ms: int):
         self.max_lag_ms = max_lag_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.beat = handle.getValueState("beat", "ms long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        beats = batch.loc[batch["outcome"] == "beat", "ts"]
-        if len(beats):
-            latest = int(beats.max().timestamp() * 1000)
-            if self.beat.exists():
-                latest = max(latest, self.beat.get()[0])
+        self.last = handle.getValueState("last", "us long, seq long, outcome string, beat long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = tuple(self.last.get()) if self.last.exists() else (None, None, None, None)
+        last, outcome, beat = before[:2], before[2], before[3]
+        for r in rows:
+            if last[0] is None or (r["us"], r["seq"]) > last:
+                last, outcome = (r["us"], r["seq"]), r["outcome"]
+            if r["outcome"] == "beat" and (beat is None or r["us"] > beat):
+                beat = r["us"]
+        if (*last, outcome, beat) == before:
+            return
+        self.last.update((*last, outcome, beat))
+        if beat != before[3]:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
-            self.beat.update((latest,))
-            self.handle.registerTimer(latest + self.max_lag_ms)
-        last = batch.iloc[-1]
-        status = {"beat": "alive", "timeout": TIMED_OUT}.get(last["outcome"], "dead")
-        yield pd.DataFrame({"emitter": [key[0]], "at": [last["ts"]], "status": [status]})
+            self.handle.registerTimer(beat // 1000 + self.max_lag_ms)
+        slow = beat is None or last[0] - beat > self.max_lag_ms * 1000
+        yield self._report(key, last[0], outcome, beat, "slow" if slow and outcome != "timeout" else STATUS[outcome], last[1])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        us, seq, outcome, beat = self.last.get()
+        if outcome != "timeout":
+            yield self._report(key, expiredTimerInfo.getExpiryTimeInMs() * 1000, outcome, beat, "slow", seq)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        yield pd.DataFrame({"emitter": [key[0]], "at": [at], "status": ["slow"]})
+    @staticmethod
+    def _report(key, us: int, outcome: str, beat: int | None, status: str, seq: int) -> Row:
+        return Row(emitter=key[0], us=us, status=status, seq=seq, outcome=outcome, beat=beat)
 
     def close(self) -> None:
         pass
 
 
+STATUS = {"beat": "alive", "timeout": TIMED_OUT, "error": "dead"}
+
+
 def liveness_stream(probes: DataFrame, key: str, max_lag: float, late: str = "1 minute") -> DataFrame:
-    """Status changes ``(emitter, at, status)`` of a stream ``(key, ts, outcome)``."""
-    schema = StructType([probes.schema[key]]).add("at", "timestamp").add("status", "string")
-    schema.fields[0].name = "emitter"
-    schema.names[0] = "emitter"
-    return (probes.select(key, "ts", "outcome").withWatermark("ts", late).groupBy(key)
-            .transformWithStateInPandas(Liveness(int(max_lag * 1000)), outputStructType=schema,
-                                        outputMode="Append", timeMode="EventTime"))
+    """Status changes of a stream ``(key, ts, seq, outcome)``: ``(emitter, at, status, seq, outcome, beat)``.
+
+    Rows may come in any order, up to ``late`` behind the newest; later ones are
+    dropped.  ``outcome`` and ``beat`` are the last ones at that time.
+    """
+    schema = StructType([StructField("emitter", probes.schema[key].dataType)])
+    for name, kind in (("us", "long"), ("status", "string"), ("seq", "long"), ("outcome", "string"), ("beat", "long")):
+        schema = schema.add(name, kind)
+    stream = probes.select(key, "ts", F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"), "outcome")
+    told = stream.withWatermark("ts", late).groupBy(key).transformWithState(
+        Liveness(int(max_lag * 1000)), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return told.select("emitter", F.timestamp_micros("us").alias("at"), "status", "seq", "outcome", F.timestamp_micros("beat").alias("beat"))
+
+
+def current_status(changes: DataFrame, emitters: DataFrame, key: str, now: Column, max_lag: float) -> DataFrame:
+    """``(key, status)`` at ``now`` of every emitter, from the reported changes; as ``liveness`` of all probes."""
+    newest = F.struct("at", "seq", F.coalesce(F.unix_micros("beat"), F.lit(-1)))
+    last = changes.groupBy(F.col("emitter").alias(key)).agg(
+        F.max_by("outcome", newest).alias("outcome"), F.max("beat").alias("beat"))
+    return emitters.select(key).distinct().join(last, key, "left").select(
+        key, _status(F.col("outcome"), F.col("beat"), now, max_lag).alias("status"))

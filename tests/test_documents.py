@@ -135,6 +135,7 @@ def test_functions_and_names(spark):
     assert spark.sql("SELECT t__c2f(100D)").head()[0] == 212.0
     assert registry.delete("t", group=True) == 1 and registry.list() == {}
     assert camel("wait_for_sync") == "waitForSync" and snake("waitForSync") == "wait_for_sync"
+    assert [camel(n) for n in ("plain", "_id", "a__b", "x_a1b", "KEEP_THIS", "n_")] == ["plain", "Id", "aB", "xA1B", "KEEPThis", "n"]
 
 
 def test_search_on_the_stored_index(spark, tmp_path):
