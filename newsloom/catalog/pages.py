@@ -144,6 +144,43 @@ def parse_pages(t: Tables):
     return judged(t).select("page_id", "domain", "errorCode", F.col("contentLength").alias("content_length"))
 
 
+# pages as they come from a feed: its time and headers, tags, where it links from; a seventh breaks off in the middle of a declaration
+FED_SQL = f"""{JUDGED_SQL}, fd AS (SELECT page_id, url, code, page_id % 7 = 3 AND NOT contains(url, '/es/') AS broken, contains(url, '/es/') AS gone FROM jd)"""
+
+
+@query("parse_feed_pages", f"""WITH {FED_SQL}
+SELECT page_id, CASE WHEN gone THEN 'cannotDownload' WHEN broken THEN 'parsingError' ELSE code END AS "errorCode",
+  CASE page_id % 5 WHEN 0 THEN '2011-05-06' WHEN 1 THEN '2001-02-03' WHEN 2 THEN '1999-12-31' END AS created,
+  CASE WHEN page_id % 3 > 0 THEN 'http://feed.example.com/' || page_id % 3 END AS "refURL", 'a' || CASE WHEN page_id % 2 = 0 THEN ',b' ELSE '' END AS tags,
+  CAST(broken AS INT) AS errors_logged FROM fd""")
+def parse_feed_pages(t: Tables):
+    k, none = F.col("page_id"), F.lit(None)
+    html = F.when(k % 7 == 3, F.concat("html", F.lit("<![foo[bar]]>"))).otherwise(F.col("html"))
+    fed = t.pages.select(
+        "page_id", F.when(k % 4 > 0, F.col("url")).alias("URL"), F.when(k % 4 == 0, F.concat("url", F.lit("?ncid=rss"))).alias("feedburner_origlink"),
+        F.when(~F.contains("url", F.lit("/es/")), html).alias("html"),
+        F.when(k % 5 == 0, F.lit("2011-05-06 07:08:09")).cast("timestamp").alias("published_parsed"),
+        F.when(k % 5 == 1, "Sat, 3 Feb 2001 10:00:00 GMT").alias("published"),
+        F.when(k % 5 == 2, F.array(F.lit("text/html"), F.lit("1 Jan 2000"), F.lit("31 Dec 1999"), F.lit("1 Mar 1985"))).alias("headers"),
+        F.struct(F.when(k % 3 > 0, F.concat(F.lit("http://feed.example.com/"), (k % 3).cast("string"))).alias("base")).alias("title_detail"),
+        F.array(F.struct(F.lit("a").alias("term")), F.struct(F.when(k % 2 == 0, "b").alias("term"))).alias("tags"))
+    parsed = ops.parse_pages(fed, site_config(t), "row_no", REQUIRED, now())
+    return parsed.select(
+        "page_id", "errorCode", F.when(k % 5 < 3, F.date_format("createdTs", "yyyy-MM-dd")).alias("created"), "refURL",
+        F.array_join("rssTags", ",").alias("tags"), F.size(F.filter("parserLog", lambda e: e["level"] == "ERROR")).alias("errors_logged"))
+
+
+@query("title_sentences", f"""WITH tt AS (SELECT page_id, {unescaped("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title FROM pages),
+ts AS (SELECT page_id, {sql.sentences(sql.tokenise('title'))} AS s FROM tt WHERE title <> '')
+SELECT page_id, len(s) AS n_sentences, s[-1] AS last FROM ts""")
+def title_sentences(t: Tables):
+    """Sentences of a collection whose sites name the title as their source."""
+    config = site_config(t).withColumn("useForSentences", F.lit("title"))
+    parsed = ops.parse_collection(t.pages.withColumnRenamed("url", "URL"), config, "com", "row_no", now())
+    found = parsed.filter(F.col("sentences").isNotNull())
+    return found.select("page_id", F.size("sentences").cast("long").alias("n_sentences"), F.element_at("sentences", -1).alias("last"))
+
+
 @query("error_code", f"""WITH {JUDGED_SQL} SELECT page_id, CASE WHEN domain IS NULL THEN 'unknownDomain' WHEN code = 'cannotDownload' THEN 'dodgy'
   WHEN contains(url, 'www.') THEN 'parsingError' WHEN content_length = 0 THEN 'empty' ELSE 'allGood' END AS "errorCode" FROM jd""")
 def error_code_query(t: Tables):

@@ -12,10 +12,11 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from ..functions import dates, text, urls
 from ..functions.fields import error_code, is_valid
+from ..sources.config import collection_settings
 from .frontier import route_by_regex
 
 # Elements that never contain anything, and those whose text is code.
@@ -24,11 +25,12 @@ CODE = {"script", "style"}
 HAS_YEAR = re.compile(r"[0-9]{4}")
 
 PAGE = ("struct<title:string,metas:array<struct<name:string,value:string>>,amp:string,canonical:string,"
-        "hrefs:array<string>,paras:array<struct<path:string,text:string>>,dated:array<string>>")
+        "hrefs:array<string>,paras:array<struct<path:string,text:string>>,dated:array<string>,failed:boolean>")
 PAGE_ARROW = pa.struct([
     ("title", pa.string()), ("metas", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))),
     ("amp", pa.string()), ("canonical", pa.string()), ("hrefs", pa.list_(pa.string())),
-    ("paras", pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))), ("dated", pa.list_(pa.string()))])
+    ("paras", pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))), ("dated", pa.list_(pa.string())),
+    ("failed", pa.bool_())])
 
 
 class _Page(HTMLParser):
@@ -36,7 +38,8 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out = {"title": None, "metas": [], "amp": None, "canonical": None, "hrefs": [], "paras": [], "dated": []}
+        self.out = {"title": None, "metas": [], "amp": None, "canonical": None, "hrefs": [], "paras": [], "dated": [],
+                    "failed": False}
         self.stack: list[str] = []
         self.starts: list[int] = []  # where each open element's text begins
         self.numbers: list[int] = []  # its place among all elements, in document order
@@ -102,7 +105,10 @@ class _Page(HTMLParser):
 
 
 def parse_html(df: DataFrame, html: str = "html", out: str = "page") -> DataFrame:
-    """Replace the HTML column by the parsed page; null stays null."""
+    """Replace the HTML column by the parsed page; null stays null.
+
+    A page the parser gives up on is one row with nothing in it but ``failed``.
+    """
     schema = StructType([f for f in df.schema.fields if f.name != html]).add(out, DataType.fromDDL(PAGE))
 
     def parse(source: str | None):
@@ -113,7 +119,7 @@ def parse_html(df: DataFrame, html: str = "html", out: str = "page") -> DataFram
             page.feed(source)
             return page.finish()
         except Exception:  # noqa: BLE001 - a page the parser gives up on is one failed row, not a failed job
-            return _Page().finish()
+            return _Page().finish() | {"failed": True}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,24 +190,56 @@ def body(paras: Column, path: Column) -> Column:
     return text.clean_text(F.array_join(F.transform(chosen, lambda p: p["text"]), " "))
 
 
+def sentence_text(df: DataFrame, field: str) -> Column:
+    """The text of a field sentences are taken from; the members of a list and the values of a map are joined."""
+    kind = df.schema[field].dataType
+    value = F.col(field)
+    if isinstance(kind, MapType):
+        value, kind = F.map_values(value), ArrayType(kind.valueType)
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType):
+        value, kind = F.flatten(value), kind.elementType
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
+        return F.array_join(value, " ")
+    if isinstance(kind, StringType):
+        return value
+    raise NotImplementedError(f"no sentences from {field!r} of type {kind.simpleString()}")
+
+
+# Columns of a feed entry, and the fields they give.
+FEED_FIELDS = {"refURL": "title_detail", "rssTags": "tags", "sampleContent": "summary_detail"}
+
+
 def parse_pages(df: DataFrame, config: DataFrame, order: str, required: Sequence[str], now: Column,
-                url: str = "URL", html: str = "html") -> DataFrame:
+                url: str = "URL", html: str = "html", sentences_from: str = "body") -> DataFrame:
     """Extract the missing fields of every page and judge it.
 
     A field that is already there and valid is kept, an invalid one is replaced.
     Each outcome goes to ``parserLog``; ``errorCode`` follows from what is
-    missing.  A null ``html`` means the page could not be fetched.
+    missing.  A null ``html`` means the page could not be fetched; one the
+    parser gives up on is a ``parsingError`` with an ``ERROR`` in its log.
+
+    Columns of the feed entry a page came from are used if they are there:
+    ``feedburner_origlink`` and ``link`` where the URL is missing,
+    ``published_parsed`` and ``published`` for the time, ``title_detail`` for
+    ``refURL``, ``tags`` for ``rssTags``, ``summary_detail`` for the sample the
+    main text is found by; so are the values of the response's ``headers``.
+    ``sentences_from`` names the field sentences are split from.
     """
     given = set(df.columns)
     df = df.withColumnRenamed(url, "URL") if url != "URL" else df
-    existing = {c: f"__old_{c}" for c in FIELD_ORDER if c in given and c not in ("URL", "parserLog")}
+    if given & {"feedburner_origlink", "link"}:
+        entry = urls.entry_url(*[F.col(c) if c in given else F.lit(None).cast("string") for c in ("feedburner_origlink", "link")])
+        own = F.col("URL") if "URL" in df.columns else F.lit(None).cast("string")
+        df = df.withColumn("URL", F.when(is_valid("URL", own, now), own).otherwise(F.coalesce(entry, own)))
+    fed = [f for f, source in FEED_FIELDS.items() if source in given or f in given]
+    existing = {c: f"__old_{c}" for c in [*FIELD_ORDER, *fed] if c in given and c not in ("URL", "parserLog")}
     for c, old in existing.items():
         df = df.withColumnRenamed(c, old)
     history = F.col("parserLog") if "parserLog" in given else F.array().cast(LOG)
     df = parse_html(df.withColumn("__history", history).drop("parserLog"), html)
     df = route_by_regex(df, "URL", config, order, outputs=("domain", "collection")).withColumnRenamed("domain", "__domain")
-    fetched = F.col("page").isNotNull()
-    logs: list[Column] = []
+    fetched, failed = F.col("page").isNotNull(), F.coalesce(F.col("page.failed"), F.lit(False))
+    logs: list[Column] = [F.when(failed, _log("ERROR", "The page could not be parsed", now))]
 
     def settle(df: DataFrame, field: str, extracted: Column, default: Column | None = None) -> DataFrame:
         new = F.when(is_valid(field, extracted, now), extracted)
@@ -227,28 +265,42 @@ def parse_pages(df: DataFrame, config: DataFrame, order: str, required: Sequence
     df = settle(df, "ampLink", page["amp"])
     df = settle(df, "canonicalLink", page["canonical"])
     df = settle(df, "links", links(page, F.col("domain")))
+    if "refURL" in fed:
+        df = settle(df, "refURL", F.col("title_detail.base") if "title_detail" in given else F.lit(None).cast("string"))
+    if "rssTags" in fed:
+        terms = F.filter(F.transform("tags", lambda t: t["term"]), lambda term: term.isNotNull()) if "tags" in given else None
+        df = settle(df, "rssTags", F.lit(None).cast("array<string>") if terms is None else terms)
     path = main_text_path(page["paras"])
-    if "sampleContent" in given:
+    if "sampleContent" in fed:
+        pieces = F.split(F.col("summary_detail.value"), "<[^>]*>") if "summary_detail" in given else F.lit(None).cast("array<string>")
+        df = settle(df, "sampleContent", text.sample_content(pieces))
         df = with_sample_match(df, page["paras"], "sampleContent", "__match")
         path = sampled_text_path(page["paras"], F.col("__match"))
     df = df.withColumn("usedForBody", path)
     df = settle(df, "body", body(page["paras"], F.col("usedForBody")))
-    df = settle(df, "sentences", text.split_sentences(F.col("body")))
+    df = settle(df, "sentences", text.split_sentences(sentence_text(df, sentences_from)))
     df = settle(df, "contentLength", text.content_length(F.col("sentences")), F.lit(0).cast("long"))
     none = F.lit(None)
-    df = settle(df, "createdTs", dates.created_ts(none.cast("timestamp"), none.cast("string"), none.cast("array<string>"),
-                                                  page["dated"], F.col("URL")))
+    told = [F.col(c) if c in given else none.cast(kind)
+            for c, kind in (("published_parsed", "timestamp"), ("published", "string"), ("headers", "array<string>"))]
+    df = settle(df, "createdTs", dates.created_ts(*told, page["dated"], F.col("URL")))
     old = F.col(existing["parsedTs"]) if "parsedTs" in existing else none.cast("array<timestamp>")
     df = df.withColumn("parsedTs", dates.append_parsed_ts(old, now))
     log = F.concat("__history", F.filter(F.array(*logs, _log("OK", "Added errorCode", now)), lambda e: e.isNotNull()))
     df = df.withColumn("parserLog", log)
     old_code = F.col(existing["errorCode"]) if "errorCode" in existing else None
     code = error_code(required, domain=F.col("domain"), sentences=F.col("sentences"),
-                      content_length=F.col("contentLength"), fetch_failed=~fetched, existing=old_code,
+                      content_length=F.col("contentLength"), fetch_failed=~fetched, parse_failed=failed, existing=old_code,
                       log_levels=F.transform("parserLog", lambda e: e["level"]))
     df = df.withColumn("errorCode", code)
-    extra = [c for c in df.columns if not c.startswith("__") and c not in FIELD_ORDER and c != "page"]
-    return df.select(*extra, *FIELD_ORDER)
+    extra = [c for c in df.columns if not c.startswith("__") and c not in [*FIELD_ORDER, *fed] and c != "page"]
+    return df.select(*extra, *FIELD_ORDER, *fed)
+
+
+def parse_collection(df: DataFrame, config: DataFrame, collection: str, order: str, now: Column) -> DataFrame:
+    """``parse_pages`` with the required fields and the source of sentences the configuration of a collection names."""
+    required, source = collection_settings(config, collection)
+    return parse_pages(df, config, order, required, now, sentences_from=source or "body")
 
 
 FIELD_ORDER = ["URL", "skinnyURL", "domain", "title", "metas", "ampLink", "canonicalLink", "links", "usedForBody",
