@@ -4,11 +4,14 @@ A seed hashes the words of a window at the positions a mask keeps; the others
 may differ.  Seeds of the benchmark are joined with the seeds at every position
 of every document, and around each hit the words on its diagonal are compared.
 All of it is DataFrame functions: texts are split once, positions are exploded
-and hashed inside generated code, and only hits are shuffled.
+and hashed inside generated code.  With seeds that fit a broadcast, hits are
+compared where the text is, and only numbers are shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import few
@@ -16,8 +19,12 @@ from .common import few
 # Positions a seed keeps.  The first mask alone meets every window of SPAN words with two substitutions.
 MASKS = ((0, 1, 4, 6, 7), (0, 1, 3, 6, 7))
 REACH = 8
-# Words compared at a time, and how many of them may differ; an item of fewer words must be there as it is.
+# Words compared at a time, and how many of them may differ.
 SPAN, SUBSTITUTIONS = 13, 2
+# Items of REACH words up to SPAN have this mask too; it meets every one of them with a single substitution.
+SHORT_MASK = (0, 2, 3, 5)
+# Shorter items are searched as they are, those below this number of words only as whole documents.
+LEAST_PASSAGE = 4
 # Benchmark seeds up to this many rows (about 50 bytes each) go to every executor; more are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
 
@@ -27,10 +34,38 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(words: Column, pos: Column) -> Column:
-    """The seeds of all masks at a position, null past the end of the words."""
-    return F.array(*[F.when(pos + REACH <= F.size(words), F.xxhash64(F.lit(i), *[F.get(words, pos + k) for k in mask]))
-                     for i, mask in enumerate(MASKS)])
+def _masks(lengths: list[int]) -> list[tuple[int, ...]]:
+    """The masks that items of the given lengths need: all positions of the short ones, and the spaced ones."""
+    spaced = [*MASKS] if any(n >= REACH for n in lengths) else []
+    short = [SHORT_MASK] if any(REACH <= n < SPAN for n in lengths) else []
+    return spaced + short + [tuple(range(n)) for n in lengths if n < REACH]
+
+
+def _allowed(size: Column) -> Column:
+    """How many words may differ."""
+    return F.when(size >= SPAN, SUBSTITUTIONS).when(size >= REACH, 1).otherwise(0)
+
+
+def _seed(words: Column, pos: Column, mask: tuple[int, ...]) -> Column:
+    # the hash begins with the mask, so that seeds of different masks never meet
+    return F.xxhash64(F.lit(len(mask)), F.lit(sum(1 << k for k in mask)), *[F.get(words, pos + k) for k in mask])
+
+
+def _fits(words: Column, pos: Column, mask: tuple[int, ...], document: bool) -> Column:
+    """Whether a mask is looked up at a position, of an item or of a document."""
+    size, n = F.size(words), len(mask)
+    if mask in MASKS:
+        return pos + REACH <= size
+    if mask == SHORT_MASK:
+        return (pos + mask[-1] < size) & (F.lit(True) if document else size.between(REACH, SPAN - 1))
+    whole = size == n
+    return whole if not document or n < LEAST_PASSAGE else pos + n <= size
+
+
+def _seeds(words: Column, pos: Column, masks: list[tuple[int, ...]], document: bool) -> Column:
+    """The seeds of all masks at a position, each with the number of its mask; null where a mask is not looked up."""
+    return F.array(*[F.when(_fits(words, pos, mask, document), F.struct(F.lit(i).alias("mask"), _seed(words, pos, mask).alias("seed")))
+                     for i, mask in enumerate(masks)])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_SEEDS) -> DataFrame:
@@ -39,41 +74,72 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADC
     Per document and item: ``(doc_id, text_hash, item_id, n_words, n_equal,
     n_places)``; ``n_words`` is the number of words compared at a time,
     ``n_equal`` the most of them that were equal, ``n_places`` the number of
-    alignments that passed.  Items of fewer than REACH words are not searched,
-    items of fewer than SPAN words only without substitutions.  Null and empty
-    texts hold nothing; rows alike in id and text are one document; a null id
-    stays null.  Other columns are ignored.
+    alignments that passed.  Of SPAN words two may differ, of an item of REACH
+    words or more one, of a shorter item none; an item of fewer than
+    LEAST_PASSAGE words is common language and is found only where it is all a
+    document says.  Items without words are not searched.  Null and empty texts
+    hold nothing; rows alike in id and text are one document; a null id stays
+    null.  Other columns are ignored.
     """
-    items = (benchmark.select("item_id", words_of(F.col("text")).alias("item")).filter(F.size("item") >= REACH)
-             .dropDuplicates(["item_id", "item"]))
-    positions = items.select("item_id", "item", F.posexplode("item").alias("at", "w"))
-    seeds = positions.select("item_id", "at", F.xxhash64("item").alias("item_hash"), F.explode(
-        _seeds(F.col("item"), F.col("at"))).alias("seed")).filter("seed IS NOT NULL").distinct()
-    if seeds.count() <= broadcast_rows:
-        seeds = F.broadcast(seeds)
+    items = (benchmark.select("item_id", words_of(F.col("text")).alias("item")).filter(F.size("item") >= 1)
+             .dropDuplicates(["item_id", "item"]).select("item_id", F.xxhash64("item").alias("item_hash"), "item"))
+    # one of a few numbers per item, so a handful of rows
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("item"), F.lit(SPAN))).distinct().collect())
+    masks = _masks(lengths)
+    positions = items.select("item_id", "item_hash", "item", F.posexplode("item").alias("at", "w"))
+    seeds = positions.select("item_id", "item_hash", "at", F.explode(_seeds(F.col("item"), F.col("at"), masks, False)).alias("s"))
+    seeds = seeds.filter("s IS NOT NULL").select("item_id", "item_hash", "at", "s.mask", "s.seed").distinct()
     split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
     places = split.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "w")).drop("w")
     probes = places.select("doc_id", "text_hash", "words", "pos", F.explode(
-        _seeds(F.col("words"), F.col("pos"))).alias("seed")).filter("seed IS NOT NULL")
-    hits = probes.join(seeds, "seed").join(
-        items.select("item_id", F.xxhash64("item").alias("item_hash"), "item"), ["item_id", "item_hash"])
-    start = F.col("pos") - F.col("at")
-    hits = hits.select("doc_id", "text_hash", "item_id", "item", start.alias("start"), F.transform(
-        F.sequence(F.lit(0), F.size("item") - 1), lambda i: F.get(F.col("words"), start + i)).alias("passage"))
-    diagonals = hits.groupBy("doc_id", "text_hash", "item_id", "item", "start").agg(F.first("passage").alias("passage"))
-    span = F.least(F.lit(SPAN), F.size("item"))
-    same = F.zip_with("item", "passage", lambda a, b: F.when(a == b, 1).otherwise(0))
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("item") - span + 1), lambda i: F.aggregate(
-        F.slice("same", i, span), F.lit(0), lambda x, y: x + y)))
-    allowed = F.when(F.size("item") >= SPAN, SUBSTITUTIONS).otherwise(0)
-    found = (diagonals.withColumn("same", same).select(
-        "doc_id", "text_hash", "item_id", span.alias("n_words"), best.alias("n_equal"), allowed.alias("allowed"))
-        .filter("n_equal >= n_words - allowed"))
+        _seeds(F.col("words"), F.col("pos"), masks, True)).alias("s")).filter("s IS NOT NULL")
+    probes = probes.select("doc_id", "text_hash", "words", "pos", "s.mask", "s.seed")
+    start = (F.col("pos") - F.col("at")).alias("start")
+    keys, scalars = ["doc_id", "text_hash", "item_id", "item_hash"], ["n_words", "n_equal", "allowed"]
+    if seeds.count() <= broadcast_rows:
+        hits = probes.join(F.broadcast(seeds), ["mask", "seed"]).join(F.broadcast(items), ["item_id", "item_hash"])
+        # the first of a run of hits stands for it
+        hits = hits.filter(~_hit_before(masks)).select(*keys, "words", "item", start)
+        found = hits.select(*keys, "start", *_compared())
+    else:
+        # texts are not moved to meet seeds; the few that were hit are fetched
+        hits = probes.select("doc_id", "text_hash", "pos", "mask", "seed").join(seeds, ["mask", "seed"]).select(*keys, start).distinct()
+        there = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+        texts = split.join(few(there, "hit-texts"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi")
+        texts = texts.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+        hits = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+        found = hits.join(items, ["item_id", "item_hash"]).select(*keys, "start", *_compared())
+    found = found.filter("n_equal >= n_words - allowed")
+    # several hits of one alignment say the same
+    found = found.groupBy(*keys, "start").agg(*[F.max(c).alias(c) for c in scalars])
     return found.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max("n_words").cast("long").alias("n_words"), F.max("n_equal").cast("long").alias("n_equal"),
         F.count(F.lit(1)).alias("n_places"))
 
 
+def _hit_before(masks: list[tuple[int, ...]]) -> Column:
+    """Whether the seed of the same mask one word earlier on the diagonal is equal too."""
+    words, item, pos, at = (F.col(c) for c in ("words", "item", "pos", "at"))
+    tests = None
+    for i, mask in enumerate(masks):
+        same = reduce(Column.__and__, [F.get(words, pos - 1 + k) == F.get(item, at - 1 + k) for k in mask])
+        tests = F.when(F.col("mask") == i, same) if tests is None else tests.when(F.col("mask") == i, same)
+    return F.lit(False) if tests is None else (pos > 0) & (at > 0) & F.coalesce(tests, F.lit(False))
+
+
+def _compared() -> list[Column]:
+    """Of an alignment of ``item`` at ``start`` of ``words``: the words compared, the most that are equal, and how many may differ."""
+    item, words, n = F.col("item"), F.col("words"), F.size("item")
+    span = F.least(F.lit(SPAN), n)
+    same = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(F.get(item, i) == F.get(words, F.col("start") + i), 1).otherwise(0))
+    # equal words up to each place, so that a window is a difference of two
+    sums = F.aggregate(same, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    # a one-element transform names the sums, so that they are not computed per window
+    best = F.get(F.transform(F.array(sums), lambda s: F.array_max(F.transform(
+        F.sequence(F.lit(0), n - span), lambda i: F.get(s, i + span) - F.get(s, i)))), 0)
+    return [span.alias("n_words"), best.alias("n_equal"), _allowed(n).alias("allowed")]
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
     found = overlaps(docs, benchmark).select(
@@ -83,16 +149,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(found, same, "left_anti")
 
 
-# The same answer from runs of four equal words: of SPAN words with two substitutions four in a row are equal.
+# The same answer from runs of four equal words, which all but the shortest items leave however they may differ.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ip AS (SELECT item_id, w, p, w[p:p + 3] AS k FROM i, unnest(generate_series(1, len(w) - 3)) AS u(p) WHERE len(w) >= 8),
+ip AS (SELECT item_id, w, p, w[p:p + 3] AS k FROM i, unnest(generate_series(1, len(w) - 3)) AS u(p) WHERE len(w) >= 4),
 dp AS (SELECT doc_id, w, p, w[p:p + 3] AS k FROM d, unnest(generate_series(1, len(w) - 3)) AS u(p) WHERE len(w) >= 4),
 h AS (SELECT DISTINCT dp.doc_id, ip.item_id, dp.w AS dw, ip.w AS iw, dp.p - ip.p AS s FROM dp JOIN ip USING (k)),
 m AS (SELECT doc_id, item_id, s, len(iw) AS n, least(13, len(iw)) AS span,
   list_transform(generate_series(1, len(iw)), lambda x: CASE WHEN x + s >= 1 AND x + s <= len(dw) AND dw[x + s] = iw[x] THEN 1 ELSE 0 END) AS same FROM h),
-b AS (SELECT doc_id, item_id, n, span, list_max(list_transform(generate_series(1, n - span + 1), lambda x: list_sum(same[x:x + span - 1]))) AS best FROM m)
+b AS (SELECT doc_id, item_id, n, span, list_max(list_transform(generate_series(1, n - span + 1), lambda x: list_sum(same[x:x + span - 1]))) AS best FROM m
+  UNION ALL SELECT doc_id, item_id, len(i.w), len(i.w), len(i.w) FROM d JOIN i ON d.w = i.w WHERE len(i.w) BETWEEN 1 AND 3)
 SELECT doc_id, item_id, CAST(max(span) AS BIGINT) AS n_words, CAST(max(best) AS BIGINT) AS n_equal, count(*) AS n_places
-FROM b WHERE best >= span - CASE WHEN n >= 13 THEN 2 ELSE 0 END GROUP BY doc_id, item_id
+FROM b WHERE best >= span - CASE WHEN n >= 13 THEN 2 WHEN n >= 8 THEN 1 ELSE 0 END GROUP BY doc_id, item_id
 """

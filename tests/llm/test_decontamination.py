@@ -8,7 +8,8 @@ from newsloom.llm import decontamination as d
 
 
 def items(spark):
-    return spark.createDataFrame([(0, prose(40, 21)), (1, prose(13, 22)), (2, prose(9, 23)), (3, prose(5, 24)), (4, None)], "item_id long, text string")
+    return spark.createDataFrame([(0, prose(40, 21)), (1, prose(13, 22)), (2, prose(9, 23)), (3, prose(5, 24)), (4, None), (5, prose(8, 25)),
+                                  (6, "two words"), (7, prose(12, 26)), (8, prose(7, 27)), (9, "again again again again again again")], "item_id long, text string")
 
 
 def test_the_first_mask_meets_every_pair_of_substitutions():
@@ -17,6 +18,12 @@ def test_the_first_mask_meets_every_pair_of_substitutions():
         assert any(all(s + k not in gone for k in mask) for s in range(d.SPAN - d.REACH + 1))
 
 
+def test_the_short_mask_meets_every_substitution():
+    for n in range(d.REACH, d.SPAN):
+        for gone in range(n):
+            assert any(all(s + k != gone for k in d.SHORT_MASK) for s in range(n - d.SHORT_MASK[-1]))
+
+
 def changed(text, places):
     return " ".join("other" if i in places else w for i, w in enumerate(text.split()))
 
@@ -28,12 +35,12 @@ def brute(docs, bench):
         for k, item in bench:
             v = (item or "").lower().split()
             span = min(d.SPAN, len(v))
-            if len(v) < d.REACH:
+            if not v or len(v) < d.LEAST_PASSAGE and v != w:
                 continue
             for start in range(1 - len(v), len(w)):
                 same = [0 <= start + x < len(w) and w[start + x] == v[x] for x in range(len(v))]
                 best = max(sum(same[x:x + span]) for x in range(len(v) - span + 1))
-                if best >= span - (d.SUBSTITUTIONS if len(v) >= d.SPAN else 0):
+                if best >= span - (d.SUBSTITUTIONS if len(v) >= d.SPAN else len(v) >= d.REACH):
                     n, places = out.get((i, k), (0, 0))
                     out[i, k] = (max(n, best), places + 1)
     return out
@@ -45,12 +52,26 @@ def test_overlaps_as_by_brute_force(spark):
     docs = [(1, prose(50, 1) + " " + long + " " + prose(20, 2)), (2, changed(exact, {3, 9})), (3, changed(exact, {3, 6, 9})),
             (4, short), (5, changed(short, {4})), (6, " ".join(long.split()[20:33])), (7, " ".join(long.split()[20:32])),
             (8, bench[3][1] * 3), (9, prose(400, 3)), (10, f"{exact} {prose(9, 4)} {exact}"), (11, " ".join(long.split()[30:])),
-            (12, changed(long, set(range(0, 40, 6))))]
+            (12, changed(long, set(range(0, 40, 6)))), (13, "Two WORDS"), (14, "two words more"), (15, bench[8][1]), (16, changed(bench[8][1], {3})),
+            (17, prose(9, 5) + " " + bench[8][1]), (18, bench[3][1]), (19, "again " * 30), (20, bench[5][1] + " " + changed(bench[5][1], {4, 5}))]
+    docs += [(30 + i, changed(bench[k][1], {i})) for k in (5, 7) for i in range(k + 3 if k == 5 else 12)]
     for limit in (10 ** 6, 0):
         got = d.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), items(spark), limit)
         assert {(r.doc_id, r.item_id): (r.n_equal, r.n_places) for r in got.collect()} == brute(docs, bench)
 
 
+def test_one_passage_in_every_document(spark):
+    passage = prose(30, 9)
+    docs = [(i, f"{prose(i % 7, i)} {passage} {prose(i % 5, i + 1)}") for i in range(400)]
+    bench = [(0, passage), (1, prose(3, 1) + " " + passage), (2, prose(20, 2))]
+    table, items_ = spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame(bench, "item_id long, text string")
+    want = brute(docs, bench)
+    for limit in (10 ** 6, 0):
+        got = d.overlaps(table, items_, limit).collect()
+        assert {(r.doc_id, r.item_id): (r.n_equal, r.n_places) for r in got} == want and len(want) == 800
+    assert d.drop_contaminated(table, items_).count() == 0
+
+
 def test_awkward_rows(spark):
     docs, rows = awkward(spark)
     bench = spark.createDataFrame([(0, prose(60, 1)), (0, prose(60, 1))], "item_id long, text string")
