@@ -36,7 +36,7 @@ def words_of(text: Column) -> Column:
 
 def _masks(lengths: list[int]) -> list[tuple[int, ...]]:
     """The masks that items of the given lengths need: all positions of the short ones, and the spaced ones."""
-    spaced = [*MASKS] if any(n >= REACH for n in lengths) else []
+    spaced = [*MASKS] if not lengths or lengths[-1] >= REACH else []
     short = [SHORT_MASK] if any(REACH <= n < SPAN for n in lengths) else []
     return spaced + short + [tuple(range(n)) for n in lengths if n < REACH]
 
