@@ -10,9 +10,9 @@ from ..sources import documents as io
 from .base import Tables, query
 
 
-@query("scan_skip_limit", "SELECT * FROM nation ORDER BY n_nationkey LIMIT 10 OFFSET 5")
+@query("scan_skip_limit", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 500")
 def scan_skip_limit(t: Tables):
-    return scan.scan_all(t.nation, "n_nationkey", skip=5, limit=10)
+    return scan.scan_all(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", skip=500, limit=10)
 
 
 @query("by_example", "SELECT * FROM part WHERE p_brand = 'Brand#4' AND p_type = 'SMALL'")
@@ -77,9 +77,9 @@ def last_n(t: Tables):
     return scan.last_n(t.events, "event_id", 20)
 
 
-@query("any_doc", "SELECT * FROM nation ORDER BY md5('7 ' || n_nationkey), n_nationkey LIMIT 1")
+@query("any_doc", "SELECT * FROM documents ORDER BY md5('7 ' || doc_id), doc_id LIMIT 1")
 def any_doc(t: Tables):
-    return scan.any_doc(t.nation, "n_nationkey", seed=7)
+    return scan.any_doc(t.documents, "doc_id", seed=7)
 
 
 @query("project_fields", "SELECT doc_id, lang, CAST(NULL AS VARCHAR) AS author FROM documents")
@@ -113,12 +113,14 @@ def strip_private(t: Tables):
 
 
 @query("union_like", """
-SELECT 'nation' AS src, n_nationkey AS key, n_name AS name FROM nation
-UNION ALL SELECT 'region', r_regionkey, r_name FROM region""")
+SELECT 'customer' AS src, c_custkey AS key, c_name AS name FROM customer
+UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier""")
 def union_like(t: Tables):
-    tables = {"nation": t.nation.toDF("key", "name", "region"), "region": t.region.toDF("key", "name"),
-              "supplier": t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))}
-    return scan.union_like(tables, r"nation|region", ["key", "name"])
+    def keyed(df, lead):
+        return df.select(F.col(f"{lead}key").alias("key"), F.col(f"{lead[0]}_name").alias("name"), F.lit(1).alias("more"))
+
+    tables = {"customer": keyed(t.customer, "c_cust"), "supplier": keyed(t.supplier, "s_supp").drop("more"), "part": keyed(t.part, "p_part")}
+    return scan.union_like(tables, r"customer|supplier", ["key", "name"])
 
 
 LEVELS_SQL = """logs AS (SELECT event_id AS id, CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2
@@ -162,12 +164,33 @@ def export_restricted(t: Tables):
 
 
 @query("insert_docs", """
-SELECT n_nationkey, n_name, n_regionkey FROM nation
-UNION ALL SELECT r_regionkey + 22, r_name, r_regionkey FROM region WHERE r_regionkey + 22 > 24""")
+SELECT c_custkey, c_name, c_nationkey FROM customer
+UNION ALL SELECT c_custkey + 1000, 'new ' || c_name, c_nationkey FROM customer WHERE c_custkey + 1000 NOT IN (SELECT c_custkey FROM customer)""")
 def insert_docs(t: Tables):
-    docs = t.region.select((F.col("r_regionkey") + 22).alias("n_nationkey"), F.col("r_name").alias("n_name"),
-                           F.col("r_regionkey").alias("n_regionkey"))
-    return mutate.insert_docs(t.nation, docs, "n_nationkey")[0]
+    """New documents, some of them under keys that are taken."""
+    table = t.customer.select("c_custkey", "c_name", "c_nationkey")
+    docs = table.select((F.col("c_custkey") + 1000).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"), "c_nationkey")
+    return mutate.insert_docs(table, docs, "c_custkey")[0]
+
+
+@query("import_conflicts", """
+WITH l AS (SELECT o_orderkey, o_custkey AS k, o_orderkey % 50 = 7 AS bad FROM orders),
+f AS (SELECT *, row_number() OVER (PARTITION BY k, bad ORDER BY o_orderkey) AS rn FROM l),
+j AS (SELECT CASE WHEN bad THEN 'key is not a string' WHEN rn > 1 THEN 'duplicate key' WHEN c_custkey IS NOT NULL THEN 'key is stored' ELSE 'created' END AS outcome
+  FROM f LEFT JOIN (SELECT c_custkey FROM customer WHERE c_nationkey < 10) ON c_custkey = k)
+SELECT outcome, count(*) AS n FROM j GROUP BY 1 UNION ALL SELECT 'created, all or nothing', 0""")
+def import_conflicts(t: Tables):
+    """Into a table that holds some of the keys; once as far as it goes and once all or nothing."""
+    key = F.concat(F.lit('"c'), F.col("o_custkey").cast("string"), F.lit('"'))
+    key = F.when(F.col("o_orderkey") % 50 == 7, F.lit("17")).otherwise(key)
+    lines = t.orders.select("o_orderkey", F.concat(F.lit('{"_key": '), key, F.lit("}")).alias("line"))
+    stored = t.customer.filter("c_nationkey < 10").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("_key"))
+    done = io.import_lines(lines, "line", "o_orderkey", "_key string", stored=stored)
+    strict = io.import_lines(lines, "line", "o_orderkey", "_key string", stored=stored, complete=True)
+    rows = [done.rejected.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n")),
+            done.documents().agg(F.lit("created").alias("outcome"), F.count(F.lit(1)).alias("n")),
+            strict.documents().agg(F.lit("created, all or nothing").alias("outcome"), F.count(F.lit(1)).alias("n"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 # Changes to orders come from the line items: an order with returned lines gets
@@ -335,10 +358,10 @@ def table_stats(t: Tables):
 
 @query("table_checksum", """
 SELECT count(*) AS n, CAST(sum(('0x' || substr(md5(
-  length(n_nationkey::VARCHAR) || ':' || n_nationkey || length(n_name) || ':' || n_name || length(n_regionkey::VARCHAR) || ':' || n_regionkey), 1, 8))::BIGINT)
-  % 4294967296 AS BIGINT) AS checksum FROM nation""")
+  length(o_orderkey::VARCHAR) || ':' || o_orderkey || length(o_orderpriority) || ':' || o_orderpriority || length(o_custkey::VARCHAR) || ':' || o_custkey), 1, 8))::BIGINT)
+  % 4294967296 AS BIGINT) AS checksum FROM orders""")
 def table_checksum(t: Tables):
-    return agg.table_checksum(t.nation, ["n_nationkey", "n_name", "n_regionkey"])
+    return agg.table_checksum(t.orders, ["o_orderkey", "o_orderpriority", "o_custkey"])
 
 
 @query("union_keys", "SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")

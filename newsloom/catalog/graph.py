@@ -129,6 +129,35 @@ def edge_update(t: Tables):
     return mutate.update_docs(table, patch, "_key", protected=["_from", "_to"])[0]
 
 
+@query("vertex_update", """SELECT 'customer/' || c_custkey AS _id, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS value,
+  CASE WHEN c_acctbal < 0 THEN 'in debt' END AS note FROM customer""")
+def vertex_update(t: Tables):
+    table = t.customer.select(name("customer/", "c_custkey").alias("_id"), F.col("c_acctbal").alias("value"), F.lit(None).cast("string").alias("note"))
+    patch = table.filter("value < 0").select("_id", F.lit(0.0).alias("value"), F.lit("in debt").alias("note"))
+    return mutate.update_docs(table, patch, "_id")[0]
+
+
+@query("edge_insert", f"""WITH {EDGES_SQL} SELECT * FROM e UNION ALL SELECT 'sn' || s_suppkey, 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier""")
+def edge_insert(t: Tables):
+    """Edges of suppliers, and some under keys that are taken already."""
+    fresh = t.supplier.select(name("sn", "s_suppkey").alias("_key"), name("supplier/", "s_suppkey").alias("_from"), name("nation/", "s_nationkey").alias("_to"))
+    again = t.customer.select(name("nc", "c_custkey").alias("_key"), F.lit("nation/0").alias("_from"), F.lit("nation/0").alias("_to"))
+    return mutate.insert_docs(edges(t), fresh.unionByName(again), "_key")[0].select("_key", "_from", "_to")
+
+
+@query("vertex_remove", f"""WITH {EDGES_SQL}, g AS (SELECT 'customer/' || c_custkey AS id FROM customer WHERE c_acctbal < 0),
+v AS (SELECT 'nation/' || n_nationkey AS id FROM nation UNION ALL SELECT 'region/' || r_regionkey FROM region
+  UNION ALL SELECT 'customer/' || c_custkey FROM customer UNION ALL SELECT 'orders/' || o_orderkey FROM orders)
+SELECT 'vertex' AS kind, id FROM v WHERE id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'edge', _key FROM e WHERE _from NOT IN (SELECT id FROM g) AND _to NOT IN (SELECT id FROM g)""")
+def vertex_remove(t: Tables):
+    """Customers in debt go, and with them the edges from their nations and to their orders."""
+    gone = t.customer.filter("c_acctbal < 0").select(name("customer/", "c_custkey").alias("_id"))
+    v, e = graph.remove_vertices(vertices(t), edges(t), gone)
+    return v.select(F.lit("vertex").alias("kind"), F.col("_id").alias("id")).unionByName(
+        e.select(F.lit("edge").alias("kind"), F.col("_key").alias("id")))
+
+
 WALK_SQL = f"""RECURSIVE {EDGES_SQL}, s AS (SELECT 'region/' || r_regionkey AS id FROM region),
 walk AS (SELECT id AS start, id AS vertex, 0 AS depth, [id] AS path FROM s
   UNION ALL SELECT start, _to, depth + 1, list_append(path, _to) FROM walk JOIN e ON _from = vertex WHERE depth < 3)"""

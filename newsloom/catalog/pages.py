@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text, urls
 from ..functions.fields import error_code, valid_doc
 from ..operators import aggregate as agg, frontier, pages as ops, scan
+from ..plans import upkeep
 from . import sql
 from .base import Tables, query
 from .fixtures import known_pages, site_config
@@ -226,6 +227,59 @@ def revalidate_sample(t: Tables):
     return frontier.requeue_invalid(some, valid_doc(REQUIRED, docs.columns, now()), "newsNewbies")
 
 
+@query("revalidate_partitions", f"""WITH {JUDGED_SQL}, pt AS (SELECT url, page_id % 13 AS partition, code <> 'allGood' AS bad FROM jd),
+dr AS (SELECT partition FROM (SELECT DISTINCT partition FROM pt) ORDER BY md5('5 ' || partition), partition LIMIT 4),
+g AS MATERIALIZED (SELECT url, {sql.skinny('url')} AS sk, partition FROM pt WHERE bad AND partition IN (SELECT partition FROM dr)),
+er AS (SELECT DISTINCT {sql.skinny('url')} AS sk FROM pages WHERE contains(url, '#'))
+SELECT 'main' AS tab, url AS id, NULL::BIGINT AS n FROM pt WHERE url NOT IN (SELECT url FROM g)
+UNION ALL SELECT 'queue', url, NULL FROM g UNION ALL SELECT 'errors', sk, NULL FROM er WHERE sk NOT IN (SELECT sk FROM g)
+UNION ALL SELECT 'pivot', partition::VARCHAR, count(*) - count(*) FILTER (url IN (SELECT url FROM g)) FROM pt GROUP BY partition""")
+def revalidate_partitions(t: Tables):
+    """Four drawn partitions are checked; what is invalid leaves all tables for the queue."""
+    docs = judged(t).withColumn("partition", F.col("page_id") % 13).checkpoint()
+    listed = t.pages.filter(F.contains("url", F.lit("#"))).select(urls.skinny_url(F.col("url")).alias("skinnyURL")).distinct()
+    tables = upkeep.Corpus(docs, docs.limit(0), listed, agg.count_by(docs, "partition").withColumnRenamed("n", "nDocs"))
+    ok = valid_doc(REQUIRED, docs.columns, now()) & (F.col("errorCode") == "allGood")
+    after, messages = upkeep.revalidate_sample(tables, 4, 5, ok, "newsNewbies")
+    none = F.lit(None).cast("long").alias("n")
+    parts = [after.main.select(F.lit("main").alias("tab"), F.col("URL").alias("id"), none),
+             messages.select(F.lit("queue").alias("tab"), F.col("URL").alias("id"), none),
+             after.errors.select(F.lit("errors").alias("tab"), F.col("skinnyURL").alias("id"), none),
+             after.pivots.select(F.lit("pivot").alias("tab"), F.col("partition").cast("string").alias("id"), F.col("nDocs").alias("n"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("docs_by_url", """SELECT url AS "URL", page_id, NULL::VARCHAR AS author FROM pages WHERE contains(url, '/en/')""")
+def docs_by_url(t: Tables):
+    """Documents at the URLs asked for, some of which are asked for twice and some unknown."""
+    docs = t.pages.withColumnRenamed("url", "URL")
+    asked = docs.filter(F.contains("URL", F.lit("/en/"))).select("URL")
+    asked = asked.unionByName(asked).unionByName(docs.select(F.concat(F.lit("http://unknown/"), "URL").alias("URL")))
+    return scan.docs_by_url(asked, docs, ["page_id", "author"])
+
+
+# one valid value and two that are not, for every field with a rule
+FIELD_VALUES = {
+    "URL": ("'http://a.b/'", "'ftp://a'", "''"), "refURL": ("'www.a.b'", "'a.b'", "' http://a'"), "ampLink": ("'https://a'", "'amp'", "''"),
+    "canonicalLink": ("'http://c'", "'/c'", "''"), "skinnyURL": ("'a/b'", "''", "''"), "title": ("'T'", "''", "''"), "body": ("'b.'", "''", "''"),
+    "sampleContent": ("'s.'", "''", "''"), "usedForBody": ("'/html'", "''", "''"), "domain": ("'http://d'", "'unknown'", "''"),
+    "contentLength": ("0L", "-1L", "-7L"), "createdTs": ("timestamp '2020-01-01'", "timestamp '1989-12-31'", "timestamp '2026-01-03'"),
+    "parsedTs": ("array(timestamp '2020-01-01')", "array(timestamp '1980-01-01')", "array(timestamp '2020-01-01', timestamp '2030-01-01')"),
+    "sentences": ("array('', 'a')", "array('')", "cast(array() AS array<string>)"), "rssTags": ("array('t')", "array('', '')", "cast(array() AS array<string>)"),
+    "metas": ("map('a', 'b')", "cast(map() AS map<string, string>)", "cast(map() AS map<string, string>)"),
+    "headers": ("array('h')", "cast(array() AS array<string>)", "cast(array() AS array<string>)"),
+    "links": ("array('x', 'http://l')", "array('x')", "cast(array() AS array<string>)"), "errorCode": ("'duplicated'", "'fine'", "''")}
+
+
+@query("field_rules", "WITH n AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 4 = 0) SELECT " + ", ".join(f'n AS "valid_{f}"' for f in FIELD_VALUES) + " FROM n")
+def field_rules(t: Tables):
+    """Every rule on valid, invalid and missing values."""
+    turn = F.col("o_orderkey") % 4
+    rows = t.orders.select(*[F.when(turn == 0, F.expr(a)).when(turn == 1, F.expr(b)).when(turn == 2, F.expr(c)).alias(f)
+                             for f, (a, b, c) in FIELD_VALUES.items()])
+    return frontier.field_validity(rows, list(FIELD_VALUES), now())
+
+
 @query("created_ts", f"""WITH {PATHS_SQL}
 SELECT o_orderkey, CAST(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 300000 THEN '2001-02-03' WHEN o_totalprice > 200000 THEN '1999-12-31'
   WHEN o_totalprice > 100000 THEN '2004-05-06' WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(u.o_orderdate AS DATE)::VARCHAR END AS VARCHAR) AS created FROM u JOIN orders USING (o_orderkey)""")

@@ -51,6 +51,15 @@ def vertex_collections(definitions: DataFrame, orphans: DataFrame) -> DataFrame:
     return used.withColumn("orphan", F.lit(False)).unionByName(alone.withColumn("orphan", F.lit(True)))
 
 
+def remove_vertices(vertices: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vertices without those of ``gone(_id)``, and the edges without those that touch one of them."""
+    gone = gone.select("_id").filter(F.col("_id").isNotNull()).distinct()
+    left = edges
+    for end in ("_from", "_to"):
+        left = left.join(gone.withColumnRenamed("_id", end), end, "left_anti").select(*edges.columns)
+    return vertices.join(gone, "_id", "left_anti").select(*vertices.columns), left
+
+
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
     out = edges.select("_key", F.col("_from").alias("at"), F.col("_to").alias("next"))
     back = edges.select("_key", F.col("_to").alias("at"), F.col("_from").alias("next"))

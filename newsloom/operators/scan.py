@@ -90,6 +90,16 @@ def last_n(df: DataFrame, seq: str, n: int) -> DataFrame:
     return df.orderBy(F.col(seq).desc()).limit(n)
 
 
+def docs_by_url(urls: DataFrame, docs: DataFrame, fields: Sequence[str], url: str = "URL") -> DataFrame:
+    """The named fields of the documents at the given URLs, one row per document; unknown URLs give none.
+
+    An absent field is null.  The URLs are the small side, so documents stay
+    where they are if Spark can broadcast them.
+    """
+    wanted = urls.select(F.col(urls.columns[0]).alias(url)).filter(F.col(url).isNotNull()).distinct()
+    return project(docs.join(wanted, url, "left_semi"), [url, *[f for f in fields if f != url]])
+
+
 def any_doc(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """One document drawn by a seeded hash, the same on every rerun."""
     return df.orderBy(drawn(key, seed), key).limit(1)

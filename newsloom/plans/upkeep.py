@@ -11,10 +11,11 @@ from ..functions.vectors import dot
 from ..operators.cluster import cluster_medoids, size_bounded_clusters
 from ..operators.duplicates import flag_vector_duplicates
 from ..operators.embed import score_docs
-from ..operators.frontier import new_errors
+from ..operators.frontier import new_errors, requeue_invalid
 from ..operators.mutate import delete_everywhere, retire_pivots, upsert_docs
 from ..operators.nearest import nearest_pivot
 from ..operators.ranking import global_rank
+from ..operators.scan import drawn
 from ..session import ensure_checkpoint_dir
 from ..sources.model import WordModel
 
@@ -136,3 +137,25 @@ def split_partitions(docs: DataFrame, pivots: DataFrame, partition_size: int, di
         fresh = fresh.join(docs.select(key, url), key)
         columns.append(url)
     return moved, retire_pivots(refreshed.select(*columns), fat, fresh.select(*columns))
+
+
+def revalidate(corpus: Corpus, partitions: DataFrame, valid: Column, collection: str) -> tuple[Corpus, DataFrame]:
+    """Check the documents of some partitions again: ``(tables, messages)``.
+
+    The invalid ones leave all tables and go back to the queue of their
+    collection.  ``valid`` is a predicate over the columns of the main table,
+    such as ``valid_doc``.
+    """
+    ensure_checkpoint_dir(corpus.main.sparkSession)
+    checked = corpus.main.join(partitions.select("partition").distinct(), "partition", "left_semi")
+    messages = requeue_invalid(checked, valid, collection).checkpoint()
+    main, newbies, errors = delete_everywhere(messages, corpus.main, corpus.newbies, corpus.errors)
+    added = messages.join(corpus.main.select("URL", "partition"), "URL").groupBy("partition").agg(F.count(F.lit(1)).alias("__gone"))
+    pivots = corpus.pivots.join(added, "partition", "left").withColumn("nDocs", F.col("nDocs") - F.coalesce("__gone", F.lit(0)))
+    return Corpus(main, newbies, errors, pivots.select(*corpus.pivots.columns)), messages
+
+
+def revalidate_sample(corpus: Corpus, n: int, seed: int, valid: Column, collection: str) -> tuple[Corpus, DataFrame]:
+    """``revalidate`` of ``n`` partitions drawn by a seeded hash of their ids."""
+    some = corpus.pivots.select("partition").distinct().orderBy(drawn("partition", seed), "partition").limit(n)
+    return revalidate(corpus, some, valid, collection)

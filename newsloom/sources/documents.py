@@ -34,11 +34,11 @@ class Import:
 
 
 def import_lines(lines: DataFrame, line: str, seq: str, schema: str | StructType, key: str = "_key",
-                 complete: bool = False) -> Import:
+                 complete: bool = False, stored: DataFrame | None = None) -> Import:
     """Check newline-delimited JSON documents given as a column of lines.
 
-    A line is rejected if it is not an object, its key is not a string, or an
-    earlier line has the same key.
+    A line is rejected if it is not an object, its key is not a string, an
+    earlier line has the same key, or ``stored``, the table it goes into, has.
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
@@ -59,6 +59,11 @@ def import_lines(lines: DataFrame, line: str, seq: str, schema: str | StructType
     rows = rows.join(first, "__key", "left").withColumn(
         "reason", F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(F.col("__seq") > F.col("__first"), "duplicate key"))
+    if stored is not None:
+        # the keys of the import are the small side
+        taken = stored.select(F.col(key).alias("__key")).join(first.select("__key"), "__key", "left_semi").distinct()
+        rows = rows.join(taken.withColumn("__taken", F.lit(True)), "__key", "left").withColumn(
+            "reason", F.coalesce("reason", F.when(F.col("__taken"), "key is stored")))
     valid = rows.filter(F.col("reason").isNull()).select("__doc.*")
     rejected = rows.filter(F.col("reason").isNotNull()).select(
         F.col("__seq").alias("seq"), F.col("__line").alias("line"), "reason")
@@ -66,12 +71,12 @@ def import_lines(lines: DataFrame, line: str, seq: str, schema: str | StructType
 
 
 def import_file(spark: SparkSession, path: str, schema: str | StructType, key: str = "_key",
-                complete: bool = False) -> Import:
+                complete: bool = False, stored: DataFrame | None = None) -> Import:
     """Import a file or folder of NDJSON; rows are ordered by file and position."""
     text = spark.read.text(path)
     lines = text.select(F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
                                  F.monotonically_increasing_id()).alias("seq"), F.col("value").alias("line"))
-    return import_lines(lines, "line", "seq", schema, key, complete)
+    return import_lines(lines, "line", "seq", schema, key, complete, stored)
 
 
 def export_documents(df: DataFrame, key: str | None = None, limit: int | None = None,
