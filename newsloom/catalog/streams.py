@@ -244,7 +244,20 @@ def newbies_batch(t: Tables):
     start = empty_corpus(t, batch)
     start.main = start.main.withColumn("vec", F.lit(None).cast("array<double>"))
     start.pivots = pivots(t).withColumn("nDocs", F.lit(0).cast("long")).withColumn("URL", F.concat(F.lit("old-"), F.col("partition").cast("string")))
-    after, _ = newbies.newbies_round(start, batch, model, PROJECTION, batch_size=1, partition_size=size)
+    after, _, _ = newbies.newbies_round(start, batch, model, PROJECTION, batch_size=1, partition_size=size)
     sizes = agg.count_by(after.main, "partition")
     counted = after.pivots.agg(F.sum("nDocs")).scalar()
     return sizes.agg(F.sum("n").alias("placed"), (F.max("n") <= 2 * size).alias("within_size")).withColumn("counted", counted)
+
+
+@query("newbies_validated", """SELECT 'queue' AS tab, 'http://news.example.com/' || doc_id AS "URL" FROM documents WHERE coalesce(lang, '') <> 'en'""")
+def newbies_validated(t: Tables):
+    """Articles that are not valid (here: in another language) go back to the queue, and none of them is placed."""
+    batch, model = articles(t).join(t.documents.select("doc_id", "lang"), "doc_id"), word_model(t)
+    start = empty_corpus(t, batch)
+    start.main = start.main.withColumn("vec", F.lit(None).cast("array<double>"))
+    start.pivots = pivots(t).withColumn("nDocs", F.lit(0).cast("long")).withColumn("URL", F.concat(F.lit("old-"), F.col("partition").cast("string")))
+    ok = F.coalesce(F.col("lang") == "en", F.lit(False))
+    after, _, messages = newbies.newbies_round(start, batch, model, PROJECTION, batch_size=1, valid=ok)
+    wrong = after.main.select("URL").intersect(messages.select("URL")).select(F.lit("placed all the same").alias("tab"), "URL")
+    return messages.select(F.lit("queue").alias("tab"), "URL").unionByName(wrong)

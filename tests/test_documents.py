@@ -156,3 +156,19 @@ def test_search_on_the_stored_index(spark, tmp_path):
     assert fulltext.search_index(spark, str(tmp_path / "empty"), "foo,|-bar").count() == 0
     with pytest.raises(ValueError):
         fulltext.terms_of(" , ")
+
+
+def test_files_of_documents(spark, tmp_path):
+    from newsloom.sources.documents import export_documents, import_file, write_documents
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"_key": "1", "x": 1}\n{"_key": "2", "x": 2}\nno json\n{"_key": "1", "x": 3}\n{"_key": 4, "x": 4}\n{"x": 5}\n')
+    stored = spark.createDataFrame([("2",), ("9",)], "_key string")
+    got = import_file(spark, str(tmp_path / "in"), "_key string, x int", stored=stored)
+    assert sorted((r["_key"] or "", r.x) for r in got.documents().collect()) == [("", 5), ("1", 1)]
+    assert sorted(r.reason for r in got.rejected.collect()) == ["duplicate key", "key is not a string", "key is stored", "not an object"]
+    assert tuple(got.summary().head()) == (2, 4)
+    strict = import_file(spark, str(tmp_path / "in"), "_key string, x int", complete=True, stored=stored)
+    assert strict.documents().count() == 0 and tuple(strict.summary().head()) == (0, 4)
+    write_documents(export_documents(got.documents(), include=["x"]), str(tmp_path / "out"))
+    assert sorted(r.x for r in spark.read.json(str(tmp_path / "out")).collect()) == [1, 5]

@@ -83,3 +83,26 @@ def test_trained_screening(spark):
     rows = [(f"http://bad.com/junk-{'x' * (i % 3)}", 1) for i in range(20)] + [(f"http://good.com/story/{'y' * (i % 4)}", 0) for i in range(20)]
     fitted = train_screening(spark.createDataFrame(rows, "URL string, label int"), "URL", "label", ["bad.com"])
     assert fitted["bad.com"] > 0
+
+
+def test_a_collection_from_its_configuration(spark, tmp_path):
+    from newsloom.sources.config import collection_settings, read_site_config
+
+    (tmp_path / "sites.tsv").write_text("domain\tcollection\tfields\tuseForSentences\trssFeeds\tdomainRegex\n"
+                                        "http://a.com\tnews\tURL,title,sentences\tmetas\t\t.*a\\.com/.*\n"
+                                        "http://b.com\tblogs\tURL,links\tlinks\thttp://b.com/rss\t.*b\\.com/.*\n")
+    sites = read_site_config(spark, str(tmp_path / "sites.tsv")).withColumn("row_no", F.lit(0))
+    assert collection_settings(sites, "news") == (["URL", "sentences", "title"], "metas")
+    html = "<title>T</title><meta name='k' content='One here . Two'><meta name='k' content='there . Three'><a href='/x y . z'>l</a>"
+    rows = spark.createDataFrame([("http://a.com/1", html, "<b>Long title</b><p>A sentence. </p><p>More...</p>"), ("http://a.com/2", "<p>x<![foo[bar]]>", None), ("http://b.com/3", None, None)],
+                                 "URL string, html string, value string").withColumn("summary_detail", F.struct("value")).drop("value")
+    now = F.lit("2026-01-01").cast("timestamp")
+    got = {r.URL[-1]: r for r in pages.parse_collection(rows, sites, "news", "row_no", now).collect()}
+    assert len(got["1"].sentences) > 1 and got["1"].sentences[0].startswith("one here") or got["1"].sentences[0].startswith("One here")
+    assert got["1"].sampleContent == "A sentence." and got["1"].errorCode == "allGood"
+    assert got["2"].errorCode == "parsingError" and any(e.level == "ERROR" for e in got["2"].parserLog)
+    assert got["3"].errorCode == "cannotDownload"
+    links = {r.URL[-1]: r.sentences for r in pages.parse_collection(rows, sites, "blogs", "row_no", now).collect()}
+    assert links["1"] and "x y" in links["1"][0]
+    with pytest.raises(NotImplementedError):
+        pages.sentence_text(rows.withColumn("n", F.lit(1)), "n")
