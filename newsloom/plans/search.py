@@ -48,14 +48,14 @@ def search(queries: DataFrame, docs: DataFrame, pivots: DataFrame, n: int | Colu
              .withColumn("nDocs", F.coalesce("nDocs", F.lit(0))).checkpoint())
     partitions = sized.count()
     wanted = (n if isinstance(n, Column) else F.lit(n)).cast("long")
-    asked = queries.withColumn("__n", wanted).select(key, "vec", "__n").filter(F.col("vec").isNotNull())
+    # read in every round, and often embedded from texts
+    asked = queries.withColumn("__n", wanted).select(key, "vec", "__n").filter(F.col("vec").isNotNull()).checkpoint()
     kept = [] if so_far is None else [so_far.kept]
     zero = [F.lit(0).cast(kind).alias(c) for c, kind in (("visited", "int"), ("scored", "long"), ("found", "long"))]
     cursor = asked.select(key, *zero)
     if so_far is not None:
         cursor = (cursor.select(key).join(so_far.cursor, key, "left")
                   .select(key, *[F.coalesce(c, z).alias(c) for c, z in zip(so_far.cursor.columns[1:], zero)]))
-    cursor = cursor.checkpoint()
     while True:
         short = asked.join(cursor, key).filter((F.col("found") < F.col("__n")) & (F.col("visited") < partitions))
         if not short.head(1):
