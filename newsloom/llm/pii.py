@@ -4,7 +4,8 @@ Base spans are e-mail addresses, IP addresses, card numbers and telephone
 numbers.  Beyond them, the corpus says which words disclose an entity: a word
 met near an entity in several independent contexts, far more often than in the
 corpus at large, and seldom without it, is generalised, or removed where the
-disclosure is very strong.
+disclosure is very strong, in every text, also where the entity itself is not
+named.
 
 All of it is DataFrame functions.  Patterns hold no repeated groups, so a match
 of any length needs no stack, and a run is entered only at its start, so no
@@ -28,7 +29,6 @@ LEAST_BITS = 5.0
 LEAST_SHARE = 0.5
 # From this share on the term is removed, below it is generalised.
 REMOVE_SHARE = 0.9
-LEAST_LETTERS = 4
 # Candidate terms up to this many rows (of about 100 bytes) go to every executor; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
 
@@ -107,7 +107,7 @@ def _count(spans: str, rank: int) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= LEAST_LETTERS)
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: w != "")
 
 
 def disclosures(found: DataFrame, docs: DataFrame, broadcast_rows: int = BROADCAST_TERMS) -> DataFrame:
@@ -136,20 +136,22 @@ def disclosures(found: DataFrame, docs: DataFrame, broadcast_rows: int = BROADCA
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= LEAST_CONTEXTS)
     pairs = settle(pairs, "near-terms")
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("contexts"))
-    wanted, candidates = pairs.select("term").distinct(), pairs.groupBy("entity").agg(F.collect_list("term").alias("near"))
-    if wanted.count() <= broadcast_rows:
+    wanted, narrow = pairs.select("term").distinct(), pairs.count() <= broadcast_rows
+    if narrow:
         wanted = F.broadcast(wanted)
-    if pairs.count() <= broadcast_rows:
-        candidates = F.broadcast(candidates)
     total = docs.count() - (copied.agg(F.sum(F.col("__copies") - 1)).first()[0] or 0)
     # counted first: a frequent word is one row per task before it meets anything
     held = (weighed(docs.select("text")).select("weight", F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
             .groupBy("term").agg(F.round(F.sum("weight")).alias("texts")).join(wanted, "term"))
     # the whole text counts, not only what is near
     of = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["value"])))
-    both = (weighed(found.select("text", "base")).select("weight", _terms(F.col("text")).alias("terms"), F.explode(of).alias("entity"))
-            .join(candidates, "entity").select("entity", "weight", F.explode(F.array_intersect("near", "terms")).alias("term"))
-            .groupBy("entity", "term").agg(F.round(F.sum("weight")).alias("shared")))
+    both = weighed(found.select("text", "base")).select("weight", _terms(F.col("text")).alias("terms"), F.explode(of).alias("entity"))
+    if narrow:  # a bounded table of lists cuts the terms of a text down before they become rows
+        candidates = F.broadcast(pairs.groupBy("entity").agg(F.collect_list("term").alias("near")))
+        both = both.join(candidates, "entity").withColumn("terms", F.array_intersect("near", "terms"))
+    # summed up in tasks, so an entity in a third of all texts is one row per task and term
+    both = (both.select("entity", "weight", F.explode("terms").alias("term")).groupBy("entity", "term")
+            .agg(F.round(F.sum("weight")).alias("shared")))
     out = pairs.join(entities, "entity").join(held, "term").join(both, ["entity", "term"])
     bits = F.log2(F.col("together") / F.col("contexts") / (F.col("texts") / F.lit(float(max(total, 1)))))
     share = F.least(F.lit(1.0), F.col("shared") / F.col("texts"))
@@ -157,26 +159,39 @@ def disclosures(found: DataFrame, docs: DataFrame, broadcast_rows: int = BROADCA
             .filter((F.col("bits") >= LEAST_BITS) & (F.col("share") >= LEAST_SHARE)))
 
 
-def find_private(docs: DataFrame) -> DataFrame:
+def _told(docs: DataFrame, telling: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``(__id, __hash, terms, gone, __text)`` of the rows whose texts hold telling terms, once per id and text."""
+    terms = telling.groupBy("term").agg(F.max("share").alias("share"))
+    terms = F.broadcast(terms) if telling.count() <= broadcast_rows else terms
+    rows = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), "text").filter(F.col("text").isNotNull())
+    held = (rows.select("__id", "__hash", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term")
+            .groupBy("__id", "__hash").agg(
+                F.array_sort(F.collect_set("term")).alias("terms"),
+                F.collect_set(F.when(F.col("share") >= REMOVE_SHARE, F.col("term"))).alias("gone")))
+    held = settle(held, "telling-rows")
+    keys = few(held.select(F.col("__id").alias("i"), F.col("__hash").alias("h")), "telling-keys")
+    texts = (rows.join(keys, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__hash") == F.col("h")), "left_semi")
+             .groupBy(F.col("__id").alias("i"), F.col("__hash").alias("h")).agg(F.first("text").alias("__text")))
+    return held.join(texts, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__hash") == F.col("h"))).drop("i", "h")
+
+
+def find_private(docs: DataFrame, broadcast_rows: int = BROADCAST_TERMS) -> DataFrame:
     """``(doc_id, text_hash, text, base, spans)`` for every row of ``docs(doc_id, text)``.
 
     ``base`` and ``spans`` are arrays of ``(start, rank, end, value)`` with
     code-point offsets, end exclusive; ``rank`` points into KINDS, ``spans``
-    adds the disclosing terms outside base spans, whose ``value`` starts with
-    ``-`` if the term is to be removed.  ``text`` is null where ``spans`` is
+    adds the disclosing terms of any entity outside base spans, whose ``value``
+    starts with ``-`` if the term is to be removed.  ``text`` is null where ``spans`` is
     empty.  Null texts are empty texts; rows and ids may repeat or be null.
     """
     text = F.coalesce("text", F.lit(""))
     marked = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"), base_spans(text).alias("base"))
     found = settle(marked.select("doc_id", "text_hash", F.when(F.size("base") > 0, F.col("text")).alias("text"), "base"), "private")
     private = found.filter(F.size("base") > 0)
-    telling = settle(disclosures(private, docs), "disclosures")
-    of = (private.select("doc_id", "text_hash", F.explode(F.transform("base", lambda s: F.xxhash64(s["value"]))).alias("entity"))
-          .distinct().join(telling, "entity").groupBy("doc_id", "text_hash", "term").agg(F.max("share").alias("share"))
-          .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
-              F.array_sort(F.collect_list("term")).alias("terms"),
-              F.collect_set(F.when(F.col("share") >= REMOVE_SHARE, F.col("term"))).alias("gone")))
-    told = found.join(of, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    telling = settle(disclosures(private, docs, broadcast_rows), "disclosures")
+    of = _told(docs.select("doc_id", "text"), telling, broadcast_rows)
+    told = found.join(of, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").withColumn(
+        "text", F.coalesce("text", "__text"))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     words = F.when(F.col("terms").isNotNull(), _matches(F.lower("text"), pattern))
     outside = F.filter(words, lambda m: ~F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
@@ -184,7 +199,8 @@ def find_private(docs: DataFrame) -> DataFrame:
         m["start"].alias("start"), F.lit(KINDS.index("term")).alias("rank"), m["end"].alias("end"),
         F.concat(F.when(F.array_contains("gone", m["value"]), "-").otherwise("+"), m["value"]).alias("value")))
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", more)))
-    return told.select("doc_id", "text_hash", "text", "base", spans.alias("spans"))
+    return told.select("doc_id", "text_hash", "text", "base", spans.alias("spans")).withColumn(
+        "text", F.when(F.size("spans") > 0, F.col("text")))
 
 
 def listed(spans: Column) -> Column:

@@ -73,6 +73,52 @@ def test_copies_and_distance_do_not_lower_the_share(spark):
     assert not any(w in r.text for r in pii.sanitise(docs).collect() for w in ("zanzibar", "quillfeather", "marigold"))
 
 
+def brute_disclosures(texts):
+    """The definition in plain Python: {term: share} over different texts."""
+    words = lambda t: set(re.findall(r"[^\W_]+", t.lower()))
+    texts, contexts = sorted(set(texts)), {}
+    for text in texts:
+        for m in re.finditer(PATTERNS[0][1], text):
+            low, high = max(m.start() - pii.CONTEXT, 0), m.end() + pii.CONTEXT
+            left, right = text[low:m.start()], text[m.end():high]
+            left = re.sub(r"^[^\W_]+", "", left) if low else left
+            right = re.sub(r"[^\W_]+$", "", right) if high < len(text) else right
+            contexts.setdefault(m.group().lower(), set()).add(f"{left} {right}")
+    out = {}
+    for entity, around in contexts.items():
+        for term in set().union(*map(words, around)):
+            near = sum(term in words(c) for c in around)
+            held = [t for t in texts if term in words(t)]
+            share = sum(entity in t.lower() for t in held) / len(held)
+            if near >= pii.LEAST_CONTEXTS and share >= pii.LEAST_SHARE and near / len(around) / (len(held) / len(texts)) >= 2 ** pii.LEAST_BITS:
+                out[term] = max(out.get(term, 0), share)
+    return out
+
+
+def test_every_text_is_sanitised(spark):
+    # one address in a third of all rows; short names; a name also in texts without the address
+    rows = [f"{prose(30, i)} Lee sales@shop.org {prose(30, 1000 + i)}" for i in range(4)] * 100
+    rows += [f"{prose(8, 5000 + i)} Quillfeather b{i % 2}@mail.org {prose(30, 6000 + i)}" for i in range(8)]
+    rows += [f"{prose(8, 7000 + i)} Quillfeather {prose(3, 7100 + i)}" for i in range(3)]
+    rows += [f"{prose(5, 7200 + i)} lee. {prose(5, 7300 + i)} 김 o@k.kr {prose(4, 7400 + i)}" for i in range(4)]
+    rows += [f"김 {prose(9, 7500)}", "nothing to hide", ""] + [prose(25, 8000 + i) for i in range(900)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = brute_disclosures([r for r in rows])
+    assert {"김", "lee"} <= set(want) and "quillfeather" not in want
+    for broadcast_rows in (0, pii.BROADCAST_TERMS):
+        got = pii.find_private(docs, broadcast_rows).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            marked = {s.value[1:]: s.value[0] for s in r.spans if s["rank"] == 4}
+            outside = re.sub(PATTERNS[0][1], lambda m: " " * len(m.group()), rows[r.doc_id])
+            held = {w for w in re.findall(r"[^\W_]+", outside.lower()) if w in want}
+            assert marked == {w: "-" if want[w] >= pii.REMOVE_SHARE else "+" for w in held}, (rows[r.doc_id], marked)
+            assert (r.text is None) == (not r.spans)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any(re.search(r"(?i)\blee\b|김|@", t) for t in clean.values())
+    assert all(clean[i] == t for i, t in enumerate(rows) if i >= len(rows) - 900 or t in ("", "nothing to hide"))
+
+
 def test_awkward_rows(spark):
     docs, rows = awkward(spark)
     got = pii.digest(pii.find_private(docs)).collect()
