@@ -86,7 +86,9 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 # How a transcript shows its speakers, by conversation: system, user, assistant; the last style shows none.
 STYLES = [("System: ", "User: ", "Assistant: "), ("Instructions: ", "Human: ", "AI: "), ("### System\n", "### User\n", "### Assistant\n"),
-          ("[system]: ", "[user]: ", "[bot]: "), ("\n", "\n", "\n")]
+          ("[system]: ", "[user]: ", "[bot]: "), ("**System**: ", "**User 1**: ", "**Speaker2:** "),
+          ("<|im_start|>system\n", "<|im_start|>user\n", "<|im_start|>assistant\n"),
+          ("[12:01] Admin: ", "[12:02] John Smith: ", "12:03 - Customer Service: "), ("\n", "\n", "\n")]
 
 
 def raw_transcripts(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +107,7 @@ def raw_transcripts(spark: SparkSession, folder: str) -> DataFrame:
 def op10_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     lines = transcripts.lines_of(raw_transcripts(spark, folder))
     turns = transcripts.canonical(transcripts.recover(lines, transcripts.train(lines)))
-    return turns.select("conv_id", "turn", "line", "role", "n_lines", "continued", "rendered")
+    return turns.select("conv_id", "turn", "line", "role", "n_lines", "rendered")
 
 
 @query(sql=importance.ORACLE)

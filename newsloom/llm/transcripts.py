@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import settle
 
@@ -31,16 +31,32 @@ MARKERS = 256
 SIZES = (MARKERS, 16, 2, 4)
 SMOOTH = 0.5
 SEGMENT = 20_000
-_MARKER = re.compile(r"^[#>*\-\s\[(<|]*([^\W\d_]{1,16})[\])>|]*\s*(?::|$)")
+# A name is a word, and up to three more that do not begin in lower case; a time may stand before it.
+_NAME = r"([^\W\d_][\w.'’-]*+(?: [^\W_a-z][\w.'’-]*+){0,3})"
+_TIME = r"(?:[\[(]?\d{1,2}:\d\d(?::\d\d)?(?: ?[AaPp][Mm])?[\])]?\s*(?:[-–]\s*)?)?"
+_MARKER = re.compile("|".join([
+    rf"\s*<\|(?:im_start|start_header_id)\|>\s*{_NAME}\s*(?:<\|end_header_id\|>\s*|$)",  # <|im_start|>user
+    rf"\s*<\|(?!im_end\||eot_id\||end\|){_NAME}\|>\s*",                                  # <|user|>
+    rf"\s*#{{1,6}}\s*{_NAME}\s*:?\s*$",                                                  # ### User
+    rf"[>\-\s]*{_TIME}[#*_\[(<|]*{_NAME}[\])>|*_]*\s*:(?!//)[*_]*\s*",                   # [12:01] **John Smith**: ...
+    rf"\s*{_TIME}(?:\[{_NAME}\]|<{_NAME}>)(?:\s+|$)",                                    # [user] ...
+    rf"\s*(?:\*\*|__){_NAME}(?:\*\*|__)\s*$",                                            # **User**
+]))
+_CLOSED = re.compile(r"\s*<\|(?:im_end|eot_id|end)\|>\s*$")
 LINES = "conv_id long, segment long, ord long, turn long, line long, text string, role string, seen array<int>"
 
 
 def marker(line: str) -> tuple[int, int]:
-    """Hashed name of the speaker marker a line begins with, 0 for none, and where the rest begins."""
-    found = _MARKER.match(line[:48])
-    if not found or (not line[:found.end()].rstrip().endswith(":") and line.lstrip()[:1] not in ("#", "[", "<", "*", "(", "|")):
+    """Hashed name of the speaker marker a line begins with, 0 for none, and where the rest begins.
+
+    Numbers of a name do not count: ``User 1`` and ``User 2`` are one name.
+    Whether a line with a marker begins a turn is up to the model.
+    """
+    found = _MARKER.match(line)
+    if not found:
         return 0, 0
-    return zlib.crc32(found.group(1).lower().encode("utf-8", "surrogatepass")) % (MARKERS - 1) + 1, found.end()
+    name = re.sub(r"[\W\d_]+", " ", found.group(found.lastindex)).strip().lower()
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % (MARKERS - 1) + 1, found.end()
 
 
 def _seen(line: str, blank_before: bool) -> list[int]:
@@ -52,7 +68,7 @@ def lines_of(transcripts: DataFrame) -> DataFrame:
     """Ordered lines of ``transcripts(conv_id, turn, text[, role])``, cut into segments.
 
     ``turn`` orders the pieces of text of a transcript; ties stand in the order
-    of their texts.  Blank lines only mark the line after them.  Null ids are
+    of their texts.  Blank lines only mark the line after them in a text.  Null ids are
     one transcript, null turns come first, null texts are blank.  ``role`` is
     the speaker where known.
     """
@@ -64,13 +80,14 @@ def lines_of(transcripts: DataFrame) -> DataFrame:
              .sortWithinPartitions("conv_id", "turn", "tie", "text").drop("tie"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, segment, count, blank = TaskContext.get().partitionId() << 32, object(), -1, 0, False
+        part, last, segment, count = TaskContext.get().partitionId() << 32, object(), -1, 0
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for conv, turn, text, role in zip(*(batch.column(i) for i in range(4))):
                 conv, turn, role = conv.as_py(), turn.as_py(), role.as_py()
                 if conv != last:
-                    last, segment, count, blank = conv, segment + 1, 0, False
+                    last, segment, count = conv, segment + 1, 0
+                blank = False
                 for number, line in enumerate(text.as_py().split("\n")):
                     if not line.strip():
                         blank = True
@@ -240,11 +257,33 @@ def recover(lines: DataFrame, model: Model) -> DataFrame:
 def canonical(recovered: DataFrame) -> DataFrame:
     """Turns rendered one way: ``(conv_id, segment, ord, turn, line, role, n_lines, rendered)``.
 
-    A turn is the lines from one that begins it to the next; its marker is
-    taken off.  A turn that goes over a cut of its transcript is a row on
-    either side, the second with ``continued`` true and without an opening tag.
-    ``segment`` and ``ord`` give the order of the turns.
+    A turn is the lines from one that begins it to the next, whole wherever its
+    transcript was cut; its marker and closing tag are taken off.  ``segment``
+    and ``ord`` give the order of the turns and depend on the cuts, all else
+    does not.
     """
+    pieces = settle(_pieces(recovered), "turns")
+    rest = pieces.filter("continued")
+    begun = pieces.filter("NOT continued")
+    # a piece that goes on belongs to the last turn begun in an earlier segment; there are few segments
+    ends = begun.groupBy("conv_id", "segment").agg(F.max("ord").alias("ord"))
+    marks = ends.join(rest.select(F.col("conv_id").alias("c")).distinct(), F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    marks = marks.select("conv_id", "segment", F.struct("segment", "ord").alias("head")).unionByName(
+        rest.select("conv_id", "segment"), allowMissingColumns=True)
+    marks = marks.groupBy("conv_id", "segment").agg(F.max("head").alias("head"))
+    before = Window.partitionBy("conv_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    heads = marks.select(F.col("segment").alias("s"), F.last("head", ignorenulls=True).over(before).alias("head"))
+    tails = (rest.join(heads, F.col("segment") == F.col("s")).groupBy("head.segment", "head.ord").agg(
+        F.sum("n_lines").alias("more"), F.array_sort(F.collect_list(F.struct(F.col("s"), "rendered"))).alias("parts"))
+        .select(F.col("segment").alias("s"), F.col("ord").alias("o"), "more", "parts"))
+    body = F.array_join(F.filter(F.col("parts.rendered"), lambda x: x != ""), "\n")
+    whole = begun.join(tails, (F.col("segment") == F.col("s")) & (F.col("ord") == F.col("o")), "left")
+    return whole.select("conv_id", "segment", "ord", "turn", "line", "role", (F.col("n_lines") + F.coalesce("more", F.lit(0))).alias("n_lines"),
+                        F.concat(F.lit("<|"), "role", F.lit("|>\n"), F.concat_ws("\n", F.nullif("rendered", F.lit("")), F.nullif(body, F.lit("")))).alias("rendered"))
+
+
+def _pieces(recovered: DataFrame) -> DataFrame:
+    """Turns as far as they lie in one segment; ``continued`` are those begun in an earlier one."""
     dealt = recovered.repartition("segment").sortWithinPartitions("segment", "ord")
     schema = ("conv_id long, segment long, ord long, turn long, line long, role string, n_lines long, "
               "continued boolean, rendered string")
@@ -258,7 +297,7 @@ def canonical(recovered: DataFrame) -> DataFrame:
                     if open_turn is not None:
                         out.append(_closed(open_turn))
                     open_turn = [conv, segment, place, turn, line, role, state % 2 == 1, []]
-                open_turn[7].append(text[marker(text)[1]:].strip() if state % 2 == 0 else text)
+                open_turn[7].append(_shown(text, state % 2 == 0))
             yield _batch(out, schema)
         if open_turn is not None:
             yield _batch([_closed(open_turn)], schema)
@@ -266,10 +305,14 @@ def canonical(recovered: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def _shown(line: str, begins: bool) -> str:
+    line = _CLOSED.sub("", line)
+    return line[marker(line)[1]:].strip() if begins else line
+
+
 def _closed(turn: list) -> tuple:
     conv, segment, place, number, line, role, continued, texts = turn
-    body = "\n".join(t for t in texts if t)
-    return conv, segment, place, number, line, role, len(texts), continued, body if continued else f"<|{role}|>\n{body}"
+    return conv, segment, place, number, line, role, len(texts), continued, "\n".join(t for t in texts if t)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:

@@ -93,7 +93,7 @@ def test_roles_of_transcripts_without_them(spark, monkeypatch):
     cut = transcripts.recover(lines, model)
     assert {(r.conv_id, r.turn, r.line): (r.role, r.state) for r in cut.collect()} == whole
     turns = transcripts.canonical(cut).collect()
-    assert sum(not t.continued for t in turns) == len(rows) and sum(t.n_lines for t in turns) == len(whole)
+    assert len(turns) == len(rows) and sum(t.n_lines for t in turns) == len(whole)
     first = [t for t in turns if (t.conv_id, t.turn) == (1, 0)]
     assert first[0].rendered == f"<|user|>\n{prose(4, 31)}?"
 
@@ -120,3 +120,41 @@ def test_awkward_transcripts(spark):
     assert sorted((r.conv_id or 0, r.turn) for r in got) == [(0, 0), (1, 0), (1, 0), (1, 1), (3, 0)]
     empty = transcripts.lines_of(frame.limit(0))
     assert transcripts.canonical(transcripts.recover(empty, transcripts.train(empty))).collect() == []
+
+
+def test_markers():
+    shown = {"User 1: hi": "user", "Speaker2: hi": "speaker", "John Smith: hi": "john smith", "Customer Service: hi": "customer service",
+             "**User**: hi": "user", "**User:** hi": "user", "[12:01] Bob: hi": "bob", "12:01:30 PM - Bob: hi": "bob", "(9:05) <Bob>: hi": "bob",
+             "[user] hi": "user", "<Bob> hi": "bob", "<|user|> hi": "user", "> Bob: hi": "bob", "王小明: hi": "王小明"}
+    for line, name in shown.items():
+        value, end = transcripts.marker(line)
+        assert (value, line[end:]) == (transcripts.marker(name.title() + ": x")[0], "hi"), line
+    for line in ("<|im_start|>user", "### User", "## User:", "**User**", "[user]", "User:"):
+        assert transcripts.marker(line) == (transcripts.marker("user: x")[0], len(line)), line
+    for line in ("", "we met at 12:30 and so on", "http://x.y/z", "this is a test: yes", "<|im_end|>", "word" * 50_000, "Aa " * 50_000, "- item"):
+        assert transcripts.marker(line) == (0, 0), line[:40]
+
+
+def test_turns_do_not_depend_on_the_cuts(spark, monkeypatch):
+    said = {t: prose(4, t) + "?" if t % 6 == 0 else prose(12, t) + "." for t in range(600)}
+    marks = {0: "Q: ", 1: "A: "}
+    rows = conversations(12) + [(99, t, marks.get(t % 6, "") + text + "\n\n", None, "") for t, text in said.items()]
+    seen, kept = set(), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for partitions, size in (1, 20_000), (31, 20_000), (7, 2):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            monkeypatch.setattr(transcripts, "SEGMENT", size)
+            lines, model = recovered(spark, rows)
+            got = transcripts.canonical(transcripts.recover(lines, model)).drop("segment", "ord").collect()
+            seen.add(tuple(sorted(map(tuple, got))))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(seen) == 1
+    # turns and texts as they were written
+    turns = [r for r in seen.pop() if r[0] == 99]
+    assert [r[1] for r in turns] == [t for t in range(600) if t % 6 < 2]
+    for r in turns:
+        lines = [said[r[1]]] if r[1] % 6 == 0 else [said[t] for t in range(r[1], r[1] + 5)]
+        assert r[4:] == (len(lines), f"<|{ROLES[r[1] % 6]}|>\n" + "\n".join(lines))
