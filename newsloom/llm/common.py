@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
@@ -13,27 +11,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let go of the shuffles behind tables settled earlier.
-
-    Spark deletes shuffle files once the driver has collected the plans they
-    belong to; on a driver that is seldom short of memory this may be long
-    after the last use, while disks fill.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+# Spark's setting that a query's shuffle files go when it has ended, not when the driver has collected its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared scratch folder and read again.
 
     Cuts the lineage with files every executor can read; a lost executor costs
-    only the tasks it ran.
+    only the tasks it ran.  The shuffles behind the table are deleted once it
+    is written.
     """
-    _release(df.sparkSession)
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # Keys of two numbers up to this many rows (under 64 MB as a hash table) are sent to every task.

@@ -19,6 +19,7 @@ The join is exact up to 64-bit hashes of shingles and sets.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,11 +129,19 @@ def _first_pass(width: int):
         if sketch.any():
             yield pa.RecordBatch.from_arrays(
                 [*[pa.nulls(CHUNKS, pa.int64())] * 4,
-                 pa.array([x.tobytes() for x in np.split(sketch, CHUNKS)], pa.binary()),
+                 pa.array([_packed(x) for x in np.split(sketch, CHUNKS)], pa.binary()),
                  pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32())], names=FIRST.split(", "))
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _unpacked(piece: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(piece), np.int64)
+
+
 FIRST = "doc_id, text_hash, n, node, bits, chunk, task"
 FIRST_SCHEMA = "doc_id long, text_hash long, n long, node long, bits binary, chunk int, task int"
 
@@ -147,8 +156,8 @@ def _crowded(first: DataFrame) -> bytes:
     def summed(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros((1 << BUCKET_BITS) // CHUNKS, np.int64)
         for piece in pdf["bits"]:
-            out += np.frombuffer(piece, np.int64)
-        return pd.DataFrame({"chunk": pdf["chunk"][:1], "task": pdf["task"][:1], "bits": [out.tobytes()]})
+            out += _unpacked(piece)
+        return pd.DataFrame({"chunk": pdf["chunk"][:1], "task": pdf["task"][:1], "bits": [_packed(out)]})
 
     # two levels, so that no task adds up the pieces of all others
     step = max(1, int(tasks ** .5))
@@ -157,7 +166,7 @@ def _crowded(first: DataFrame) -> bytes:
     out = np.zeros(1 << BUCKET_BITS, bool)
     size = len(out) // CHUNKS
     for chunk, bits in rows:
-        out[chunk * size:(chunk + 1) * size] = np.frombuffer(bits, np.int64) > limit
+        out[chunk * size:(chunk + 1) * size] = _unpacked(bits) > limit
     return np.packbits(out).tobytes()
 
 
@@ -269,47 +278,46 @@ def _exact(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, part:
     return both.filter(linked("ha", "hb")).select("a", "b")
 
 
-def _open_pairs(lists: DataFrame, classes: DataFrame, nodes: DataFrame, part: int, whole: int) -> DataFrame:
-    """Pairs of different classes that share a list and that bitmaps cannot rule out."""
-    placed = lists.join(classes.select("node", F.col("component").alias("class")), "node", "left").withColumn(
-        "class", F.coalesce("class", "node"))
+def _open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of lists that hold several classes: ``(node, key, inner, n, class, size)``."""
+    placed = lists.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     still = placed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("size"))
-    rest = placed.join(still.filter("x <> y").select("key", "size"), "key")
-    few, many = rest.filter(F.col("size") <= SHORT), rest.filter(F.col("size") > SHORT)
-    rest = few.withColumn("bits", F.lit(None).cast("binary")).unionByName(
-        many.join(nodes.select("node", _folded_to(F.col("bits")).alias("bits")), "node"))
-    return _bounded(_tile_pairs(rest.drop("size"), part, whole), nodes, part, whole)
+    return placed.join(still.filter("x <> y").select("key", "size"), "key")
 
 
-def _tile_pairs(lists: DataFrame, part: int, whole: int) -> DataFrame:
+def _tile_pairs(lists: DataFrame, nodes: DataFrame, part: int, whole: int) -> DataFrame:
     """Pairs ``(a, b)`` of different classes in a list that bitmaps cannot rule out.
 
     A tile is a list and two adjoining bands, cut into blocks of about BLOCK
-    rows a side; each pair of blocks is one unit of work.
+    rows a side; each pair of blocks is one unit of work.  ``lists`` is settled.
     """
     rows = lists.withColumn("band", F.floor(F.log("n") / F.lit(np.log(whole / part) * 1.0000001)))
     counts = rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     above = counts.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("next"))
-    grid = counts.join(above, ["key", "band"], "full_outer").select(
-        "key", "band", F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("next", F.lit(0)).alias("next"))
-    grid = grid.filter("blocks > 0")
+    grid = settle(counts.join(above, ["key", "band"], "left").select(
+        "key", F.col("band").alias("home"), "blocks", F.coalesce("next", F.lit(0)).alias("next")), "tiles")
+
+    short, long = rows.filter(F.col("size") <= SHORT), rows.filter(F.col("size") > SHORT)
+    rows = short.withColumn("bits", F.lit(None).cast("binary")).unionByName(
+        long.join(nodes.select("node", _folded_to(F.col("bits")).alias("bits")), "node"))
     # a row is on the left in its own band, on the right in its own and in the band below
+    homes = F.array(*[F.struct((F.col("band") - up).alias("home"), F.lit(up).alias("up")) for up in (0, 1)])
+    placed = rows.withColumn("h", F.explode(homes)).select(
+        "key", "h.home", "h.up", "node", "n", "class", "inner", "bits").join(grid, ["key", "home"])
+
+    def unit(i: Column, up: Column, j: Column, side: int) -> Column:
+        return F.struct(i.alias("i"), up.alias("up"), j.alias("j"), F.lit(side).alias("side"))
+
+    none = F.array().cast("array<struct<i:int,up:int,j:int,side:int>>")
     at = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
-    own = rows.join(grid, ["key", "band"])
-    left = own.filter("inner").select(
-        "key", "band", at(F.col("blocks")).alias("i"), F.explode(F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.lit(0).alias("up"), j.alias("j"))),
-            F.when(F.col("next") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("next") - 1, F.lit(0))),
-                                                  lambda j: F.struct(F.lit(1).alias("up"), j.alias("j"))))
-            .otherwise(F.array().cast("array<struct<up:int,j:int>>")))).alias("t"), "node", "n", "class", "bits", F.lit(0).alias("side"))
-    spread = lambda up, band: (rows.withColumn("home", F.col("band") - band)
-                               .join(grid.withColumnRenamed("band", "home"), ["key", "home"])
-                               .select("key", F.col("home").alias("band"),
-                                       F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"),
-                                       F.struct(F.lit(up).alias("up"), at(F.col("blocks" if up == 0 else "next")).alias("j")).alias("t"),
-                                       "node", "n", "class", "bits", F.lit(1).alias("side")))
-    work = left.unionByName(spread(0, 0)).unionByName(spread(1, 1))
-    work = work.select(F.xxhash64("key", "band", "i", "t.up", "t.j").alias("tile"), "side", "node", "n", "class", "bits")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    blocks, above, up = F.col("blocks"), F.col("next"), F.col("up")
+    left = F.when((up == 0) & F.col("inner"), F.concat(
+        F.transform(upto(blocks), lambda j: unit(at(blocks), F.lit(0), j, 0)),
+        F.transform(upto(above), lambda j: unit(at(blocks), F.lit(1), j, 0)))).otherwise(none)
+    right = F.transform(upto(blocks), lambda i: unit(i, up, at(F.when(up == 0, blocks).otherwise(above)), 1))
+    work = placed.withColumn("t", F.explode(F.concat(left, right))).select(
+        F.xxhash64("key", "home", "t.i", "t.up", "t.j").alias("tile"), "t.side", "node", "n", "class", "bits")
     dealt = work.repartition("tile").sortWithinPartitions("tile", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +428,7 @@ def _named(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     first = settle(docs.mapInArrow(_first_pass(width), FIRST_SCHEMA), "shingle-sets")
     rows = first.filter("chunk IS NULL")
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = settle(rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
     lists = _lists(docs, _crowded(first), width, part, whole)
     lists = settle(lists.join(nodes.select("node", "n"), "node"), "lists")
 
@@ -433,12 +441,18 @@ def _named(docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
     pairs = near.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
     links = settle(_exact(docs, rows, settle(_bounded(pairs, nodes, part, whole), "star-pairs"), width, part, whole), "star-links")
 
-    more = settle(_exact(docs, rows, settle(_open_pairs(lists, components(links), nodes, part, whole), "tile-pairs"),
-                         width, part, whole), "tile-links")
-    classes = components(links.unionByName(more))
-
-    named = rows.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn(
-        "class", F.coalesce("class", "node"))
+    # classes of the stars become nodes, so what links them is small
+    classes = settle(components(links), "star-classes").withColumnRenamed("component", "class")
+    still = settle(_open_lists(lists, classes), "open-lists")
+    pairs = settle(_bounded(_tile_pairs(still, nodes, part, whole), nodes, part, whole), "tile-pairs")
+    more = settle(_exact(docs, rows, pairs, width, part, whole), "tile-links")
+    for end in ("a", "b"):
+        more = (more.join(classes.withColumnRenamed("node", end), end, "left")
+                .withColumn(end, F.coalesce("class", end)).drop("class"))
+    joined = components(more).select(F.col("node").alias("class"), "component")
+
+    named = rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named = named.join(joined, "class", "left").withColumn("class", F.coalesce("component", "class"))
     return settle(named.select("doc_id", "text_hash", "n", "class"), "classes")
 
 
