@@ -19,9 +19,12 @@ from .urls import FEATURES_SQL, Z_SQL
 
 
 def stream_of(t: Tables, name: str):
-    table = getattr(t, name)
-    return (t.spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet")
-            .parquet(t.folder))
+    """A table as a stream, be it one file or a folder of files.
+
+    The path is a pattern that fits this name only: of a plain path Spark takes
+    a folder for the base of the files, which a single file is not.
+    """
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/[{name[0]}]{name[1:]}.parquet")
 
 
 def run_to_table(df, spark, name: str):
