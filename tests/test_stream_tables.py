@@ -19,3 +19,12 @@ def test_a_table_is_one_file_or_a_folder_of_files(spark, tmp_path, many):
              .option("checkpointLocation", str(tmp_path / "log")).start(str(tmp_path / "out")))
     query.awaitTermination()
     assert sorted(r.page_id for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()) == list(range(6))
+
+
+def test_frontier_over_a_folder_of_files(spark, tmp_path):
+    from newsloom.catalog import QUERIES
+
+    for name in ("pages", "events", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(2).write.parquet(str(tmp_path / f"{name}.parquet"))
+    many, one = (sorted(QUERIES["frontier_admit"](spark, folder).collect()) for folder in (str(tmp_path), "/root/testdata/sf0.001"))
+    assert many == one and many
