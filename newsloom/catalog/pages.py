@@ -8,6 +8,7 @@ from ..functions import dates, text, urls
 from ..functions.fields import error_code, valid_doc
 from ..operators import aggregate as agg, frontier, pages as ops, scan
 from ..plans import upkeep
+from ..session import stored
 from . import sql
 from .base import Tables, query
 from .fixtures import known_pages, site_config
@@ -221,7 +222,7 @@ def requeue_rows(t: Tables):
 @query("revalidate_sample")
 def revalidate_sample(t: Tables):
     """Documents of one drawn partition (a site) that have to be extracted again."""
-    docs = judged(t).withColumn("partition", F.coalesce("domain", F.lit("none")))
+    docs = stored(judged(t).withColumn("partition", F.coalesce("domain", F.lit("none"))), "judged")
     drawn = (docs.select("partition").distinct().orderBy(F.xxhash64("partition", F.lit(3)), "partition").limit(1))
     some = docs.join(drawn, "partition", "left_semi")
     return frontier.requeue_invalid(some, valid_doc(REQUIRED, docs.columns, now()), "newsNewbies")
