@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .urls import DATE_WORDS, MONTHS
@@ -37,22 +39,34 @@ def recognise_date(text: Column) -> Column:
     """
     cleaned = F.regexp_replace(text, r"[^A-z0-9\-/:]", " ")
     tokens = F.filter(F.split(cleaned, r"\s+"), lambda t: t != "")
+    return _once(_once(tokens, _date_parts), _date_of)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """A one-element transform names a value, so that it is not computed again at each use."""
+    return F.get(F.transform(F.array(value), then), 0)
 
+
+def _date_parts(tokens: Column) -> Column:
+    """The first complete date, and the last day, month and year named separately."""
     def last(keep) -> Column:
-        kept = F.filter(tokens, keep)
-        return F.try_element_at(kept, F.lit(-1))
+        return F.try_element_at(F.filter(tokens, keep), F.lit(-1))
 
     # dates that exist but lie before 1970 are passed over, impossible ones stop the search
-    isos = F.filter(F.transform(tokens, _iso), lambda iso: iso.isNotNull() & (
-        _valid_date(iso).isNull() | (_valid_date(iso) > F.lit(EPOCH).cast("date"))))
+    isos = F.filter(F.transform(tokens, _iso), lambda iso: iso.isNotNull() & F.coalesce(
+        _valid_date(iso) > F.lit(EPOCH).cast("date"), F.lit(True)))
     month_word = F.lower(last(lambda t: F.lower(t).isin(MONTH_WORDS)))
     month = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.substring(month_word, 1, 3))
-    day = last(lambda t: t.rlike(r"^[0-9]{1,2}$"))
-    year = last(lambda t: t.rlike(r"^[0-9]{4}$"))
+    return F.struct(F.get(isos, 0).alias("iso"), last(lambda t: t.rlike(r"^[0-9]{1,2}$")).alias("day"),
+                    month.alias("month"), last(lambda t: t.rlike(r"^[0-9]{4}$")).alias("year"))
+
+
+def _date_of(parts: Column) -> Column:
+    year, month, day = parts["year"], parts["month"], parts["day"]
     named = _valid_date(F.concat_ws(
         "-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")))
     complete = year.isNotNull() & month.isNotNull() & day.isNotNull()
-    return (F.when(F.size(isos) > 0, _valid_date(F.get(isos, 0)))
+    return (F.when(parts["iso"].isNotNull(), _valid_date(parts["iso"]))
             .when(complete & (named > F.lit(EPOCH).cast("date")), named))
 
 
