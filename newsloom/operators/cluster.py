@@ -49,10 +49,12 @@ def size_bounded_clusters(df: DataFrame, key: str, max_size: int, dim: int, grou
     while True:
         sizes = active.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n"))
         over = sizes.filter(F.col("__n") > most).select("cluster").checkpoint()
+        # few: each has more than ``most`` rows
+        over = F.broadcast(over)
         done.append(active.join(over, "cluster", "left_anti").select(key, "vec", "cluster"))
         if level == levels or not over.head(1):
             break
-        active = _split(active.join(over, "cluster").select(key, "vec", "cluster"), key, level).checkpoint()
+        active = _split(active.join(over, "cluster", "left_semi").select(key, "vec", "cluster").checkpoint(), key, level).checkpoint()
         level += 1
     # rows as deep as they should be are done, whatever their cluster's size
     at_depth = [active] if level == levels else []
@@ -92,7 +94,7 @@ def _two_means(v: np.ndarray) -> np.ndarray:
         second, moved = margin > 0, c.copy()
         for k, side in enumerate((~second, second)):
             if side.any():
-                moved[k] = v[side].mean(axis=0)
+                moved[k] = side.astype(np.float64) @ v / side.sum()
         shift, apart = ((moved - c) ** 2).sum(axis=1).max(), ((moved[1] - moved[0]) ** 2).sum()
         c = moved
         if shift <= CONVERGED ** 2 * apart:
@@ -112,31 +114,41 @@ def _margin(v: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _split(work: DataFrame, key: str, level: int) -> DataFrame:
-    """Every cluster of ``work(key, vec, cluster)`` divided in two."""
+    """Every cluster of ``work(key, vec, cluster)`` divided in two.
+
+    The clusters are large ones, so their centres are few: every step sends
+    them to the rows, and only sums by task, cluster and side come back.
+    """
     first = work.groupBy("cluster").agg(F.min_by("vec", key).alias("c0"))
-    far = work.join(first, "cluster").withColumn("__d", _distance2(F.col("vec"), F.col("c0")))
-    centres = (far.groupBy("cluster").agg(F.first("c0").alias("c0"), F.min_by("vec", F.struct(-F.col("__d"), F.col(key))).alias("c1"))
-               .checkpoint())
-    settled, live = [], centres
-    while live.head(1):
-        sides = work.join(live, "cluster").select("cluster", "vec", (_margin_of(F.col("vec")) > 0).cast("int").alias("side"))
-        means = sum_vectors(sides.mapInArrow(_task_sums, "cluster string, side int, n long, vec array<double>"),
-                            ["cluster", "side"], weight="n").select("cluster", "side", scale(F.col("vec"), 1 / F.col("size")).alias("vec"))
-        both = means.groupBy("cluster").agg(*[F.max(F.when(F.col("side") == k, F.col("vec"))).alias(f"m{k}") for k in (0, 1)])
-        moved = live.join(both, "cluster").select("cluster", "c0", "c1", *[F.coalesce(f"m{k}", f"c{k}").alias(f"m{k}") for k in (0, 1)])
-        shift = F.greatest(_distance2(F.col("m0"), F.col("c0")), _distance2(F.col("m1"), F.col("c1")))
-        still = shift <= CONVERGED ** 2 * _distance2(F.col("m0"), F.col("m1"))
-        moved = moved.select("cluster", F.col("m0").alias("c0"), F.col("m1").alias("c1"), still.alias("still")).checkpoint()
-        settled.append(moved.filter("still").drop("still"))
-        live = moved.filter("NOT still").drop("still")
-    rows = work.join(reduce(DataFrame.unionByName, settled), "cluster").select(key, "vec", "cluster", _margin_of(F.col("vec")).alias("__m"))
+    far = work.join(F.broadcast(first), "cluster").withColumn("__d", _distance2(F.col("vec"), F.col("c0")))
+    centres = far.groupBy("cluster").agg(F.first("c0").alias("c0"), F.min_by("vec", F.struct(-F.col("__d"), F.col(key))).alias("c1"))
+    rows = centres.orderBy("cluster").collect()
+    names = [r["cluster"] for r in rows]
+    c, live = np.array([[r["c0"], r["c1"]] for r in rows], dtype=np.float64), np.arange(len(rows))
+    spark = work.sparkSession
+    while len(live):
+        shared = spark.sparkContext.broadcast(({names[i]: at for at, i in enumerate(live)}, c[live]))
+        sums = work.select("cluster", "vec").mapInArrow(_side_sums(shared), "at int, side int, n long, vec array<double>").collect()
+        total, n = np.zeros((len(live), *c.shape[1:])), np.zeros((len(live), 2, 1))
+        for r in sums:
+            total[r["at"], r["side"]] += r["vec"]
+            n[r["at"], r["side"]] += r["n"]
+        shared.destroy()
+        # a side without rows keeps its centre
+        moved = np.where(n > 0, total / np.maximum(n, 1), c[live])
+        shift, apart = ((moved - c[live]) ** 2).sum(axis=2).max(axis=1), ((moved[:, 1] - moved[:, 0]) ** 2).sum(axis=1)
+        c[live] = moved
+        live = live[~(shift <= CONVERGED ** 2 * apart)]
+    shared = spark.sparkContext.broadcast(({name: at for at, name in enumerate(names)}, c))
+    schema = StructType([work.schema[key], work.schema["vec"], work.schema["cluster"]]).add("__m", DoubleType())
+    rows = work.select(key, "vec", "cluster").mapInArrow(_with_margin(shared), schema)
     # for an uneven split the border is the median; rows on it, equal vectors among them, are divided by a hash
     share = F.avg((F.col("__m") > 0).cast("double"))
     limits = rows.groupBy("cluster").agg(F.when(share.between(LEAST_SHARE, 1 - LEAST_SHARE), 0.0).otherwise(
         F.percentile_approx("__m", 0.5, 1000)).alias("__t"), share.between(LEAST_SHARE, 1 - LEAST_SHARE).alias("__even"))
     coin = F.pmod(F.xxhash64(key, F.lit(-1 - level)), F.lit(2)) == 1
     second = (F.col("__m") > F.col("__t")) | (~F.col("__even") & (F.col("__m") == F.col("__t")) & coin)
-    return rows.join(limits, "cluster").select(
+    return rows.join(F.broadcast(limits), "cluster").select(
         key, "vec", F.concat("cluster", F.when(second, "1").otherwise("0")).alias("cluster"))
 
 
@@ -145,27 +157,47 @@ def _distance2(a: Column, b: Column) -> Column:
     return dot(apart, apart)
 
 
-def _margin_of(vec: Column) -> Column:
-    c0, c1 = F.col("c0"), F.col("c1")
-    return 2 * dot(vec, subtract(c1, c0)) - (dot(c1, c1) - dot(c0, c0))
-
-
-def _task_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the vectors by cluster and side, one row for each in a batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes = batch.column("cluster").dictionary_encode()
-        side = batch.column("side").to_numpy()
-        at = 2 * codes.indices.to_numpy() + side
-        used, place = np.unique(at, return_inverse=True)
-        v = matrix_of(batch.column("vec"), len(batch.column("vec")[0]))
-        sums = np.zeros((len(used), v.shape[1]))
-        np.add.at(sums, place, v)
+def _margins(batch: pa.RecordBatch, places: dict[str, int], c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows in the clusters ``places`` has: which they are, their cluster's place, vector and margin."""
+    codes = batch.column("cluster").dictionary_encode()
+    own = np.array([places.get(name, -1) for name in codes.dictionary.to_pylist()], dtype=np.int64)
+    at = own[codes.indices.to_numpy()] if len(batch) else np.zeros(0, dtype=np.int64)
+    here = np.flatnonzero(at >= 0)
+    at, v = at[here], matrix_of(batch.column("vec").take(pa.array(here)), c.shape[2])
+    margin = np.empty(len(at))
+    for k in np.unique(at):
+        mine = at == k
+        margin[mine] = _margin(v[mine], c[k])
+    return here, at, v, margin
+
+
+def _side_sums(shared):
+    """Sums of the vectors by cluster and side, one row for each in a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, c = shared.value
+        sums, n = np.zeros((2 * len(c), c.shape[2])), np.zeros(2 * len(c), dtype=np.int64)
+        for batch in batches:
+            _, at, v, margin = _margins(batch, places, c)
+            side = 2 * at + (margin > 0)
+            for k in np.unique(side):
+                mine = side == k
+                sums[k] += v[mine].sum(axis=0)
+                n[k] += mine.sum()
+        used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
-            [codes.dictionary.take(pa.array(used // 2)), pa.array((used % 2).astype(np.int32)),
-             pa.array(np.bincount(place).astype(np.int64)), pa.array(list(sums), type=pa.list_(pa.float64()))],
-            names=["cluster", "side", "n", "vec"])
+            [pa.array((used // 2).astype(np.int32)), pa.array((used % 2).astype(np.int32)), pa.array(n[used]),
+             pa.array(list(sums[used]), type=pa.list_(pa.float64()))], names=["at", "side", "n", "vec"])
+    return run
+
+
+def _with_margin(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, c = shared.value
+        for batch in batches:
+            here, _, _, margin = _margins(batch, places, c)
+            rows = batch.take(pa.array(here))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(margin)], names=[*rows.schema.names, "__m"])
+    return run
 
 
 def centres_of(df: DataFrame, cluster: str) -> DataFrame:
