@@ -24,3 +24,14 @@ def test_steps_move_no_vectors(spark, monkeypatch):
     assert plans and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
     by_task = {x.k: x.cluster for x in cluster.size_bounded_clusters(df, "k", 40, 4).collect()}
     assert by_steps == by_task
+
+
+def test_clusters_are_told_apart_without_moving_rows(spark):
+    """Which clusters are too large is a short list: rows meet it where they are, and move once, to the task of their cluster."""
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(200)], "k long, vec array<double>").repartition(3)
+    found = cluster.size_bounded_clusters(df, "k", 20, 4, local_bytes=2000)
+    sizes = [x["n"] for x in found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 200 and max(sizes) <= 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
