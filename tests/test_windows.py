@@ -34,5 +34,5 @@ def test_a_long_text_is_compared_in_one_pass(spark):
     assert {(r.m.distance, r.m.offset) for r in found.collect()} == {(0.0, 60000)}
     assert "levenshtein" not in found._jdf.queryExecution().executedPlan().toString()
     empty = spark.createDataFrame([("", "x"), (None, "x"), ("x", None)], "a string, b string")
-    found = empty.select(text.min_window_distance(F.col("a"), F.col("b")).alias("m")).select("m.distance", "m.offset").collect()
-    assert [tuple(r) for r in found] == [(None, None)] * 3
+    found = empty.select(text.min_window_distance(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [r.m for r in found] == [None] * 3
