@@ -113,11 +113,28 @@ def _margin(v: np.ndarray, c: np.ndarray) -> np.ndarray:
     return 2 * v @ (c[1] - c[0]) - ((c[1] ** 2).sum() - (c[0] ** 2).sum())
 
 
+# Sums by cluster and side; of side CLOSE the vector counts rows by how far the centres must go until they may change sides.
+SUMS = "at int, side int, n long, vec array<double>"
+CLOSE, UNSURE = 2, 3
+# Ways centres may go, as parts of the distance between them.
+REACH = 2.0 ** np.arange(-24, 0.5, 0.5)
+# Steps are taken ahead if centres may go this many times as far as in the last one.
+AHEAD = 2.0
+# A task that takes steps ahead holds up to this many bytes of vectors.
+BORDER_BYTES = LOCAL_BYTES
+
+
 def _split(work: DataFrame, key: str, level: int) -> DataFrame:
     """Every cluster of ``work(key, vec, cluster)`` divided in two.
 
     The clusters are large ones, so their centres are few: every step sends
     them to the rows, and only sums by task, cluster and side come back.
+
+    Late steps move the centres little, and most rows cannot change sides: as
+    long as no centre goes further than ``r``, none whose distances to the two
+    differ by more than ``2 r``.  These are summed once; one task per cluster
+    takes all further steps with the others, until the centres stand or have
+    gone too far.  Each is the step that all rows together would give.
     """
     first = work.groupBy("cluster").agg(F.min_by("vec", key).alias("c0"))
     far = work.join(F.broadcast(first), "cluster").withColumn("__d", _distance2(F.col("vec"), F.col("c0")))
@@ -125,20 +142,38 @@ def _split(work: DataFrame, key: str, level: int) -> DataFrame:
     rows = centres.orderBy("cluster").collect()
     names = [r["cluster"] for r in rows]
     c, live = np.array([[r["c0"], r["c1"]] for r in rows], dtype=np.float64), np.arange(len(rows))
-    spark = work.sparkSession
+    spark, border = work.sparkSession, max(1, BORDER_BYTES // (8 * max(c.shape[-1], 1)))
     while len(live):
         shared = spark.sparkContext.broadcast(({names[i]: at for at, i in enumerate(live)}, c[live]))
-        sums = work.select("cluster", "vec").mapInArrow(_side_sums(shared), "at int, side int, n long, vec array<double>").collect()
-        total, n = np.zeros((len(live), *c.shape[1:])), np.zeros((len(live), 2, 1))
+        sums = work.select("cluster", "vec").mapInArrow(_side_sums(shared), SUMS).collect()
+        total, n, close = np.zeros((len(live), *c.shape[1:])), np.zeros((len(live), 2, 1)), np.zeros((len(live), len(REACH)))
         for r in sums:
+            if r["side"] == CLOSE:
+                close[r["at"]] += r["vec"]
+                continue
             total[r["at"], r["side"]] += r["vec"]
             n[r["at"], r["side"]] += r["n"]
         shared.destroy()
         # a side without rows keeps its centre
-        moved = np.where(n > 0, total / np.maximum(n, 1), c[live])
-        shift, apart = ((moved - c[live]) ** 2).sum(axis=2).max(axis=1), ((moved[:, 1] - moved[:, 0]) ** 2).sum(axis=1)
+        before, moved = c[live], np.where(n > 0, total / np.maximum(n, 1), c[live])
+        shift, apart = ((moved - before) ** 2).sum(axis=2).max(axis=1), ((moved[:, 1] - moved[:, 0]) ** 2).sum(axis=1)
         c[live] = moved
-        live = live[~(shift <= CONVERGED ** 2 * apart)]
+        # how far centres may go until more rows than a task should hold can change sides
+        fits = (np.cumsum(close, axis=1) <= border).sum(axis=1)
+        reach = np.where(fits > 0, REACH[fits - 1], 0.0)
+        on = ~(shift <= CONVERGED ** 2 * apart)
+        ahead = on & (reach ** 2 * ((before[:, 1] - before[:, 0]) ** 2).sum(axis=1) > AHEAD ** 2 * shift)
+        if ahead.any():
+            there = live[ahead]
+            shared = spark.sparkContext.broadcast((
+                {names[i]: at for at, i in enumerate(there)}, before[ahead], moved[ahead], reach[ahead]))
+            steps = work.select("cluster", "vec").mapInArrow(_border(shared), SUMS).groupBy("at").applyInPandas(
+                _steps(shared), "at int, c0 array<double>, c1 array<double>, stands boolean").collect()
+            for r in steps:
+                c[there[r["at"]]] = [r["c0"], r["c1"]]
+                on[np.flatnonzero(ahead)[r["at"]]] = not r["stands"]
+            shared.destroy()
+        live = live[on]
     shared = spark.sparkContext.broadcast(({name: at for at, name in enumerate(names)}, c))
     schema = StructType([work.schema[key], work.schema["vec"], work.schema["cluster"]]).add("__m", DoubleType())
     rows = work.select(key, "vec", "cluster").mapInArrow(_with_margin(shared), schema)
@@ -171,22 +206,84 @@ def _margins(batch: pa.RecordBatch, places: dict[str, int], c: np.ndarray) -> tu
     return here, at, v, margin
 
 
+def _reach(v: np.ndarray, margin: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """How far the centres can go, as a part of their distance, before a row may change sides; a little less for rounding."""
+    d = [np.sqrt(np.maximum(((v - x) ** 2).sum(axis=1), 0)) for x in c]
+    apart = np.sqrt(((c[1] - c[0]) ** 2).sum())
+    return np.abs(margin) / np.maximum(2 * (d[0] + d[1]) * apart, np.finfo(float).tiny) * (1 - 1e-6) if apart > 0 else np.zeros(len(v))
+
+
+def _sums_batch(at, side, n, vec) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(at, pa.int32()), pa.array(side, pa.int32()), pa.array(n, pa.int64()), pa.array(list(vec), type=pa.list_(pa.float64()))],
+        names=["at", "side", "n", "vec"])
+
+
+def _border(shared):
+    """Sums of the rows that keep their sides while the centres stay in reach, and the other rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, c, _, reach = shared.value
+        sums, n = np.zeros((2 * len(c), c.shape[2])), np.zeros(2 * len(c), dtype=np.int64)
+        for batch in batches:
+            _, at, v, margin = _margins(batch, places, c)
+            for k in np.unique(at):
+                mine = np.flatnonzero(at == k)
+                sure = _reach(v[mine], margin[mine], c[k]) > reach[k]
+                for side in (0, 1):
+                    kept = mine[sure & ((margin[mine] > 0) == side)]
+                    sums[2 * k + side] += v[kept].sum(axis=0)
+                    n[2 * k + side] += len(kept)
+                rest = v[mine[~sure]]
+                yield _sums_batch([k] * len(rest), [UNSURE] * len(rest), [1] * len(rest), rest)
+        used = np.flatnonzero(n)
+        yield _sums_batch(used // 2, used % 2, n[used], sums[used])
+    return run
+
+
+def _steps(shared):
+    """Steps of one cluster until its centres stand or leave their reach."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        _, start, after, reach = shared.value
+        k = int(rows["at"].iloc[0])
+        free = (rows["side"] == UNSURE).to_numpy()
+        dim = start.shape[2]
+        v = np.vstack([np.zeros((0, dim)), *rows["vec"][free]])
+        sums, n = np.zeros((2, dim)), np.zeros((2, 1))
+        for r in rows[~free].itertuples():
+            sums[r.side] += r.vec
+            n[r.side] += r.n
+        c, far = after[k], (reach[k] ** 2) * ((start[k][1] - start[k][0]) ** 2).sum()
+        while True:
+            second = _margin(v, c) > 0
+            total = sums + [v[~second].sum(axis=0), v[second].sum(axis=0)]
+            size = n + [[(~second).sum()], [second.sum()]]
+            moved = np.where(size > 0, total / np.maximum(size, 1), c)
+            stands = ((moved - c) ** 2).sum(axis=1).max() <= CONVERGED ** 2 * ((moved[1] - moved[0]) ** 2).sum()
+            c = moved
+            if stands or not ((c - start[k]) ** 2).sum(axis=1).max() <= far:
+                return pd.DataFrame({"at": [k], "c0": [c[0]], "c1": [c[1]], "stands": [bool(stands)]})
+    return run
+
+
 def _side_sums(shared):
-    """Sums of the vectors by cluster and side, one row for each in a task."""
+    """Sums of the vectors by cluster and side, one row for each in a task, and how many rows are close to the border."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, c = shared.value
         sums, n = np.zeros((2 * len(c), c.shape[2])), np.zeros(2 * len(c), dtype=np.int64)
+        close = np.zeros((len(c), len(REACH) + 1))
         for batch in batches:
             _, at, v, margin = _margins(batch, places, c)
+            for k in np.unique(at):
+                mine = at == k
+                close[k] += np.bincount(np.searchsorted(REACH, _reach(v[mine], margin[mine], c[k])), minlength=len(REACH) + 1)
             side = 2 * at + (margin > 0)
             for k in np.unique(side):
                 mine = side == k
                 sums[k] += v[mine].sum(axis=0)
                 n[k] += mine.sum()
         used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((used // 2).astype(np.int32)), pa.array((used % 2).astype(np.int32)), pa.array(n[used]),
-             pa.array(list(sums[used]), type=pa.list_(pa.float64()))], names=["at", "side", "n", "vec"])
+        yield _sums_batch(used // 2, used % 2, n[used], sums[used])
+        yield _sums_batch(range(len(c)), [CLOSE] * len(c), [0] * len(c), close[:, :-1])
     return run
 
 
