@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,9 @@ SHARPNESS = 2.0
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 # Lattice positions kept before a worker starts anew.
-KEPT = 2_000_000
+KEPT = 1_000_000
 # Characters of text compiled at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def _mixed(h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -40,8 +41,12 @@ def _mixed(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _prefix_tables(pieces: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per length the sorted hashes of all prefixes of pieces, and the piece each spells, or -1."""
+# Hashes of prefixes are found by their first bits, a table of so many for each length.
+BITS = 16
+
+
+def _prefix_tables(pieces: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length the sorted hashes of all prefixes of pieces, the piece each spells, or -1, and the first hash for each start of a hash."""
     levels: list[dict[int, int]] = [{} for _ in range(max(map(len, pieces), default=1))]
     for piece, ident in pieces.items():
         h = np.zeros(1, np.uint64)
@@ -52,19 +57,20 @@ def _prefix_tables(pieces: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]
     out = []
     for level in levels:
         hashes = np.array(sorted(level), np.uint64)
-        out.append((hashes, np.array([level[int(x)] for x in hashes], np.int64)))
+        begin = np.searchsorted(hashes, np.arange(1 << BITS, dtype=np.uint64) << np.uint64(64 - BITS))
+        out.append((hashes, np.array([level[int(x)] for x in hashes], np.int32), np.minimum(begin, len(hashes) - 1).astype(np.int32)))
     return out
 
 
-class _Starts(dict):
-    """Where words start.  A new one gets a number below zero: its place among those to compile."""
-
-    fresh: list[str]
-
-    def __missing__(self, word: str) -> int:
-        self.fresh.append(word)
-        self[word] = -len(self.fresh)
-        return -len(self.fresh)
+def _found(hashes: np.ndarray, begin: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each of ``h`` in the sorted ``hashes``, and whether it is there."""
+    place = begin[h >> np.uint64(64 - BITS)]
+    held = hashes[place]
+    # the first of those that start alike may not be the one
+    late = np.flatnonzero(held < h)
+    place[late] = np.minimum(np.searchsorted(hashes, h[late]), len(hashes) - 1)
+    held[late] = hashes[place[late]]
+    return place, held == h
 
 
 class Lattices:
@@ -91,11 +97,38 @@ class Lattices:
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.spelled: list[list[int]] = []
         self.spelling: dict[int, int] = {}
+        self.spoken = self._spoken()
         self.clear()
 
-    def clear(self) -> None:
-        self.start = _Starts()
+    def _spoken(self) -> list[bytes] | None:
+        """UTF-8 of every piece inside a text; None if the decoder does not give a text's pieces one by one."""
+        out = [b"\xff"] * self.sp.get_piece_size()  # in no text: unknown pieces are left to the decoder
+        for piece, i in self.pieces.items():
+            out[i] = piece.replace(SPACE, " ").encode()
+        for b, i in enumerate(self.bytes):
+            if self.sp.is_byte(i):
+                out[i] = bytes([b])
+        # after a letter, so that nothing is at the start
+        inner = [self.pieces.get("a", -1), *self.pieces.values()]
+        return out if inner[0] >= 0 and self.sp.decode(inner).encode() == b"".join(map(out.__getitem__, inner)) else None
+
+    def restored(self, ids: list[int], text: str) -> bool:
+        """Whether the decoder gives ``text``.
+
+        It takes one space away at the start of a text, and joins its pieces.
+        What is not the text by that rule is asked of the decoder itself.
+        """
+        if self.spoken and text and text[0] != " " and b"".join(map(self.spoken.__getitem__, ids)) == b" " + text.encode("utf-8", "surrogatepass"):
+            return True
+        return self.sp.decode(ids) == text
+
+    def forget(self) -> None:
+        """Start anew in the same arrays."""
+        self.start: dict[str, int] = {}
         self.nodes = self.arcs = 0
+
+    def clear(self) -> None:
+        self.forget()
         self.cum, self.logp, self.rest = (np.zeros(1 << 16, np.float32) for _ in range(3))
         self.piece, self.to, self.first = (np.zeros(1 << 16, np.int32) for _ in range(3))
 
@@ -109,7 +142,11 @@ class Lattices:
 
     def words(self, text: str) -> list[str]:
         shown = self.sp.normalize(text) if text else ""
-        return _SEGMENT.findall(shown) if self.by_word else [shown] if shown else []
+        if not self.by_word:
+            return [shown] if shown else []
+        if shown.startswith(SPACE) and not shown.endswith(SPACE) and SPACE * 2 not in shown:
+            return [SPACE + w for w in shown[1:].split(SPACE)]
+        return _SEGMENT.findall(shown)
 
     def _spell(self, code: int) -> int:
         """A character without a piece, as bytes: one arc, numbered below zero."""
@@ -119,89 +156,95 @@ class Lattices:
             self.spelling[code] = -len(self.spelled)
         return self.spelling[code]
 
-    def _arcs(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pieces at all positions: the position, the position after (-1 at a word's end) and the piece."""
-        source, target, piece = [], [], []
+    def _arcs(self, codes: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By length, from 1 on, the positions with a piece of that length, the piece, and if it ends the word; a position has one a length at most."""
+        out = []
+        at, h, to_end = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.uint64), left
+        for k, (hashes, pieces, begin) in enumerate(self.tables, 1):
+            h = _mixed(h, codes[at + (k - 1)])
+            place, known = _found(hashes, begin, h)
+            piece = np.where(known, pieces[place], -1)
+            full = np.flatnonzero(piece >= 0)
+            goes_on = to_end > k
+            out.append((at[full], piece[full], ~goes_on[full]))
+            longer = np.flatnonzero(known & goes_on)
+            at, h, to_end = at[longer], h[longer], to_end[longer]
         alone = np.ones(len(codes), bool)
-        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
-        for k, (hashes, pieces) in enumerate(self.tables, 1):
-            keep = left[at] >= k
-            at = at[keep]
-            h = _mixed(h[keep], codes[at + k - 1])
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            keep = hashes[place] == h
-            at, h, found = at[keep], h[keep], pieces[place[keep]]
-            here, found = at[found >= 0], found[found >= 0]
-            source.append(here)
-            target.append(np.where(left[here] > k, here + k, -1))
-            piece.append(found)
-            if k == 1:
-                alone[here] = False
-        rest = np.flatnonzero(alone)
+        alone[out[0][0]] = False
+        rest = np.flatnonzero(alone).astype(np.int32)
         kinds, back = np.unique(codes[rest], return_inverse=True)
-        source.append(rest)
-        target.append(np.where(left[rest] > 1, rest + 1, -1))
-        piece.append(np.array([self._spell(int(c)) for c in kinds], np.int64)[back])
-        # longest pieces first
-        return np.concatenate(source[::-1]), np.concatenate(target[::-1]), np.concatenate(piece[::-1])
+        spelled = np.array([self._spell(int(c)) for c in kinds], np.int32)[back]
+        out[0] = tuple(map(np.concatenate, zip(out[0], (rest, spelled, left[rest] == 1))))
+        return out
 
     def starts(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Per text the lattice positions its words start at; words met for the first time are compiled."""
-        self.start.fresh = []
-        out = [np.fromiter(map(self.start.__getitem__, words), np.int32, len(words)) for words in texts]
-        if self.start.fresh:
-            placed = self._compile(self.start.fresh)
-            for x in out:
-                new = np.flatnonzero(x < 0)
-                x[new] = placed[-x[new] - 1]
-        return out
+        fresh = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in self.start]
+        if fresh:
+            self._compile(fresh)
+        return [np.fromiter(map(self.start.__getitem__, words), np.int32, len(words)) for words in texts]
 
-    def _compile(self, fresh: list[str]) -> np.ndarray:
-        """Add the lattices of new words; returns where each starts."""
+    def _compile(self, fresh: list[str]) -> None:
+        """Add the lattices of new words, and where each starts."""
         codes = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         sizes = np.array([len(w) for w in fresh])
         base = len(codes)
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(base)
-        source, target, piece = self._arcs(codes, left)
-        # positions are numbered from the ends of words backwards
-        order = np.argsort(left, kind="stable")
-        number = np.empty(base, np.int64)
-        number[order] = np.arange(base)
-        source = number[source]
-        target = np.where(target >= 0, number[target], -1)
-        by = np.argsort(source, kind="stable")
-        source, target, piece = source[by], target[by], piece[by]
-        extra = np.array([self.rare * len(x) for x in self.spelled] or [0.0])
-        w = np.where(piece >= 0, self.weight[np.maximum(piece, 0)], extra[np.maximum(-piece - 1, 0)])
+        left = (np.repeat(np.cumsum(sizes), sizes) - np.arange(base)).astype(np.int32)
+        longest = int(left.max())
+        # positions are numbered from the ends of words backwards; numbers of two bytes are sorted by counting
+        order = np.argsort(left.astype(np.uint16) if longest < 1 << 16 else left, kind="stable").astype(np.int32)
+        number = np.zeros(base + 1, np.int32)
+        number[order] = np.arange(base, dtype=np.int32)
+        by_length = self._arcs(codes, left)
+        arcs_of = np.zeros(base, np.int32)
+        for at, _, _ in by_length:
+            arcs_of[at] += 1
+        per = arcs_of[order]
+        arc_at = np.concatenate(([0], np.cumsum(per)))
+        slot = arc_at[number[:base]]
+        piece, target = np.empty(arc_at[-1], np.int32), np.empty(arc_at[-1], np.int32)
+        # longest pieces first; -1 is a word's end
+        for k, (at, found, last) in reversed(list(enumerate(by_length, 1))):
+            here = slot[at]
+            piece[here] = found
+            after = number[at + k]
+            after[last] = -1
+            target[here] = after
+            slot[at] = here + 1
+        w = self.weight[piece]
+        bytewise = np.flatnonzero(piece < 0)
+        if len(bytewise):
+            w[bytewise] = np.array([self.rare * len(x) for x in self.spelled])[-piece[bytewise] - 1]
         beta = np.zeros(base + 1)  # the last one is the end
-        arc_at = np.searchsorted(source, np.arange(base + 1))
-        levels = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2))
-        for lo, hi in zip(levels[:-1], levels[1:]):
+        levels = np.concatenate(([0], np.cumsum(np.bincount(left, minlength=longest + 1)[1:])))
+        for lo, hi in zip(levels[:-1].tolist(), levels[1:].tolist()):
             a, b = arc_at[lo], arc_at[hi]
             x = w[a:b] + beta[target[a:b]]
             cuts = arc_at[lo:hi] - a
             top = np.maximum.reduceat(x, cuts)
-            beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(arc_at[lo:hi + 1]))), cuts))
-        logp = w + beta[target] - beta[source]
+            beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, per[lo:hi])), cuts))
+        logp = w + beta[target] - np.repeat(beta[:-1], per)
         p = np.exp(logp)
         # what the other arcs of the position have together, exact also where one has nearly all
         small = np.add.reduceat(np.where(p > 0.5, 0.0, p), arc_at[:-1])
         with np.errstate(divide="ignore"):
-            rest = np.log(np.where(p > 0.5, small[source], 1.0 - p))
-        cum, sizes_of = p.copy(), np.diff(arc_at)
-        for k in range(1, int(sizes_of.max())):
-            at = arc_at[:-1][sizes_of > k] + k
-            cum[at] += cum[at - 1]
-        cum[arc_at[1:] - 1] = 2.0  # a draw never goes past the last one
+            rest = np.log(np.where(p > 0.5, np.repeat(small, per), 1.0 - p))
+        ends = arc_at[1:] - 1
+        many = np.flatnonzero(per > 1)
+        k = 1
+        while len(many):
+            at = arc_at[many] + k
+            p[at] += p[at - 1]
+            k += 1
+            many = many[per[many] > k]
+        p[ends] = 2.0  # cumulated; a draw never goes past the last one
         at = self.nodes
         self._append("first", at, arc_at + self.arcs)
-        for name, x in (("cum", cum), ("logp", np.minimum(logp, 0.0)), ("rest", rest), ("piece", piece), ("to", np.where(target >= 0, target + at, -1))):
+        for name, x in (("cum", p), ("logp", np.minimum(logp, 0.0)), ("rest", rest), ("piece", piece), ("to", np.where(target >= 0, target + at, -1))):
             self._append(name, self.arcs, x)
-        self.arcs += len(cum)
+        self.arcs += len(p)
         self.nodes += base
-        placed = number[np.cumsum(sizes) - sizes] + at
-        self.start.update(zip(fresh, placed.tolist()))
-        return placed
+        self.start.update(zip(fresh, (number[np.cumsum(sizes) - sizes] + at).tolist()))
 
     def draw(self, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random path from every start to its word's end: arcs in order, and how many each start has."""
@@ -225,17 +268,24 @@ class Lattices:
             out[first[who] + k] = arc
         return out, counts
 
-    def ids(self, arcs: np.ndarray) -> np.ndarray:
+    def ids(self, arcs: np.ndarray, ends: np.ndarray | None = None):
+        """Piece ids of arcs; with ``ends``, where paths end among the arcs, also where they end among the ids."""
         piece = self.piece[arcs]
         bytewise = np.flatnonzero(piece < 0)
-        if len(bytewise) == 0:
-            return piece.astype(np.uint32)
-        own = [self.spelled[-p - 1] for p in piece[bytewise].tolist()]
-        sizes = np.ones(len(piece), np.int64)
-        sizes[bytewise] = [len(x) for x in own]
-        out = np.repeat(piece, sizes)
-        out[np.repeat(piece < 0, sizes)] = [i for x in own for i in x]
-        return out.astype(np.uint32)
+        if len(bytewise):
+            spelled = -piece[bytewise] - 1
+            size_of = np.array([len(x) for x in self.spelled])
+            sizes = np.ones(len(piece), np.int64)
+            sizes[bytewise] = size_of[spelled]
+            if ends is not None:
+                ends = np.concatenate(([0], np.cumsum(sizes)))[ends]
+            flat = np.array([i for x in self.spelled for i in x], np.int32)
+            own, of = size_of[spelled], (np.cumsum(size_of) - size_of)[spelled]
+            out = np.repeat(piece, sizes)
+            out[out < 0] = flat[np.repeat(of - np.cumsum(own) + own, own) + np.arange(int(own.sum()))]
+            piece = out
+        piece = piece.astype(np.uint32)
+        return piece if ends is None else (piece, ends)
 
     def top(self, texts: list[list[str]], seeds: np.ndarray, k: int) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
         """Per text at most ``k`` different segmentations ``(arcs, log probability, perturbed)``, best first, and the next bound.
@@ -244,9 +294,9 @@ class Lattices:
         """
         trees = [_Tree(self, s, int(seed)) for s, seed in zip(self.starts(texts), seeds)]
         wanted = [(t, None, 0, -1, t.starts, 0) for t in trees]
-        for _ in range(k):
+        for left in range(k - 1, -1, -1):
             self._grow(wanted)
-            wanted = [w for w in (t.next() for t in trees) if w] if len(trees) else []
+            wanted = [w for w in (t.next(bound_only=not left) for t in trees) if w]
         # what was taken beyond k only told the next bound
         return [(t.found[:k], t.bound) for t in trees]
 
@@ -338,13 +388,13 @@ class _Tree:
         path["where"] = int(path["group"].argmax()) if len(path["group"]) else 0
         path["best"] = float(path["group"][path["where"]]) if len(path["group"]) else -np.inf
 
-    def next(self) -> tuple | None:
-        """Leave the best path for the siblings with the largest bound; None if no segmentation is left."""
+    def next(self, bound_only: bool = False) -> tuple | None:
+        """Leave the best path for the siblings with the largest bound; None if no segmentation is left, or only the bound is wanted."""
         if not self.paths or self.bound == -np.inf:
             return None
         path = max(self.paths, key=lambda p: p["best"])
         self.bound = path["best"]
-        if self.bound == -np.inf:
+        if bound_only or self.bound == -np.inf:
             return None
         of, d = self.of, path["where"]
         mine = int(path["arcs"][d])
@@ -429,21 +479,24 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def _sampled(of: Lattices, keys: pa.Array, texts: list[str], samples: int, seed: int) -> pa.RecordBatch:
     if of.nodes > KEPT:
-        of.clear()
+        of.forget()
     cut = [of.words(t) for t in texts]
     seeds = np.array([zlib.crc32(f"{seed}:{k}".encode()) | zlib.crc32(f"{k}:{seed}".encode()) << 32 for k in keys.to_pylist()], np.uint64)
-    row, rank, ids, logp, perturbed, inclusion = [], [], [], [], [], []
+    row, rank, paths, logp, perturbed, inclusion = [], [], [], [], [], []
     for i, (found, kappa) in enumerate(of.top(cut, seeds, samples)):
         for r, (arcs, lp, g) in enumerate(found):
             row.append(i)
             rank.append(r)
-            ids.append(of.ids(arcs))
+            paths.append(arcs)
             logp.append(lp)
             perturbed.append(g)
             inclusion.append(_log_inclusion(lp, kappa))
-    restored = [back == texts[i] for i, back in zip(row, of.sp.decode([x.tolist() for x in ids]) if ids else [])]
+    ids, ends = of.ids(np.concatenate(paths or [np.zeros(0, np.int32)]), np.cumsum([0] + [len(x) for x in paths]))
+    listed = ids.tolist()
+    restored = [of.restored(listed[a:b], texts[i]) for i, a, b in zip(row, ends[:-1], ends[1:])]
+    data = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
     return pa.RecordBatch.from_arrays(
-        [keys.take(pa.array(row, pa.int64())), pa.array(rank, pa.int32()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+        [keys.take(pa.array(row, pa.int64())), pa.array(rank, pa.int32()), data,
          pa.array(logp, pa.float64()), pa.array(perturbed, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(restored, pa.bool_())],
         names=["key", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "restored"])
 

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from common_rows import awkward, no_rows
 
@@ -62,3 +64,42 @@ def test_rows_restore_their_texts(spark):
     again = s.sample_segmentations(docs.repartition(7), PATH, samples=3)
     assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
     assert s.sample_segmentations(no_rows(spark), PATH).collect() == []
+
+
+def test_restored_says_what_the_decoder_says():
+    of = s.Lattices(PATH)
+    assert of.spoken
+    texts = ["the cat sat", " a space first", "two  spaces", "ends in one ", "", " ", "\n lines\n\n", "Ünï 漢字 🙂 \x00 tab\t.", "a", "▁ sign", "<s> <0x41>"]
+    for text in texts:
+        for ids in (of.sp.encode(text), of.ids(of.top([of.words(text)], np.array([3], np.uint64), 1)[0][0][0][0]).tolist()):
+            for other in (text, text[:-1], " " + text, "the cat"):
+                assert of.restored(ids, other) == (of.sp.decode(ids) == other), (text, other)
+    ids, of.sp = of.sp.encode(texts[0]), None
+    # the decoder's pieces are known, so plain texts need no call of it
+    assert of.restored(ids, texts[0])
+
+
+def test_words_are_cut_as_by_the_pattern():
+    of = s.Lattices(PATH)
+    for text in ("the cat", "  the  cat ", "cat\n the", "▁▁a b", " ", "a"):
+        assert of.words(text) == s._SEGMENT.findall(of.sp.normalize(text))
+
+
+def test_memory_of_new_words_is_bounded():
+    r = np.random.default_rng(5)
+    texts = [" ".join("".join(map(chr, r.integers(97, 123, 8))) for _ in range(2000)) for _ in range(120)]
+    of, rows = s.Lattices(PATH), 0
+    tracemalloc.start()
+    for lo, hi in s._slices(texts):
+        rows += len(s._sampled(of, pa.array(range(lo, hi)), texts[lo:hi], 2, 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 362 MB with the slices and the number of words kept before
+    assert rows == 240 and peak < 250 << 20, peak >> 20
+
+
+def test_starting_anew_changes_no_row(monkeypatch):
+    texts = ["the cat sat on the mat", "un été à la mer", "the cat again 漢字"] * 3
+    rows = [[str(c) for b in [s._sampled(of, pa.array(range(k, k + 3)), texts[k:k + 3], 3, 1) for k in (0, 3, 6)] for c in b.columns]
+            for kept, of in ((1 << 20, s.Lattices(PATH)), (0, s.Lattices(PATH))) if monkeypatch.setattr(s, "KEPT", kept) is None]
+    assert rows[0] == rows[1]
