@@ -19,10 +19,12 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -33,29 +35,34 @@ END = 2
 KEYS_PER_BUCKET = 200_000
 # Slots per key at each level of the hash function, and the most levels.
 GAMMA, LEVELS = 2.0, 40
-# Words whose ids a worker keeps; characters encoded at a time; bytes read at a time.
+# Stretches whose ids a worker keeps; bytes encoded at a time; stretches handed to the tokenizer at a time; bytes read at a time.
 WORDS_KEPT = 800_000
 SLICE = 4 << 20
+HANDED = 8192
 READ = 8 << 20
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?= \S)")
+# Anything but single spaces, each before a word, and single line ends; and the sign that a stretch follows no space.
+_ODD = "  | \n|\n |\n\n| \\z|[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# A letter or digit, and an ASCII mark behind it.
+_MARKED = "([0-9A-Za-zÀ-ÖØ-öø-ʯ])([!-/:-@\\[-`{-~])"
 
 
 def width_of(vocabulary: int, end: int) -> int:
     return 2 if max(vocabulary, end + 1) <= 1 << 16 else 4
 
 
-def _plain_spaces(text: str) -> bool:
-    """Only single spaces, each before a word, and single line ends."""
-    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text.endswith(" ") or _OTHER_SPACE.search(text))
-
-
 class Encoder:
-    """Whole texts to ids, through the ids of the stretches between spaces.
+    """Whole texts to ids, through the ids of the stretches they are cut into.
+
+    The tokenizer never joins characters over a space that a word follows, over
+    a single line end, nor over a letter and a mark behind it, so a text is cut
+    there, and a stretch met before is not encoded again.  Arrow cuts the texts,
+    finds the distinct stretches and puts their ids together.  A text with other
+    spaces, or with a token that is found before words are, is cut at spaces.
 
-    The tokenizer never joins characters over a space that a word follows, nor
-    over a single line end, so a text is cut there, and a stretch met before is
-    not encoded again.
+    Stretches are named by how they stand in the text: ``\\x01`` is before one
+    that follows no space, a line end is the start of its stretch, and all others
+    follow a space.
     """
 
     def __init__(self, path: str, end: int):
@@ -67,44 +74,49 @@ class Encoder:
         self.of = Tokenizer.from_file(path)
         self.kind = f"<u{width_of(self.of.get_vocab_size(), end)}"
         self.end = np.array([end], self.kind).tobytes()
-        self.after: dict[str, bytes] = {}   # stretches that follow a space, without it
-        self.plain: dict[str, bytes] = {}   # others, as they are
-        self.line = self._bytes("\n")
+        self.odd = "|".join([_ODD, *(re.escape(t.content) for t in self.of.get_added_tokens_decoder().values())])
+        self.held: dict[str, bytes] = {}
+        self.line = len(self._ids("\n"))
 
-    def _bytes(self, text: str) -> bytes:
+    def _ids(self, text: str) -> bytes:
         return np.array(self.of.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut, after, plain = [], set(), set()
-        for text in texts:
-            if _plain_spaces(text):
-                lines = [line.split(" ") for line in text.split("\n")]
-                for words in lines:
-                    plain.add(words[0])
-                    after.update(words[1:])
-                cut.append(lines)
-            else:
-                parts = _CUT.split(text)
-                plain.update(parts)
-                cut.append(parts)
-        self._keep(self.after, after, " ")
-        self._keep(self.plain, plain, "")
-        return [self._joined(parts) + self.end for parts in cut]
-
-    def _joined(self, parts: list) -> bytes:
-        plain, after = self.plain, self.after.__getitem__
-        if parts and isinstance(parts[0], str):
-            return b"".join(map(plain.__getitem__, parts))
-        return self.line.join([plain[words[0]] + b"".join(map(after, words[1:])) for words in parts])
-
-    def _keep(self, held: dict[str, bytes], wanted: set[str], before: str) -> None:
-        """Learn what is not held; a full cache keeps only what is wanted now."""
-        fresh = list(wanted - held.keys())
-        if len(held) + len(fresh) > WORDS_KEPT:
-            held.clear()
-            fresh = list(wanted)
-        got = self.of.encode_batch_fast([before + w for w in fresh] if before else fresh, add_special_tokens=False)
-        held.update((w, np.fromiter(ids, self.kind, len(ids)).tobytes()) for w, ids in zip(fresh, (e.ids for e in got)))
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of every text, and the end behind them; a null text is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        out = np.empty(len(texts), dtype=object)
+        out[~odd] = self._plain(texts.filter(pa.array(~odd)))
+        out[odd] = [self._odd(text) for text in texts.filter(pa.array(odd)).to_pylist()]
+        return out.tolist()
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        marked = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), _MARKED, "\\1 \x01\\2")
+        # a line end before each text, whose ids are left out
+        stretches = pc.split_pattern(pc.binary_join_element_wise("\n", marked, ""), " ")
+        coded = stretches.flatten().dictionary_encode()
+        ids = pa.array(self._known(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int32)[stretches.offsets.to_numpy()] if len(ids) else []
+        data = ids.buffers()[2]
+        return [bytes(data[lo + self.line:hi]) + self.end for lo, hi in zip(at[:-1], at[1:])]
+
+    def _odd(self, text: str) -> bytes:
+        return b"".join(self._known(["\x01" + part for part in _CUT.split(text)])) + self.end
+
+    def _known(self, stretches: list[str]) -> list[bytes]:
+        """The ids of stretches, encoded if they are not held; if too many are, only these are kept."""
+        fresh = list(set(stretches).difference(self.held))
+        if len(self.held) + len(fresh) > WORDS_KEPT:
+            self.held.clear()
+            fresh = list(set(stretches))
+        for lo in range(0, len(fresh), HANDED):
+            some = fresh[lo:lo + HANDED]
+            got = self.of.encode_batch_fast([s[1:] if s[:1] == "\x01" else s if s[:1] == "\n" else " " + s for s in some], add_special_tokens=False)
+            lists = [e.ids for e in got]
+            ends = np.cumsum([len(x) for x in lists]) * len(self.end)
+            data = np.fromiter(chain.from_iterable(lists), self.kind).tobytes()
+            self.held.update((s, data[a:b]) for s, a, b in zip(some, [0, *ends.tolist()], ends.tolist()))
+        return list(map(self.held.__getitem__, stretches))
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -155,7 +167,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = END) ->
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in _slices(texts):
-                own = encoder.encode([t.as_py() or "" for t in texts.slice(lo, hi - lo)])
+                own = encoder.encode(texts.slice(lo, hi - lo))
                 if file is None:
                     file, done = _write(f"{folder}/shards", f"shard-{shard:06d}.bin")
                 offsets, sizes, copies = [], [], []
@@ -201,14 +213,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = END) ->
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for i, text in enumerate(texts):
-        size += len(text.as_py() or "")
-        if size >= SLICE:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(total):
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SLICE)) + 1
+        yield lo, min(hi, len(total))
+        lo = hi
 
 
 def _key(buckets: int) -> list[Column]:
