@@ -3,18 +3,18 @@
 A seed hashes the words of a window at the positions a mask keeps; the others
 may differ.  Seeds of the benchmark are joined with the seeds at every position
 of every document, and around each hit the words on its diagonal are compared.
-All of it is DataFrame functions: texts are split once, positions are exploded
-and hashed inside generated code.  With seeds that fit a broadcast, hits are
-compared where the text is, and only numbers are shuffled.
+All of it is DataFrame functions: positions are exploded and hashed inside
+generated code, where a sieve of fixed size drops nearly all that meet no seed.
+What memory a task takes does not depend on the number of items: hits are
+numbers, a text is split once more if it was hit, and what is compared with an
+item is no longer than the item.  Items alike in words are one until the end.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import few
+from .common import few, settle, sieve
 
 # Positions a seed keeps.  The first mask alone meets every window of SPAN words with two substitutions.
 MASKS = ((0, 1, 4, 6, 7), (0, 1, 3, 6, 7))
@@ -25,8 +25,8 @@ SPAN, SUBSTITUTIONS = 13, 2
 SHORT_MASK = (0, 2, 3, 5)
 # Shorter items are searched as they are, those below this number of words only as whole documents.
 LEAST_PASSAGE = 4
-# Benchmark seeds up to this many rows (about 50 bytes each) go to every executor; more are joined by shuffle.
-BROADCAST_SEEDS = 1_000_000
+# Benchmark seeds up to this many rows (about 100 bytes each as a hash table) go to every executor; more are joined by shuffle.
+BROADCAST_SEEDS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -81,50 +81,53 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADC
     hold nothing; rows alike in id and text are one document; a null id stays
     null.  Other columns are ignored.
     """
-    items = (benchmark.select("item_id", words_of(F.col("text")).alias("item")).filter(F.size("item") >= 1)
-             .dropDuplicates(["item_id", "item"]).select("item_id", F.xxhash64("item").alias("item_hash"), "item"))
+    items = _items(benchmark)
+    ids = few(items.select("item_id", "item_hash"), "item-ids")
+    found = _found(docs, items, broadcast_rows).join(ids, "item_hash")
+    return found.groupBy("doc_id", "text_hash", "item_id").agg(
+        F.max("n_words").cast("long").alias("n_words"), F.max("n_equal").cast("long").alias("n_equal"),
+        F.sum("n_places").alias("n_places"))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``(item_id, item_hash, item)`` of the items with an id and words."""
+    return (benchmark.filter(F.col("item_id").isNotNull()).select("item_id", words_of(F.col("text")).alias("item"))
+            .filter(F.size("item") >= 1).dropDuplicates(["item_id", "item"]).select("item_id", F.xxhash64("item").alias("item_hash"), "item"))
+
+
+def _found(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``(doc_id, text_hash, item_hash, n_words, n_equal, n_places)`` of the documents and the words of items they hold."""
+    items = settle(items.select("item_hash", "item").distinct(), "items")
     # one of a few numbers per item, so a handful of rows
     lengths = sorted(r[0] for r in items.select(F.least(F.size("item"), F.lit(SPAN))).distinct().collect())
     masks = _masks(lengths)
-    positions = items.select("item_id", "item_hash", "item", F.posexplode("item").alias("at", "w"))
-    seeds = positions.select("item_id", "item_hash", "at", F.explode(_seeds(F.col("item"), F.col("at"), masks, False)).alias("s"))
-    seeds = seeds.filter("s IS NOT NULL").select("item_id", "item_hash", "at", "s.mask", "s.seed").distinct()
+    positions = items.select("item_hash", "item", F.posexplode("item").alias("at", "w"))
+    seeds = positions.select("item_hash", F.size("item").alias("size"), "at", F.explode(_seeds(F.col("item"), F.col("at"), masks, False)).alias("s"))
+    seeds = settle(seeds.filter("s IS NOT NULL").select("item_hash", "size", "at", "s.mask", "s.seed").distinct(), "seeds")
+    n_seeds = seeds.count()
+    sent = F.broadcast if n_seeds <= broadcast_rows else lambda df: df
+
     split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
     places = split.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "w")).drop("w")
-    probes = places.select("doc_id", "text_hash", "words", "pos", F.explode(
+    probes = places.select("doc_id", "text_hash", "pos", F.explode(
         _seeds(F.col("words"), F.col("pos"), masks, True)).alias("s")).filter("s IS NOT NULL")
-    probes = probes.select("doc_id", "text_hash", "words", "pos", "s.mask", "s.seed")
-    start = (F.col("pos") - F.col("at")).alias("start")
-    keys, scalars = ["doc_id", "text_hash", "item_id", "item_hash"], ["n_words", "n_equal", "allowed"]
-    if seeds.count() <= broadcast_rows:
-        hits = probes.join(F.broadcast(seeds), ["mask", "seed"]).join(F.broadcast(items), ["item_id", "item_hash"])
-        # the first of a run of hits stands for it
-        hits = hits.filter(~_hit_before(masks)).select(*keys, "words", "item", start)
-        found = hits.select(*keys, "start", *_compared())
-    else:
-        # texts are not moved to meet seeds; the few that were hit are fetched
-        hits = probes.select("doc_id", "text_hash", "pos", "mask", "seed").join(seeds, ["mask", "seed"]).select(*keys, start).distinct()
-        there = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-        texts = split.join(few(there, "hit-texts"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi")
-        texts = texts.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-        hits = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-        found = hits.join(items, ["item_id", "item_hash"]).select(*keys, "start", *_compared())
-    found = found.filter("n_equal >= n_words - allowed")
+    probes = probes.select("doc_id", "text_hash", "pos", "s.mask", "s.seed").filter(sieve(seeds.select("seed"), n_seeds)(F.col("seed")))
     # several hits of one alignment say the same
-    found = found.groupBy(*keys, "start").agg(*[F.max(c).alias(c) for c in scalars])
-    return found.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.max("n_words").cast("long").alias("n_words"), F.max("n_equal").cast("long").alias("n_equal"),
-        F.count(F.lit(1)).alias("n_places"))
-
-
-def _hit_before(masks: list[tuple[int, ...]]) -> Column:
-    """Whether the seed of the same mask one word earlier on the diagonal is equal too."""
-    words, item, pos, at = (F.col(c) for c in ("words", "item", "pos", "at"))
-    tests = None
-    for i, mask in enumerate(masks):
-        same = reduce(Column.__and__, [F.get(words, pos - 1 + k) == F.get(item, at - 1 + k) for k in mask])
-        tests = F.when(F.col("mask") == i, same) if tests is None else tests.when(F.col("mask") == i, same)
-    return F.lit(False) if tests is None else (pos > 0) & (at > 0) & F.coalesce(tests, F.lit(False))
+    hits = settle(probes.join(sent(seeds), ["mask", "seed"]).select(
+        "doc_id", "text_hash", "item_hash", "size", (F.col("pos") - F.col("at")).alias("start")).distinct(), "hits")
+
+    there = settle(hits.select("text_hash").distinct(), "hit-texts")
+    own = F.xxhash64("text")
+    texts = (docs.filter(sieve(there, there.count())(own)).groupBy(F.col("doc_id").alias("__id"), own.alias("__hash"))
+             .agg(F.first("text").alias("text")).select("__id", "__hash", words_of(F.col("text")).alias("words")))
+    # what an item can meet of a text: an alignment may begin before the text, or end behind it
+    before, size = F.least(F.col("start"), F.lit(0)), F.col("size")
+    passages = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select(
+        "doc_id", "text_hash", "item_hash", before.alias("start"),
+        F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, size + before).alias("words"))
+    compared = passages.join(sent(items), "item_hash").select("doc_id", "text_hash", "item_hash", *_compared())
+    return compared.filter("n_equal >= n_words - allowed").groupBy("doc_id", "text_hash", "item_hash").agg(
+        F.max("n_words").alias("n_words"), F.max("n_equal").alias("n_equal"), F.count(F.lit(1)).alias("n_places"))
 
 
 def _compared() -> list[Column]:
@@ -142,7 +145,7 @@ def _compared() -> list[Column]:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
-    found = overlaps(docs, benchmark).select(
+    found = _found(docs, _items(benchmark), BROADCAST_SEEDS).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     found = few(found, "contaminated")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))

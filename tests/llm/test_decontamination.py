@@ -3,8 +3,10 @@ from __future__ import annotations
 import itertools
 
 from common_rows import awkward, no_rows, prose
+from pyspark.sql import functions as F
 
 from newsloom.llm import decontamination as d
+from newsloom.llm.common import settle, sieve
 
 
 def items(spark):
@@ -80,3 +82,29 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 4
     assert d.overlaps(no_rows(spark), bench).count() == 0
     assert d.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_a_sieve_lets_all_its_hashes_pass_and_few_others(spark):
+    some = spark.range(5000).select(F.xxhash64("id").alias("h")).localCheckpoint()
+    passes = sieve(some, 5000)
+    assert some.filter(passes(F.col("h"))).count() == 5000
+    assert spark.range(10 ** 6, 10 ** 6 + 100_000).filter(passes(F.xxhash64("id"))).count() < 1000
+    assert some.filter(sieve(some.limit(0), 0)(F.col("h"))).count() == 0
+
+
+def test_what_is_moved_does_not_grow_with_copies_of_an_item(spark, monkeypatch):
+    passage = prose(30, 9)
+    docs = spark.createDataFrame([(i, f"{prose(900, i)} {passage}") for i in range(20)] + [(99, prose(900, 99))], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, passage) for k in range(50)], "item_id long, text string")
+    for limit in (10 ** 6, 0):
+        moved = {}
+
+        def settled(df, name):
+            moved[name] = (settle(df, name), df.columns)
+            return moved[name][0]
+
+        monkeypatch.setattr(d, "settle", settled)
+        assert d.overlaps(docs, bench, limit).count() == 20 * 50
+        # numbers of the alignments of 20 documents and a few strays, no words, whatever the number of items
+        hits, columns = moved["hits"]
+        assert 20 <= hits.count() < 40 and "words" not in columns and moved["items"][0].count() == 1
