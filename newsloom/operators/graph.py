@@ -9,13 +9,15 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import ensure_checkpoint_dir
 from .ranking import global_rank
 
-# Edges of one vertex are spread over this many tasks when a frontier meets them.
+# Edges of a vertex with a large share of all are spread over this many tasks when a frontier meets them.
 SALTS = 8
+# Vertices are counted by hash in so many buckets; one of more edges than this, and than this part of all, is spread.
+BUCKETS, CROWDED, CROWDED_PART = 1 << 16, 10_000, 1000
 
 
 def collection_of(vertex: Column) -> Column:
@@ -84,16 +86,21 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "outbound", m
     to follow, ``vertex_filter`` rows to report, ``prune`` vertices not to go on
     from; the last two may use the columns of ``vertices(_id, ...)``.
 
-    The frontier moves one level per round.  It is salted against the edges, so
-    a vertex with a large share of all edges is no single task's work.  A walk
-    that is not over after ``max_iterations`` rounds, if given, is an error.
+    The frontier moves one level per round.  Where a vertex has a large share
+    of all edges it is salted against them, so that is no single task's work;
+    the other rows move once.  A walk that is not over after ``max_iterations`` rounds, if given, is an error.
     """
     if max_depth is None and "none" == unique_vertices == unique_edges:
         raise ValueError("an unbounded walk needs unique vertices or edges")
     ensure_checkpoint_dir(edges.sparkSession)
     steps = _steps(edges if edge_filter is None else edges.filter(edge_filter), direction)
-    steps = steps.withColumn("__salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    # such steps are never taken; said here, the steps of all levels are one exchange
+    for unique, what in ((unique_vertices, "next"), (unique_edges, "_key")):
+        if unique == "path":
+            steps = steps.filter(F.col(what).isNotNull())
+    crowded = _crowded(steps)
+    steps = steps.withColumn("__salt", F.when(crowded(F.col("at")), F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(crowded(F.col("vertex")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
 
     level = starts.select(F.col("_id").alias("start"), F.col("_id").alias("vertex"), F.lit(0).alias("depth"),
                           F.array("_id").alias("path"), F.array().cast("array<string>").alias("edge_path"))
@@ -120,13 +127,14 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "outbound", m
         live = level
         if prune is not None:
             live = _annotated(level, vertices).filter(~F.coalesce(prune, F.lit(False))).select(*level.columns)
-        moved = (live.withColumn("__salt", F.explode(salts))
+        # the path tells the start
+        moved = (live.drop("start", "depth").withColumn("__salt", F.explode(salts))
                  .join(steps.withColumnRenamed("at", "vertex"), ["vertex", "__salt"]))
         if unique_vertices == "path":
             moved = moved.filter(~F.array_contains("path", F.col("next")))
-        if unique_edges == "path":
+        if unique_edges == "path" and depth > 1:
             moved = moved.filter(~F.array_contains("edge_path", F.col("_key")))
-        level = moved.select("start", F.col("next").alias("vertex"), F.lit(depth).alias("depth"),
+        level = moved.select(F.get("path", F.lit(0)).alias("start"), F.col("next").alias("vertex"), F.lit(depth).alias("depth"),
                              F.concat("path", F.array("next")).alias("path"),
                              F.concat("edge_path", F.array("_key")).alias("edge_path"), *own)
         if unique_edges == "global":
@@ -135,8 +143,8 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "outbound", m
                           [x.withColumn("__e", F.try_element_at("edge_path", F.lit(-1))) for x in levels]).drop("__e")
         if unique_vertices == "global":
             level = _once(level, "vertex", levels)
-        if max_depth is None or depth > 2:
-            # bounded lineage: a level is read by the next one and by the result
+        if max_depth is None or 2 < depth < max_depth:
+            # bounded lineage: a level is read by the next one and by the result; the last one by the result alone
             level = level.checkpoint()
             if not level.head(1):
                 break
@@ -146,6 +154,15 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "outbound", m
     return walked
 
 
+def _crowded(steps: DataFrame) -> Callable[[Column], Column]:
+    """Whether a vertex is in a bucket with a large share of all steps; at most CROWDED_PART buckets are."""
+    bucket = lambda vertex: F.pmod(F.xxhash64(vertex), F.lit(BUCKETS))
+    counts = steps.groupBy(bucket(F.col("at")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    least = F.greatest(F.lit(CROWDED), F.sum("n").over(Window.partitionBy()) / CROWDED_PART)
+    full = [r["bucket"] for r in counts.withColumn("least", least).filter("n > least").select("bucket").collect()]
+    return lambda vertex: bucket(vertex).isin(full) if full else F.lit(False)
+
+
 def _annotated(level: DataFrame, vertices: DataFrame | None) -> DataFrame:
     if vertices is None:
         return level

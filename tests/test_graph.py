@@ -76,3 +76,22 @@ def test_folds(spark):
     assert graph.fold(walked.limit(0), vertices, folds).columns == [*walked.columns, "total", "leaves"]
     with pytest.raises(ValueError):
         graph.visited(walked, order="sideways")
+
+
+def test_only_a_crowded_vertex_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CROWDED", 50)
+    monkeypatch.setattr(graph, "CROWDED_PART", 4)
+    edges = [(f"e{i}", "hub/0", f"v/{i}") for i in range(200)] + [(f"f{i}", f"v/{i}", f"w/{i}") for i in range(200)]
+    edges += [("null", "v/0", None), (None, "v/1", "w/0")]
+    table = spark.createDataFrame(edges, "_key string, _from string, _to string")
+    crowded = graph._crowded(table.withColumnRenamed("_from", "at"))
+    named = spark.createDataFrame([("hub/0",), *[(f"v/{i}",) for i in range(200)]], "_id string")
+    assert [r[0] for r in named.filter(crowded(F.col("_id"))).collect()] == ["hub/0"]
+    out = graph.traverse(named.limit(1), table, max_depth=2)
+    assert out.filter("depth = 1").count() == 200 and out.filter("depth = 2").count() == 200
+    # starts move once, not once per salt, and the last level is not written
+    back = graph.traverse(named.filter("_id <> 'hub/0'"), table, "inbound", min_depth=1, max_depth=3)
+    assert back.count() == 200 and "ExistingRDD[start" not in back.select("start", "path")._jdf.queryExecution().executedPlan().toString()
+    rows = [r for r in back.collect()]
+    assert {(r.start, r.vertex, tuple(r.path), tuple(r.edge_path)) for r in rows} == {
+        (f"v/{i}", "hub/0", (f"v/{i}", "hub/0"), (f"e{i}",)) for i in range(200)}
