@@ -108,3 +108,14 @@ def test_what_is_moved_does_not_grow_with_copies_of_an_item(spark, monkeypatch):
         # numbers of the alignments of 20 documents and a few strays, no words, whatever the number of items
         hits, columns = moved["hits"]
         assert 20 <= hits.count() < 40 and "words" not in columns and moved["items"][0].count() == 1
+
+
+def test_documents_are_dropped_without_a_row_per_copy_of_an_item(spark, monkeypatch):
+    passage = prose(30, 9)
+    docs = spark.createDataFrame([(None, passage), (1, f"{prose(9, 1)} {passage}"), (2, prose(40, 2)), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, passage) for k in range(50)] + [(None, prose(40, 2))], "item_id long, text string")
+    written = {}
+    monkeypatch.setattr(d, "settle", lambda df, name: written.setdefault(name, settle(df, name)))
+    # an item without an id is not searched
+    assert sorted(r.doc_id for r in d.drop_contaminated(docs, bench).collect()) == [2, 3]
+    assert 2 <= written["hits"].count() < 10 and written["items"].count() == 1
